@@ -176,3 +176,9 @@ def query_preview(text: Column, limit: int = K.PREVIEW_LIMIT) -> Column:
 
 def lines_of(text: Column) -> Column:
     return F.split(text, K.LINE_BREAK, -1)
+
+
+def fixed_point(number: Column, digits: int) -> Column:
+    """A number as text with ``digits`` decimals, exact ties to the even digit."""
+    micro = F.round(number, 6).cast("decimal(26,6)")
+    return F.bround(micro, digits).cast(f"decimal(26,{digits})").cast("string")

@@ -183,9 +183,9 @@ def type_overview_table(outcomes: DataFrame) -> DataFrame:
         "total_queries",
         "success_count",
         "error_count",
-        F.format_string("%.1f%%", "success_rate").alias("success_pct"),
-        F.format_string("%.2f", "avg_ms").alias("avg_ms"),
-        F.format_string("%.2f", "p95_ms").alias("p95_ms"),
+        F.concat(tx.fixed_point(F.col("success_rate"), 1), F.lit("%")).alias("success_pct"),
+        tx.fixed_point(F.col("avg_ms"), 2).alias("avg_ms"),
+        tx.fixed_point(F.col("p95_ms"), 2).alias("p95_ms"),
     ).orderBy(F.col("total_queries").desc(), "statement_type")
 
 

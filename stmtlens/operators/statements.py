@@ -39,7 +39,7 @@ def flattened_payload(payload: DataFrame) -> DataFrame:
         lin.as_list(F.col("column_lineage"), no_lineage).alias("column_lineage"),
         F.nullif(F.col("debug_info.error"), F.lit("")).alias("parser_error"),
         F.col("debug_info.confidence").alias("confidence"),
-        tx.reported_type(F.col("queryType"), F.col("query_type"), F.col("querytype")).alias(
+        tx.reported_type(F.col("queryType"), F.col("query_type")).alias(
             "parser_statement_type"
         ),
         "query_fingerprint",

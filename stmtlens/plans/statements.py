@@ -641,7 +641,7 @@ def _report_columns(record: DataFrame) -> DataFrame:
                 "statement_type_summary",
                 lambda e: F.concat_ws(
                     ":", e["statement_type"], e["total_queries"].cast("string"),
-                    F.format_string("%.3f", e["p95_ms"]),
+                    tx.fixed_point(e["p95_ms"], 6),
                 ),
             ),
             "|",

@@ -47,13 +47,12 @@ DEBUG_INFO = T.StructType(
     ]
 )
 
-# One parser answer. The statement type may arrive under three spellings.
+# One parser answer. The statement type may arrive under several spellings of its key.
 PAYLOAD = T.StructType(
     [
         T.StructField("identifier", T.StringType()),
         T.StructField("queryType", T.StringType()),
         T.StructField("query_type", T.StringType()),
-        T.StructField("querytype", T.StringType()),
         T.StructField("query_fingerprint", T.StringType()),
         T.StructField("in_tables", STRINGS),
         T.StructField("out_tables", STRINGS),

@@ -48,8 +48,7 @@ def _with_file_identity(statements: DataFrame, input_ordinal: int) -> DataFrame:
 
 def _small_scripts(reader, paths: list[str], limit: int) -> DataFrame:
     whole = (
-        reader.option("wholetext", True)
-        .text(paths)
+        reader.text(paths, wholetext=True)
         .where(F.col("_metadata.file_size") <= limit)
         .select(
             local_path(F.col("_metadata.file_path")).alias("source_path"),
@@ -243,14 +242,22 @@ def all_inputs(
     return combined
 
 
+def payload_from_text(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Parser answers from JSON texts, with a fixed schema.
+
+    The third spelling of the type key differs from the first only in case, which column names
+    cannot; it fills the second one where that is absent.
+    """
+    answer = F.from_json(F.col(text), schemas.PAYLOAD)
+    parsed = documents.select(text, answer.alias("_answer")).select(text, "_answer.*")
+    other_spelling = F.get_json_object(text, "$.querytype")
+    return parsed.withColumn("query_type", F.coalesce("query_type", other_spelling)).drop(text)
+
+
 def payloads(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Parser answers from JSON, one object per file (or per line) with a fixed schema."""
-    return (
-        spark.read.schema(schemas.PAYLOAD)
-        .option("multiLine", multi_line)
-        .option("recursiveFileLookup", True)
-        .json(path)
-    )
+    """Parser answers from JSON: one object per file, or one per line."""
+    documents = spark.read.option("recursiveFileLookup", True).text(path, wholetext=multi_line)
+    return payload_from_text(documents)
 
 
 def expected_from_text(documents: DataFrame, text: str = "document") -> DataFrame:
@@ -265,10 +272,9 @@ def expected_from_text(documents: DataFrame, text: str = "document") -> DataFram
 def expected_results(spark: SparkSession, path: str) -> DataFrame:
     """Expected lineage of every ``*.json`` below ``path``, matched by file stem and statement."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .text(path)
+        .text(path, wholetext=True)
         .select(
             F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("query_id"),
             F.col("value").alias("document"),
@@ -279,6 +285,6 @@ def expected_results(spark: SparkSession, path: str) -> DataFrame:
 
 __all__ = [
     "STATEMENT_COLUMNS", "all_inputs", "csv_column", "csv_dirs", "expected_from_text",
-    "expected_results", "payloads",
+    "expected_results", "payload_from_text", "payloads",
     "sql_dirs", "sql_files",
 ]

@@ -184,7 +184,6 @@ def payload_table(spark: SparkSession, folder: str) -> DataFrame:
         "identifier",
         text.alias("queryType"),
         F.col("parser_type_raw").alias("query_type"),
-        text.alias("querytype"),
         text.alias("query_fingerprint"),
         F.col("upstreams").alias("in_tables"),
         F.when(F.size("downstreams") > 0, F.col("downstreams")).alias("out_tables"),
