@@ -11,18 +11,29 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = r"[\s\x1c-\x1f\x85\p{Z}]+"
+WHITESPACE_CLASS = r"\s\x1c-\x1f\x85\p{Z}"
+WHITESPACE_RUN = f"[{WHITESPACE_CLASS}]+"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
+LINE_JOIN = (
+    r"(?<![\t\x1f\p{Zs}])[\t\x1f\p{Zs}]*+[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+    f"[{WHITESPACE_CLASS}]*+"
+)
+
 # --- statement classification by leading keywords --------------------------------------
 LEADING_TOKEN_LIMIT = 6
 DML_KEYWORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE"]
 CALL_KEYWORDS = ["CALL", "EXEC", "EXECUTE"]
 TABLE_KINDS = ["SET", "MULTISET"]
-REPLACE_OBJECTS = ["PROCEDURE", "FUNCTION", "TABLE", "VIEW", "MACRO"]
-CREATE_OBJECTS = ["TABLE", "VIEW", "DATABASE", "PROCEDURE", "MACRO", "FUNCTION"]
-ALTER_OBJECTS = ["TABLE", "DATABASE", "PROCEDURE", "FUNCTION"]
-DROP_OBJECTS = ["TABLE", "DATABASE", "VIEW", "PROCEDURE", "MACRO", "FUNCTION"]
+OBJECTS_BY_VERB = {
+    "REPLACE": ["PROCEDURE", "FUNCTION", "TABLE", "VIEW", "MACRO"],
+    "CREATE": ["TABLE", "VIEW", "DATABASE", "PROCEDURE", "MACRO", "FUNCTION"],
+    "ALTER": ["TABLE", "DATABASE", "PROCEDURE", "FUNCTION"],
+    "DROP": ["TABLE", "DATABASE", "VIEW", "PROCEDURE", "MACRO", "FUNCTION"],
+    "COLLECT": ["STATISTICS"],
+    "BEGIN": ["TRANSACTION"],
+}
+TABLE_KIND_VERBS = ["REPLACE", "CREATE"]
 
 # --- text limits ------------------------------------------------------------------------
 COMPONENT_LIMIT = 128

@@ -52,16 +52,16 @@ def statement_flags(
 ) -> Column:
     """Quality flags of one statement, in display order; ``OK`` only when there is no other."""
     has_up, has_down = F.size(upstreams) > 0, F.size(downstreams) > 0
-    flags = F.array_compact(
-        F.array(
-            F.when(~succeeded, "ERR"),
-            F.when(has_up != has_down, "GAP"),
-            F.when(has_up & has_down & ~self_referential, "LIN"),
-            F.when(self_referential, "SELF"),
-            F.when(F.size(column_lineage) > 0, "COL"),
-        )
-    )
-    return F.when(F.size(flags) == 0, F.array(F.lit("OK"))).otherwise(flags)
+    rules = [
+        ("ERR", ~succeeded),
+        ("GAP", has_up != has_down),
+        ("LIN", has_up & has_down & ~self_referential),
+        ("SELF", self_referential),
+        ("COL", F.size(column_lineage) > 0),
+    ]
+    # Joined text and split, not filtered arrays: both ends stay in generated code.
+    text = F.concat_ws(",", *[F.when(condition, flag) for flag, condition in rules])
+    return F.split(F.when(text == "", "OK").otherwise(text), ",")
 
 
 def flag_prefix(flags: Column) -> Column:

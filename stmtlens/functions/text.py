@@ -19,9 +19,12 @@ def is_blank(text: Column) -> Column:
 
 
 def statement_texts(script: Column) -> Column:
-    """The statements of a script: cut at every ``;``, stripped, blanks dropped."""
-    parts = F.transform(F.split(script, ";", -1), strip)
-    return F.filter(parts, lambda part: part != "")
+    """The statements of a script: the parts between ``;`` that are not blank.
+
+    Each match starts at the first character that is neither ``;`` nor whitespace, so blank parts
+    never match; trailing whitespace is left for ``strip``.
+    """
+    return F.regexp_extract_all(script, F.lit(f"([^;{K.WHITESPACE_CLASS}][^;]*)"), F.lit(1))
 
 
 def clean_sql(text: Column) -> Column:
@@ -30,53 +33,46 @@ def clean_sql(text: Column) -> Column:
     return strip(F.regexp_replace(no_blocks, r"(?:--|//|#)[^\n]*", " "))
 
 
-def leading_tokens(clean: Column) -> Column:
-    """The first keywords of a cleaned statement, upper case.
+def leading_words(clean: Column) -> Column:
+    """The first keywords of a cleaned statement, upper case, joined by one space.
 
-    The head of the text up to the last wanted token is cut first, so a long statement is not
+    The head of the text up to the last wanted keyword is cut first, so a long statement is not
     tokenised in full.
     """
     word, gap = "[A-Za-z_#]++", "[^A-Za-z_#]*+"
     head = F.regexp_extract(clean, f"^(?:{gap}{word}){{0,{K.LEADING_TOKEN_LIMIT}}}", 0)
-    return F.transform(F.regexp_extract_all(head, F.lit("([A-Za-z_#]+)"), F.lit(1)), F.upper)
+    return F.upper(F.trim(F.regexp_replace(head, "[^A-Za-z_#]+", " ")))
 
 
-def statement_type_of(tokens: Column) -> Column:
-    """Statement type from the leading keywords; the first rule that applies decides."""
+def leading_tokens(clean: Column) -> Column:
+    return F.array_remove(F.split(leading_words(clean), " "), "")
 
-    def token(position: int) -> Column:
-        return F.coalesce(F.get(tokens, F.lit(position)), F.lit(""))
 
-    first, second, third = token(0), token(1), token(2)
-    makes_table = second.isin(K.TABLE_KINDS) & (third == "TABLE")
-    dml_after_with = F.get(
-        F.filter(F.slice(tokens, 2, K.LEADING_TOKEN_LIMIT), lambda t: t.isin(K.DML_KEYWORDS)),
-        F.lit(0),
-    )
+_PAIR_TYPES = "|".join(
+    f"{verb} (?:{'|'.join(objects)})" for verb, objects in K.OBJECTS_BY_VERB.items()
+)
 
-    def verb_object(verb: str, objects: list[str]) -> tuple[Column, Column]:
-        return (first == verb) & second.isin(objects), F.concat(F.lit(f"{verb}_"), second)
-
-    rules = [
-        (first == "", F.lit("UNKNOWN")),
-        (first == "SEL", F.lit("SELECT")),
-        (first == "WITH", F.coalesce(dml_after_with, F.lit("SELECT"))),
-        (first.isin(K.CALL_KEYWORDS), F.lit("CALL")),
-        ((first == "COLLECT") & (second == "STATISTICS"), F.lit("COLLECT_STATISTICS")),
-        verb_object("REPLACE", K.REPLACE_OBJECTS),
-        ((first == "REPLACE") & makes_table, F.lit("REPLACE_TABLE")),
-        verb_object("CREATE", K.CREATE_OBJECTS),
-        ((first == "CREATE") & makes_table, F.lit("CREATE_TABLE")),
-        verb_object("ALTER", K.ALTER_OBJECTS),
-        verb_object("DROP", K.DROP_OBJECTS),
-        ((first == "BEGIN") & (second == "TRANSACTION"), F.lit("BEGIN_TRANSACTION")),
-    ]
-    condition, value = rules[0]
-    chain = F.when(condition, value)
-    for condition, value in rules[1:]:
-        chain = chain.when(condition, value)
-    # Every other keyword (DML verbs, GRANT, LOCKING, BT, ET, ...) names its own type.
-    return chain.otherwise(first)
+
+def statement_type_of(words: Column) -> Column:
+    """Statement type from the leading keywords.
+
+    Few branches over patterns rather than one branch per keyword: a long chain makes the generated
+    method too big for the JVM to compile.
+    """
+    first = F.substring_index(words, " ", 1)
+    kinds = f"^({'|'.join(K.TABLE_KIND_VERBS)}) (?:{'|'.join(K.TABLE_KINDS)}) TABLE\\b"
+    pair = F.regexp_extract(F.regexp_replace(words, kinds, "$1 TABLE"), f"^({_PAIR_TYPES})\\b", 1)
+    after_with = f"^WITH(?: \\S+)*? ({'|'.join(K.DML_KEYWORDS)})\\b"
+    dml = F.regexp_extract(words, after_with, 1)
+    return (
+        F.when(first.isin(*K.OBJECTS_BY_VERB), F.when(pair == "", first).otherwise(F.translate(pair, " ", "_")))
+        .when(first == "WITH", F.when(dml == "", "SELECT").otherwise(dml))
+        .when(first == "SEL", "SELECT")
+        .when(first.isin(K.CALL_KEYWORDS), "CALL")
+        .when(first == "", "UNKNOWN")
+        # Every other keyword (SELECT, GRANT, LOCKING, DATABASE, BT, ET, ...) names its own type.
+        .otherwise(first)
+    )
 
 
 def type_label(label: Column) -> Column:
@@ -125,15 +121,22 @@ def status_label(rpc_error: Column, parser_error: Column) -> Column:
 def sanitized_component(label: Column) -> Column:
     """A label fit for a file name: letters, digits and ``-_.#``."""
     kept = F.regexp_replace(label, r"[^\p{L}\p{N}\-_.#]", "_")
-    cut = F.substring(F.btrim(kept, F.lit("_")), 1, K.COMPONENT_LIMIT)
-    return F.when(cut == "", "result").otherwise(cut)
+    return _or_if_empty(F.substring(F.btrim(kept, F.lit("_")), 1, K.COMPONENT_LIMIT), "result")
 
 
-def sanitized_identifier(value: Column, fallback: str) -> Column:
-    """A lower-case identifier of bounded length; a long one ends in a digest of the whole."""
+def _or_if_empty(text: Column, default: str) -> Column:
+    """``default`` for the empty text; one pattern, so ``text`` is evaluated once."""
+    return F.regexp_replace(text, r"^\z", default)
+
+
+def identifier_text(value: Column, fallback: str) -> Column:
+    """``value`` in identifier characters, of any length."""
     kept = F.regexp_replace(strip(value), r"[^A-Za-z0-9_.:/\\-]+", "_")
-    cleaned = F.btrim(F.regexp_replace(kept, "_+", "_"), F.lit("_"))
-    cleaned = F.when(cleaned == "", fallback).otherwise(cleaned)
+    return _or_if_empty(F.btrim(F.regexp_replace(kept, "_+", "_"), F.lit("_")), fallback)
+
+
+def bounded_identifier(cleaned: Column) -> Column:
+    """Lower case; a text that is too long is cut and ends in a digest of the whole."""
     prefix_length = K.IDENTIFIER_LIMIT - K.IDENTIFIER_DIGEST - 1
     shortened = F.concat(
         F.substring(cleaned, 1, prefix_length),
@@ -145,6 +148,11 @@ def sanitized_identifier(value: Column, fallback: str) -> Column:
     )
 
 
+def sanitized_identifier(value: Column, fallback: str) -> Column:
+    """A lower-case identifier of bounded length."""
+    return bounded_identifier(identifier_text(value, fallback))
+
+
 def relative_label(path: Column, base_dir: str = "") -> Column:
     """``path`` below ``base_dir`` with ``/`` separators; other paths stay as they are."""
     posix = F.translate(path, "\\", "/")
@@ -158,9 +166,8 @@ def relative_label(path: Column, base_dir: str = "") -> Column:
 
 
 def _shortened(text: Column, limit: int) -> Column:
-    return F.when(F.length(text) <= limit, text).otherwise(
-        F.concat(F.substring(text, 1, limit - 1), F.lit("…"))
-    )
+    """At most ``limit`` characters, the last one ``…`` where something was cut."""
+    return F.regexp_replace(text, f"(?s)^(.{{{limit - 1}}}).{{2,}}\\z", "$1…")
 
 
 def truncated_property(text: Column, limit: int = K.PROPERTY_LIMIT) -> Column:
@@ -168,10 +175,13 @@ def truncated_property(text: Column, limit: int = K.PROPERTY_LIMIT) -> Column:
 
 
 def query_preview(text: Column, limit: int = K.PREVIEW_LIMIT) -> Column:
-    """The non-empty lines of a statement in one line."""
-    lines = F.filter(F.transform(F.split(text, K.LINE_BREAK, -1), strip), lambda s: s != "")
-    condensed = F.array_join(lines, " ")
-    return _shortened(F.when(condensed == "", K.EMPTY_PREVIEW).otherwise(condensed), limit)
+    """The non-empty lines of a statement in one line.
+
+    Stripping lines, dropping empty ones and joining by a space is the same as replacing every
+    whitespace run that holds a line break.
+    """
+    condensed = F.regexp_replace(strip(text), K.LINE_JOIN, " ")
+    return _shortened(_or_if_empty(condensed, K.EMPTY_PREVIEW), limit)
 
 
 def lines_of(text: Column) -> Column:

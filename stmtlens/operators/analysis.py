@@ -10,6 +10,7 @@ from stmtlens.functions import lineage as lin
 from stmtlens.functions import rewrite as rw
 from stmtlens.functions import text as tx
 from stmtlens.functions import urns
+from stmtlens.operators.statements import with_inferred_type
 
 
 # --- complexity -------------------------------------------------------------------------
@@ -369,10 +370,9 @@ def procedure_statements(procedures: DataFrame, text: str = "body") -> DataFrame
         (F.col("_pos") + 1).cast("bigint").alias("step"),
         rw.procedure_step(tx.clean_sql(F.col("_part"))).alias("query_text"),
     )
-    kind = tx.statement_type_of(tx.leading_tokens(F.col("query_text")))
-    return steps.withColumn("statement_type", kind).where(
-        F.col("statement_type").isin("SELECT", "INSERT", "UPDATE", "DELETE")
-    )
+    # statement_texts leaves trailing whitespace, which clean_sql strips.
+    typed = with_inferred_type(steps).withColumnRenamed("inferred_type", "statement_type")
+    return typed.where(F.col("statement_type").isin("SELECT", "INSERT", "UPDATE", "DELETE"))
 
 
 def trend_over_runs(outcomes: DataFrame) -> DataFrame:

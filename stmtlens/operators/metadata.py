@@ -24,26 +24,52 @@ class RecordSettings:
     base_dir: str = ""
 
 
-def _flow_id(path: Column, settings: RecordSettings) -> Column:
-    label = tx.relative_label(path, settings.base_dir)
-    if settings.flow_prefix:
-        label = F.concat(F.lit(f"{settings.flow_prefix}__"), label)
-    return tx.sanitized_identifier(label, "sql_parser_flow")
+def _present_map(
+    always: list[tuple[str, Column]], optional: list[tuple[str, Column]] = ()
+) -> Column:
+    """A string map; optional entries are left out where they are NULL."""
+    entries = F.create_map(*[part for name, value in always for part in (F.lit(name), value)])
+    nothing = F.create_map().cast("map<string,string>")
+    extra = [
+        F.when(value.isNotNull(), F.create_map(F.lit(name), value)).otherwise(nothing)
+        for name, value in optional
+    ]
+    return F.map_concat(entries, *extra) if extra else entries
 
 
-def _flow_urn(path: Column, settings: RecordSettings) -> Column:
-    return urns.flow_urn(_flow_id(path, settings), settings.orchestrator, settings.cluster)
+def with_jobs(outcomes: DataFrame) -> DataFrame:
+    """Only statements that write somewhere become jobs; parser errors do not prevent that."""
+    return outcomes.where(F.size("downstreams") > 0)
 
 
-def _present_map(*pairs: tuple[str, Column]) -> Column:
-    """A string map without the entries whose value is NULL."""
-    entries = F.create_map(*[part for name, value in pairs for part in (F.lit(name), value)])
-    return F.map_filter(entries, lambda _, value: value.isNotNull())
+def _with_flow(df: DataFrame, settings: RecordSettings) -> DataFrame:
+    """Add ``flow_id`` and ``flow_urn``. Both follow from the path, so jobs need no join to flows.
 
+    Columns are added step by step: a text used twice is computed once.
+    """
+    label = tx.relative_label(F.col("source_path"), settings.base_dir)
+    if settings.flow_prefix:
+        label = F.concat(F.lit(f"{settings.flow_prefix}__"), label)
+    return (
+        df.withColumn("_flow_text", tx.identifier_text(label, "sql_parser_flow"))
+        .withColumn("flow_id", tx.bounded_identifier(F.col("_flow_text")))
+        .withColumn(
+            "flow_urn", urns.flow_urn(F.col("flow_id"), settings.orchestrator, settings.cluster)
+        )
+        .drop("_flow_text")
+    )
 
-def with_jobs(outcomes: DataFrame) -> DataFrame:
-    """Only statements that write somewhere become jobs; parser errors do not prevent that."""
-    return outcomes.where(F.size("downstreams") > 0)
+
+def _with_job(df: DataFrame, settings: RecordSettings) -> DataFrame:
+    """Add ``flow_urn`` and ``job_urn``."""
+    return (
+        _with_flow(df, settings)
+        .withColumn("_job_text", tx.identifier_text(F.col("identifier"), "sql_parser_job"))
+        .withColumn(
+            "job_urn", urns.job_urn(F.col("flow_urn"), tx.bounded_identifier(F.col("_job_text")))
+        )
+        .drop("_job_text")
+    )
 
 
 def flows(outcomes: DataFrame, settings: RecordSettings = RecordSettings()) -> DataFrame:
@@ -52,71 +78,98 @@ def flows(outcomes: DataFrame, settings: RecordSettings = RecordSettings()) -> D
     label = tx.relative_label(path, settings.base_dir)
     parent = F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)
     name = F.regexp_extract(path, r"([^/\\]*)$", 1)
-    flow_id = _flow_id(path, settings)
+    paths = with_jobs(outcomes).select("source_path").distinct()
+    optional = [("sqlParserFlowPrefix", F.lit(settings.flow_prefix))] if settings.flow_prefix else []
+    return _with_flow(paths, settings).select(
+        "flow_urn",
+        "source_path",
+        F.when(name == "", F.col("flow_id")).otherwise(name).alias("name"),
+        F.concat(F.lit("SQL lineage extracted from "), label).alias("description"),
+        F.when(parent == "", ".").otherwise(parent).alias("project"),
+        F.lit(settings.env).alias("env"),
+        _present_map(
+            [("sqlParserSourcePath", path), ("sqlParserFlowId", F.col("flow_id")), *optional]
+        ).alias("custom_properties"),
+    )
+
+
+def _job_rows(outcomes: DataFrame, settings: RecordSettings) -> DataFrame:
+    """Everything the two records of a job hold, computed in one pass."""
+    fine = lin.fine_grained(F.col("downstreams"), F.col("column_lineage"), F.col("confidence"))
+    confidence = F.when(F.col("confidence").isNotNull(), F.format_string("%.6f", "confidence"))
     return (
-        with_jobs(outcomes)
-        .select("source_path")
-        .distinct()
+        _with_job(with_jobs(outcomes), settings)
+        .withColumn("preview", tx.query_preview(F.col("query_text")))
+        .withColumn("_description", tx.truncated_property(F.col("context"), K.JOB_DESCRIPTION_LIMIT))
+        .withColumn("_fine", fine)
         .select(
-            _flow_urn(path, settings).alias("flow_urn"),
-            "source_path",
-            F.when(name == "", flow_id).otherwise(name).alias("name"),
-            F.concat(F.lit("SQL lineage extracted from "), label).alias("description"),
-            F.when(parent == "", ".").otherwise(parent).alias("project"),
+            "job_urn",
+            "flow_urn",
+            F.col("identifier").alias("name"),
+            F.lit(settings.job_type).alias("type"),
+            F.coalesce(F.nullif(F.col("_description"), F.lit("")), "preview").alias("description"),
             F.lit(settings.env).alias("env"),
             _present_map(
-                ("sqlParserSourcePath", path),
-                ("sqlParserFlowId", flow_id),
-                ("sqlParserFlowPrefix", F.nullif(F.lit(settings.flow_prefix), F.lit(""))),
+                [
+                    ("sqlParserQueryIdentifier", F.col("identifier")),
+                    ("sqlParserSource", F.col("source_path")),
+                    ("sqlParserQueryPreview", F.col("preview")),
+                ],
+                [
+                    ("sqlParserQueryFingerprint", F.nullif(F.col("query_fingerprint"), F.lit(""))),
+                    ("sqlParserQueryType", F.nullif(F.col("raw_query_type"), F.lit(""))),
+                    ("sqlParserConfidence", confidence),
+                ],
             ).alias("custom_properties"),
+            F.filter("upstreams", lin.present).alias("input_datasets"),
+            F.filter("downstreams", lin.present).alias("output_datasets"),
+            F.when(F.size("_fine") > 0, F.col("_fine")).alias("fine_grained"),
         )
     )
 
 
+JOB_INFO = ["name", "type", "description", "flow_urn", "env", "custom_properties"]
+JOB_IO = ["input_datasets", "output_datasets", "fine_grained"]
+
+
 def jobs(outcomes: DataFrame, settings: RecordSettings = RecordSettings()) -> DataFrame:
-    """One job per writing statement. Its flow URN follows from the path, so no join is needed."""
-    flow = _flow_urn(F.col("source_path"), settings)
-    job_id = tx.sanitized_identifier(F.col("identifier"), "sql_parser_job")
-    description = tx.truncated_property(F.col("context"), K.JOB_DESCRIPTION_LIMIT)
-    preview = tx.query_preview(F.col("query_text"))
-    return with_jobs(outcomes).select(
-        urns.job_urn(flow, job_id).alias("job_urn"),
-        flow.alias("flow_urn"),
-        F.col("identifier").alias("name"),
-        F.lit(settings.job_type).alias("type"),
-        F.when(description == "", preview).otherwise(description).alias("description"),
-        F.lit(settings.env).alias("env"),
-        _present_map(
-            ("sqlParserQueryIdentifier", F.col("identifier")),
-            ("sqlParserSource", F.col("source_path")),
-            ("sqlParserQueryPreview", preview),
-            ("sqlParserQueryFingerprint", F.nullif(F.col("query_fingerprint"), F.lit(""))),
-            ("sqlParserQueryType", F.nullif(F.col("raw_query_type"), F.lit(""))),
-            ("sqlParserConfidence", F.when(F.col("confidence").isNotNull(), F.format_string("%.6f", "confidence"))),
-        ).alias("custom_properties"),
-    )
+    """One job per writing statement."""
+    return _job_rows(outcomes, settings).select("job_urn", *JOB_INFO)
 
 
 def job_io(outcomes: DataFrame, settings: RecordSettings = RecordSettings()) -> DataFrame:
     """Inputs, outputs and field lineage of each job (``fine_grained`` is NULL when empty)."""
-    flow = _flow_urn(F.col("source_path"), settings)
-    job_id = tx.sanitized_identifier(F.col("identifier"), "sql_parser_job")
-    fine = lin.fine_grained(F.col("downstreams"), F.col("column_lineage"), F.col("confidence"))
-    return with_jobs(outcomes).select(
-        urns.job_urn(flow, job_id).alias("job_urn"),
-        F.filter("upstreams", lin.present).alias("input_datasets"),
-        F.filter("downstreams", lin.present).alias("output_datasets"),
-        F.when(F.size(fine) > 0, fine).alias("fine_grained"),
-    )
+    return _job_rows(outcomes, settings).select("job_urn", *JOB_IO)
 
 
-def _record(phase: int, urn: str, aspect: str, *columns: str) -> list[Column]:
-    return [
+def _records(rows: DataFrame, phase: int, urn: str, aspects: dict[str, list[str]]) -> DataFrame:
+    """One record per row and aspect; all aspects come from the same pass over the rows."""
+    built = [
+        F.struct(
+            F.lit(name).alias("aspect_name"), F.to_json(F.struct(*columns)).alias("aspect_json")
+        )
+        for name, columns in aspects.items()
+    ]
+    return rows.select(
         F.lit(phase).alias("phase"),
         F.col(urn).alias("entity_urn"),
-        F.lit(aspect).alias("aspect_name"),
-        F.to_json(F.struct(*columns)).alias("aspect_json"),
-    ]
+        F.explode(F.array(*built)).alias("_record"),
+    ).select("phase", "entity_urn", "_record.*")
+
+
+def metadata_records(
+    outcomes: DataFrame, settings: RecordSettings = RecordSettings()
+) -> DataFrame:
+    """Flow records, then job records: what is sent after the scaffolds."""
+    flow_info = ["name", "description", "project", "env", "custom_properties"]
+    of_flows = _records(flows(outcomes, settings), 2, "flow_urn", {"dataFlowInfo": flow_info})
+    of_jobs = _records(
+        _job_rows(outcomes, settings),
+        3,
+        "job_urn",
+        {"dataJobInfo": JOB_INFO, "dataJobInputOutput": JOB_IO},
+    )
+    return of_flows.unionByName(of_jobs)
 
 
 def emission_plan(
@@ -129,46 +182,16 @@ def emission_plan(
     scaffolds = rows.dataset_scaffolds(
         rows.missing_datasets(rows.dataset_columns(outcomes), known)
     ).where(with_jobs(outcomes).exists())
-    properties = _record(1, "dataset", "datasetProperties", "name", "auto_created_by")
-    schema = _record(1, "dataset", "schemaMetadata", "name", "platform", "cluster", "fields")
-    return (
-        scaffolds.select(*properties)
-        .unionByName(scaffolds.select(*schema))
-        .unionByName(metadata_records(outcomes, settings))
-    )
-
-
-def metadata_records(
-    outcomes: DataFrame, settings: RecordSettings = RecordSettings()
-) -> DataFrame:
-    """Flow records, then job records: what is sent after the scaffolds."""
-    flow_rows = flows(outcomes, settings)
-    job_rows = jobs(outcomes, settings)
-    io_rows = job_io(outcomes, settings)
-    return (
-        flow_rows.select(
-            *_record(
-                2, "flow_urn", "dataFlowInfo",
-                "name", "description", "project", "env", "custom_properties",
-            )
-        )
-        .unionByName(
-            job_rows.select(
-                *_record(
-                    3, "job_urn", "dataJobInfo",
-                    "name", "type", "description", "flow_urn", "env", "custom_properties",
-                )
-            )
-        )
-        .unionByName(
-            io_rows.select(
-                *_record(
-                    3, "job_urn", "dataJobInputOutput",
-                    "input_datasets", "output_datasets", "fine_grained",
-                )
-            )
-        )
+    of_datasets = _records(
+        scaffolds,
+        1,
+        "dataset",
+        {
+            "datasetProperties": ["name", "auto_created_by"],
+            "schemaMetadata": ["name", "platform", "cluster", "fields"],
+        },
     )
+    return of_datasets.unionByName(metadata_records(outcomes, settings))
 
 
 def emitted_entities(records: DataFrame) -> DataFrame:

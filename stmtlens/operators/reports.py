@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stmtlens import constants as K
 from stmtlens.functions import text as tx
-from stmtlens.operators.slices import exact_percentiles
+from stmtlens.operators.slices import counted_values, exact_percentiles, percentiles_of
 
 TIMING_QUANTILES = {"median_ms": 0.5, "p95_ms": 0.95}
 
@@ -60,6 +60,11 @@ def source_flags(outcomes: DataFrame, keys: Sequence[str] = ("source_path",)) ->
     )
 
 
+def run_percentiles(outcomes: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """Exact percentiles of the timings of the whole run."""
+    return exact_percentiles(outcomes.withColumn("run", F.lit("all")), ["run"], "timing_ms", quantiles)
+
+
 def error_summary(outcomes: DataFrame) -> DataFrame:
     """Error classes by frequency."""
     return (
@@ -86,22 +91,44 @@ def type_metrics(outcomes: DataFrame, keys: Sequence[str] = ("statement_type",))
     return outcomes.groupBy(*keys).agg(*_type_measures())
 
 
-def timing_summary(outcomes: DataFrame, keys: Sequence[str] = ("statement_type",)) -> DataFrame:
-    """Average, extremes and exact median and p95 of the timings per group."""
-    simple = outcomes.groupBy(*keys).agg(
-        (total_ms() / F.count("timing_ms")).alias("avg_ms"),
-        F.min("timing_ms").alias("min_ms"),
-        F.max("timing_ms").alias("max_ms"),
+TYPE_COLUMNS = ["total_queries", "success_count", "error_count", "success_rate", "error_rate"]
+TIMING_COLUMNS = ["avg_ms", "median_ms", "p95_ms", "min_ms", "max_ms"]
+
+
+def type_report(outcomes: DataFrame, keys: Sequence[str] = ("statement_type",)) -> DataFrame:
+    """Counts, rates and timings per group from one pass over the outcomes.
+
+    The pass counts equal timings per group; totals, extremes and exact percentiles all follow from
+    that smaller table. The timing of a statement is never NULL.
+    """
+    keys = list(keys)
+    laid = counted_values(
+        outcomes, keys, "timing_ms", {"_ok": F.count_if(F.col("succeeded"))}
     )
-    exact = exact_percentiles(outcomes, list(keys), "timing_ms", TIMING_QUANTILES)
+    total, ok = F.sum("_n"), F.sum("_ok")
+    rate = ok / total * 100.0
+    value = F.col("_value").cast("decimal(20,6)")
+    simple = laid.groupBy(*keys).agg(
+        total.alias("total_queries"),
+        ok.alias("success_count"),
+        (total - ok).alias("error_count"),
+        rate.alias("success_rate"),
+        (F.lit(100.0) - rate).alias("error_rate"),
+        (F.sum(value * F.col("_n").cast("decimal(18,0)")).cast("double") / total).alias("avg_ms"),
+        F.min("_value").alias("min_ms"),
+        F.max("_value").alias("max_ms"),
+    )
+    exact = percentiles_of(laid, keys, TIMING_QUANTILES)
     exact = exact.withColumnsRenamed({k: f"_p_{k}" for k in keys})
     same = [simple[k].eqNullSafe(exact[f"_p_{k}"]) for k in keys]
-    joined = simple.join(exact, same, "left")
-    zero_if_empty = [
-        F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-        for c in ["avg_ms", "median_ms", "p95_ms", "min_ms", "max_ms"]
-    ]
-    return joined.select(*[simple[k] for k in keys], *zero_if_empty)
+    return simple.join(exact, same, "left").select(
+        *[simple[k] for k in keys], *TYPE_COLUMNS, *TIMING_COLUMNS
+    )
+
+
+def timing_summary(outcomes: DataFrame, keys: Sequence[str] = ("statement_type",)) -> DataFrame:
+    """Average, extremes and exact median and p95 of the timings per group."""
+    return type_report(outcomes, keys).select(*keys, *TIMING_COLUMNS)
 
 
 def flag_counts(outcomes: DataFrame) -> DataFrame:
@@ -175,10 +202,7 @@ def report_header(outcomes: DataFrame) -> DataFrame:
 
 def type_overview_table(outcomes: DataFrame) -> DataFrame:
     """The type table as shown to a reader: by frequency, rates and times as text."""
-    metrics = type_metrics(outcomes)
-    timing = timing_summary(outcomes).withColumnRenamed("statement_type", "_type")
-    joined = metrics.join(timing, metrics["statement_type"].eqNullSafe(timing["_type"]))
-    return joined.select(
+    return type_report(outcomes).select(
         "statement_type",
         "total_queries",
         "success_count",

@@ -203,50 +203,89 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], order: Order, column: st
     )
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
+def counted_values(
+    df: DataFrame, keys: Sequence[str], value: str, extra: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation at (n - 1) * q, one row per group.
+    """Distinct values of ``value`` per group with their number of rows, in slices and written.
 
-    ``percentile`` keeps the value counts of a whole group in one task's memory. Here equal values
-    are first counted (map-side), the counted values are ranked slice by slice, and only the few
-    values that cover a wanted rank remain for the last aggregation.
+    Equal values are combined before the shuffle. ``extra`` adds further aggregates per value, so
+    that reports can be finished from this table without another pass over the rows.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.groupBy(*keys, F.col(value).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[measure.alias(name) for name, measure in (extra or {}).items()],
     )
     order = [("_value", "asc")]
     upto = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = written(
+    return written(
         _sliced(counted, keys, order)
         .withColumn("_rn", F.row_number().over(_window(keys, order)))
         .withColumn("_upto", F.sum("_n").over(upto))
         .withColumn("_rows", F.sum("_n").over(_window(keys))),
-        "percentiles",
+        "values",
     )
+
+
+def _with_positions(laid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the first and last 0-based position of each value in its group, the rank of the value
+    among the distinct ones, and the size of the group."""
     slices = (
         _cut_groups(laid, laid.where(F.col("_rn") == 1), keys)
         .groupBy(SLICE, *keys)
-        .agg(F.sum("_n").alias("_slice_rows"))
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        .agg(F.sum("_n").alias("_slice_rows"), F.count(F.lit(1)).alias("_slice_values"))
     )
+    along = Window.partitionBy(*keys)
+    earlier = along.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     edges = slices.select(
         SLICE,
         *keys,
         F.sum("_slice_rows").over(earlier).alias("_rows_before"),
-        F.sum("_slice_rows").over(Window.partitionBy(*keys)).alias("_group_rows"),
+        F.sum("_slice_values").over(earlier).alias("_values_before"),
+        F.sum("_slice_rows").over(along).alias("_group_rows"),
     )
-    ranked = (
+    zero = F.lit(0).cast("bigint")
+    return (
         _corrected(laid, edges, keys)
-        .withColumn("_last", F.coalesce(F.col("_rows_before"), F.lit(0)) + F.col("_upto") - 1)
+        .withColumn("_last", F.coalesce(F.col("_rows_before"), zero) + F.col("_upto") - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
+        .withColumn("_dense", F.coalesce(F.col("_values_before"), zero) + F.col("_rn"))
         .withColumn("_total", F.coalesce(F.col("_group_rows"), F.col("_rows")))
     )
 
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, way: str = "asc") -> DataFrame:
+    """Rank and dense rank of each distinct value per group: (keys, value, rank, dense_rank).
+
+    For ranks without a row number this moves only keys and values, not the rows. NULL comes first
+    in rising and last in falling order; join back with a null-safe comparison.
+    """
+    placed = _with_positions(counted_values(df, keys, value), keys)
+    if way == "asc":
+        rank, dense = F.col("_first") + 1, F.col("_dense")
+    else:
+        # Counted from the other end: the distinct values in all are the highest dense rank.
+        values = placed.groupBy(*keys).agg(F.max("_dense").alias("_all"))
+        values = values.withColumnsRenamed({k: f"_v_{k}" for k in keys})
+        same = [placed[k].eqNullSafe(values[f"_v_{k}"]) for k in keys]
+        placed = placed.join(values, same)
+        rank, dense = F.col("_total") - F.col("_last"), F.col("_all") - F.col("_dense") + 1
+    return placed.select(
+        *[placed[k] for k in keys],
+        F.col("_value").alias(value),
+        rank.alias("rank"),
+        dense.alias("dense_rank"),
+    )
+
+
+def percentiles_of(
+    laid: DataFrame, keys: Sequence[str], quantiles: dict[str, float]
+) -> DataFrame:
+    """Percentiles with linear interpolation at (n - 1) * q from ``counted_values``.
+
+    Only the few values that cover a wanted position reach the last aggregation.
+    """
+    placed = _with_positions(laid, keys)
+
     def covers(position: Column) -> Column:
         return (F.col("_first") <= position) & (position <= F.col("_last"))
 
@@ -262,6 +301,17 @@ def exact_percentiles(
             (F.col(f"_low_{name}") * (1 - weight) + F.col(f"_high_{name}") * weight).alias(name)
         )
     picks.append(F.max("_total").alias("_total"))
-    found = ranked.where(needed)
-    grouped = found.groupBy(*keys) if keys else found.groupBy()
-    return grouped.agg(*picks).select(*keys, *results)
+    return placed.where(needed).groupBy(*keys).agg(*picks).select(*keys, *results)
+
+
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
+) -> DataFrame:
+    """Exact percentiles, one row per group.
+
+    ``percentile`` keeps the value counts of a whole group in one task's memory; here the counted
+    values are ranked slice by slice.
+    """
+    return percentiles_of(
+        counted_values(df.where(F.col(value).isNotNull()), keys, value), keys, quantiles
+    )

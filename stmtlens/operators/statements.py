@@ -17,15 +17,19 @@ def split_statements(scripts: DataFrame, text: str = "script_text") -> DataFrame
     others = [c for c in scripts.columns if c != text]
     return scripts.select(
         *others, F.posexplode(tx.statement_texts(F.col(text))).alias("_pos", "query_text")
-    ).select(*others, (F.col("_pos") + 1).cast("bigint").alias("stmt_index"), "query_text")
+    ).select(
+        *others,
+        (F.col("_pos") + 1).cast("bigint").alias("stmt_index"),
+        tx.strip(F.col("query_text")).alias("query_text"),
+    )
 
 
 def with_inferred_type(statements: DataFrame, text: str = "query_text") -> DataFrame:
-    """Add ``clean_text``, ``tokens`` and ``inferred_type``."""
+    """Add ``inferred_type``."""
     return (
-        statements.withColumn("clean_text", tx.clean_sql(F.col(text)))
-        .withColumn("tokens", tx.leading_tokens(F.col("clean_text")))
-        .withColumn("inferred_type", tx.statement_type_of(F.col("tokens")))
+        statements.withColumn("_words", tx.leading_words(tx.clean_sql(F.col(text))))
+        .withColumn("inferred_type", tx.statement_type_of(F.col("_words")))
+        .drop("_words")
     )
 
 
@@ -86,7 +90,7 @@ def with_outcome_columns(df: DataFrame) -> DataFrame:
     return (
         typed.withColumn("statement_type", F.col("_type.statement_type"))
         .withColumn("statement_type_source", F.col("_type.statement_type_source"))
-        .drop("_type", "clean_text", "tokens", "inferred_type")
+        .drop("_type", "inferred_type")
         .withColumn("column_edges", lin.column_edges(F.col("column_lineage")))
         .withColumn(
             "self_referential",

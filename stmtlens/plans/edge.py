@@ -45,8 +45,9 @@ def unnest(w: Workload) -> DataFrame:
 def wide_query(w: Workload) -> DataFrame:
     """Order lines with customer windows and a rank within the category.
 
-    Customer totals are aggregated and joined back. The row number and the category rank have no
-    group limit, and a category holds a third of all rows: both are ranked slice by slice.
+    Customer totals are aggregated and joined back. The row number has no group limit, so it is
+    computed slice by slice. A category holds a third of all rows: its distinct amounts are counted
+    and ranked slice by slice, and the rank is joined back by amount.
     """
     customers = w.customers_with_spend().where(F.col("status") == "ACTIVE").select(
         "customer_id", "customer_name", "email", "status", "customer_tier", "registration_date",
@@ -81,12 +82,13 @@ def wide_query(w: Workload) -> DataFrame:
     ranked = by_customer.withColumnRenamed("row_number", "customer_order_seq").drop(
         "rank", "dense_rank", "group_rows"
     )
-    # The row number makes the tie-break total, so the slices of a hot amount split as well.
-    by_category = slices.with_ranks(
-        ranked,
-        ["category"],
-        [("line_item_total", "desc")],
-        [("customer_id", "asc"), ("customer_order_seq", "asc")],
+    by_amount = slices.value_ranks(ranked, ["category"], "line_item_total", "desc").select(
+        F.col("category").alias("_category"),
+        F.col("line_item_total").alias("_amount"),
+        F.col("rank").alias("category_sales_rank"),
+    )
+    same_amount = (F.col("category") == F.col("_category")) & F.col("line_item_total").eqNullSafe(
+        F.col("_amount")
     )
     totals = ranked.groupBy("customer_id").agg(
         F.sum("line_item_total").alias("customer_total_value"),
@@ -98,7 +100,8 @@ def wide_query(w: Workload) -> DataFrame:
     amount, tier = F.col("line_item_total"), F.col("customer_tier")
     day = F.col("order_date")
     return (
-        by_category.join(totals, "customer_id")
+        ranked.join(totals, "customer_id")
+        .join(by_amount, same_amount)
         .select(
             "customer_id", "customer_name", "email", "status", "customer_tier",
             "registration_date", "total_spent", "last_order_date", "order_count", "order_id",
@@ -118,7 +121,7 @@ def wide_query(w: Workload) -> DataFrame:
             F.dayofweek(day).cast("bigint").alias("order_day_of_week"),
             F.datediff(F.lit(AS_OF), day).cast("bigint").alias("days_since_order"),
             "customer_order_seq",
-            F.col("rank").alias("category_sales_rank"),
+            "category_sales_rank",
             "customer_total_value", "customer_avg_line_value", "customer_line_count",
         )
         .orderBy("customer_id", F.col("order_date").desc())

@@ -139,12 +139,9 @@ def leading_tokens(spark, folder):
     return _per_statement(spark, folder, tokens=F.array_join(tokens, " "))
 
 
-def _inferred() -> Column:
-    return tx.statement_type_of(tx.leading_tokens(tx.clean_sql(F.col("query_text"))))
-
-
 def infer_statement_type(spark, folder):
-    return _per_statement(spark, folder, inferred_type=_inferred())
+    rows = statements.with_inferred_type(log.statements(spark, folder))
+    return rows.select("identifier", "inferred_type")
 
 
 def normalize_type_label(spark, folder):
@@ -158,8 +155,9 @@ def parser_statement_type(spark, folder):
 
 
 def resolve_statement_type(spark, folder):
-    resolved = tx.resolved_type(F.col("parser_type_raw"), _inferred())
-    return _per_statement(spark, folder, _type=resolved).select("identifier", "_type.*")
+    rows = statements.with_inferred_type(log.statements(spark, folder))
+    resolved = tx.resolved_type(F.col("parser_type_raw"), F.col("inferred_type"))
+    return rows.select("identifier", resolved.alias("_type")).select("identifier", "_type.*")
 
 
 def normalize_error_label(spark, folder):
@@ -388,18 +386,14 @@ def type_metrics(spark, folder):
     return reports.type_metrics(log.outcomes(spark, folder)).withColumns(rates)
 
 
-TIMES = ["avg_ms", "median_ms", "p95_ms", "min_ms", "max_ms"]
-
-
 def timing_summary(spark, folder):
     rows = reports.timing_summary(log.outcomes(spark, folder))
-    return rows.withColumns({c: F.round(c, 6) for c in TIMES})
+    return rows.withColumns({c: F.round(c, 6) for c in reports.TIMING_COLUMNS})
 
 
 def percentile_linear(spark, folder):
-    rows = log.outcomes(spark, folder).withColumn("run", F.lit("all"))
     quantiles = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
-    found = reports.exact_percentiles(rows, ["run"], "timing_ms", quantiles)
+    found = reports.run_percentiles(log.outcomes(spark, folder), quantiles)
     return found.withColumns({c: F.round(c, 6) for c in quantiles})
 
 

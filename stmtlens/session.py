@@ -23,6 +23,9 @@ def local_session(app: str = "stmtlens", cpus: int | str = "*", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # HotSpot does not compile methods above 8000 bytes; a bigger stage runs as separate
+        # generated operators instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -70,13 +70,8 @@ def _error_counts(outcomes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _type_summary(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    metrics = reports.type_metrics(outcomes, [*keys, "statement_type"])
-    timing = reports.timing_summary(outcomes, [*keys, "statement_type"])
-    both = metrics.join(timing, [*keys, "statement_type"])
-    entry = F.struct(
-        "statement_type", "total_queries", "success_count", "error_count", "success_rate",
-        "error_rate", "avg_ms", "median_ms", "p95_ms", "min_ms", "max_ms",
-    )
+    both = reports.type_report(outcomes, [*keys, "statement_type"])
+    entry = F.struct("statement_type", *reports.TYPE_COLUMNS, *reports.TIMING_COLUMNS)
     grouped = both.groupBy(*keys) if keys else both.groupBy()
     return grouped.agg(F.array_sort(F.collect_list(entry)).alias("statement_type_summary"))
 
