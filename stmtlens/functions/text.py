@@ -87,17 +87,12 @@ def reported_type(*labels: Column) -> Column:
     return F.coalesce(*[type_label(label) for label in labels])
 
 
-def resolved_type(reported: Column, inferred: Column) -> Column:
-    """Struct (statement_type, statement_type_source): the parser's label unless it is unusable."""
-    label = type_label(reported)
-    usable = label.isNotNull() & (label != "UNKNOWN")
-    return F.when(
-        usable,
-        F.struct(label.alias("statement_type"), F.lit("parser").alias("statement_type_source")),
-    ).otherwise(
-        F.struct(
-            inferred.alias("statement_type"), F.lit("fallback").alias("statement_type_source")
-        )
+def resolved_type(label: Column, inferred: Column) -> tuple[Column, Column]:
+    """(statement type, its source): the parser's normalised label unless it is unusable."""
+    usable = F.coalesce(label, F.lit("UNKNOWN")) != "UNKNOWN"
+    return (
+        F.when(usable, label).otherwise(inferred),
+        F.when(usable, "parser").otherwise("fallback"),
     )
 
 

@@ -22,6 +22,7 @@ def _hits(text: Column, pattern: str) -> Column:
 
 SUBQUERY = r"(?i)\(\s*SEL(?:ECT)?\b"
 CTE_START = r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)[A-Za-z_]\w*\s+AS\s*\("
+CTE_BODY_SELECT = CTE_START + r"\s*SEL(?:ECT)?\b"
 # Parentheses, and WITH heads including their opening parenthesis.
 NESTING_TOKEN = r"(?i)(\bWITH\s+(?:RECURSIVE\s+)?[A-Za-z_]\w*\s+AS\s*\(|[()])"
 
@@ -47,18 +48,18 @@ def complexity_metrics(statements: DataFrame, text: str = "query_text") -> DataF
     """Add size and structure counts of each statement."""
     clean = F.col("_clean")
     has_with = clean.rlike(r"(?i)\bWITH\b")
-    ctes = F.when(has_with, _hits(clean, CTE_START)).otherwise(F.lit(0).cast("bigint"))
+    none = F.lit(0).cast("bigint")
+    ctes = F.when(has_with, _hits(clean, CTE_START)).otherwise(none)
+    # A parenthesised SELECT that is the body of a CTE is not a subquery.
+    bodies = F.when(has_with, _hits(clean, CTE_BODY_SELECT)).otherwise(none)
     return (
         statements.withColumn("_clean", tx.clean_sql(F.col(text)))
         .withColumn("cte_count", ctes)
         .withColumn(
             "max_cte_depth",
-            F.when(has_with, _max_cte_depth(clean)).otherwise(F.lit(0).cast("bigint")),
-        )
-        .withColumn(
-            "subquery_count",
-            F.greatest(_hits(clean, SUBQUERY) - F.col("cte_count"), F.lit(0).cast("bigint")),
+            F.when(has_with, _max_cte_depth(clean)).otherwise(none),
         )
+        .withColumn("subquery_count", _hits(clean, SUBQUERY) - bodies)
         .withColumn("join_count", _hits(clean, r"(?i)\bJOIN\b"))
         .withColumn("union_count", _hits(clean, r"(?i)\bUNION\b"))
         .withColumn("window_function_count", _hits(clean, r"(?i)\bOVER\s*\("))

@@ -71,37 +71,46 @@ def with_outcome_columns(df: DataFrame) -> DataFrame:
     A statement whose remote call failed has no answer: its lists are empty and its type comes from
     the text.
     """
-    failed = ~tx.is_blank(F.col("rpc_error"))
+    answered = tx.is_blank(F.col("rpc_error"))
     no_lineage = F.array().cast(df.schema["column_lineage"].dataType)
-    answered = (
-        df.withColumn("upstreams", F.when(~failed, lin.as_list(F.col("upstreams"))))
-        .withColumn("upstreams", lin.as_list(F.col("upstreams")))
-        .withColumn("downstreams", F.when(~failed, lin.as_list(F.col("downstreams"))))
-        .withColumn("downstreams", lin.as_list(F.col("downstreams")))
-        .withColumn("column_lineage", F.when(~failed, F.col("column_lineage")))
-        .withColumn("column_lineage", lin.as_list(F.col("column_lineage"), no_lineage))
-        .withColumn("parser_error", F.when(~failed, F.col("parser_error")))
-        .withColumn("parser_statement_type", F.when(~failed, F.col("parser_statement_type")))
-        .withColumn("timing_ms", F.coalesce(F.col("timing_ms"), F.lit(0.0)))
-    )
-    typed = with_inferred_type(answered).withColumn(
-        "_type", tx.resolved_type(F.col("parser_statement_type"), F.col("inferred_type"))
-    )
+
+    def if_answered(name: str) -> Column:
+        return F.when(answered, F.col(name))
+
+    label, inferred = F.col("parser_statement_type"), F.col("inferred_type")
+    statement_type, type_source = tx.resolved_type(label, inferred)
+    # Three steps, so that a value used by the next step is computed once.
     return (
-        typed.withColumn("statement_type", F.col("_type.statement_type"))
-        .withColumn("statement_type_source", F.col("_type.statement_type_source"))
-        .drop("_type", "inferred_type")
-        .withColumn("column_edges", lin.column_edges(F.col("column_lineage")))
-        .withColumn(
-            "self_referential",
-            lin.is_self_referential(F.col("upstreams"), F.col("downstreams")),
+        df.withColumns(
+            {
+                "upstreams": lin.as_list(if_answered("upstreams")),
+                "downstreams": lin.as_list(if_answered("downstreams")),
+                "column_lineage": lin.as_list(if_answered("column_lineage"), no_lineage),
+                "parser_error": if_answered("parser_error"),
+                "parser_statement_type": if_answered("parser_statement_type"),
+                "timing_ms": F.coalesce(F.col("timing_ms"), F.lit(0.0)),
+                "_words": tx.leading_words(tx.clean_sql(F.col("query_text"))),
+            }
+        )
+        .withColumns(
+            {
+                "inferred_type": tx.statement_type_of(F.col("_words")),
+                "column_edges": lin.column_edges(F.col("column_lineage")),
+                "self_referential": lin.is_self_referential(
+                    F.col("upstreams"), F.col("downstreams")
+                ),
+                "succeeded": succeeded(F.col("rpc_error"), F.col("parser_error")),
+            }
         )
-        .withColumn("succeeded", succeeded(F.col("rpc_error"), F.col("parser_error")))
-        .withColumn(
-            "flags",
-            lin.statement_flags(
-                F.col("succeeded"), F.col("upstreams"), F.col("downstreams"),
-                F.col("self_referential"), F.col("column_lineage"),
-            ),
+        .withColumns(
+            {
+                "statement_type": statement_type,
+                "statement_type_source": type_source,
+                "flags": lin.statement_flags(
+                    F.col("succeeded"), F.col("upstreams"), F.col("downstreams"),
+                    F.col("self_referential"), F.col("column_lineage"),
+                ),
+            }
         )
+        .drop("_words", "inferred_type")
     )

@@ -156,8 +156,11 @@ def parser_statement_type(spark, folder):
 
 def resolve_statement_type(spark, folder):
     rows = statements.with_inferred_type(log.statements(spark, folder))
-    resolved = tx.resolved_type(F.col("parser_type_raw"), F.col("inferred_type"))
-    return rows.select("identifier", resolved.alias("_type")).select("identifier", "_type.*")
+    label = tx.type_label(F.col("parser_type_raw"))
+    kind, source = tx.resolved_type(label, F.col("inferred_type"))
+    return rows.select(
+        "identifier", kind.alias("statement_type"), source.alias("statement_type_source")
+    )
 
 
 def normalize_error_label(spark, folder):

@@ -1,179 +1,155 @@
-"""A statement log derived from the events table: scripts with the parser's answers."""
+"""A statement log derived from the events table: scripts with the parser's answers.
+
+Twelve templates, one per event in turn, cover the classification and lineage rules.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlens import schemas
+from stmtlens.functions.text import type_label
 from stmtlens.functions.urns import dataset_urn
 from stmtlens.operators.statements import split_statements, with_outcome_columns
+from stmtlens.session import spread
+
+SCRIPT_TEXT = r"""
+CASE event_id % 12
+ WHEN 0 THEN concat('SELECT a, b FROM db.s.t', user_id, ' WHERE a > ', event_id)
+ WHEN 1 THEN concat('-- load ', event_type, '\nINSERT INTO db.s.', event_type, ' (a, b) SELECT a, b FROM db.s.t', user_id)
+ WHEN 2 THEN concat('CREATE TABLE db.s.', event_type, '_copy AS (SELECT s.a FROM db.s.t', user_id, ' s INNER JOIN db.s.orders o ON s.a = o.a) WITH DATA')
+ WHEN 3 THEN concat('UPDATE db.s.', event_type, ' FROM db.s.t', user_id, ' x SET a = x.a WHERE b = x.b')
+ WHEN 4 THEN concat('DELETE FROM db.s.', event_type, ' WHERE a IN (SELECT a FROM db.s.t', user_id, ')')
+ WHEN 5 THEN concat('MERGE INTO db.s.', event_type, ' USING db.s.t', user_id, ' ON 1 = 1 WHEN MATCHED THEN UPDATE SET a = 1')
+ WHEN 6 THEN concat('WITH c AS (SELECT a FROM db.s.t', user_id, ') INSERT INTO db.s.', event_type, ' SELECT a FROM c')
+ WHEN 7 THEN concat('LOCKING TABLE db.s.t', user_id, ' FOR ACCESS SELECT a FROM db.s.t', user_id)
+ WHEN 8 THEN concat('USING p (INTEGER) UPDATE db.s.', event_type, ' SET a = 1')
+ WHEN 9 THEN concat('CREATE MULTISET TABLE db.s.', event_type, ' (a INTEGER)')
+ WHEN 10 THEN concat('DATABASE ', event_type)
+ ELSE '/* two\nlines */ SEL 1 # tail\n; END; ; ' END"""
+
+# The parser's type label, error and remote error by template; NULL where there is none.
+REPORTED_TYPE = """
+CASE event_id % 12 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'QueryType.INSERT'
+ WHEN 2 THEN 'create-table as/select' WHEN 3 THEN 'UPDATE' WHEN 4 THEN 'DELETE' WHEN 5 THEN 'MERGE'
+ WHEN 6 THEN 'UNKNOWN' WHEN 8 THEN 'UNKNOWN' WHEN 9 THEN 'CREATE_DDL' END"""
+PARSER_ERROR = """
+CASE event_id % 12
+ WHEN 4 THEN 'Can only generate column-level lineage for select-like inner statements, not <class X.Delete>'
+ WHEN 7 THEN 'Expected SELECT statement after LOCKING clause. Line 1, Col: 5.'
+ WHEN 8 THEN 'Invalid expression / Unexpected token. Line 1, Col: 5.' END"""
+RPC_ERROR = "CASE WHEN event_id % 12 = 10 THEN 'HTTPError: 401 Unauthorized' END"
 
 # Test category by template, so that every category of the target table occurs.
-TEMPLATE_CATEGORY = [
-    "01-basic", "01-basic", "04-advanced-dml", "04-advanced-dml", "03-subqueries",
-    "04-advanced-dml", "02-ctes", "07-edge-cases", "05-stored-procs", "01-basic",
-    "06-cross-db", "08-real-world",
-]
-
-
-def _pick(template: Column, values: dict[int, Column | str | None], otherwise=None) -> Column:
-    chain = None
-    for number, value in values.items():
-        value = value if isinstance(value, Column) else F.lit(value)
-        condition = template == number
-        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
-    return chain if otherwise is None else chain.otherwise(otherwise)
+CATEGORY = """
+CASE event_id % 12 WHEN 0 THEN '01-basic' WHEN 1 THEN '01-basic' WHEN 2 THEN '04-advanced-dml'
+ WHEN 3 THEN '04-advanced-dml' WHEN 4 THEN '03-subqueries' WHEN 5 THEN '04-advanced-dml'
+ WHEN 6 THEN '02-ctes' WHEN 7 THEN '07-edge-cases' WHEN 8 THEN '05-stored-procs'
+ WHEN 9 THEN '01-basic' WHEN 10 THEN '06-cross-db' ELSE '08-real-world' END"""
 
 
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
-    """One script per event, in twelve templates that cover the classification rules."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    event_id, kind = F.col("event_id"), F.col("event_type")
-    source = F.concat(F.lit("db.s.t"), F.col("user_id").cast("string"))
-    target = F.concat(F.lit("db.s."), kind)
-    template = event_id % 12
-    text = _pick(
-        template,
-        {
-            0: F.concat(F.lit("SELECT a, b FROM "), source, F.lit(" WHERE a > "), event_id.cast("string")),
-            1: F.concat(F.lit("-- load "), kind, F.lit("\nINSERT INTO "), target, F.lit(" (a, b) SELECT a, b FROM "), source),
-            2: F.concat(F.lit("CREATE TABLE "), target, F.lit("_copy AS (SELECT s.a FROM "), source, F.lit(" s INNER JOIN db.s.orders o ON s.a = o.a) WITH DATA")),
-            3: F.concat(F.lit("UPDATE "), target, F.lit(" FROM "), source, F.lit(" x SET a = x.a WHERE b = x.b")),
-            4: F.concat(F.lit("DELETE FROM "), target, F.lit(" WHERE a IN (SELECT a FROM "), source, F.lit(")")),
-            5: F.concat(F.lit("MERGE INTO "), target, F.lit(" USING "), source, F.lit(" ON 1 = 1 WHEN MATCHED THEN UPDATE SET a = 1")),
-            6: F.concat(F.lit("WITH c AS (SELECT a FROM "), source, F.lit(") INSERT INTO "), target, F.lit(" SELECT a FROM c")),
-            7: F.concat(F.lit("LOCKING TABLE "), source, F.lit(" FOR ACCESS SELECT a FROM "), source),
-            8: F.concat(F.lit("USING p (INTEGER) UPDATE "), target, F.lit(" SET a = 1")),
-            9: F.concat(F.lit("CREATE MULTISET TABLE "), target, F.lit(" (a INTEGER)")),
-            10: F.concat(F.lit("DATABASE "), kind),
-        },
-        F.lit("/* two\nlines */ SEL 1 # tail\n; END; ; "),
-    )
-    reported = _pick(
-        template,
-        {
-            0: "SELECT", 1: "QueryType.INSERT", 2: "create-table as/select", 3: "UPDATE",
-            4: "DELETE", 5: "MERGE", 6: "UNKNOWN", 8: "UNKNOWN", 9: "CREATE_DDL",
-        },
+    """One script per event, with the parser's answer on the same row."""
+    events = spread(
+        spark.read.parquet(f"{folder}/events.parquet").select(
+            "event_id", "ts", "user_id", "event_type", "value"
+        )
     )
-    error = _pick(
-        template,
-        {
-            4: "Can only generate column-level lineage for select-like inner statements, not <class X.Delete>",
-            7: "Expected SELECT statement after LOCKING clause. Line 1, Col: 5.",
-            8: "Invalid expression / Unexpected token. Line 1, Col: 5.",
-        },
-    )
-    return events.select(
-        event_id.alias("script_id"),
-        template.alias("template"),
-        F.concat(F.lit("queries/"), kind, F.lit("/u"), F.col("user_id").cast("string"), F.lit(".sql")).alias("source_path"),
-        F.concat(
-            F.lit("suite/"),
-            _pick(template, dict(enumerate(TEMPLATE_CATEGORY))),
-            F.lit("/s"), event_id.cast("string"), F.lit(".sql"),
-        ).alias("test_path"),
-        F.date_format("ts", "yyyy-MM-dd").alias("run_id"),
-        F.col("user_id"),
-        kind.alias("event_type"),
-        F.col("value").alias("timing_ms"),
-        ((event_id % 11).cast("double") / 10).alias("confidence"),
-        text.alias("script_text"),
-        reported.alias("parser_type_raw"),
-        error.alias("parser_error"),
-        F.when(template == 10, "HTTPError: 401 Unauthorized").alias("rpc_error"),
+    return events.selectExpr(
+        "event_id AS script_id",
+        "event_id % 12 AS template",
+        "concat('queries/', event_type, '/u', user_id, '.sql') AS source_path",
+        f"concat('suite/', {CATEGORY}, '/s', event_id, '.sql') AS test_path",
+        "date_format(ts, 'yyyy-MM-dd') AS run_id",
+        "user_id",
+        "event_type",
+        "value AS timing_ms",
+        "CAST(event_id % 11 AS DOUBLE) / 10 AS confidence",
+        f"{SCRIPT_TEXT} AS script_text",
+        f"{REPORTED_TYPE} AS parser_type_raw",
+        f"{PARSER_ERROR} AS parser_error",
+        f"{RPC_ERROR} AS rpc_error",
     )
 
 
 def statements(spark: SparkSession, folder: str) -> DataFrame:
     """The scripts, split; the parser's answer belongs to the first statement of a script."""
-    split = split_statements(scripts(spark, folder))
-    position = F.col("stmt_index").cast("string")
-    place = F.concat("source_path", F.lit("#"), F.col("script_id").cast("string"))
-    first = F.col("stmt_index") == 1
     answer = ["confidence", "parser_type_raw", "parser_error", "rpc_error", "timing_ms"]
-    return split.select(
-        F.concat(place, F.lit(":"), position).alias("identifier"),
+    return split_statements(scripts(spark, folder)).selectExpr(
+        "concat(source_path, '#', script_id, ':', stmt_index) AS identifier",
         "query_text",
-        F.lit("file").alias("origin"),
-        F.concat(place, F.lit(" (statement "), position, F.lit(")")).alias("context"),
+        "'file' AS origin",
+        "concat(source_path, '#', script_id, ' (statement ', stmt_index, ')') AS context",
         "source_path", "script_id", "stmt_index", "template", "test_path", "run_id", "user_id",
         "event_type",
-        *[F.when(first, F.col(c)).alias(c) for c in answer],
+        *[f"CASE WHEN stmt_index = 1 THEN {c} END AS {c}" for c in answer],
     )
 
 
-def _lineage_entry(
-    source: Column, source_column: str, target: Column, target_column: str
-) -> Column:
-    text = F.lit(None).cast("string")
-    return F.struct(
-        F.struct(
-            target.alias("table"), F.lit(target_column).alias("column"),
-            text.alias("column_type"), text.alias("native_column_type"),
-        ).alias("downstream"),
-        F.array(F.struct(source.alias("table"), F.lit(source_column).alias("column"))).alias("upstreams"),
-        F.struct(
-            F.lit(True).alias("is_direct_copy"), F.lit(source_column).alias("column_logic")
-        ).alias("logic"),
+NAMES = {
+    "_source": "concat('db.s.t', user_id)",
+    "_target": "concat('db.s.', event_type)",
+    "_copy": "concat('db.s.', event_type, '_copy')",
+}
+NO_NAMES = "CAST(array() AS ARRAY<STRING>)"
+UPSTREAMS = f"""
+CASE WHEN stmt_index > 1 THEN {NO_NAMES} WHEN template IN (0, 1, 4, 5, 6) THEN array(_source)
+ WHEN template = 2 THEN array(_source, _orders) WHEN template = 3 THEN array(_target, _source)
+ ELSE {NO_NAMES} END"""
+DOWNSTREAMS = f"""
+CASE WHEN stmt_index > 1 THEN {NO_NAMES} WHEN template IN (1, 3, 4, 5, 6, 9) THEN array(_target)
+ WHEN template = 2 THEN array(_copy) ELSE {NO_NAMES} END"""
+
+
+def _entry(source: str, target: str, column: str) -> str:
+    """SQL of one lineage entry: ``target.column`` is a copy of ``source.column``."""
+    no_text = "CAST(NULL AS STRING)"
+    return (
+        f"named_struct('downstream', named_struct('table', {target}, 'column', '{column}',"
+        f" 'column_type', {no_text}, 'native_column_type', {no_text}),"
+        f" 'upstreams', array(named_struct('table', {source}, 'column', '{column}')),"
+        f" 'logic', named_struct('is_direct_copy', true, 'column_logic', '{column}'))"
     )
 
 
+NOWHERE = "CAST(NULL AS STRING)"
+LINEAGE = f"""
+CASE WHEN stmt_index > 1 THEN array()
+ WHEN template = 0 THEN array({_entry('_source', NOWHERE, 'a')}, {_entry('_source', NOWHERE, 'b')})
+ WHEN template = 1 THEN array({_entry('_source', '_target', 'a')}, {_entry('_source', '_target', 'b')})
+ WHEN template = 2 THEN array({_entry('_source', '_copy', 'a')})
+ WHEN template = 3 THEN array({_entry('_source', '_target', 'a')}, {_entry('_target', '_target', 'a')})
+ WHEN template = 6 THEN array({_entry('_source', '_target', 'a')})
+ ELSE array() END"""
+
+
 def with_answers(split: DataFrame) -> DataFrame:
     """Add the lineage lists the parser gives for each template."""
-    source = dataset_urn(F.concat(F.lit("db.s.t"), F.col("user_id").cast("string")))
-    target = dataset_urn(F.concat(F.lit("db.s."), F.col("event_type")))
-    copy = dataset_urn(F.concat(F.lit("db.s."), F.col("event_type"), F.lit("_copy")))
-    orders = dataset_urn(F.lit("db.s.orders"))
-    nowhere = F.lit(None).cast("string")
-    # Only the first statement of a script has an answer; template -1 stands for "none".
-    template = F.when(F.col("stmt_index") == 1, F.col("template")).otherwise(-1)
-    none = F.array().cast("array<string>")
-    upstreams = _pick(
-        template,
-        {
-            0: F.array(source), 1: F.array(source), 2: F.array(source, orders),
-            3: F.array(target, source), 4: F.array(source), 5: F.array(source), 6: F.array(source),
-        },
-        none,
-    )
-    downstreams = _pick(
-        template,
+    named = split.withColumns(
         {
-            1: F.array(target), 2: F.array(copy), 3: F.array(target), 4: F.array(target),
-            5: F.array(target), 6: F.array(target), 9: F.array(target),
-        },
-        none,
+            **{name: dataset_urn(F.expr(sql)) for name, sql in NAMES.items()},
+            "_orders": dataset_urn(F.lit("db.s.orders")),
+        }
     )
-    lineage = _pick(
-        template,
+    return named.withColumns(
         {
-            0: F.array(_lineage_entry(source, "a", nowhere, "a"), _lineage_entry(source, "b", nowhere, "b")),
-            1: F.array(_lineage_entry(source, "a", target, "a"), _lineage_entry(source, "b", target, "b")),
-            2: F.array(_lineage_entry(source, "a", copy, "a")),
-            3: F.array(_lineage_entry(source, "a", target, "a"), _lineage_entry(target, "a", target, "a")),
-            6: F.array(_lineage_entry(source, "a", target, "a")),
-        },
-        F.array().cast(schemas.COLUMN_LINEAGE),
-    ).cast(schemas.COLUMN_LINEAGE)
-    return (
-        split.withColumn("upstreams", upstreams)
-        .withColumn("downstreams", downstreams)
-        .withColumn("column_lineage", lineage)
-    )
+            "upstreams": F.expr(UPSTREAMS),
+            "downstreams": F.expr(DOWNSTREAMS),
+            "column_lineage": F.expr(LINEAGE),
+        }
+    ).drop(*NAMES, "_orders")
 
 
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes of the log. The answers are on the script's own row, so no join is needed."""
-    from stmtlens.functions.text import type_label
-
-    answered = with_answers(statements(spark, folder))
-    return with_outcome_columns(
-        answered.withColumn("parser_statement_type", type_label(F.col("parser_type_raw")))
-        .withColumn("raw_query_type", F.col("parser_type_raw"))
-        .withColumn("query_fingerprint", F.lit(None).cast("string"))
+    answered = with_answers(statements(spark, folder)).withColumns(
+        {
+            "parser_statement_type": type_label(F.col("parser_type_raw")),
+            "raw_query_type": F.col("parser_type_raw"),
+            "query_fingerprint": F.lit(None).cast("string"),
+        }
     )
+    return with_outcome_columns(answered)
 
 
 def payload_table(spark: SparkSession, folder: str) -> DataFrame:
