@@ -192,18 +192,13 @@ def identifier_of(text: str) -> str:
 
 FROM_SCRIPTS = "SELECT {origin}query_text, COUNT(*) AS n FROM split GROUP BY query_text"
 USING_TEXT = "'USING p (INTEGER), q (CHAR(4))' || chr(10) || query_text"
-REPORT_TEXT = """
- (SELECT string_agg(message || '=' || n, '|' ORDER BY n DESC, lower(message)) FROM
-   (SELECT {key} AS kk, error_class AS message, COUNT(*) AS n FROM outcomes GROUP BY ALL) e WHERE e.kk = g.source_path) AS errors,
- (SELECT string_agg(statement_type || ':' || n || ':' || CAST(CAST(round(p95, 6) AS DECIMAL(26,6)) AS VARCHAR), '|' ORDER BY statement_type) FROM
-   (SELECT {key} AS kk, statement_type, COUNT(*) AS n, quantile_cont(timing_ms, 0.95) AS p95 FROM outcomes GROUP BY ALL) e WHERE e.kk = g.source_path) AS types"""
-
-
 def report(key: str) -> str:
-    measures = OVERVIEW.replace("COUNT(parser_error) AS parser_error_count, COUNT(rpc_error) AS rpc_error_count, ", "")
+    none = "CAST(NULL AS BIGINT)"
     return q(
-        f"""SELECT g.*, {REPORT_TEXT.format(key=key)} FROM
-        (SELECT {key} AS source_path, {measures}, {SOURCE_PREFIX} AS flags FROM outcomes GROUP BY ALL) g"""
+        f"""SELECT {key} AS source_path, 'summary' AS section, {SOURCE_PREFIX} AS label, COUNT(*) AS n, COUNT(*) FILTER (ok) AS ok, round({TOTAL_MS}, 6) AS ms FROM outcomes GROUP BY {key}
+        UNION ALL SELECT {key}, 'error', error_class, COUNT(*), {none}, NULL FROM outcomes GROUP BY {key}, error_class
+        UNION ALL SELECT {key}, 'type', statement_type, COUNT(*), COUNT(*) FILTER (ok), round(quantile_cont(timing_ms, 0.95), 6) FROM outcomes GROUP BY {key}, statement_type
+        UNION ALL SELECT {key}, 'query', identifier, len(flags), CAST(ok AS BIGINT), round(timing_ms, 6) FROM outcomes"""
     )
 
 

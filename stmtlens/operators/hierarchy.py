@@ -19,19 +19,16 @@ def paths_from_roots(
     nodes: DataFrame, node_id: str, parent_id: str, name: str, separator: str = " > "
 ) -> DataFrame:
     """Add ``level`` (roots are 1) and ``hierarchy_path`` to every row reachable from a root."""
-    state = written(
-        nodes.select(
-            F.col(node_id).alias("_id"),
-            F.col(parent_id).alias("_above"),
-            F.lit(1).cast("bigint").alias("_level"),
-            F.col(name).alias("_path"),
-        ),
-        "paths",
+    state = nodes.select(
+        F.col(node_id).alias("_id"),
+        F.col(parent_id).alias("_above"),
+        F.lit(1).cast("bigint").alias("_level"),
+        F.col(name).alias("_path"),
     )
     reached = state.where(F.col("_above").isNull())
     open_rows = state.where(F.col("_above").isNotNull())
-    left = open_rows.count()
-    while left:
+    progress = True
+    while progress:
         # The upper segment may itself be complete (its ancestor is NULL) or still open.
         upper = reached.unionByName(open_rows).select(
             F.col("_id").alias("_upper_id"),
@@ -55,7 +52,7 @@ def paths_from_roots(
             F.count_if(F.col("_above").isNull()).alias("finished"),
             F.count_if(F.col("_above").isNotNull()).alias("open"),
         ).first()
-        left = counts["open"] if counts["finished"] else 0
+        progress = counts["open"] > 0 and counts["finished"] > 0
     found = reached.select(
         F.col("_id").alias("_found"),
         F.col("_level").alias("level"),

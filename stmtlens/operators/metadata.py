@@ -73,24 +73,36 @@ def _with_job(df: DataFrame, settings: RecordSettings) -> DataFrame:
 
 
 def flows(outcomes: DataFrame, settings: RecordSettings = RecordSettings()) -> DataFrame:
-    """One flow per source path that has at least one job."""
+    """One flow per source path that has at least one job.
+
+    Paths that differ only in replaced characters share a flow; the last path describes it.
+    """
     path = F.col("source_path")
     label = tx.relative_label(path, settings.base_dir)
     parent = F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)
     name = F.regexp_extract(path, r"([^/\\]*)$", 1)
     paths = with_jobs(outcomes).select("source_path").distinct()
     optional = [("sqlParserFlowPrefix", F.lit(settings.flow_prefix))] if settings.flow_prefix else []
-    return _with_flow(paths, settings).select(
+    described = _with_flow(paths, settings).select(
         "flow_urn",
         "source_path",
         F.when(name == "", F.col("flow_id")).otherwise(name).alias("name"),
         F.concat(F.lit("SQL lineage extracted from "), label).alias("description"),
-        F.when(parent == "", ".").otherwise(parent).alias("project"),
+        F.when(parent != "", parent)
+        .when(path.startswith("/"), "/")
+        .otherwise(".")
+        .alias("project"),
         F.lit(settings.env).alias("env"),
         _present_map(
             [("sqlParserSourcePath", path), ("sqlParserFlowId", F.col("flow_id")), *optional]
         ).alias("custom_properties"),
     )
+    record = F.struct(*[c for c in described.columns if c != "flow_urn"])
+    return (
+        described.groupBy("flow_urn")
+        .agg(F.max_by(record, "source_path").alias("_flow"))
+        .select("flow_urn", "_flow.*")
+    )
 
 
 def _job_rows(outcomes: DataFrame, settings: RecordSettings) -> DataFrame:

@@ -46,18 +46,23 @@ def source_overview(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("source_path").agg(*overview_measures())
 
 
+def _union_of_flags() -> Column:
+    others = [flag for flag in K.FLAG_ORDER if flag != "OK"]
+    seen = F.concat_ws(",", *[F.when(F.bool_or(_has(flag)), flag) for flag in others])
+    return F.split(F.when(seen == "", "OK").otherwise(seen), ",")
+
+
 def source_flags(outcomes: DataFrame, keys: Sequence[str] = ("source_path",)) -> DataFrame:
     """Union of the flags per source in display order; OK only when there is no other.
 
     One boolean per flag is enough, so no flag list is collected.
     """
-    present = [F.bool_or(_has(flag)).alias(flag) for flag in K.FLAG_ORDER]
-    grouped = outcomes.groupBy(*keys).agg(*present)
-    others = [flag for flag in K.FLAG_ORDER if flag != "OK"]
-    flags = F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in others]))
-    return grouped.select(
-        *keys, F.when(F.size(flags) == 0, F.array(F.lit("OK"))).otherwise(flags).alias("flags")
-    )
+    return outcomes.groupBy(*keys).agg(_union_of_flags().alias("flags"))
+
+
+def source_summary(outcomes: DataFrame, keys: Sequence[str] = ("source_path",)) -> DataFrame:
+    """Flags and overview of each source in one aggregation."""
+    return outcomes.groupBy(*keys).agg(_union_of_flags().alias("flags"), *overview_measures())
 
 
 def run_percentiles(outcomes: DataFrame, quantiles: dict[str, float]) -> DataFrame:

@@ -32,7 +32,7 @@ def select_star(w: Workload) -> DataFrame:
 
 
 def inner_join(w: Workload) -> DataFrame:
-    recent = w.orders().where(F.col("order_date") >= F.lit(ORDERS_SINCE))
+    recent = w.orders(since=ORDERS_SINCE)
     return (
         w.customers()
         .join(recent.drop("status"), "customer_id")
@@ -63,10 +63,24 @@ def left_join_agg(w: Workload) -> DataFrame:
 
 
 def right_join(w: Workload) -> DataFrame:
-    employees, sales = w.employees(), w.sales()
-    return employees.join(
-        sales, employees["employee_id"] == sales["employee_id"], "right"
-    ).select(employees["employee_id"], "employee_name", "sale_id", "sales_amount", "sale_date")
+    """Sales with their employee, if any.
+
+    Sales without an employee match nothing, but all carry the same NULL key; a second key spreads
+    them over many partitions.
+    """
+    # Always 0, but not a literal: a literal would be taken out of the join keys.
+    zero = F.col("employee_id") % 1
+    employees = w.employees().withColumn("_spread", zero)
+    elsewhere = 1 + F.pmod("sale_id", F.lit(1000))
+    sales = w.sales().withColumn(
+        "_spread", F.when(F.col("employee_id").isNull(), elsewhere).otherwise(zero)
+    )
+    same = (employees["employee_id"] == sales["employee_id"]) & (
+        employees["_spread"] == sales["_spread"]
+    )
+    return employees.join(sales, same, "right").select(
+        employees["employee_id"], "employee_name", "sale_id", "sales_amount", "sale_date"
+    )
 
 
 def active_summary(w: Workload) -> DataFrame:
@@ -129,7 +143,7 @@ def update_join(w: Workload) -> DataFrame:
 
 
 def delete_in(w: Workload) -> DataFrame:
-    old = w.orders().where(F.col("order_date") < F.lit(OLD_ORDERS_BEFORE))
+    old = w.orders(before=OLD_ORDERS_BEFORE)
     customers = w.customers().select("customer_id", "customer_name", "status")
     return tables.deleted_in(customers, old, "customer_id")
 

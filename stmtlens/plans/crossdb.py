@@ -28,7 +28,7 @@ def mixed_names(w: Workload) -> DataFrame:
 
 
 def cross_schema(w: Workload) -> DataFrame:
-    recent = w.sales_transactions().where(F.col("sale_date") >= F.lit(basic.ORDERS_SINCE))
+    recent = w.sales_transactions(since=basic.ORDERS_SINCE)
     return (
         w.customers()
         .join(recent, "customer_id")

@@ -53,13 +53,9 @@ def wide_query(w: Workload) -> DataFrame:
         "customer_id", "customer_name", "email", "status", "customer_tier", "registration_date",
         "total_spent", "last_order_date", "order_count",
     )
-    orders = (
-        w.orders()
-        .where(F.col("order_date") >= F.lit(basic.ORDERS_SINCE))
-        .select(
-            "order_id", "customer_id", "order_date", F.col("total_amount").alias("order_total"),
-            F.col("status").alias("order_status"),
-        )
+    orders = w.orders(since=basic.ORDERS_SINCE).select(
+        "order_id", "customer_id", "order_date", F.col("total_amount").alias("order_total"),
+        F.col("status").alias("order_status"),
     )
     products = (
         w.products()
@@ -178,8 +174,7 @@ def lateral_topk(w: Workload) -> DataFrame:
 def customer_segments(w: Workload, first_day: dt.date, last_day: dt.date) -> DataFrame:
     """Table function: score is 100 times the percent rank of spend in the range."""
     spend = (
-        w.orders()
-        .where(F.col("order_date").between(F.lit(first_day), F.lit(last_day)))
+        w.orders(since=first_day, before=last_day + dt.timedelta(days=1))
         .groupBy("customer_id")
         .agg(F.sum("total_amount").alias("spend"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtlens.plans import basic
-from stmtlens.plans.windows import AS_OF, days_ago
+from stmtlens.plans.windows import AS_OF, day_before
 from stmtlens.sources.workload import Workload
 
 TIER_CUSTOMER = 7
@@ -26,7 +26,7 @@ def proc_pipeline(w: Workload) -> DataFrame:
 
     Several staged orders per customer are aggregated first, so every order counts once.
     """
-    staged = w.orders().where(F.col("order_date") >= days_ago(30))
+    staged = w.orders(since=day_before(30))
     delta = staged.groupBy(F.col("customer_id").alias("_customer")).agg(
         F.count(F.lit(1)).alias("_orders"), F.sum("total_amount").alias("_amount")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtlens.plans import basic
-from stmtlens.plans.windows import AS_OF, days_ago
+from stmtlens.plans.windows import AS_OF, day_before, days_ago
 from stmtlens.sources.workload import Workload
 
 COHORTS_SINCE = dt.date(1995, 1, 1)
@@ -91,8 +91,8 @@ def sales_dashboard(w: Workload) -> DataFrame:
     distinct counts work on the smaller set. The order average weighs each order by its lines.
     """
     orders = (
-        w.orders()
-        .where((F.col("status") == "COMPLETED") & (F.col("order_date") >= days_ago(7)))
+        w.orders(since=day_before(7))
+        .where(F.col("status") == "COMPLETED")
         .select("order_id", "customer_id", F.col("order_date").alias("report_date"), "total_amount")
     )
     per_order = (
@@ -200,8 +200,8 @@ def inventory(w: Workload) -> DataFrame:
     deviation follows from exact integer sums, so it does not depend on the order of the rows.
     """
     orders = (
-        w.orders()
-        .where((F.col("status") == "COMPLETED") & (F.col("order_date") >= days_ago(30)))
+        w.orders(since=day_before(30))
+        .where(F.col("status") == "COMPLETED")
         .select("order_id", "order_date")
     )
     quantity, day = F.col("quantity").cast("bigint"), F.col("order_date")

@@ -621,44 +621,40 @@ def sink_statement_json(spark, folder):
     )
 
 
-def _report_columns(record: DataFrame) -> DataFrame:
-    return record.select(
-        "source_path", "query_count", "success_count", "error_count", "lineage_count",
-        "gap_lineage_count", "self_referential_count", "column_lineage_count", "timing_ms_total",
-        lin.flag_prefix(F.col("flags")).alias("flags"),
-        F.array_join(
-            F.transform(
-                "debug_info_error_counts",
-                lambda e: F.concat_ws("=", e["message"], e["count"].cast("string")),
-            ),
-            "|",
-        ).alias("errors"),
-        F.array_join(
-            F.transform(
-                "statement_type_summary",
-                lambda e: F.concat_ws(
-                    ":", e["statement_type"], e["total_queries"].cast("string"),
-                    tx.fixed_point(e["p95_ms"], 6),
-                ),
-            ),
-            "|",
-        ).alias("types"),
+def _written_report(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Write the report tables and read them back as (source, section, label, numbers) rows."""
+    report_sinks.write_reports(tables, path)
+
+    def back(name: str) -> DataFrame:
+        table = tables[name]
+        return table.sparkSession.read.schema(table.schema).json(f"{path}/{name}")
+
+    none = F.lit(None).cast("bigint")
+    summary = back("summary").select(
+        "source_path", F.lit("summary").alias("section"),
+        lin.flag_prefix(F.col("flags")).alias("label"), F.col("query_count").alias("n"),
+        F.col("success_count").alias("ok"), F.round("timing_ms_total", 6).alias("ms"),
     )
+    errors = back("errors").select("source_path", F.lit("error"), "message", "count", none, none)
+    types = back("types").select(
+        "source_path", F.lit("type"), "statement_type", "total_queries", "success_count",
+        F.round("p95_ms", 6),
+    )
+    listed = back("queries").select(
+        "source_path", F.lit("query"), "identifier",
+        F.size("flags").cast("bigint"), F.col("succeeded").cast("bigint"), F.round("timing_ms", 6),
+    )
+    return summary.unionAll(errors).unionAll(types).unionAll(listed)
 
 
 def sink_source_report(spark, folder):
-    path = fresh_path(spark, "source_reports")
-    rows = log.outcomes(spark, folder)
-    report_sinks.write_source_reports(rows, path)
-    back = spark.read.schema(report_sinks.source_reports(rows).schema).json(f"{path}/summary")
-    return _report_columns(back)
+    tables = report_sinks.source_reports(log.outcomes(spark, folder))
+    return _written_report(tables, fresh_path(spark, "source_reports"))
 
 
 def sink_run_report(spark, folder):
-    path = fresh_path(spark, "run_report")
-    rows = log.outcomes(spark, folder)
-    report_sinks.write_run_report(rows, "run", path)
-    return _report_columns(spark.read.schema(report_sinks.run_report(rows, "run").schema).json(path))
+    tables = report_sinks.run_report(log.outcomes(spark, folder), "run")
+    return _written_report(tables, fresh_path(spark, "run_report"))
 
 
 def sink_results_table(spark, folder):

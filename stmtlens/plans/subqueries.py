@@ -27,9 +27,7 @@ def scalar_subquery(w: Workload) -> DataFrame:
 
 
 def _customers_with_orders_over(w: Workload, amount: int) -> DataFrame:
-    large = w.orders().where(
-        (F.col("order_date") >= F.lit(basic.ORDERS_SINCE)) & (F.col("total_amount") > amount)
-    )
+    large = w.orders(since=basic.ORDERS_SINCE).where(F.col("total_amount") > amount)
     # Distinct keys first: a hot customer contributes one row per task instead of all its orders.
     keys = large.select("customer_id").distinct()
     return (
@@ -62,8 +60,7 @@ def correlated_avg(w: Workload) -> DataFrame:
 
 def derived_table(w: Workload) -> DataFrame:
     recent = (
-        w.orders()
-        .where(F.col("order_date") >= F.lit(basic.ORDERS_SINCE))
+        w.orders(since=basic.ORDERS_SINCE)
         .groupBy("customer_id")
         .agg(
             F.count(F.lit(1)).alias("order_count"),
@@ -94,12 +91,7 @@ def exists(w: Workload) -> DataFrame:
 
 
 def not_exists(w: Workload) -> DataFrame:
-    recent = (
-        w.orders()
-        .where(F.col("order_date") >= F.lit(NO_ORDERS_SINCE))
-        .select("customer_id")
-        .distinct()
-    )
+    recent = w.orders(since=NO_ORDERS_SINCE).select("customer_id").distinct()
     return (
         w.customers_with_spend()
         .join(recent, "customer_id", "left_anti")

@@ -15,8 +15,12 @@ AS_OF = dt.date(2001, 8, 1)
 PIVOT_YEARS = [1998, 1999, 2000]
 
 
+def day_before(days: int) -> dt.date:
+    return AS_OF - dt.timedelta(days=days)
+
+
 def days_ago(days: int):
-    return F.date_sub(F.lit(AS_OF), days)
+    return F.lit(day_before(days))
 
 
 def merge(w: Workload) -> DataFrame:

@@ -6,6 +6,8 @@ record of the source, never nested into it: one source may hold a third of the l
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,62 +56,40 @@ def write_statement_records(outcomes: DataFrame, path: str) -> None:
     )
 
 
-def _error_counts(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    counts = outcomes.groupBy(*keys, tx.error_label(F.col("parser_error")).alias("message")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    # Sorted by falling count, then by lower-case label.
-    entry = F.struct(
-        (-F.col("count")).alias("o"), F.lower("message").alias("l"), "message", "count"
-    )
-    ordered = F.transform(
-        F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["message"], e["count"])
-    )
-    grouped = counts.groupBy(*keys) if keys else counts.groupBy()
-    return grouped.agg(ordered.alias("debug_info_error_counts"))
-
-
-def _type_summary(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    both = reports.type_report(outcomes, [*keys, "statement_type"])
-    entry = F.struct("statement_type", *reports.TYPE_COLUMNS, *reports.TIMING_COLUMNS)
-    grouped = both.groupBy(*keys) if keys else both.groupBy()
-    return grouped.agg(F.array_sort(F.collect_list(entry)).alias("statement_type_summary"))
-
-
-def source_reports(outcomes: DataFrame) -> DataFrame:
-    """One record per source: flags, overview, error counts and type summary.
+def source_reports(outcomes: DataFrame, keys: Sequence[str] = ("source_path",)) -> dict[str, DataFrame]:
+    """The report of each source, as tables keyed by the source.
 
-    The nested lists hold one entry per error class or statement type.
+    ``summary``: one row per source with flags and overview; ``errors``: one row per error class;
+    ``types``: one row per statement type; ``queries``: one row per statement. Error classes, types
+    and statements of one source are unbounded, so they are rows and not lists in the summary.
     """
-    key = ["source_path"]
-    return (
-        reports.source_overview(outcomes)
-        .join(reports.source_flags(outcomes), key)
-        .join(_error_counts(outcomes, key), key)
-        .join(_type_summary(outcomes, key), key)
-    )
-
-
-def run_report(outcomes: DataFrame, run_name: str) -> DataFrame:
-    """The same record for the whole run, keyed by the run's name."""
-    whole = outcomes.withColumn("source_path", F.lit(run_name))
-    return source_reports(whole)
-
-
-def write_source_reports(outcomes: DataFrame, path: str) -> None:
-    """``path/summary`` (one record per source) and ``path/queries`` (one row per statement)."""
-    source_reports(outcomes).write.json(f"{path}/summary")
-    (
-        reports.query_list(outcomes)
-        .withColumn("source_bucket", _bucket(F.col("source_path")))
-        .hint("rebalance", "source_bucket")
-        .write.partitionBy("source_bucket")
-        .json(f"{path}/queries")
-    )
-
-
-def write_run_report(outcomes: DataFrame, run_name: str, path: str) -> None:
-    run_report(outcomes, run_name).write.json(path)
+    keys = list(keys)
+    error_class = tx.error_label(F.col("parser_error")).alias("message")
+    return {
+        "summary": reports.source_summary(outcomes, keys),
+        "errors": outcomes.groupBy(*keys, error_class).agg(F.count(F.lit(1)).alias("count")),
+        "types": reports.type_report(outcomes, [*keys, "statement_type"]),
+        "queries": reports.query_list(outcomes),
+    }
+
+
+def run_report(outcomes: DataFrame, run_name: str) -> dict[str, DataFrame]:
+    """The same tables for the whole run, under the run's name."""
+    return source_reports(outcomes.withColumn("source_path", F.lit(run_name)))
+
+
+def write_reports(tables: dict[str, DataFrame], path: str) -> None:
+    """One folder per table; statements by a hash of the source, large buckets split over files."""
+    for name, table in tables.items():
+        if name == "queries":
+            (
+                table.withColumn("source_bucket", _bucket(F.col("source_path")))
+                .hint("rebalance", "source_bucket")
+                .write.partitionBy("source_bucket")
+                .json(f"{path}/{name}")
+            )
+        else:
+            table.write.json(f"{path}/{name}")
 
 
 RESULT_COLUMNS = [

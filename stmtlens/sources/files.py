@@ -17,9 +17,14 @@ from stmtlens.operators.statements import STATEMENT_COLUMNS, split_statements
 WHOLE_FILE_LIMIT = 64 * 1024 * 1024
 
 
+# One row per file may be broadcast up to this many files.
+BROADCAST_FILES = 100_000
+
+
 def local_path(path: Column) -> Column:
-    """``file:///a/b`` as ``/a/b``; paths of other file systems stay as they are."""
-    return F.regexp_replace(path, "^file:/+", "/")
+    """A scan's file path as written: ``file:///a%20b`` is ``/a b``; other schemes are kept."""
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "/")
 
 
 def is_directory(spark: SparkSession, path: str) -> bool:
@@ -32,7 +37,8 @@ def _unified_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def _with_file_identity(statements: DataFrame, input_ordinal: int) -> DataFrame:
+def with_file_identity(statements: DataFrame, input_ordinal: int = 0) -> DataFrame:
+    """Identifier, context and origin of statements that came from script files."""
     position = F.col("stmt_index").cast("string")
     return statements.select(
         F.concat("source_path", F.lit(":"), position).alias("identifier"),
@@ -46,16 +52,17 @@ def _with_file_identity(statements: DataFrame, input_ordinal: int) -> DataFrame:
     )
 
 
-def _small_scripts(reader, paths: list[str], limit: int) -> DataFrame:
-    whole = (
-        reader.text(paths, wholetext=True)
-        .where(F.col("_metadata.file_size") <= limit)
-        .select(
-            local_path(F.col("_metadata.file_path")).alias("source_path"),
-            _unified_newlines(F.col("value")).alias("script_text"),
-        )
+def whole_scripts(texts: DataFrame) -> DataFrame:
+    """Path and text of files read as one value each."""
+    return texts.select(
+        local_path(F.col("_metadata.file_path")).alias("source_path"),
+        _unified_newlines(F.col("value")).alias("script_text"),
     )
-    return split_statements(whole)
+
+
+def _small_scripts(reader, paths: list[str], limit: int) -> DataFrame:
+    texts = reader.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= limit)
+    return split_statements(whole_scripts(texts))
 
 
 def _large_scripts(reader, paths: list[str], limit: int) -> DataFrame:
@@ -113,7 +120,7 @@ def _scripts(
     statements = _small_scripts(reader(), paths, limit).unionByName(
         _large_scripts(reader(), paths, limit)
     )
-    return _with_file_identity(statements, input_ordinal)
+    return with_file_identity(statements, input_ordinal)
 
 
 def sql_dirs(
@@ -144,6 +151,9 @@ def position_in_file(df: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
     )
     starts = numbered.groupBy(F.col("source_path").alias("_file")).agg(F.min("_id").alias("_start"))
+    if len(df.inputFiles()) <= BROADCAST_FILES:
+        # Keeps the rows where they are: one file may hold a third of them.
+        starts = F.broadcast(starts)
     return (
         numbered.join(starts, F.col("source_path") == F.col("_file"))
         .withColumn("_position", F.col("_id") - F.col("_start"))

@@ -12,6 +12,7 @@ from stmtlens.functions.text import type_label
 from stmtlens.functions.urns import dataset_urn
 from stmtlens.operators.statements import split_statements, with_outcome_columns
 from stmtlens.session import spread
+from stmtlens.sources.tables import parquet_table
 
 SCRIPT_TEXT = r"""
 CASE event_id % 12
@@ -51,7 +52,7 @@ CASE event_id % 12 WHEN 0 THEN '01-basic' WHEN 1 THEN '01-basic' WHEN 2 THEN '04
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
     """One script per event, with the parser's answer on the same row."""
     events = spread(
-        spark.read.parquet(f"{folder}/events.parquet").select(
+        parquet_table(spark, folder, "events").select(
             "event_id", "ts", "user_id", "event_type", "value"
         )
     )
@@ -196,7 +197,7 @@ def expected(outcome_rows: DataFrame) -> DataFrame:
 def known_datasets(spark: SparkSession, folder: str) -> DataFrame:
     """The catalogue knows the source tables of the users with an even number."""
     return (
-        spark.read.parquet(f"{folder}/events.parquet")
+        parquet_table(spark, folder, "events")
         .where(F.col("user_id") % 2 == 0)
         .select(dataset_urn(F.concat(F.lit("db.s.t"), F.col("user_id").cast("string"))).alias("urn"))
         .distinct()

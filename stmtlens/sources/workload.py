@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtlens.sources.tables import parquet_table
+
 MONEY = "decimal(15,2)"
 
 
@@ -16,6 +20,20 @@ def _case(value: Column, mapping: dict[str, str], otherwise: str | Column) -> Co
     return chain.otherwise(otherwise)
 
 
+def _days(timestamp: str, since: dt.date | None, before: dt.date | None) -> Column:
+    """A range of days on the stored timestamp, where it reaches the scan as a pushed filter.
+
+    A filter on the timestamp cast to a date would not.
+    """
+    start = lambda day: F.lit(day).cast("timestamp_ntz")
+    condition = F.lit(True)
+    if since:
+        condition = condition & (F.col(timestamp) >= start(since))
+    if before:
+        condition = condition & (F.col(timestamp) < start(before))
+    return condition
+
+
 class Workload:
     """Lazy views; each reads only what the query on top of it needs."""
 
@@ -24,7 +42,7 @@ class Workload:
         self.folder = folder
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return parquet_table(self.spark, self.folder, name)
 
     def customers(self) -> DataFrame:
         """Customer attributes that do not depend on orders."""
@@ -78,11 +96,14 @@ class Workload:
             .drop("_customer", "_orders")
         )
 
-    def orders(self) -> DataFrame:
-        """Orders; every 50th customer has none, so that outer joins keep unmatched rows."""
+    def orders(self, since: dt.date | None = None, before: dt.date | None = None) -> DataFrame:
+        """Orders of a range of days (all by default).
+
+        Every 50th customer has none, so that outer joins keep unmatched rows.
+        """
         return (
             self.base("orders")
-            .where(F.col("o_custkey") % 50 != 49)
+            .where((F.col("o_custkey") % 50 != 49) & _days("o_orderdate", since, before))
             .select(
                 F.col("o_orderkey").alias("order_id"),
                 F.col("o_custkey").alias("customer_id"),
@@ -136,8 +157,8 @@ class Workload:
             F.col("o_orderdate").cast("date").alias("sale_date"),
         )
 
-    def sales_transactions(self) -> DataFrame:
-        return self.base("orders").select(
+    def sales_transactions(self, since: dt.date | None = None) -> DataFrame:
+        return self.base("orders").where(_days("o_orderdate", since, None)).select(
             F.col("o_orderkey").alias("sale_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("o_totalprice").cast(MONEY).alias("sales_amount"),
