@@ -403,7 +403,7 @@ SQL = {
         p.preferred_category, p.category_spend AS preferred_category_spend,
         CASE WHEN h.last_order_date >= DATE '2001-08-01' - INTERVAL 30 DAY THEN 'ACTIVE' WHEN h.last_order_date >= DATE '2001-08-01' - INTERVAL 90 DAY THEN 'AT_RISK'
           WHEN h.last_order_date >= DATE '2001-08-01' - INTERVAL 180 DAY THEN 'DORMANT' ELSE 'LOST' END AS engagement_status,
-        CASE WHEN h.customer_lifetime_days > 0 THEN round(CAST(h.lifetime_value AS DOUBLE) / h.customer_lifetime_days, 6) ELSE 0 END AS daily_value_rate
+        CASE WHEN h.customer_lifetime_days > 0 THEN CAST(h.lifetime_value AS DOUBLE) / h.customer_lifetime_days ELSE 0 END AS daily_value_rate
         FROM (SELECT customer_id, customer_name, email, status, customer_tier, registration_date FROM customers WHERE status = 'ACTIVE') c
         LEFT JOIN (SELECT customer_id, COUNT(DISTINCT order_id) AS total_orders, SUM(total_amount) AS lifetime_value,
           CAST(SUM(total_amount) AS DOUBLE) / COUNT(*) AS avg_order_value, MIN(order_date) AS first_order_date, MAX(order_date) AS last_order_date,
@@ -421,7 +421,7 @@ SQL = {
     ),
     "w0802_sales_dashboard": q(
         """SELECT d.*, RANK() OVER (PARTITION BY d.report_date ORDER BY d.total_revenue DESC) AS revenue_rank,
-        CASE WHEN t.day_total > 0 THEN round(CAST(d.total_revenue AS DOUBLE) / CAST(t.day_total AS DOUBLE) * 100, 6) ELSE 0 END AS revenue_pct_of_total
+        CASE WHEN t.day_total > 0 THEN CAST(d.total_revenue AS DOUBLE) / CAST(t.day_total AS DOUBLE) * 100 ELSE 0 END AS revenue_pct_of_total
         FROM daily d JOIN (SELECT report_date, SUM(total_revenue) AS day_total FROM daily GROUP BY report_date) t ON d.report_date = t.report_date""",
         "report_date product_category total_orders total_revenue$ total_units_sold avg_order_value unique_customers revenue_rank revenue_pct_of_total",
         """daily AS (SELECT o.order_date AS report_date, p.category AS product_category, COUNT(DISTINCT o.order_id) AS total_orders,
@@ -456,7 +456,7 @@ SQL = {
     ),
     "w0804_inventory": q(
         """SELECT p.product_id, p.product_name, p.category, p.unit_price, v.*  EXCLUDE (product_id),
-        round(v.daily, 6) AS daily_sales_velocity,
+        v.daily AS daily_sales_velocity,
         CASE WHEN v.units_sold_7d > v.units_sold_8_14d THEN 'ACCELERATING' WHEN v.units_sold_7d < v.units_sold_8_14d * 0.8 THEN 'DECELERATING' ELSE 'STABLE' END AS trend_direction,
         CAST(trunc(round(v.daily * 14 + 2 * coalesce(v.sd, 0), 6)) AS BIGINT) AS recommended_reorder_point,
         CAST(trunc(round(v.daily * 30, 6)) AS BIGINT) AS recommended_order_quantity,

@@ -351,13 +351,19 @@ def qualified_refs(
 
 
 def query_patterns(statements: DataFrame, text: str = "query_text") -> DataFrame:
-    """Statements that differ only in literals and layout, counted by fingerprint."""
-    return (
+    """Statements that differ only in literals and layout, counted by fingerprint.
+
+    Equal generalised texts are counted first, by hash; the digest and the choice of one spelling
+    per fingerprint then work on distinct texts only.
+    """
+    distinct = (
         statements.select(rw.generalized(tx.clean_sql(F.col(text))).alias("_general"))
-        .groupBy(
-            F.sha2(F.encode(F.lower("_general"), "UTF-8"), 256).alias("query_fingerprint")
-        )
-        .agg(F.count(F.lit(1)).alias("count"), F.min("_general").alias("generalized"))
+        .groupBy("_general")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    digest = F.sha2(F.encode(F.lower("_general"), "UTF-8"), 256)
+    return distinct.groupBy(digest.alias("query_fingerprint")).agg(
+        F.sum("_n").alias("count"), F.min("_general").alias("generalized")
     )
 
 

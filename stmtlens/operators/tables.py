@@ -47,29 +47,29 @@ def merged(
 ) -> DataFrame:
     """MERGE: matched rows take ``update`` columns, new rows take ``insert`` columns, others NULL.
 
-    A source key that occurs twice makes the update ambiguous; such a merge fails, as it does in
-    SQL.
+    A source key that occurs twice makes the update ambiguous; such a merge is refused, as it is in
+    SQL. The check counts keys only.
     """
-    counted = source.groupBy(F.col(on).alias("_key")).agg(
-        F.count(F.lit(1)).alias("_copies"),
-        *[
-            F.max(F.struct(F.col(c).alias("v"))).getField("v").alias(f"_new_{c}")
-            for c in sorted({*update, *insert} - {on})
-        ],
+    repeated = (
+        source.where(F.col(on).isNotNull())
+        .groupBy(on)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > 1)
     )
-    checked = counted.where(
-        F.when(F.col("_copies") > 1, F.raise_error(F.lit("merge: source key is not unique")))
-        .otherwise(F.lit(True))
-        .cast("boolean")
+    if not repeated.isEmpty():
+        raise ValueError(f"merge: source key {on!r} is not unique")
+    new = source.select(
+        F.col(on).alias("_key"),
+        F.lit(True).alias("_in_source"),
+        *[F.col(c).alias(f"_new_{c}") for c in sorted({*update, *insert})],
     )
-    joined = target.join(checked, target[on] == checked["_key"], "full_outer")
-    is_new = target[on].isNull() & F.col("_key").isNotNull()
-    is_match = target[on].isNotNull() & F.col("_key").isNotNull()
+    old = target.withColumn("_in_target", F.lit(True))
+    joined = old.join(new, old[on] == new["_key"], "full_outer")
+    is_new = F.col("_in_target").isNull()
+    is_match = F.col("_in_target") & F.col("_in_source")
 
     def column(name: str) -> Column:
-        value = target[name]
-        if name == on:
-            return F.coalesce(value, F.col("_key")).alias(name)
+        value = F.col(name)
         if name in update:
             value = F.when(is_match, F.col(f"_new_{name}")).otherwise(value)
         if name in insert:

@@ -76,7 +76,7 @@ def customer_360(w: Workload) -> DataFrame:
             .when(last >= days_ago(180), "DORMANT")
             .otherwise("LOST")
             .alias("engagement_status"),
-            F.when(days > 0, F.round(F.col("lifetime_value").cast("double") / days, 6))
+            F.when(days > 0, F.col("lifetime_value").cast("double") / days)
             .otherwise(F.lit(0.0))
             .alias("daily_value_rate"),
         )
@@ -121,7 +121,7 @@ def sales_dashboard(w: Workload) -> DataFrame:
     report = daily.select(
         "*",
         F.rank().over(day.orderBy(F.col("total_revenue").desc())).cast("bigint").alias("revenue_rank"),
-        F.when(day_total > 0, F.round(F.col("total_revenue").cast("double") / day_total * 100, 6))
+        F.when(day_total > 0, F.col("total_revenue").cast("double") / day_total * 100)
         .otherwise(F.lit(0.0))
         .alias("revenue_pct_of_total"),
     )
@@ -251,7 +251,7 @@ def inventory(w: Workload) -> DataFrame:
             "order_frequency_30d", "avg_units_per_order",
             F.round("stddev_units_per_order", 6).alias("stddev_units_per_order"),
             "days_with_sales", "units_sold_7d", "units_sold_8_14d", "units_sold_15_30d",
-            F.round(daily, 6).alias("daily_sales_velocity"),
+            daily.alias("daily_sales_velocity"),
             F.when(week > week_before, "ACCELERATING")
             .when(week < week_before * F.lit(0.8).cast("decimal(2,1)"), "DECELERATING")
             .otherwise("STABLE")

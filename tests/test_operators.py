@@ -104,13 +104,13 @@ def test_emission_needs_a_job(spark):
 
 def test_merge(spark):
     target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "n", "z")], "k int, v string, w string")
-    source = spark.createDataFrame([(2, "B"), (3, None)], "k int, v string")
+    source = spark.createDataFrame([(2, "B"), (3, None), (None, "N")], "k int, v string")
     got = tables.merged(target, source, "k", update=["v"], insert=["k", "v"])
     assert sorted(map(tuple, got.collect()), key=str) == sorted(
-        [(1, "a", "x"), (2, "B", "y"), (None, "n", "z"), (3, None, None)], key=str
+        [(1, "a", "x"), (2, "B", "y"), (None, "n", "z"), (3, None, None), (None, "N", None)], key=str
     )
-    with pytest.raises(Exception, match="not unique"):
-        tables.merged(target, source.union(source), "k", ["v"], ["k", "v"]).collect()
+    with pytest.raises(ValueError, match="not unique"):
+        tables.merged(target, source.union(source), "k", ["v"], ["k", "v"])
 
 
 def test_update_and_delete(spark):
