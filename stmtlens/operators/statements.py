@@ -53,12 +53,15 @@ def flattened_payload(payload: DataFrame) -> DataFrame:
 
 
 def outcomes(statements: DataFrame, payload: DataFrame) -> DataFrame:
-    """Statements joined with the parser answers on ``identifier`` (unique on both sides)."""
+    """Statements joined with the parser answers on ``identifier`` (unique on both sides).
+
+    The text is classified before the join, so a report that does not show the text does not move
+    it.
+    """
     answers = flattened_payload(payload).withColumnRenamed("identifier", "_identifier")
-    joined = statements.join(
-        answers, statements["identifier"] == answers["_identifier"], "left"
-    ).drop("_identifier")
-    return with_outcome_columns(joined)
+    typed = with_inferred_type(statements)
+    joined = typed.join(answers, typed["identifier"] == answers["_identifier"], "left")
+    return with_outcome_columns(joined.drop("_identifier"))
 
 
 def succeeded(rpc_error: Column, parser_error: Column) -> Column:
@@ -71,6 +74,8 @@ def with_outcome_columns(df: DataFrame) -> DataFrame:
     A statement whose remote call failed has no answer: its lists are empty and its type comes from
     the text.
     """
+    if "inferred_type" not in df.columns:
+        df = with_inferred_type(df)
     answered = tx.is_blank(F.col("rpc_error"))
     no_lineage = F.array().cast(df.schema["column_lineage"].dataType)
 
@@ -79,7 +84,7 @@ def with_outcome_columns(df: DataFrame) -> DataFrame:
 
     label, inferred = F.col("parser_statement_type"), F.col("inferred_type")
     statement_type, type_source = tx.resolved_type(label, inferred)
-    # Three steps, so that a value used by the next step is computed once.
+    # In steps, so that a value used by the next step is computed once.
     return (
         df.withColumns(
             {
@@ -89,12 +94,10 @@ def with_outcome_columns(df: DataFrame) -> DataFrame:
                 "parser_error": if_answered("parser_error"),
                 "parser_statement_type": if_answered("parser_statement_type"),
                 "timing_ms": F.coalesce(F.col("timing_ms"), F.lit(0.0)),
-                "_words": tx.leading_words(tx.clean_sql(F.col("query_text"))),
             }
         )
         .withColumns(
             {
-                "inferred_type": tx.statement_type_of(F.col("_words")),
                 "column_edges": lin.column_edges(F.col("column_lineage")),
                 "self_referential": lin.is_self_referential(
                     F.col("upstreams"), F.col("downstreams")
@@ -112,5 +115,5 @@ def with_outcome_columns(df: DataFrame) -> DataFrame:
                 ),
             }
         )
-        .drop("_words", "inferred_type")
+        .drop("inferred_type")
     )
