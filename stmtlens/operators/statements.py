@@ -9,9 +9,6 @@ from stmtlens import schemas
 from stmtlens.functions import lineage as lin
 from stmtlens.functions import text as tx
 
-STATEMENT_COLUMNS = ["identifier", "query_text", "origin", "context", "source_path", "stmt_index"]
-
-
 def split_statements(scripts: DataFrame, text: str = "script_text") -> DataFrame:
     """One row per statement of the ``text`` column, numbered from 1 after blanks are dropped."""
     others = [c for c in scripts.columns if c != text]

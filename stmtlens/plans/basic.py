@@ -119,7 +119,8 @@ def ctas(w: Workload) -> DataFrame:
 
 def customer_order_view(w: Workload) -> DataFrame:
     customers = w.customers().select("customer_id", "customer_name", "email")
-    return sinks.create_view(customers.join(w.orders(), "customer_id", "left"))
+    joined = customers.join(w.orders(), "customer_id", "left")
+    return sinks.create_view(joined, "stmtlens_customer_order_view")
 
 
 def union_all(w: Workload) -> DataFrame:

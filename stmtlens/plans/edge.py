@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,7 +139,7 @@ def deep_nesting(w: Workload) -> DataFrame:
 
 
 def identifier(w: Workload) -> DataFrame:
-    view = f"customers_{uuid.uuid4().hex}"
+    view = "stmtlens_customers"
     w.customers_with_spend().createOrReplaceTempView(view)
     return w.spark.sql(
         "SELECT customer_id, customer_name, total_spent FROM IDENTIFIER(:name)"

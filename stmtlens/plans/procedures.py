@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +58,7 @@ def dynamic_table(w: Workload, table_name: str = "customers") -> DataFrame:
     """The table is named at run time; only listed names are allowed."""
     if table_name not in DYNAMIC_TABLES:
         raise ValueError(f"table {table_name!r} is not on the list")
-    view = f"{table_name}_{uuid.uuid4().hex}"
+    view = f"stmtlens_{table_name}"
     w.customers_with_spend().createOrReplaceTempView(view)
     return w.spark.sql(
         "SELECT customer_id, customer_name, total_spent FROM IDENTIFIER(:name)",

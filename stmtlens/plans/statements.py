@@ -718,7 +718,7 @@ def sink_view(spark, folder):
     joined = w.customers().select("customer_id", "customer_name").join(
         w.orders().select("customer_id", "order_id"), "customer_id", "left"
     )
-    return table_sinks.create_view(joined)
+    return table_sinks.create_view(joined, "stmtlens_customer_orders")
 
 
 QUERIES = {

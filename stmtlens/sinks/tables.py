@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
 from stmtlens.operators.tables import by_position
@@ -27,8 +25,7 @@ def insert_into(df: DataFrame, name: str, columns: list[str] | None = None) -> D
     return spark.table(name)
 
 
-def create_view(df: DataFrame, name: str | None = None) -> DataFrame:
+def create_view(df: DataFrame, name: str) -> DataFrame:
     """CREATE OR REPLACE VIEW, read back through the catalogue."""
-    name = name or f"view_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)

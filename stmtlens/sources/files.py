@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from stmtlens import schemas
 from stmtlens.functions import text as tx
-from stmtlens.operators.statements import STATEMENT_COLUMNS, split_statements
+from stmtlens.operators.statements import split_statements
 
 # Scripts above this size are cut at ";" while they are scanned, in parallel, instead of being
 # read as one value.
@@ -291,10 +291,3 @@ def expected_results(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     return expected_from_text(files)
-
-
-__all__ = [
-    "STATEMENT_COLUMNS", "all_inputs", "csv_column", "csv_dirs", "expected_from_text",
-    "expected_results", "payload_from_text", "payloads",
-    "sql_dirs", "sql_files",
-]
