@@ -119,13 +119,13 @@ def type_report(outcomes: DataFrame, keys: Sequence[str] = ("statement_type",))
     that smaller table. The timing of a statement is never NULL.
     """
     keys = list(keys)
-    laid = counted_values(
+    values = counted_values(
         outcomes, keys, "timing_ms", {"_ok": F.count_if(F.col("succeeded"))}
     )
     total, ok = F.sum("_n"), F.sum("_ok")
     rate = ok / total * 100.0
     value = F.col("_value").cast("decimal(20,6)")
-    simple = laid.groupBy(*keys).agg(
+    simple = values.table.groupBy(*keys).agg(
         total.alias("total_queries"),
         ok.alias("success_count"),
         (total - ok).alias("error_count"),
@@ -135,7 +135,7 @@ def type_report(outcomes: DataFrame, keys: Sequence[str] = ("statement_type",))
         F.min("_value").alias("min_ms"),
         F.max("_value").alias("max_ms"),
     )
-    exact = percentiles_of(laid, keys, TIMING_QUANTILES)
+    exact = percentiles_of(values, TIMING_QUANTILES)
     exact = exact.withColumnsRenamed({k: f"_p_{k}" for k in keys})
     same = [simple[k].eqNullSafe(exact[f"_p_{k}"]) for k in keys]
     return simple.join(exact, same, "left").select(

@@ -1,15 +1,18 @@
 """Ordered computations over groups of any size.
 
-A window over a hot group (or over the whole table) runs in one task. Here rows are range-partitioned
-by (group keys, order) instead, so a large group is spread over many slices. Each slice is computed
-on its own, the layout is written once, and only the groups cut by a slice boundary need a
-correction. At most one group crosses each boundary, so the correction table holds at most two rows
-per slice and is safe to broadcast whatever the size of the data.
+A window over a hot group (or over the whole table) runs in one task. So groups are counted first,
+on their keys alone. Groups of ordinary size take a plain window: one shuffle. Rows of the few
+groups above ``HOT_ROWS``, and windows without a group, are range-partitioned by (group, order)
+instead, which spreads a group over many slices. Each slice is computed on its own, the layout is
+written once, and only groups cut by a slice boundary need a correction. At most one group crosses
+each boundary, so the correction table holds at most two rows per slice and is safe to broadcast
+whatever the size of the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from stmtlens.session import written
 
 SLICE = "_slice"
+# A group with more rows than this is not sorted in one task.
+HOT_ROWS = 2_000_000
 Order = Sequence[tuple[str, str]]  # (column, "asc" | "desc")
 
 
@@ -37,6 +42,32 @@ def _window(keys: Sequence[str], order: Order = ()):
     return window.orderBy(*_sort(order)) if order else window
 
 
+def _split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary groups, rows of hot groups); None stands for no rows.
+
+    There are at most ``rows / hot_rows`` hot groups, so their keys are broadcast.
+    """
+    if not keys:
+        return None, df
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    hot = written(
+        sizes.where(F.col("_size") > hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]),
+        "hot",
+    )
+    if hot.isEmpty():
+        return df, None
+    same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
+    hot = F.broadcast(hot)
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
+def _both(ordinary: DataFrame | None, hot: DataFrame | None) -> DataFrame:
+    parts = [part for part in (ordinary, hot) if part is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _cut_groups(laid: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``laid`` whose group continues in another slice.
 
@@ -69,12 +100,35 @@ def _corrected(laid: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def with_ranks(
-    df: DataFrame, keys: Sequence[str], order: Order, tie_break: Order = ()
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Order,
+    tie_break: Order = (),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``row_number``, ``rank``, ``dense_rank`` and ``group_rows`` within ``keys``.
 
     ``order`` decides rank and dense rank; ``tie_break`` completes the order for the row number.
     """
+    ordinary, hot = _split_hot(df, keys, hot_rows)
+    if ordinary is not None:
+        group = Window.partitionBy(*keys)
+        by_value, by_row = group.orderBy(*_sort(order)), group.orderBy(*_sort([*order, *tie_break]))
+        ordinary = ordinary.select(
+            "*",
+            F.row_number().over(by_row).cast("bigint").alias("row_number"),
+            F.rank().over(by_value).cast("bigint").alias("rank"),
+            F.dense_rank().over(by_value).cast("bigint").alias("dense_rank"),
+            F.count(F.lit(1)).over(group).alias("group_rows"),
+        )
+    if hot is not None:
+        hot = _sliced_ranks(hot, keys, order, tie_break)
+    return _both(ordinary, hot)
+
+
+def _sliced_ranks(
+    df: DataFrame, keys: Sequence[str], order: Order, tie_break: Order
+) -> DataFrame:
     columns = df.columns
     full = [*order, *tie_break]
     laid = written(
@@ -160,12 +214,33 @@ def percent_rank(rank: Column, group_rows: Column) -> Column:
     return F.when(group_rows > 1, (rank - 1) / (group_rows - 1)).otherwise(F.lit(0.0))
 
 
-def with_neighbours(df: DataFrame, keys: Sequence[str], order: Order, column: str) -> DataFrame:
+def with_neighbours(
+    df: DataFrame, keys: Sequence[str], order: Order, column: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add the value of ``column`` in the row before and after within ``keys``.
 
     Adds ``previous``, ``following``, ``has_previous`` and ``has_following``. ``order`` must be
     total, so that slices and neighbours are well defined.
     """
+    ordinary, hot = _split_hot(df, keys, hot_rows)
+    if ordinary is not None:
+        along = Window.partitionBy(*keys).orderBy(*_sort(order))
+        exists = F.lit(True)
+        ordinary = ordinary.select(
+            "*",
+            F.lag(column).over(along).alias("previous"),
+            F.lead(column).over(along).alias("following"),
+            F.lag(exists, 1, False).over(along).alias("has_previous"),
+            F.lead(exists, 1, False).over(along).alias("has_following"),
+        )
+    if hot is not None:
+        hot = _sliced_neighbours(hot, keys, order, column)
+    return _both(ordinary, hot)
+
+
+def _sliced_neighbours(
+    df: DataFrame, keys: Sequence[str], order: Order, column: str
+) -> DataFrame:
     columns = df.columns
     here = _window(keys, order)
     laid = written(
@@ -203,63 +278,101 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], order: Order, column: st
     )
 
 
-def counted_values(
-    df: DataFrame, keys: Sequence[str], value: str, extra: dict[str, Column] | None = None
-) -> DataFrame:
-    """Distinct values of ``value`` per group with their number of rows, in slices and written.
+@dataclass(frozen=True)
+class CountedValues:
+    """Distinct values per group with their counts and running counts.
 
-    Equal values are combined before the shuffle. ``extra`` adds further aggregates per value, so
-    that reports can be finished from this table without another pass over the rows.
+    ``table`` has the keys, ``_value``, ``_n`` (rows with the value), ``_rn`` and ``_upto`` (values
+    and rows up to it in its slice), ``_rows`` (rows of the group in the slice) and the slice.
     """
-    counted = df.groupBy(*keys, F.col(value).alias("_value")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[measure.alias(name) for name, measure in (extra or {}).items()],
+
+    table: DataFrame
+    keys: list[str]
+    is_cut: bool
+
+
+def counted_values(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    extra: dict[str, Column] | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> CountedValues:
+    """Count equal values per group, before any shuffle, and order them within the group.
+
+    ``extra`` adds further aggregates per value, so that reports can be finished from this table
+    without another pass over the rows.
+    """
+    keys = list(keys)
+    counted = written(
+        df.groupBy(*keys, F.col(value).alias("_value")).agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[measure.alias(name) for name, measure in (extra or {}).items()],
+        ),
+        "counts",
     )
     order = [("_value", "asc")]
-    upto = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return written(
-        _sliced(counted, keys, order)
-        .withColumn("_rn", F.row_number().over(_window(keys, order)))
-        .withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_rows", F.sum("_n").over(_window(keys))),
-        "values",
-    )
 
+    def running(part: DataFrame) -> DataFrame:
+        upto = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return part.select(
+            "*",
+            F.row_number().over(_window(keys, order)).alias("_rn"),
+            F.sum("_n").over(upto).alias("_upto"),
+            F.sum("_n").over(_window(keys)).alias("_rows"),
+        )
+
+    ordinary, hot = _split_hot(counted, keys, hot_rows)
+    if ordinary is not None:
+        ordinary = running(ordinary.withColumn(SLICE, F.lit(-1)))
+    if hot is not None:
+        hot = written(running(_sliced(hot, keys, order)), "values")
+    return CountedValues(_both(ordinary, hot), keys, hot is not None)
 
-def _with_positions(laid: DataFrame, keys: Sequence[str]) -> DataFrame:
+
+def _with_positions(values: CountedValues) -> DataFrame:
     """Add the first and last 0-based position of each value in its group, the rank of the value
     among the distinct ones, and the size of the group."""
-    slices = (
-        _cut_groups(laid, laid.where(F.col("_rn") == 1), keys)
-        .groupBy(SLICE, *keys)
-        .agg(F.sum("_n").alias("_slice_rows"), F.count(F.lit(1)).alias("_slice_values"))
-    )
-    along = Window.partitionBy(*keys)
-    earlier = along.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    edges = slices.select(
-        SLICE,
-        *keys,
-        F.sum("_slice_rows").over(earlier).alias("_rows_before"),
-        F.sum("_slice_values").over(earlier).alias("_values_before"),
-        F.sum("_slice_rows").over(along).alias("_group_rows"),
-    )
+    laid, keys = values.table, values.keys
+    none = F.lit(None).cast("bigint")
+    if values.is_cut:
+        slices = (
+            _cut_groups(laid, laid.where(F.col("_rn") == 1), keys)
+            .groupBy(SLICE, *keys)
+            .agg(F.sum("_n").alias("_slice_rows"), F.count(F.lit(1)).alias("_slice_values"))
+        )
+        along = Window.partitionBy(*keys)
+        earlier = along.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        edges = slices.select(
+            SLICE,
+            *keys,
+            F.sum("_slice_rows").over(earlier).alias("_rows_before"),
+            F.sum("_slice_values").over(earlier).alias("_values_before"),
+            F.sum("_slice_rows").over(along).alias("_group_rows"),
+        )
+        laid = _corrected(laid, edges, keys)
+    else:
+        laid = laid.withColumns(
+            {"_rows_before": none, "_values_before": none, "_group_rows": none}
+        )
     zero = F.lit(0).cast("bigint")
     return (
-        _corrected(laid, edges, keys)
-        .withColumn("_last", F.coalesce(F.col("_rows_before"), zero) + F.col("_upto") - 1)
+        laid.withColumn("_last", F.coalesce(F.col("_rows_before"), zero) + F.col("_upto") - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
         .withColumn("_dense", F.coalesce(F.col("_values_before"), zero) + F.col("_rn"))
         .withColumn("_total", F.coalesce(F.col("_group_rows"), F.col("_rows")))
     )
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, way: str = "asc") -> DataFrame:
+def value_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, way: str = "asc", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Rank and dense rank of each distinct value per group: (keys, value, rank, dense_rank).
 
     For ranks without a row number this moves only keys and values, not the rows. NULL comes first
     in rising and last in falling order; join back with a null-safe comparison.
     """
-    placed = _with_positions(counted_values(df, keys, value), keys)
+    placed = _with_positions(counted_values(df, keys, value, hot_rows=hot_rows))
     if way == "asc":
         rank, dense = F.col("_first") + 1, F.col("_dense")
     else:
@@ -277,14 +390,12 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, way: str = "asc"
     )
 
 
-def percentiles_of(
-    laid: DataFrame, keys: Sequence[str], quantiles: dict[str, float]
-) -> DataFrame:
+def percentiles_of(values: CountedValues, quantiles: dict[str, float]) -> DataFrame:
     """Percentiles with linear interpolation at (n - 1) * q from ``counted_values``.
 
     Only the few values that cover a wanted position reach the last aggregation.
     """
-    placed = _with_positions(laid, keys)
+    placed, keys = _with_positions(values), values.keys
 
     def covers(position: Column) -> Column:
         return (F.col("_first") <= position) & (position <= F.col("_last"))
@@ -305,13 +416,16 @@ def percentiles_of(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: dict[str, float],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact percentiles, one row per group.
 
     ``percentile`` keeps the value counts of a whole group in one task's memory; here the counted
-    values are ranked slice by slice.
+    values are ordered, slice by slice where a group has too many of them.
     """
-    return percentiles_of(
-        counted_values(df.where(F.col(value).isNotNull()), keys, value), keys, quantiles
-    )
+    present = df.where(F.col(value).isNotNull())
+    return percentiles_of(counted_values(present, keys, value, hot_rows=hot_rows), quantiles)

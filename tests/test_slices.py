@@ -33,10 +33,15 @@ def rows(spark):
     return spark.createDataFrame(data, "id int, g int, v int").repartition(5).cache()
 
 
+# All groups hot, one group hot, no group hot.
+hot_limits = pytest.mark.parametrize("hot_rows", [0, 500, 10**6])
+
+
+@hot_limits
 @pytest.mark.parametrize("keys", [[], ["g"]])
 @pytest.mark.parametrize("way", ["asc", "desc"])
-def test_ranks(rows, keys, way):
-    got = slices.with_ranks(rows, keys, [("v", way)], [("id", "asc")])
+def test_ranks(rows, keys, way, hot_rows):
+    got = slices.with_ranks(rows, keys, [("v", way)], [("id", "asc")], hot_rows=hot_rows)
     order = F.col("v").asc_nulls_first() if way == "asc" else F.col("v").desc_nulls_last()
     w = Window.partitionBy(*keys)
     want = rows.select(
@@ -57,17 +62,20 @@ def test_slices_are_used(spark, rows):
     assert hot > 1
 
 
+@pytest.mark.parametrize("hot_rows", [0, 150, 10**6])
 @pytest.mark.parametrize("way", ["asc", "desc"])
-def test_value_ranks(rows, way):
+def test_value_ranks(rows, way, hot_rows):
     order = F.col("v").asc_nulls_first() if way == "asc" else F.col("v").desc_nulls_last()
     w = Window.partitionBy("g").orderBy(order)
     want = rows.select("g", "v", F.rank().over(w), F.dense_rank().over(w)).distinct()
-    got = slices.value_ranks(rows, ["g"], "v", way)
+    got = slices.value_ranks(rows, ["g"], "v", way, hot_rows)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_neighbours(rows):
-    got = slices.with_neighbours(rows, ["g"], [("v", "asc"), ("id", "asc")], "v")
+@hot_limits
+def test_neighbours(rows, hot_rows):
+    order = [("v", "asc"), ("id", "asc")]
+    got = slices.with_neighbours(rows, ["g"], order, "v", hot_rows)
     w = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first(), "id")
     want = rows.select(
         "*", F.lag("v").over(w), F.lead("v").over(w),
@@ -76,9 +84,10 @@ def test_neighbours(rows):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_percentiles(rows):
+@pytest.mark.parametrize("hot_rows", [0, 150, 10**6])
+def test_percentiles(rows, hot_rows):
     quantiles = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r["g"]: r for r in slices.exact_percentiles(rows, ["g"], "v", quantiles).collect()}
+    got = {r["g"]: r for r in slices.exact_percentiles(rows, ["g"], "v", quantiles, hot_rows).collect()}
     groups: dict[int, list[int]] = {}
     for r in rows.collect():
         if r["v"] is not None:
