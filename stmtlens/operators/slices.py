@@ -283,7 +283,8 @@ class CountedValues:
     """Distinct values per group with their counts and running counts.
 
     ``table`` has the keys, ``_value``, ``_n`` (rows with the value), ``_rn`` and ``_upto`` (values
-    and rows up to it in its slice), ``_rows`` (rows of the group in the slice) and the slice.
+    and rows up to it in its slice), ``_rows`` and ``_values`` (rows and values of the group in the
+    slice) and the slice.
     """
 
     table: DataFrame
@@ -320,6 +321,7 @@ def counted_values(
             F.row_number().over(_window(keys, order)).alias("_rn"),
             F.sum("_n").over(upto).alias("_upto"),
             F.sum("_n").over(_window(keys)).alias("_rows"),
+            F.count(F.lit(1)).over(_window(keys)).alias("_values"),
         )
 
     ordinary, hot = _split_hot(counted, keys, hot_rows)
@@ -349,18 +351,19 @@ def _with_positions(values: CountedValues) -> DataFrame:
             F.sum("_slice_rows").over(earlier).alias("_rows_before"),
             F.sum("_slice_values").over(earlier).alias("_values_before"),
             F.sum("_slice_rows").over(along).alias("_group_rows"),
+            F.sum("_slice_values").over(along).alias("_group_values"),
         )
         laid = _corrected(laid, edges, keys)
     else:
-        laid = laid.withColumns(
-            {"_rows_before": none, "_values_before": none, "_group_rows": none}
-        )
+        corrections = ["_rows_before", "_values_before", "_group_rows", "_group_values"]
+        laid = laid.withColumns({name: none for name in corrections})
     zero = F.lit(0).cast("bigint")
     return (
         laid.withColumn("_last", F.coalesce(F.col("_rows_before"), zero) + F.col("_upto") - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
         .withColumn("_dense", F.coalesce(F.col("_values_before"), zero) + F.col("_rn"))
         .withColumn("_total", F.coalesce(F.col("_group_rows"), F.col("_rows")))
+        .withColumn("_total_values", F.coalesce(F.col("_group_values"), F.col("_values")))
     )
 
 
@@ -376,14 +379,11 @@ def value_ranks(
     if way == "asc":
         rank, dense = F.col("_first") + 1, F.col("_dense")
     else:
-        # Counted from the other end: the distinct values in all are the highest dense rank.
-        values = placed.groupBy(*keys).agg(F.max("_dense").alias("_all"))
-        values = values.withColumnsRenamed({k: f"_v_{k}" for k in keys})
-        same = [placed[k].eqNullSafe(values[f"_v_{k}"]) for k in keys]
-        placed = placed.join(values, same)
-        rank, dense = F.col("_total") - F.col("_last"), F.col("_all") - F.col("_dense") + 1
+        # Counted from the other end.
+        rank = F.col("_total") - F.col("_last")
+        dense = F.col("_total_values") - F.col("_dense") + 1
     return placed.select(
-        *[placed[k] for k in keys],
+        *keys,
         F.col("_value").alias(value),
         rank.alias("rank"),
         dense.alias("dense_rank"),

@@ -21,10 +21,13 @@ WHOLE_FILE_LIMIT = 64 * 1024 * 1024
 BROADCAST_FILES = 100_000
 
 
-def local_path(path: Column) -> Column:
-    """A scan's file path as written: ``file:///a%20b`` is ``/a b``; other schemes are kept."""
+def local_path(path: Column, relative_to: str = "") -> Column:
+    """A scan's file path as written: ``file:///a%20b`` is ``/a b``; other schemes are kept.
+
+    ``relative_to`` is a folder; paths below it are given relative to it.
+    """
     decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, "^file:/+", "/")
+    return tx.relative_label(F.regexp_replace(decoded, "^file:/+", "/"), relative_to)
 
 
 def is_directory(spark: SparkSession, path: str) -> bool:
@@ -52,20 +55,20 @@ def with_file_identity(statements: DataFrame, input_ordinal: int = 0) -> DataFra
     )
 
 
-def whole_scripts(texts: DataFrame) -> DataFrame:
+def whole_scripts(texts: DataFrame, relative_to: str = "") -> DataFrame:
     """Path and text of files read as one value each."""
     return texts.select(
-        local_path(F.col("_metadata.file_path")).alias("source_path"),
+        local_path(F.col("_metadata.file_path"), relative_to).alias("source_path"),
         _unified_newlines(F.col("value")).alias("script_text"),
     )
 
 
-def _small_scripts(reader, paths: list[str], limit: int) -> DataFrame:
+def _small_scripts(reader, paths: list[str], limit: int, relative_to: str) -> DataFrame:
     texts = reader.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= limit)
-    return split_statements(whole_scripts(texts))
+    return split_statements(whole_scripts(texts, relative_to))
 
 
-def _large_scripts(reader, paths: list[str], limit: int) -> DataFrame:
+def _large_scripts(reader, paths: list[str], limit: int, relative_to: str) -> DataFrame:
     """Records of a big file arrive already cut at ``;`` and split over many tasks.
 
     Statements are numbered inside each file block (at most one block per group), then shifted by
@@ -76,7 +79,7 @@ def _large_scripts(reader, paths: list[str], limit: int) -> DataFrame:
         .text(paths)
         .where(F.col("_metadata.file_size") > limit)
         .select(
-            local_path(F.col("_metadata.file_path")).alias("source_path"),
+            local_path(F.col("_metadata.file_path"), relative_to).alias("source_path"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_order"),
             tx.strip(_unified_newlines(F.col("value"))).alias("query_text"),
@@ -108,7 +111,8 @@ def _large_scripts(reader, paths: list[str], limit: int) -> DataFrame:
 
 
 def _scripts(
-    spark: SparkSession, paths: Sequence[str], pattern: str | None, input_ordinal: int, limit: int
+    spark: SparkSession, paths: Sequence[str], pattern: str | None, input_ordinal: int, limit: int,
+    relative_to: str,
 ) -> DataFrame:
     def reader():
         plain = spark.read
@@ -117,29 +121,29 @@ def _scripts(
         return plain
 
     paths = list(paths)
-    statements = _small_scripts(reader(), paths, limit).unionByName(
-        _large_scripts(reader(), paths, limit)
+    statements = _small_scripts(reader(), paths, limit, relative_to).unionByName(
+        _large_scripts(reader(), paths, limit, relative_to)
     )
     return with_file_identity(statements, input_ordinal)
 
 
 def sql_dirs(
     spark: SparkSession, paths: Sequence[str], pattern: str = "*.sql", input_ordinal: int = 0,
-    whole_file_limit: int = WHOLE_FILE_LIMIT,
+    whole_file_limit: int = WHOLE_FILE_LIMIT, relative_to: str = "",
 ) -> DataFrame:
     """Statements of every matching file below the directories."""
-    return _scripts(spark, paths, pattern, input_ordinal, whole_file_limit)
+    return _scripts(spark, paths, pattern, input_ordinal, whole_file_limit, relative_to)
 
 
 def sql_files(
     spark: SparkSession, paths: Sequence[str], input_ordinal: int = 0,
-    whole_file_limit: int = WHOLE_FILE_LIMIT,
+    whole_file_limit: int = WHOLE_FILE_LIMIT, relative_to: str = "",
 ) -> DataFrame:
     """Statements of the named files, whatever their extension."""
-    return _scripts(spark, paths, None, input_ordinal, whole_file_limit)
+    return _scripts(spark, paths, None, input_ordinal, whole_file_limit, relative_to)
 
 
-def position_in_file(df: DataFrame) -> DataFrame:
+def position_in_file(df: DataFrame, relative_to: str = "") -> DataFrame:
     """Add ``source_path`` and ``_position``, the 0-based record number within the file.
 
     For formats that keep a file in one task: there the running ids of a file are consecutive, so
@@ -157,14 +161,14 @@ def position_in_file(df: DataFrame) -> DataFrame:
     return (
         numbered.join(starts, F.col("source_path") == F.col("_file"))
         .withColumn("_position", F.col("_id") - F.col("_start"))
-        .withColumn("source_path", local_path(F.col("source_path")))
+        .withColumn("source_path", local_path(F.col("source_path"), relative_to))
         .drop("_id", "_start", "_file")
     )
 
 
 def _csv(
     spark: SparkSession, paths: Sequence[str], column: str, delimiter: str, recursive: bool,
-    input_ordinal: int,
+    input_ordinal: int, relative_to: str,
 ) -> DataFrame:
     reader = (
         spark.read.option("header", True)
@@ -180,7 +184,9 @@ def _csv(
     table = reader.csv(list(paths))
     if column not in table.columns:
         raise ValueError(f"column {column!r} not found; available: {', '.join(table.columns)}")
-    cells = position_in_file(table.select(F.col(f"`{column}`").alias("script_text"), "_metadata"))
+    cells = position_in_file(
+        table.select(F.col(f"`{column}`").alias("script_text"), "_metadata"), relative_to
+    )
     located = cells.select(
         "source_path", (F.col("_position") + 2).alias("row_number"), "script_text"
     ).where(tx.strip(F.coalesce("script_text", F.lit(""))) != "")
@@ -201,21 +207,22 @@ def _csv(
 
 
 def csv_column(
-    spark: SparkSession, spec: str, delimiter: str = ",", input_ordinal: int = 0
+    spark: SparkSession, spec: str, delimiter: str = ",", input_ordinal: int = 0,
+    relative_to: str = "",
 ) -> DataFrame:
     """Statements of one CSV column; ``spec`` is ``PATH:COLUMN``, cut at the first colon."""
     path, colon, column = spec.partition(":")
     if not colon:
         raise ValueError("a CSV spec has the form PATH:COLUMN")
-    return _csv(spark, [path], column, delimiter, False, input_ordinal)
+    return _csv(spark, [path], column, delimiter, False, input_ordinal, relative_to)
 
 
 def csv_dirs(
     spark: SparkSession, paths: Sequence[str], column: str, delimiter: str = ",",
-    input_ordinal: int = 0,
+    input_ordinal: int = 0, relative_to: str = "",
 ) -> DataFrame:
     """Statements of the same column in every ``*.csv`` below the directories."""
-    return _csv(spark, paths, column, delimiter, True, input_ordinal)
+    return _csv(spark, paths, column, delimiter, True, input_ordinal, relative_to)
 
 
 def all_inputs(
@@ -226,24 +233,26 @@ def all_inputs(
     csv_directories: Sequence[str] = (),
     csv_dir_column: str | None = None,
     delimiter: str = ",",
+    relative_to: str = "",
 ) -> DataFrame:
     """All inputs in the order files, directories, CSV specs, CSV directories; nothing is dropped.
 
     ``input_ordinal`` keeps the order of the inputs; inside one input the order is
     (source_path, row_number, stmt_index). A directory among ``files`` is searched like ``dirs``.
+    Paths below the folder ``relative_to`` are given relative to it.
     """
     if csv_directories and not csv_dir_column:
         raise ValueError("csv_dir_column is required with csv_directories")
     parts: list[DataFrame] = []
     for path in files:
         load = sql_dirs if is_directory(spark, path) else sql_files
-        parts.append(load(spark, [path], input_ordinal=len(parts)))
+        parts.append(load(spark, [path], input_ordinal=len(parts), relative_to=relative_to))
     for path in dirs:
-        parts.append(sql_dirs(spark, [path], input_ordinal=len(parts)))
+        parts.append(sql_dirs(spark, [path], input_ordinal=len(parts), relative_to=relative_to))
     for spec in csv_specs:
-        parts.append(csv_column(spark, spec, delimiter, len(parts)))
+        parts.append(csv_column(spark, spec, delimiter, len(parts), relative_to))
     for path in csv_directories:
-        parts.append(csv_dirs(spark, [path], csv_dir_column, delimiter, len(parts)))
+        parts.append(csv_dirs(spark, [path], csv_dir_column, delimiter, len(parts), relative_to))
     if not parts:
         raise ValueError("no input given")
     combined = parts[0]

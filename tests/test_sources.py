@@ -97,6 +97,12 @@ def test_all_inputs_keep_order_and_repeats(spark, tmp_path):
     assert rows(got, "input_ordinal", "query_text") == [
         (0, "S1"), (1, "S1"), (2, "S1"), (3, "C1"), (4, "C1"),
     ]
+    near = files.all_inputs(
+        spark, files=[sql], csv_specs=[f"{csv}:t"], relative_to=str(tmp_path)
+    )
+    assert rows(near, "identifier", "source_path") == [
+        ("one.sql:1", "one.sql"), ("q.csv:row2:stmt1", "q.csv"),
+    ]
     with pytest.raises(ValueError):
         files.all_inputs(spark, csv_directories=["x"])
     with pytest.raises(ValueError):
