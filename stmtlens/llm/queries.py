@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlens.llm import quality
+import public_tokenizers
+
+from stmtlens.llm import fingerprints, packing, quality, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(documents(spark, sf_dir))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = packing.pack(documents(spark, sf_dir), path, end_id=1, length=2048)
+    return packing.checked(found)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(documents(spark, sf_dir)))
+
+
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 SQL_OP1 = f"""
@@ -60,5 +76,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM judged
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_packing": op3_packing,
+    "op8_secrets": op8_secrets,
+}
 SQL = {"op1_quality_rules": SQL_OP1}
