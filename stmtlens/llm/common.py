@@ -32,10 +32,10 @@ def block_count(spark: SparkSession) -> int:
     return BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_of(id_col: str, text_col: str, blocks: int) -> Column:
+def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
     """All rows of one id lie in one block; rows without an id are spread by their text."""
     return F.pmod(
-        F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col)),
+        F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id)),
         F.lit(blocks),
     ).cast("int")
 
@@ -45,7 +45,7 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     blocks = block_count(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")
-    ).withColumn("block", block_of("doc_id", "text", blocks))
+    ).withColumn("block", block_of(F.col("doc_id"), F.col("text"), blocks))
 
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

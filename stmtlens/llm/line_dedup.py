@@ -14,8 +14,6 @@ from the remaining documents at once.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtlens.llm.common import BLANKS, block_count, in_blocks, runs, table
+from stmtlens.llm.common import BLANKS, block_count, block_of, in_blocks, runs, table
 from stmtlens.llm.cuckoo import CuckooFilter
 
 LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -178,22 +176,12 @@ def rewritten(
     """
 
     def rewrite(own: pa.Table, found: pa.Table) -> pa.Table:
-        keeper = dict(zip(found["key"].to_pylist(), found["keeper"].to_pylist()))
-        columns: dict[str, list] = {name: [] for name in _REWRITTEN.names}
-        for doc_id, text in zip(own["doc_id"].to_pylist(), own["text"].to_pylist()):
-            lines = text.split("\n")
-            if keeper:
-                keys = line_keys(text, limits)
-                stays = [
-                    key not in keeper or keeper[key] is None or keeper[key] == doc_id for key in keys
-                ]
-                kept = [line for line, stay in zip(lines, stays) if stay]
-            else:
-                kept = lines
-            columns["doc_id"].append(doc_id)
-            columns["n_lines"].append(len(lines))
-            columns["n_dropped"].append(len(lines) - len(kept))
-            columns["kept_text"].append("\n".join(kept))
+        columns: dict[str, list] = {"doc_id": own["doc_id"].to_pylist()}
+        texts = own["text"].to_pylist()
+        left = _kept_lines(columns["doc_id"], texts, found, limits)
+        columns["n_lines"] = [text.count("\n") + 1 for text in texts]
+        columns["n_dropped"] = [n - len(kept) for n, kept in zip(columns["n_lines"], left)]
+        columns["kept_text"] = ["\n".join(kept) for kept in left]
         return table(columns, _REWRITTEN)
 
     return (
@@ -204,6 +192,18 @@ def rewritten(
     )
 
 
+def _kept_lines(ids: list, texts: list[str], found: pa.Table, limits: Limits) -> list[list[str]]:
+    keeper = dict(zip(found["key"].to_pylist(), found["keeper"].to_pylist()))
+    left = []
+    for doc_id, text in zip(ids, texts):
+        lines = text.split("\n")
+        if keeper:
+            owners = [keeper.get(key) for key in line_keys(text, limits)]
+            lines = [x for x, owner in zip(lines, owners) if owner is None or owner == doc_id]
+        left.append(lines)
+    return left
+
+
 _REWRITTEN = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -224,6 +224,35 @@ def dedup(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", text_col=
     return rewritten(docs, decisions(refs, limits), limits, id_col, text_col)
 
 
+def with_kept_text(
+    docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", text_col="text"
+) -> DataFrame:
+    """``docs`` with the text of each row deduplicated, all its columns kept; null texts stay null."""
+    blocks = block_count(docs.sparkSession)
+    names, own_block = docs.columns, "_block"
+    dealt = docs.withColumn(
+        own_block, block_of(F.col(id_col).cast("long"), F.coalesce(text_col, F.lit("")), blocks)
+    )
+    refs = references(docs, limits, id_col, text_col)
+
+    def rewrite(own: pa.Table, found: pa.Table) -> pa.Table:
+        own = own.select(names)
+        texts = own[text_col].to_pylist()
+        left = _kept_lines(
+            own[id_col].cast(pa.int64()).to_pylist(), [x or "" for x in texts], found, limits
+        )
+        new = [None if x is None else "\n".join(kept) for x, kept in zip(texts, left)]
+        at = own.schema.get_field_index(text_col)
+        return own.set_column(at, own.schema.field(at), pa.array(new, own.schema.field(at).type))
+
+    decided = decisions(refs, limits).withColumnRenamed("block", own_block)
+    return (
+        dealt.groupBy(own_block)
+        .cogroup(decided.groupBy(own_block))
+        .applyInArrow(rewrite, docs.schema)
+    )
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")

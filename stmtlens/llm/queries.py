@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from stmtlens.llm import fingerprints, packing, quality, secrets
+from stmtlens.llm import (
+    ctw,
+    fingerprints,
+    language,
+    line_dedup,
+    packing,
+    quality,
+    secrets,
+    sentence_pieces,
+    simhash,
+    superkmers,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +46,37 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.checked(found)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup(documents(spark, sf_dir)))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_predictions(documents(spark, sf_dir))
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.held_out_scores(documents(spark, sf_dir))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(documents(spark, sf_dir)).select(
+        "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.digests(superkmers.drop_repeats(documents(spark, sf_dir), size=13))
+
+
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentence_pieces.digests(sentence_pieces.encode_decode(documents(spark, sf_dir), path))
+
+
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 SQL_OP1 = f"""
@@ -76,10 +114,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM judged
 """
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL_OP4 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), each AS (
+  SELECT r, doc_id, i, lines[i] AS line,
+         translate(trim(lines[i], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs)
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM each WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -r)) >= 3
+), judged AS (
+  SELECT each.*, repeated.key IS NOT NULL AND keeper IS NOT NULL
+                 AND doc_id IS DISTINCT FROM keeper AS gone
+  FROM each LEFT JOIN repeated ON each.key = repeated.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r
+"""
+
+_WINDOW = " || ' ' || ".join(["w[i]", *[f"w[i + {k}]" for k in range(1, 13)]])
+
+SQL_OP9 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents
+), wins AS (
+  SELECT r, doc_id, i, {_WINDOW} AS k
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i
+        FROM docs WHERE len(w) >= 13 AND doc_id IS NOT NULL)
+), repeats AS (
+  SELECT r, i FROM wins QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id
+), gone AS (
+  SELECT DISTINCT r, i + unnest(range(0, 13)) AS i FROM repeats
+), words AS (
+  SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs
+), kept AS (
+  SELECT words.r, count(gone.r) AS n_removed,
+         string_agg(word, ' ' ORDER BY words.i) FILTER (gone.r IS NULL) AS kept
+  FROM words LEFT JOIN gone ON words.r = gone.r AND words.i = gone.i GROUP BY words.r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_fingerprints": op2_fingerprints,
-    "op3_packing": op3_packing,
-    "op8_secrets": op8_secrets,
+    query.__name__: query
+    for query in (
+        op1_quality_rules, op2_fingerprints, op3_packing, op4_line_dedup, op5_language,
+        op6_lm_scores, op7_simhash, op8_secrets, op9_substring_dedup, op10_sentence_pieces,
+    )
+}
+SQL = {
+    "op1_quality_rules": SQL_OP1, "op4_line_dedup": SQL_OP4, "op9_substring_dedup": SQL_OP9,
 }
-SQL = {"op1_quality_rules": SQL_OP1}
