@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from stmtlens.llm.common import BLANKS, block_count, block_of, in_blocks, runs, table
 from stmtlens.llm.cuckoo import CuckooFilter
 
-LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 KEY_BYTES = 16
 ROWS_AT_ONCE = 1 << 15
 
@@ -46,7 +45,7 @@ def line_keys(text: str, limits: Limits) -> list[bytes | None]:
         if len(bare) < limits.least_chars:
             found.append(None)
         else:
-            found.append(digest(bare.translate(LETTERS).encode()))
+            found.append(digest(bare.encode().lower()))  # of bytes: A to Z alone
     return found
 
 
