@@ -27,9 +27,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCKS_PER_PARTITION = 4
 
 
-def block_count(spark: SparkSession) -> int:
+def block_count(spark: SparkSession, per_partition: int = BLOCKS_PER_PARTITION) -> int:
     """Blocks follow ``spark.sql.shuffle.partitions``, which a user sets by the size of the data."""
-    return BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
@@ -40,9 +40,14 @@ def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
     ).cast("int")
 
 
-def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_blocks(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    per_partition: int = BLOCKS_PER_PARTITION,
+) -> DataFrame:
     """Columns ``doc_id`` (long), ``text`` (null: empty) and ``block``; other columns are left out."""
-    blocks = block_count(docs.sparkSession)
+    blocks = block_count(docs.sparkSession, per_partition)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")
     ).withColumn("block", block_of(F.col("doc_id"), F.col("text"), blocks))

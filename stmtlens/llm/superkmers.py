@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from stmtlens.llm.common import block_count, in_blocks, runs, table
 
 TRIPLE = 3
+# A block sends at most one row to each bucket, so rows grow with the product of both numbers (and
+# never beyond the number of super-k-mers): fewer and larger ones than elsewhere.
+PER_PARTITION = 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -308,8 +311,8 @@ def drop_repeats(
     nothing. Rows that repeat an id are one document. Documents without an id neither lose words
     nor cause others to. An empty table gives no rows.
     """
-    buckets = block_count(docs.sparkSession)
-    dealt = in_blocks(docs, id_col, text_col)
+    buckets = block_count(docs.sparkSession, PER_PARTITION)
+    dealt = in_blocks(docs, id_col, text_col, PER_PARTITION)
     sent = dealt.groupBy("block").applyInArrow(lambda rows: _send(rows, size, buckets), SENT)
     answers = sent.groupBy("bucket").applyInArrow(lambda rows: _count(rows, size), ANSWER)
     return (
