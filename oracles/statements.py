@@ -499,9 +499,11 @@ SQL = {
         """SELECT 2 AS phase, 'dataFlowInfo' AS aspect_name, COUNT(DISTINCT flow_urn) AS n, COUNT(DISTINCT flow_urn) AS entities FROM records
         UNION ALL SELECT 3, a, COUNT(*), COUNT(DISTINCT job_urn) FROM records, (VALUES ('dataJobInfo'), ('dataJobInputOutput')) v(a) GROUP BY a"""
     ),
-    "sink_ctas": """SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total_amount FROM orders WHERE o_custkey % 50 <> 49""",
+    "sink_ctas": """SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total_amount FROM orders""",
     "sink_insert": """SELECT c_custkey AS customer_id, c_name AS customer_name, concat('c', CAST(c_custkey AS VARCHAR), '@example.com') AS email, 'ACTIVE' AS status
-        FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, c_name, NULL, NULL FROM customer""",
-    "sink_view": """SELECT c.c_custkey AS customer_id, c.c_name AS customer_name, o.o_orderkey AS order_id FROM customer c
-        LEFT JOIN (SELECT * FROM orders WHERE o_custkey % 50 <> 49) o ON c.c_custkey = o.o_custkey""",
+        FROM (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+  UNION ALL SELECT s_suppkey + 10000000000, s_name, s_nationkey, s_acctbal, 'HOUSEHOLD' FROM supplier) WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, c_name, NULL, NULL FROM customer""",
+    "sink_view": """SELECT c.c_custkey AS customer_id, c.c_name AS customer_name, o.o_orderkey AS order_id FROM (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+  UNION ALL SELECT s_suppkey + 10000000000, s_name, s_nationkey, s_acctbal, 'HOUSEHOLD' FROM supplier) c
+        LEFT JOIN orders o ON c.c_custkey = o.o_custkey""",
 }

@@ -7,7 +7,7 @@ VIEWS = {
 SELECT o_orderkey AS order_id, o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS order_date,
   CAST(o_totalprice AS DECIMAL(15,2)) AS total_amount,
   CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'OPEN' ELSE 'CANCELLED' END AS status
-FROM orders WHERE o_custkey % 50 <> 49""",
+FROM orders""",
     "customers": """
 SELECT c.c_custkey AS customer_id, c.c_name AS customer_name,
   concat('c', CAST(c.c_custkey AS VARCHAR), '@example.com') AS email,
@@ -20,7 +20,8 @@ SELECT c.c_custkey AS customer_id, c.c_name AS customer_name,
   concat('{"source":"src', CAST(c.c_custkey % 4 AS VARCHAR), '"}') AS metadata,
   concat('<customer><preferences><email_opt_in>', CASE WHEN c.c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, '</email_opt_in></preferences><address><city>City', CAST(c.c_nationkey AS VARCHAR), '</city><country>C', CAST(c.c_nationkey % 5 AS VARCHAR), '</country></address></customer>') AS customer_data,
   concat(lower(c.c_mktsegment), ',tag', CAST(c.c_custkey % 5 AS VARCHAR)) AS tags_csv
-FROM customer c LEFT JOIN (SELECT customer_id, SUM(total_amount) AS total_spent, MAX(order_date) AS last_order_date, COUNT(*) AS order_count FROM orders_v GROUP BY customer_id) a ON c.c_custkey = a.customer_id""",
+FROM (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+  UNION ALL SELECT s_suppkey + 10000000000, s_name, s_nationkey, s_acctbal, 'HOUSEHOLD' FROM supplier) c LEFT JOIN (SELECT customer_id, SUM(total_amount) AS total_spent, MAX(order_date) AS last_order_date, COUNT(*) AS order_count FROM orders_v GROUP BY customer_id) a ON c.c_custkey = a.customer_id""",
     "order_items": """
 SELECT l_orderkey * 10 + l_linenumber AS order_item_id, l_orderkey AS order_id, l_partkey AS product_id,
   CAST(l_quantity AS INTEGER) AS quantity, CAST(l_extendedprice AS DECIMAL(15,2)) AS unit_price FROM lineitem""",

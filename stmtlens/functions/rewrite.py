@@ -46,10 +46,6 @@ def generalized(text: Column) -> Column:
     return strip(F.regexp_replace(no_numbers, r"\s+", " "))
 
 
-def fingerprint(text: Column) -> Column:
-    return F.sha2(F.encode(F.lower(generalized(text)), "UTF-8"), 256)
-
-
 PROCEDURE_HEADER = r"(?is)^(?:CREATE|REPLACE)\s+PROCEDURE\b.*?\bBEGIN\b\s*"
 CONTROL_PREFIX = r"(?is)^(?:(?:BEGIN|ELSE|(?:ELSE)?IF\b.*?\bTHEN)\s+)+"
 

@@ -31,8 +31,13 @@ def with_inferred_type(statements: DataFrame, text: str = "query_text") -> DataF
 
 
 def flattened_payload(payload: DataFrame) -> DataFrame:
-    """Parser answers as flat columns; absent lists become empty ones."""
+    """Parser answers as flat columns; absent lists become empty ones.
+
+    The type label comes from the first spelling of its key that has a usable value.
+    """
     no_lineage = F.array().cast(schemas.COLUMN_LINEAGE)
+    spellings = [F.col(name) for name in schemas.TYPE_KEYS if name in payload.columns]
+    usable = [F.when(tx.type_label(label).isNotNull(), label) for label in spellings]
     return payload.select(
         "identifier",
         lin.as_list(F.col("in_tables")).alias("upstreams"),
@@ -40,9 +45,9 @@ def flattened_payload(payload: DataFrame) -> DataFrame:
         lin.as_list(F.col("column_lineage"), no_lineage).alias("column_lineage"),
         F.nullif(F.col("debug_info.error"), F.lit("")).alias("parser_error"),
         F.col("debug_info.confidence").alias("confidence"),
-        tx.reported_type(F.col("queryType"), F.col("query_type")).alias(
-            "parser_statement_type"
-        ),
+        tx.reported_type(*spellings).alias("parser_statement_type"),
+        F.coalesce(*usable).alias("raw_query_type"),
+        F.col("debug_info.table_error").alias("table_error"),
         "query_fingerprint",
         "timing_ms",
         F.col("error").alias("rpc_error"),
@@ -58,6 +63,7 @@ def outcomes(statements: DataFrame, payload: DataFrame) -> DataFrame:
     answers = flattened_payload(payload).withColumnRenamed("identifier", "_identifier")
     typed = with_inferred_type(statements)
     joined = typed.join(answers, typed["identifier"] == answers["_identifier"], "left")
+    joined = joined.withColumn("answered", F.col("_identifier").isNotNull())
     return with_outcome_columns(joined.drop("_identifier"))
 
 
@@ -68,9 +74,12 @@ def succeeded(rpc_error: Column, parser_error: Column) -> Column:
 def with_outcome_columns(df: DataFrame) -> DataFrame:
     """Derive type, edges and flags of statements that already carry their parser answer.
 
-    A statement whose remote call failed has no answer: its lists are empty and its type comes from
-    the text.
+    A statement whose remote call failed has no lineage: its lists are empty and its type comes from
+    the text. A statement that nothing is known about (``answered`` is false) neither succeeded nor
+    failed: ``succeeded`` and ``timing_ms`` are NULL and it has no flags.
     """
+    if "answered" not in df.columns:
+        df = df.withColumn("answered", F.lit(True))
     if "inferred_type" not in df.columns:
         df = with_inferred_type(df)
     answered = tx.is_blank(F.col("rpc_error"))
@@ -90,7 +99,9 @@ def with_outcome_columns(df: DataFrame) -> DataFrame:
                 "column_lineage": lin.as_list(if_answered("column_lineage"), no_lineage),
                 "parser_error": if_answered("parser_error"),
                 "parser_statement_type": if_answered("parser_statement_type"),
-                "timing_ms": F.coalesce(F.col("timing_ms"), F.lit(0.0)),
+                "timing_ms": F.when(
+                    F.col("answered"), F.coalesce(F.col("timing_ms"), F.lit(0.0))
+                ),
             }
         )
         .withColumns(
@@ -99,17 +110,22 @@ def with_outcome_columns(df: DataFrame) -> DataFrame:
                 "self_referential": lin.is_self_referential(
                     F.col("upstreams"), F.col("downstreams")
                 ),
-                "succeeded": succeeded(F.col("rpc_error"), F.col("parser_error")),
+                "succeeded": F.when(
+                    F.col("answered"), succeeded(F.col("rpc_error"), F.col("parser_error"))
+                ),
             }
         )
         .withColumns(
             {
                 "statement_type": statement_type,
                 "statement_type_source": type_source,
-                "flags": lin.statement_flags(
-                    F.col("succeeded"), F.col("upstreams"), F.col("downstreams"),
-                    F.col("self_referential"), F.col("column_lineage"),
-                ),
+                "flags": F.when(
+                    F.col("answered"),
+                    lin.statement_flags(
+                        F.col("succeeded"), F.col("upstreams"), F.col("downstreams"),
+                        F.col("self_referential"), F.col("column_lineage"),
+                    ),
+                ).otherwise(F.array().cast("array<string>")),
             }
         )
         .drop("inferred_type")

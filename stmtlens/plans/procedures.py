@@ -11,7 +11,10 @@ from stmtlens.sources.workload import Workload
 
 TIER_CUSTOMER = 7
 MACRO_CUSTOMER = 7
-DYNAMIC_TABLES = {"customers", "customers_archive"}
+DYNAMIC_TABLES = {
+    "customers": lambda w: w.customers_with_spend(),
+    "customers_archive": lambda w: w.customers_with_spend().where("status = 'INACTIVE'"),
+}
 
 
 def proc_insert(w: Workload) -> DataFrame:
@@ -59,7 +62,7 @@ def dynamic_table(w: Workload, table_name: str = "customers") -> DataFrame:
     if table_name not in DYNAMIC_TABLES:
         raise ValueError(f"table {table_name!r} is not on the list")
     view = f"stmtlens_{table_name}"
-    w.customers_with_spend().createOrReplaceTempView(view)
+    DYNAMIC_TABLES[table_name](w).createOrReplaceTempView(view)
     return w.spark.sql(
         "SELECT customer_id, customer_name, total_spent FROM IDENTIFIER(:name)",
         args={"name": view},

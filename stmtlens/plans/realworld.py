@@ -14,10 +14,6 @@ from stmtlens.sources.workload import Workload
 COHORTS_SINCE = dt.date(1995, 1, 1)
 
 
-def _average(column: str) -> Column:
-    return F.sum(column).cast("double") / F.count(column)
-
-
 def customer_360(w: Workload) -> DataFrame:
     """Order history, recent activity and favourite category of every active customer.
 
@@ -309,7 +305,7 @@ def cohort(w: Workload) -> DataFrame:
             F.round(F.col("active_customers") * 100.0 / size, 2)
             .cast("decimal(10,2)")
             .alias("customer_retention_pct"),
-            F.round(F.col("total_revenue").cast("double") / size, 2)
+            F.round(F.col("total_revenue") / size, 2)  # of decimals: ties are exact
             .cast("decimal(15,2)")
             .alias("revenue_per_cohort_customer"),
             F.sum("total_revenue").over(so_far).alias("cumulative_cohort_revenue"),

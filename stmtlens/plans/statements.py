@@ -63,7 +63,7 @@ def src_sql_file(spark: SparkSession, folder: str) -> DataFrame:
 def src_sql_dir(spark: SparkSession, folder: str) -> DataFrame:
     """The same scripts through the path for large files: cut at ``;`` by the scan."""
     path = _script_files(spark, folder)
-    return _counted(files.sql_dirs(spark, [path], "*.txt", whole_file_limit=0), "origin")
+    return _counted(files.sql_dirs(spark, [path], "*.txt"), "origin")
 
 
 def src_csv_column(spark: SparkSession, folder: str) -> DataFrame:

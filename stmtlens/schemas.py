@@ -47,7 +47,11 @@ DEBUG_INFO = T.StructType(
     ]
 )
 
-# One parser answer. The statement type may arrive under several spellings of its key.
+# The statement type may arrive under several spellings of its key. The third differs from the
+# first only in case, which column names cannot, so its column has a name of its own.
+TYPE_KEYS = ("queryType", "query_type", "querytype_lower")
+
+# One parser answer.
 PAYLOAD = T.StructType(
     [
         T.StructField("identifier", T.StringType()),

@@ -136,5 +136,6 @@ def write_results(table: DataFrame, path: str, file_format: str = "csv") -> None
 
 
 def write_metadata_records(records: DataFrame, path: str) -> None:
-    """Records in sending order: the files carry the phase, sorted within each."""
-    records.write.partitionBy("phase").json(path)
+    """One folder per phase, in sending order; inside a file records are sorted by entity and aspect."""
+    ordered = records.sortWithinPartitions("phase", "entity_urn", "aspect_name")
+    ordered.write.partitionBy("phase").json(path)

@@ -12,11 +12,6 @@ from stmtlens import schemas
 from stmtlens.functions import text as tx
 from stmtlens.operators.statements import split_statements
 
-# Scripts above this size are cut at ";" while they are scanned, in parallel, instead of being
-# read as one value.
-WHOLE_FILE_LIMIT = 64 * 1024 * 1024
-
-
 # One row per file may be broadcast up to this many files.
 BROADCAST_FILES = 100_000
 
@@ -55,92 +50,80 @@ def with_file_identity(statements: DataFrame, input_ordinal: int = 0) -> DataFra
     )
 
 
+def _without_mark(text: Column) -> Column:
+    """A text without the byte order mark that a file may start with, and with plain line ends."""
+    return F.regexp_replace(_unified_newlines(text), "^\ufeff", "")
+
+
 def whole_scripts(texts: DataFrame, relative_to: str = "") -> DataFrame:
-    """Path and text of files read as one value each."""
+    """Path and text of files read as one value each (by a stream, which cannot number blocks)."""
     return texts.select(
         local_path(F.col("_metadata.file_path"), relative_to).alias("source_path"),
-        _unified_newlines(F.col("value")).alias("script_text"),
+        _without_mark(F.col("value")).alias("script_text"),
     )
 
 
-def _small_scripts(reader, paths: list[str], limit: int, relative_to: str) -> DataFrame:
-    texts = reader.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= limit)
-    return split_statements(whole_scripts(texts, relative_to))
-
-
-def _large_scripts(reader, paths: list[str], limit: int, relative_to: str) -> DataFrame:
-    """Records of a big file arrive already cut at ``;`` and split over many tasks.
+def _cut_scripts(reader, paths: list[str], relative_to: str) -> DataFrame:
+    """Records of a script of any size, cut at ``;`` by the scan itself, over many tasks.
 
-    Statements are numbered inside each file block (at most one block per group), then shifted by
-    the counts of the blocks before it.
+    A byte order mark at the start of a file is dropped. Running ids, given after blanks are dropped,
+    are consecutive inside a file block; so a statement's number follows from the first id of its
+    block and the counts of the blocks before it, one small row per block, and no text moves for it.
     """
     cut = (
         reader.option("lineSep", ";")
         .text(paths)
-        .where(F.col("_metadata.file_size") > limit)
         .select(
             local_path(F.col("_metadata.file_path"), relative_to).alias("source_path"),
             F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_order"),
-            tx.strip(_unified_newlines(F.col("value"))).alias("query_text"),
+            tx.strip(_without_mark(F.col("value"))).alias("query_text"),
         )
         .where(F.col("query_text") != "")
+        .withColumn("_id", F.monotonically_increasing_id())
     )
-    in_block = Window.partitionBy("source_path", "_block").orderBy("_order")
     blocks_before = (
-        Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     )
     shifts = (
-        cut.groupBy("source_path", "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        cut.groupBy(F.col("source_path").alias("_path"), F.col("_block").alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
         .select(
-            "source_path",
-            "_block",
-            F.coalesce(F.sum("_n").over(blocks_before), F.lit(0)).alias("_shift"),
+            "_path", "_at",
+            (F.coalesce(F.sum("_n").over(blocks_before), F.lit(0)) - F.col("_first") + 1)
+            .alias("_shift"),
         )
     )
-    return (
-        cut.withColumn("_rn", F.row_number().over(in_block))
-        .join(shifts, ["source_path", "_block"])
-        .select(
-            "source_path",
-            (F.col("_shift") + F.col("_rn")).cast("bigint").alias("stmt_index"),
-            "query_text",
-        )
+    same = (F.col("source_path") == F.col("_path")) & (F.col("_block") == F.col("_at"))
+    return cut.join(shifts, same).select(
+        "source_path", (F.col("_id") + F.col("_shift")).cast("bigint").alias("stmt_index"),
+        "query_text",
     )
 
 
 def _scripts(
-    spark: SparkSession, paths: Sequence[str], pattern: str | None, input_ordinal: int, limit: int,
+    spark: SparkSession, paths: Sequence[str], pattern: str | None, input_ordinal: int,
     relative_to: str,
 ) -> DataFrame:
-    def reader():
-        plain = spark.read
-        if pattern:
-            plain = plain.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        return plain
-
-    paths = list(paths)
-    statements = _small_scripts(reader(), paths, limit, relative_to).unionByName(
-        _large_scripts(reader(), paths, limit, relative_to)
-    )
-    return with_file_identity(statements, input_ordinal)
+    reader = spark.read
+    if pattern:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return with_file_identity(_cut_scripts(reader, list(paths), relative_to), input_ordinal)
 
 
 def sql_dirs(
     spark: SparkSession, paths: Sequence[str], pattern: str = "*.sql", input_ordinal: int = 0,
-    whole_file_limit: int = WHOLE_FILE_LIMIT, relative_to: str = "",
+    relative_to: str = "",
 ) -> DataFrame:
     """Statements of every matching file below the directories."""
-    return _scripts(spark, paths, pattern, input_ordinal, whole_file_limit, relative_to)
+    return _scripts(spark, paths, pattern, input_ordinal, relative_to)
 
 
 def sql_files(
     spark: SparkSession, paths: Sequence[str], input_ordinal: int = 0,
-    whole_file_limit: int = WHOLE_FILE_LIMIT, relative_to: str = "",
+    relative_to: str = "",
 ) -> DataFrame:
     """Statements of the named files, whatever their extension."""
-    return _scripts(spark, paths, None, input_ordinal, whole_file_limit, relative_to)
+    return _scripts(spark, paths, None, input_ordinal, relative_to)
 
 
 def position_in_file(df: DataFrame, relative_to: str = "") -> DataFrame:
@@ -264,19 +247,35 @@ def all_inputs(
 def payload_from_text(documents: DataFrame, text: str = "value") -> DataFrame:
     """Parser answers from JSON texts, with a fixed schema.
 
-    The third spelling of the type key differs from the first only in case, which column names
-    cannot; it fills the second one where that is absent.
+    Texts that are no JSON object, or name no statement, are left to ``malformed_from_text``.
     """
     answer = F.from_json(F.col(text), schemas.PAYLOAD)
-    parsed = documents.select(text, answer.alias("_answer")).select(text, "_answer.*")
-    other_spelling = F.get_json_object(text, "$.querytype")
-    return parsed.withColumn("query_type", F.coalesce("query_type", other_spelling)).drop(text)
+    third = F.get_json_object(text, "$.querytype").alias("querytype_lower")
+    parsed = documents.select(answer.alias("_answer"), third).select("_answer.*", "querytype_lower")
+    return parsed.where(F.col("identifier").isNotNull())
+
+
+def malformed_from_text(documents: DataFrame, text: str = "value") -> DataFrame:
+    """The texts among parser answers that give no answer to any statement."""
+    answer = F.from_json(F.col(text), schemas.PAYLOAD)
+    return documents.where(answer["identifier"].isNull())
+
+
+def _answer_texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=multi_line)
 
 
 def payloads(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Parser answers from JSON: one object per file, or one per line."""
-    documents = spark.read.option("recursiveFileLookup", True).text(path, wholetext=multi_line)
-    return payload_from_text(documents)
+    return payload_from_text(_answer_texts(spark, path, multi_line))
+
+
+def malformed_payloads(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """What ``payloads`` cannot use, with the file it stands in."""
+    texts = _answer_texts(spark, path, multi_line).select(
+        "value", local_path(F.col("_metadata.file_path")).alias("source_path")
+    )
+    return malformed_from_text(texts)
 
 
 def expected_from_text(documents: DataFrame, text: str = "document") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stmtlens.sources.tables import parquet_table
 
 MONEY = "decimal(15,2)"
+# Keys of prospects start here, above those of all customers.
+FIRST_PROSPECT = 10_000_000_000
 
 
 def _case(value: Column, mapping: dict[str, str], otherwise: str | Column) -> Column:
@@ -44,11 +46,26 @@ class Workload:
     def base(self, name: str) -> DataFrame:
         return parquet_table(self.spark, self.folder, name)
 
+    def people(self) -> DataFrame:
+        """Customers, and suppliers as prospects without any order, so that outer joins have
+        unmatched rows."""
+        customers = self.base("customer").select(
+            "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
+        )
+        prospects = self.base("supplier").select(
+            (F.col("s_suppkey") + FIRST_PROSPECT).alias("c_custkey"),
+            F.col("s_name").alias("c_name"),
+            F.col("s_nationkey").alias("c_nationkey"),
+            F.col("s_acctbal").alias("c_acctbal"),
+            F.lit("HOUSEHOLD").alias("c_mktsegment"),
+        )
+        return customers.unionByName(prospects)
+
     def customers(self) -> DataFrame:
         """Customer attributes that do not depend on orders."""
         key, segment, nation = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_nationkey")
         yes_no = lambda condition: F.when(condition, "true").otherwise("false")
-        return self.base("customer").select(
+        return self.people().select(
             key.alias("customer_id"),
             F.col("c_name").alias("customer_name"),
             F.concat(F.lit("c"), key.cast("string"), F.lit("@example.com")).alias("email"),
@@ -97,13 +114,10 @@ class Workload:
         )
 
     def orders(self, since: dt.date | None = None, before: dt.date | None = None) -> DataFrame:
-        """Orders of a range of days (all by default).
-
-        Every 50th customer has none, so that outer joins keep unmatched rows.
-        """
+        """Orders of a range of days (all by default)."""
         return (
             self.base("orders")
-            .where((F.col("o_custkey") % 50 != 49) & _days("o_orderdate", since, before))
+            .where(_days("o_orderdate", since, before))
             .select(
                 F.col("o_orderkey").alias("order_id"),
                 F.col("o_custkey").alias("customer_id"),

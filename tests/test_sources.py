@@ -6,8 +6,11 @@ import json
 
 import pytest
 
-from stmtlens.operators import statements
+from stmtlens.operators import metadata, statements
+from stmtlens.plans import procedures
+from stmtlens.plans.statements import SETTINGS
 from stmtlens.sources import files
+from stmtlens.sources.workload import Workload
 
 
 def rows(df, *columns):
@@ -45,7 +48,7 @@ def test_large_files_give_the_same_statements(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     spark.conf.set("spark.sql.files.openCostInBytes", "1000")
     try:
-        cut = files.sql_dirs(spark, [str(tmp_path)], whole_file_limit=0)
+        cut = files.sql_dirs(spark, [str(tmp_path)])
         assert rows(cut, *columns) == whole
         assert spark.read.option("lineSep", ";").text(str(tmp_path)).rdd.getNumPartitions() > 3
     finally:
@@ -126,9 +129,46 @@ def test_payloads_and_outcomes(spark, tmp_path):
     result = {r["identifier"]: r for r in got.collect()}
     assert [(result[i]["statement_type"], result[i]["statement_type_source"], result[i]["flags"]) for i in sorted(result)] == [
         ("INSERT", "parser", ["GAP"]), ("SELECT", "fallback", ["ERR"]),
-        ("DELETE", "fallback", ["ERR"]), ("END", "fallback", ["OK"]),
+        ("DELETE", "fallback", ["ERR"]), ("END", "fallback", []),
     ]
     assert result["i3"]["upstreams"] == [] and result["i3"]["parser_statement_type"] is None
+    assert result["i4"]["succeeded"] is None and result["i4"]["timing_ms"] is None
+    assert result["i1"]["raw_query_type"] == "QueryType.INSERT"
+
+
+TABLE = "urn:li:dataset:(urn:li:dataPlatform:teradata,db.s.t,PROD)"
+
+
+def test_files_to_records(spark, tmp_path):
+    """Scripts and answers from files up to metadata records; one answer missing, one malformed."""
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql" / "a.sql").write_text("\ufeffINSERT INTO t SELECT 1; MERGE INTO t; SEL 2;")
+    lines = [
+        json.dumps({"identifier": "a.sql:1", "queryType": "", "query_type": " ", "querytype": "MERGE",
+                    "in_tables": [], "out_tables": [TABLE], "debug_info": {"table_error": True}, "timing_ms": 5.0}),
+        "{ no json", json.dumps({"query_type": "SELECT"}),
+    ]
+    (tmp_path / "answers.json").write_text("\n".join(lines))
+    answers = str(tmp_path / "answers.json")
+    texts = files.sql_dirs(spark, [str(tmp_path / "sql")], relative_to=str(tmp_path / "sql"))
+    assert rows(texts, "identifier", "query_text")[0] == ("a.sql:1", "INSERT INTO t SELECT 1")
+    assert files.malformed_payloads(spark, answers, multi_line=False).count() == 2
+    got = statements.outcomes(texts, files.payloads(spark, answers, multi_line=False)).persist()
+    first = {r["identifier"]: r for r in got.collect()}
+    assert first["a.sql:1"]["statement_type"] == "MERGE" and first["a.sql:1"]["table_error"] is True
+    assert [first[f"a.sql:{i}"]["succeeded"] for i in (1, 2, 3)] == [True, None, None]
+    assert got.selectExpr("percentile(timing_ms, 0.5)").first()[0] == 5.0
+    records = metadata.metadata_records(got, SETTINGS).collect()
+    assert {r["aspect_name"] for r in records} >= {"dataFlowInfo", "dataJobInfo"}
+    assert metadata.jobs(got, SETTINGS).count() >= 1
+
+
+def test_dynamic_table_reads_the_named_table(spark):
+    w = Workload(spark, "/root/testdata/sf0.001")
+    both = [procedures.dynamic_table(w, name).count() for name in ("customers", "customers_archive")]
+    assert both[0] == w.people().count() > both[1] > 0
+    with pytest.raises(ValueError):
+        procedures.dynamic_table(w, "orders")
 
 
 def test_expected_results(spark, tmp_path):
