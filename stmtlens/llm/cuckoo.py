@@ -2,8 +2,8 @@
 
 An item has two buckets of four slots, each the other's partner by way of its 16-bit fingerprint.
 Whole arrays are inserted at once: rounds place all that fit, and what does not fit swaps with a
-resident and goes on to that one's other bucket. A filter that gets too full is built anew at twice
-the size from the exact keys behind it, so nothing is ever refused.
+resident and goes on to that one's other bucket. What a full filter leaves over goes into a further
+one of the same size, where it has the same buckets, so nothing is ever refused.
 """
 
 from __future__ import annotations
@@ -87,10 +87,13 @@ class CuckooFilter:
 
     def insert(self, hashes: np.ndarray) -> bool:
         """Add hashes (equal ones take a slot each); False if the filter is too full."""
-        buckets, prints = self._homes(hashes)
+        return not len(self.settle(*self._homes(hashes))[0])
+
+    def settle(self, buckets: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place fingerprints, moving residents; gives back buckets and fingerprints left over."""
         for round_ in range(ROUNDS):
             if not len(buckets):
-                return True
+                break
             left = ~self._place(buckets, prints)
             buckets, prints = self._partner(buckets[left], prints[left]), prints[left]
             if round_ % 2 and len(buckets):
@@ -101,7 +104,7 @@ class CuckooFilter:
                 self.table[some, slot] = prints[first]
                 prints[first] = gone
                 buckets[first] = self._partner(some, gone)
-        return not len(buckets)
+        return buckets, prints
 
     def delete(self, hashes: np.ndarray) -> None:
         """Take out hashes that were inserted before, one slot for each."""
@@ -112,3 +115,36 @@ class CuckooFilter:
                 if len(at):
                     self.table[bucket, at[0]] = 0
                     break
+
+
+class FilterStack:
+    """Filters of one size, one behind the other, that grow with what is inserted."""
+
+    def __init__(self, filters: list[CuckooFilter]):
+        self.filters = filters
+
+    @classmethod
+    def holding(cls, hashes: np.ndarray) -> FilterStack:
+        return cls([CuckooFilter.holding(hashes)])
+
+    @classmethod
+    def from_bytes(cls, tables: list[bytes]) -> FilterStack:
+        return cls([CuckooFilter.from_bytes(data) for data in tables])
+
+    def to_bytes(self) -> list[bytes]:
+        return [f.to_bytes() for f in self.filters]
+
+    def contains(self, hashes: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduce([f.contains(hashes) for f in self.filters])
+
+    def insert(self, hashes: np.ndarray) -> None:
+        left = self.filters[-1].settle(*self.filters[-1]._homes(hashes))
+        while len(left[0]):
+            self.filters.append(CuckooFilter(np.zeros_like(self.filters[-1].table)))
+            left = self.filters[-1].settle(*left)
+
+    def delete(self, hashes: np.ndarray) -> None:
+        for f in self.filters:
+            here = f.contains(hashes)
+            f.delete(hashes[here])
+            hashes = hashes[~here]

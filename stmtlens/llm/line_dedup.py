@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtlens.llm.common import BLANKS, block_count, block_of, in_blocks, runs, table
-from stmtlens.llm.cuckoo import CuckooFilter
+from stmtlens.llm.cuckoo import CuckooFilter, FilterStack
 
 KEY_BYTES = 16
 ROWS_AT_ONCE = 1 << 15
@@ -269,14 +269,24 @@ class LineStore:
     filters: DataFrame
 
 
+FILTER = "shard int, cuckoo array<binary>"
+
+
+def _filter_row(shard: int, made: FilterStack) -> pa.Table:
+    return pa.table(
+        {
+            "shard": pa.array([shard], pa.int32()),
+            "cuckoo": pa.array([made.to_bytes()], pa.list_(pa.binary())),
+        }
+    )
+
+
 def _filters(keys: DataFrame) -> DataFrame:
     def build(rows: pa.Table) -> pa.Table:
-        made = CuckooFilter.holding(np.unique(_hashes(rows["key"])[:, 0]))
-        return pa.table(
-            {"shard": pa.array([rows["shard"][0].as_py()], pa.int32()), "cuckoo": [made.to_bytes()]}
-        )
+        made = FilterStack.holding(np.unique(_hashes(rows["key"])[:, 0]))
+        return _filter_row(rows["shard"][0].as_py(), made)
 
-    return _sharded(keys).groupBy("shard").applyInArrow(build, "shard int, cuckoo binary")
+    return _sharded(keys).groupBy("shard").applyInArrow(build, FILTER)
 
 
 def build_store(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", text_col="text"):
@@ -291,21 +301,14 @@ def _change_filters(filters: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         shard = (old if len(old) else new)["shard"][0].as_py()
         hashes = np.unique(_hashes(new["key"])[:, 0]) if len(new) else np.zeros(0, np.uint64)
         if not len(old):
-            made = CuckooFilter.holding(hashes)
+            made = FilterStack.holding(hashes)
         else:
-            made = CuckooFilter.from_bytes(old["cuckoo"][0].as_py())
-            if how == "delete":
-                made.delete(hashes)
-            elif not made.insert(hashes):
-                raise ValueError(f"the filter of shard {shard} is full: build the store anew")
-        return pa.table(
-            {"shard": pa.array([shard], pa.int32()), "cuckoo": [made.to_bytes()]}
-        )
+            made = FilterStack.from_bytes(old["cuckoo"][0].as_py())
+            (made.delete if how == "delete" else made.insert)(hashes)
+        return _filter_row(shard, made)
 
     left = filters.groupBy("shard")
-    return left.cogroup(_sharded(keys).groupBy("shard")).applyInArrow(
-        change, "shard int, cuckoo binary"
-    )
+    return left.cogroup(_sharded(keys).groupBy("shard")).applyInArrow(change, FILTER)
 
 
 def _new_keys(filters: DataFrame, keys: DataFrame) -> DataFrame:
@@ -315,7 +318,7 @@ def _new_keys(filters: DataFrame, keys: DataFrame) -> DataFrame:
         if not len(new):
             known = np.zeros(0, dtype=bool)
         elif len(old):
-            known = CuckooFilter.from_bytes(old["cuckoo"][0].as_py()).contains(
+            known = FilterStack.from_bytes(old["cuckoo"][0].as_py()).contains(
                 _hashes(new["key"])[:, 0]
             )
         else:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stmtlens.llm import line_dedup as ld
-from stmtlens.llm.cuckoo import CuckooFilter
+from stmtlens.llm.cuckoo import CuckooFilter, FilterStack
 
 from .conftest import prose, texts_of
 
@@ -51,8 +51,8 @@ def test_store_undoes_documents(spark):
     assert got(ld.rewritten(docs, ld.decisions(store.references))) == plain(left)
     anew = {r["key"] for r in ld.build_store(docs).references.select("key").collect()}
     assert {r["key"] for r in store.references.select("key").collect()} == anew
-    filters = [CuckooFilter.from_bytes(r["cuckoo"]) for r in store.filters.collect()]
-    assert sum(int((f.table > 0).sum()) for f in filters) == len(anew)
+    filters = [FilterStack.from_bytes(r["cuckoo"]) for r in store.filters.collect()]
+    assert sum(int((f.table > 0).sum()) for s in filters for f in s.filters) == len(anew)
 
 
 @settings(max_examples=30, deadline=None)
@@ -68,6 +68,20 @@ def test_cuckoo_has_no_false_negatives(values, cut):
     assert (again.contains(hashes) == found.contains(hashes)).all()
 
 
+def test_stack_grows_and_shrinks():
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    stack = FilterStack.holding(hashes[:50])
+    for at in range(50, len(hashes), 450):
+        stack.insert(hashes[at : at + 450])
+    assert len(stack.filters) > 2 and stack.contains(hashes).all()
+    stack = FilterStack.from_bytes(stack.to_bytes())
+    stack.delete(hashes[:3000])
+    assert stack.contains(hashes[3000:]).all()
+    left = sum(int((f.table > 0).sum()) for f in stack.filters)
+    assert left == len(hashes) - 3000 and stack.contains(hashes[:3000]).mean() < 0.2
+
+
 def test_candidates_are_all_repeated_keys():
     rng = np.random.default_rng(5)
     keys = rng.integers(0, 40_000, (100_000, 1), dtype=np.uint64) * np.array([[3, 5]], np.uint64)
