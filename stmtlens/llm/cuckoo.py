@@ -106,15 +106,18 @@ class CuckooFilter:
                 buckets[first] = self._partner(some, gone)
         return buckets, prints
 
-    def delete(self, hashes: np.ndarray) -> None:
-        """Take out hashes that were inserted before, one slot for each."""
+    def delete(self, hashes: np.ndarray) -> np.ndarray:
+        """Take out hashes that were inserted before, one slot each; True where a slot was found."""
         first, prints = self._homes(hashes)
-        for a, b, p in zip(first, self._partner(first, prints), prints):
-            for bucket in (a, b):
-                at = np.flatnonzero(self.table[bucket] == p)
+        found = np.zeros(len(hashes), dtype=bool)
+        for i, homes in enumerate(zip(first, self._partner(first, prints))):
+            for bucket in homes:
+                at = np.flatnonzero(self.table[bucket] == prints[i])
                 if len(at):
                     self.table[bucket, at[0]] = 0
+                    found[i] = True
                     break
+        return found
 
 
 class FilterStack:
@@ -145,6 +148,4 @@ class FilterStack:
 
     def delete(self, hashes: np.ndarray) -> None:
         for f in self.filters:
-            here = f.contains(hashes)
-            f.delete(hashes[here])
-            hashes = hashes[~here]
+            hashes = hashes[~f.delete(hashes)]
