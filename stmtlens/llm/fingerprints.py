@@ -25,6 +25,7 @@ from stmtlens.llm.common import block_count, table
 WINDOW = 32  # bytes that the gear hash sees: one per bit of it
 CHUNK_BYTES = 4 << 20
 NO_ID = -(1 << 63)
+TURN_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,8 @@ class Sizes:
     what stands before the text. ``normal`` is a power of two."""
 
     smallest: int = 32
-    normal: int = 128
-    largest: int = 512
+    normal: int = 64
+    largest: int = 256
 
     @property
     def bits(self) -> int:
@@ -129,11 +130,11 @@ RESULT = pa.schema(
 
 
 def _compared(rows: pa.Table, sizes: Sizes) -> pa.Table:
-    """Rows of one part, each compared with the next by descending key and then text."""
-    keys, texts = rows["key"].to_pylist(), rows["text"].to_pylist()
+    """Rows of one part, each compared with the next by descending key, then hash and text."""
+    keys, texts, turns = (rows[name].to_pylist() for name in ("key", "text", "turn"))
     carried, doc_ids = rows["carried"].to_pylist(), rows["doc_id"].to_pylist()
     # The carried row is the first of the following part and so comes last, whatever its key.
-    order = sorted(range(len(keys)), key=lambda i: (carried[i], -keys[i], texts[i]))
+    order = sorted(range(len(keys)), key=lambda i: (carried[i], -keys[i], turns[i], texts[i]))
     columns: dict[str, list] = {name: [] for name in RESULT.names}
     at = 0
     while at < len(order) - 1:
@@ -160,12 +161,25 @@ def _compared(rows: pa.Table, sizes: Sizes) -> pa.Table:
 
 
 def _part_of(edges: list[int]):
-    """Column function: 0 for the largest keys; one part per range of keys between two edges."""
-    ordered = np.array(edges, dtype=np.int64)
+    """Column function of key and turn: number of the part, from 0 for the largest keys down.
+
+    Keys between two edges are one part. An edge that the quantiles name several times is a key
+    with as many parts' worth of rows; its rows are cut into as many parts by their turn.
+    """
+    ordered, named = np.unique(np.array(edges, dtype=np.int64), return_counts=True)
+    slices = np.concatenate(([0], np.where(named > 1, named, 0)))  # bin 0 lies below all edges
+    width = slices + 1
+    first = np.cumsum(width[::-1])[::-1] - width
 
     @F.pandas_udf("int")
-    def part(keys: pd.Series) -> pd.Series:
-        return pd.Series(len(ordered) - np.searchsorted(ordered, keys.to_numpy(), side="right"))
+    def part(keys: pd.Series, turns: pd.Series) -> pd.Series:
+        values = keys.to_numpy()
+        at = np.searchsorted(ordered, values, side="right")
+        hot = np.zeros(len(values), dtype=bool)
+        if len(ordered):
+            hot = (slices[at] > 0) & (ordered[at - 1] == values)
+        place = 1 + (turns.to_numpy() * slices[at] >> TURN_BITS)
+        return pd.Series(first[at] + np.where(hot, place, 0))
 
     return part
 
@@ -175,28 +189,31 @@ def with_neighbours(
 ) -> DataFrame:
     """Fingerprint each document and its edited text, and compare both with it.
 
-    The next document has the next smaller id (equal ids: the next text); after the last comes the
-    first. A null id counts as the smallest, a null text as empty. One document alone is its own
-    next one; an empty table gives no rows.
+    The next document has the next smaller id (equal ids: the next turn, a hash of the text, and
+    then text); after the last comes the first. A null id counts as the smallest, a null text as
+    empty. One document alone is its own next one; an empty table gives no rows.
 
-    Ids are cut into parts by approximate quantiles. A part only misses the document that follows
-    its last one, so the first row of each part is sent along to the part before it: one row per
-    part. The texts are shuffled once.
+    Ids are cut into parts by approximate quantiles, and an id of very many rows further by turn. A
+    part only misses the document that follows its last one, so the first row of each part is sent
+    along to the part before it: one row per part. The texts are shuffled once.
     """
     parts = block_count(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(text_col, F.lit("")).alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"),
-    )
+    ).withColumn("turn", F.shiftrightunsigned(F.xxhash64("text"), 64 - TURN_BITS))
     steps = [i / parts for i in range(1, parts)]
     found = rows.select("key").agg(F.percentile_approx("key", steps, 100 * parts)).first()[0]
-    rows = rows.withColumn("part", _part_of(sorted(set(found or ())))("key"))
-    # A part's first row: its largest key, of equal keys the smallest text.
-    tops = rows.groupBy("part").agg(F.max("key").alias("key"))
+    rows = rows.withColumn("part", _part_of(found or [])("key", "turn"))
+    # A part's first row: its largest key, then the smallest turn and text.
+    place = F.struct(F.bitwise_not("key").alias("down"), "turn")
+    tops = rows.groupBy("part").agg(F.min(place).alias("top")).select(
+        "part", F.bitwise_not("top.down").alias("key"), "top.turn"
+    )
     heads = (
-        rows.join(F.broadcast(tops), ["part", "key"])
-        .groupBy("part", "key")
+        rows.join(F.broadcast(tops), ["part", "key", "turn"])
+        .groupBy("part", "key", "turn")
         .agg(F.min("text").alias("text"))
     )
     used = sorted(row["part"] for row in tops.collect())
@@ -205,7 +222,7 @@ def with_neighbours(
         [(part, to) for part, to in before.items()], "part int, goes_to int"
     )
     carried = heads.join(F.broadcast(pairs), "part").select(
-        F.lit(None).cast("long").alias("doc_id"), "text", "key",
+        F.lit(None).cast("long").alias("doc_id"), "text", "key", "turn",
         F.col("goes_to").alias("part"), F.lit(True).alias("carried"),
     )
     both = rows.withColumn("carried", F.lit(False)).unionByName(carried)
