@@ -120,10 +120,18 @@ SELECT *, CAST(CASE WHEN k = 6 THEN 1 ELSE 0 END AS BIGINT) AS cte_count, CAST(C
  CAST(CASE WHEN k IN (1, 11) THEN 2 ELSE 1 END AS BIGINT) AS line_count, CAST(length(query_text) AS BIGINT) AS char_count
 FROM judged"""
 
+# The file of each statement, its number there, and the CSV record of its script (the header is 1).
+PLACED = """
+SELECT *, concat('batch=', script_id // 1000, '/part') AS file,
+ row_number() OVER (PARTITION BY script_id // 1000 ORDER BY script_id, stmt_index) AS n,
+ dense_rank() OVER (PARTITION BY script_id // 1000 ORDER BY script_id) + 1 AS r
+FROM outcomes"""
+
 CHAIN = [
     ("scripts", SCRIPTS), ("split", SPLIT), ("named", NAMED), ("typed", TYPED),
     ("outcomes", OUTCOMES), ("mentions", MENTIONS), ("records", RECORDS), ("checked", CHECKED),
     ("validated", VALIDATED), ("judged", JUDGED), ("shape", SHAPE),
+    ("placed", PLACED),
 ]
 WITH = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in CHAIN)
 
@@ -190,7 +198,6 @@ def identifier_of(text: str) -> str:
     return f"(SELECT lower(CASE WHEN length(x) <= 200 THEN x ELSE left(x, 191) || '_' || left(sha1(x), 8) END) FROM (SELECT {cleaned} AS x))"
 
 
-FROM_SCRIPTS = "SELECT {origin}query_text, COUNT(*) AS n FROM split GROUP BY query_text"
 USING_TEXT = "'USING p (INTEGER), q (CHAR(4))' || chr(10) || query_text"
 def report(key: str) -> str:
     none = "CAST(NULL AS BIGINT)"
@@ -231,14 +238,39 @@ FINE = " UNION ALL ".join(
 
 NO_COLUMNS = "('DATABASE', 'DELETE', 'LOCKING', 'CREATE_TABLE', 'CREATE_DDL')"
 
+FROM_FILES = """SELECT {ordinal} AS input_ordinal, 'file' AS origin, concat(file, ':', n) AS identifier,
+ concat(file, ' (statement ', n, ')') AS context, file AS source_path, CAST(NULL AS BIGINT) AS row_number,
+ n AS stmt_index, query_text FROM placed"""
+FROM_CSV = """SELECT {ordinal} AS input_ordinal, 'csv' AS origin, concat(file, ':row', r, ':stmt', stmt_index) AS identifier,
+ concat(file, ' row ', r, ' column ''sql_text'' (statement ', stmt_index, ')') AS context, file AS source_path,
+ r AS row_number, stmt_index, query_text FROM placed"""
+FILE_FLOW = "concat('urn:li:dataFlow:(sqlparser,nightly_', replace(file, '=', '_'), ',PROD)')"
+FILE_JOB = f"concat('urn:li:dataJob:(', {FILE_FLOW}, ',', replace(file, '=', '_'), ':', n, ')')"
+
 SQL = {
     # sources
-    "src_sql_file": q(FROM_SCRIPTS.format(origin="'file' AS origin, ")),
-    "src_sql_dir": q(FROM_SCRIPTS.format(origin="'file' AS origin, ")),
-    "src_csv_column": q(FROM_SCRIPTS.format(origin="'csv' AS origin, ")),
-    "src_csv_dir": q(FROM_SCRIPTS.format(origin="'csv' AS origin, ")),
+    "src_sql_file": q(FROM_FILES.format(ordinal=0)),
+    "src_sql_dir": q(FROM_FILES.format(ordinal=0)),
+    "src_csv_column": q(FROM_CSV.format(ordinal=0)),
+    "src_csv_dir": q(FROM_CSV.format(ordinal=0)),
     "src_union_inputs": q(
-        "SELECT input_ordinal, 'csv' AS origin, query_text, COUNT(*) AS n FROM split, (VALUES (0), (1)) v(input_ordinal) GROUP BY ALL"
+        " UNION ALL ".join(
+            [
+                FROM_FILES.format(ordinal=0) + " WHERE script_id < 1000",
+                FROM_FILES.format(ordinal=1), FROM_CSV.format(ordinal=2), FROM_CSV.format(ordinal=3),
+            ]
+        )
+    ),
+    "e2e_outcomes": q(
+        f"""SELECT concat(file, ':', n) AS identifier, stmt_index = 1 AS answered, CASE WHEN stmt_index = 1 THEN ok END AS succeeded, statement_type,
+        statement_type_source, CASE WHEN stmt_index = 1 THEN timing_ms END AS timing_ms, parser_type_raw AS raw_query_type,
+        CASE WHEN stmt_index = 1 THEN {joined('flags')} ELSE '' END AS flags, {listed('ups')} AS upstreams, {listed('downs')} AS downstreams FROM placed"""
+    ),
+    "e2e_records": q(
+        f"""SELECT DISTINCT 2 AS phase, {FILE_FLOW} AS entity_urn, 'dataFlowInfo' AS aspect_name, 'part' AS name, NULL AS query_type, NULL AS inputs, NULL AS outputs
+        FROM placed WHERE len(downs) > 0
+        UNION ALL SELECT 3, {FILE_JOB}, 'dataJobInfo', concat(file, ':', n), parser_type_raw, NULL, NULL FROM placed WHERE len(downs) > 0
+        UNION ALL SELECT 3, {FILE_JOB}, 'dataJobInputOutput', NULL, NULL, {listed('ups')}, {listed('downs')} FROM placed WHERE len(downs) > 0"""
     ),
     "split_statements": q("SELECT script_id, stmt_index, query_text FROM split"),
     "src_lineage_payload": q(
@@ -415,6 +447,7 @@ SQL = {
         FROM (SELECT coalesce(confidence, 0) AS c FROM outcomes) GROUP BY ALL"""
     ),
     "stats_by_category": q(f"SELECT category, {RATES} FROM outcomes GROUP BY category"),
+    "stats_by_type": q(f"SELECT statement_type, {RATES} FROM outcomes GROUP BY statement_type"),
     "complexity_impact": q(
         "SELECT measure, band, COUNT(*) AS total_queries, COUNT(*) FILTER (ok) AS success_count, round(COUNT(*) FILTER (ok) * CAST(100 AS DOUBLE) / COUNT(*), 6) AS success_rate FROM ("
         + " UNION ALL ".join(

@@ -33,6 +33,11 @@ def clean_sql(text: Column) -> Column:
     return strip(F.regexp_replace(no_blocks, r"(?:--|//|#)[^\n]*", " "))
 
 
+def file_stem(path: Column) -> Column:
+    """The last part of a path without its extension."""
+    return F.regexp_extract(path, r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
+
+
 def leading_words(clean: Column) -> Column:
     """The first keywords of a cleaned statement, upper case, joined by one space.
 

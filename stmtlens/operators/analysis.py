@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtlens import constants as K
+from stmtlens import schemas
 from stmtlens.functions import lineage as lin
 from stmtlens.functions import rewrite as rw
 from stmtlens.functions import text as tx
@@ -87,6 +88,25 @@ def _compared(prefix: str, actual: Column, expected: Column) -> dict[str, Column
     }
 
 
+def expectations(
+    outcomes: DataFrame, expected: DataFrame, path: str = "source_path"
+) -> DataFrame:
+    """Expected results (``query_id, stmt_index`` and lists) by the identifier of their statement.
+
+    They belong together by the stem of the statement's file and its number in the file.
+    """
+    places = outcomes.select(
+        "identifier", tx.file_stem(F.col(path)).alias("query_id"), "stmt_index"
+    )
+    no_lineage = F.array().cast(schemas.COLUMN_LINEAGE)
+    return places.join(expected, ["query_id", "stmt_index"]).select(
+        "identifier",
+        F.concat(lin.as_list(F.col("in_tables")), lin.as_list(F.col("out_tables")))
+        .alias("expected_tables"),
+        lin.column_edges(lin.as_list(F.col("column_lineage"), no_lineage)).alias("expected_edges"),
+    )
+
+
 def validated(outcomes: DataFrame, expected: DataFrame) -> DataFrame:
     """Compare each statement with its expectation (same ``identifier``), if there is one.
 
@@ -178,6 +198,10 @@ def stats_by_category(outcomes: DataFrame, path: str = "source_path") -> DataFra
     return outcomes.groupBy(category_of(F.col(path)).alias("category")).agg(*rate_measures())
 
 
+def stats_by_type(outcomes: DataFrame) -> DataFrame:
+    return outcomes.groupBy("statement_type").agg(*rate_measures())
+
+
 def _count_band(count: Column) -> Column:
     return F.when(count == 0, "0").when(count == 1, "1").when(count <= 3, "2-3").otherwise("4+")
 

@@ -12,6 +12,7 @@ from stmtlens.functions import lineage as lin
 from stmtlens.functions import text as tx
 from stmtlens.functions import urns
 from stmtlens.operators import lineage as rows
+from stmtlens.session import written
 
 
 @dataclass(frozen=True)
@@ -184,13 +185,21 @@ def metadata_records(
     return of_flows.unionByName(of_jobs)
 
 
+RECORD_INPUTS = [
+    "identifier", "source_path", "context", "query_text", "upstreams", "downstreams",
+    "column_lineage", "confidence", "query_fingerprint", "raw_query_type",
+]
+
+
 def emission_plan(
     outcomes: DataFrame, known: DataFrame, settings: RecordSettings = RecordSettings()
 ) -> DataFrame:
     """All records in sending order: scaffolds of missing datasets, then flows, then jobs.
 
-    Without any job nothing is sent, not even scaffolds.
+    Without any job nothing is sent, not even scaffolds. What the records are made of is written
+    once, so that the texts are classified once and not by each kind of record.
     """
+    outcomes = written(outcomes.select(*RECORD_INPUTS), "record_inputs")
     scaffolds = rows.dataset_scaffolds(
         rows.missing_datasets(rows.dataset_columns(outcomes), known)
     ).where(with_jobs(outcomes).exists())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stmtlens.functions import lineage as lin
@@ -38,48 +38,125 @@ def _pairs(values: str | Column) -> Column:
 # --- sources ------------------------------------------------------------------------------
 
 
+SCRIPTS_PER_FILE = 1000
+
+
+def _batch() -> Column:
+    return F.floor(F.col("script_id") / SCRIPTS_PER_FILE)
+
+
+def _in_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Scripts in the order of their numbers, a bounded number for each file to write."""
+    return (
+        log.scripts(spark, folder)
+        .withColumn("batch", _batch())
+        .repartition("batch")
+        .sortWithinPartitions("batch", "script_id")
+    )
+
+
 def _script_files(spark: SparkSession, folder: str) -> str:
     path = fresh_path(spark, "scripts")
     text = F.concat("script_text", F.lit(";"))
-    log.scripts(spark, folder).select(text.alias("value")).write.text(path)
+    _in_files(spark, folder).select(text.alias("value"), "batch").write.partitionBy("batch").text(path)
     return path
 
 
 def _script_csv(spark: SparkSession, folder: str) -> str:
     path = fresh_path(spark, "script_csv")
-    table = log.scripts(spark, folder).select("script_id", F.col("script_text").alias("sql_text"))
-    table.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    table = _in_files(spark, folder).select(
+        "script_id", F.col("script_text").alias("sql_text"), "batch"
+    )
+    writer = table.write.partitionBy("batch").option("header", True)
+    writer.option("escape", '"').option("quoteAll", True).csv(path)
     return path
 
 
-def _counted(loaded: DataFrame, *keys: str) -> DataFrame:
-    return loaded.groupBy(*keys, "query_text").agg(F.count(F.lit(1)).alias("n"))
+PLACES = ["identifier", "context", "source_path"]
+
+
+def _named_by_batch(loaded: DataFrame) -> DataFrame:
+    """The writer gives files a random name; only their folder is told."""
+    return loaded.withColumns(
+        {c: F.regexp_replace(c, r"part-[^/: ]*", "part") for c in PLACES}
+    )
+
+
+LOADED = [
+    "input_ordinal", "origin", "identifier", "context", "source_path", "row_number", "stmt_index",
+    "query_text",
+]
+
+
+def _loaded(rows: DataFrame) -> DataFrame:
+    return _named_by_batch(rows).select(*LOADED)
 
 
 def src_sql_file(spark: SparkSession, folder: str) -> DataFrame:
-    return _counted(files.sql_files(spark, [_script_files(spark, folder)]), "origin")
+    path = _script_files(spark, folder)
+    return _loaded(files.sql_files(spark, [f"{path}/batch=*/*.txt"], relative_to=path))
 
 
 def src_sql_dir(spark: SparkSession, folder: str) -> DataFrame:
-    """The same scripts through the path for large files: cut at ``;`` by the scan."""
     path = _script_files(spark, folder)
-    return _counted(files.sql_dirs(spark, [path], "*.txt"), "origin")
+    return _loaded(files.sql_dirs(spark, [path], "*.txt", relative_to=path))
 
 
 def src_csv_column(spark: SparkSession, folder: str) -> DataFrame:
-    return _counted(files.csv_column(spark, f"{_script_csv(spark, folder)}:sql_text"), "origin")
+    path = _script_csv(spark, folder)
+    return _loaded(files.csv_column(spark, f"{path}:sql_text", relative_to=path))
 
 
 def src_csv_dir(spark: SparkSession, folder: str) -> DataFrame:
-    return _counted(files.csv_dirs(spark, [_script_csv(spark, folder)], "sql_text"), "origin")
+    path = _script_csv(spark, folder)
+    return _loaded(files.csv_dirs(spark, [path], "sql_text", relative_to=path))
 
 
 def src_union_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    path = _script_csv(spark, folder)
+    """All four kinds of input: the file of the first scripts, a folder, and a column twice."""
+    scripts, table = _script_files(spark, folder), _script_csv(spark, folder)
+    first = spark.read.text(f"{scripts}/batch=0").inputFiles()
     loaded = files.all_inputs(
-        spark, csv_specs=[f"{path}:sql_text"], csv_directories=[path], csv_dir_column="sql_text"
+        spark, files=first, dirs=[scripts], csv_specs=[f"{table}:sql_text"],
+        csv_directories=[table], csv_dir_column="sql_text", pattern="*.txt",
+    )
+    below = r"^.*?(batch=\d+/)"
+    inside = {c: F.regexp_replace(c, below, "$1") for c in PLACES}
+    return _loaded(loaded.withColumns(inside))
+
+
+def _loaded_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Scripts and answers through files. Second statements have no answer, and one is no JSON."""
+    scripts, answers = _script_files(spark, folder), fresh_path(spark, "answers")
+    in_file = Window.partitionBy(_batch()).orderBy("script_id", "stmt_index")
+    number = F.row_number().over(in_file).cast("string")
+    identifier = F.concat(F.lit("batch="), _batch().cast("string"), F.lit("/part:"), number)
+    said = log.payload_table(spark, folder, identifier).where(F.col("debug_info.confidence").isNotNull())
+    said.select(F.to_json(F.struct("*")).alias("value")).write.text(answers)
+    spark.range(1).select(F.lit("no answer at all").alias("value")).write.mode("append").text(answers)
+    loaded = _named_by_batch(files.sql_dirs(spark, [scripts], "*.txt", relative_to=scripts))
+    return statements.outcomes(loaded, files.payloads(spark, answers, multi_line=False))
+
+
+def e2e_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """From script files and answer files to outcomes."""
+    return _loaded_outcomes(spark, folder).select(
+        "identifier", "answered", "succeeded", "statement_type", "statement_type_source",
+        "timing_ms", "raw_query_type", _joined("flags").alias("flags"),
+        _sorted("upstreams").alias("upstreams"), _sorted("downstreams").alias("downstreams"),
+    )
+
+
+def e2e_records(spark: SparkSession, folder: str) -> DataFrame:
+    """From script files and answer files to the records of flows and jobs, and what is in them."""
+    records = metadata.metadata_records(_loaded_outcomes(spark, folder), SETTINGS)
+    said = lambda path: F.get_json_object("aspect_json", f"$.{path}")
+    return records.select(
+        "phase", "entity_urn", "aspect_name", said("name").alias("name"),
+        said("custom_properties.sqlParserQueryType").alias("query_type"),
+        _sorted(F.from_json(said("input_datasets"), "array<string>")).alias("inputs"),
+        _sorted(F.from_json(said("output_datasets"), "array<string>")).alias("outputs"),
     )
-    return _counted(loaded, "input_ordinal", "origin")
 
 
 def split_statements(spark: SparkSession, folder: str) -> DataFrame:
@@ -450,9 +527,15 @@ def complexity_metrics(spark, folder):
     return analysis.complexity_metrics(rows).drop("query_text")
 
 
+def _expected(rows: DataFrame) -> DataFrame:
+    """Expected results from their JSON documents, by file stem and statement number."""
+    loaded = files.expected_from_text(log.expected_documents(rows))
+    return analysis.expectations(rows, loaded, path="test_path")
+
+
 def _validated(spark, folder):
     rows = log.outcomes(spark, folder)
-    return analysis.validated(rows, log.expected(rows))
+    return analysis.validated(rows, _expected(rows))
 
 
 def validate_tables(spark, folder):
@@ -503,6 +586,11 @@ def stats_by_category(spark, folder):
     return rows.withColumns({c: F.round(c, 6) for c in RATES})
 
 
+def stats_by_type(spark, folder):
+    rows = analysis.stats_by_type(log.outcomes(spark, folder))
+    return rows.withColumns({c: F.round(c, 6) for c in RATES})
+
+
 def complexity_impact(spark, folder):
     rows = analysis.complexity_impact(log.outcomes(spark, folder))
     return rows.withColumn("success_rate", F.round("success_rate", 6))
@@ -660,7 +748,7 @@ def sink_run_report(spark, folder):
 def sink_results_table(spark, folder):
     path = fresh_path(spark, "results")
     rows = log.outcomes(spark, folder)
-    table = report_sinks.results_table(rows, log.expected(rows))
+    table = report_sinks.results_table(rows, _expected(rows))
     report_sinks.write_results(table, path)
     back = (
         spark.read.schema(table.schema)
@@ -725,6 +813,7 @@ QUERIES = {
     function.__name__: function
     for function in [
         src_sql_file, src_sql_dir, src_csv_column, src_csv_dir, src_union_inputs,
+        e2e_outcomes, e2e_records,
         split_statements, src_lineage_payload, src_expected_results,
         sink_statement_json, sink_source_report, sink_run_report, sink_results_table,
         sink_metadata_records, sink_ctas, sink_insert, sink_view,
@@ -742,6 +831,7 @@ QUERIES = {
         multi_scope_report, query_list,
         complexity_metrics, validate_tables, validate_columns, validation_status,
         validation_summary, overall_stats, confidence_buckets, stats_by_category,
+        stats_by_type,
         complexity_impact, error_analysis, threshold_gate, low_confidence_filter,
         error_category, error_layer, rewrite_using, rewrite_ct, rewrite_locking, rewrite_named,
         qualify_names, generalize_fingerprint, extract_proc_statements, statement_filter,

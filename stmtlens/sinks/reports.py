@@ -109,7 +109,7 @@ def results_table(outcomes: DataFrame, expected: DataFrame, dialect: str = "tera
     )
     size = lambda name: F.size(name).cast("bigint")
     return checked.select(
-        F.regexp_extract("source_path", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1).alias("query_id"),
+        tx.file_stem(F.col("source_path")).alias("query_id"),
         F.col("source_path").alias("query_file"),
         F.col("stmt_index").alias("statement_index"),
         "statement_type",

@@ -217,21 +217,25 @@ def all_inputs(
     csv_dir_column: str | None = None,
     delimiter: str = ",",
     relative_to: str = "",
+    pattern: str = "*.sql",
 ) -> DataFrame:
     """All inputs in the order files, directories, CSV specs, CSV directories; nothing is dropped.
 
     ``input_ordinal`` keeps the order of the inputs; inside one input the order is
-    (source_path, row_number, stmt_index). A directory among ``files`` is searched like ``dirs``.
+    (source_path, row_number, stmt_index). A directory among ``files`` is searched like ``dirs``,
+    for files that match ``pattern``.
     Paths below the folder ``relative_to`` are given relative to it.
     """
     if csv_directories and not csv_dir_column:
         raise ValueError("csv_dir_column is required with csv_directories")
     parts: list[DataFrame] = []
     for path in files:
-        load = sql_dirs if is_directory(spark, path) else sql_files
-        parts.append(load(spark, [path], input_ordinal=len(parts), relative_to=relative_to))
+        if is_directory(spark, path):
+            parts.append(sql_dirs(spark, [path], pattern, len(parts), relative_to))
+        else:
+            parts.append(sql_files(spark, [path], len(parts), relative_to))
     for path in dirs:
-        parts.append(sql_dirs(spark, [path], input_ordinal=len(parts), relative_to=relative_to))
+        parts.append(sql_dirs(spark, [path], pattern, len(parts), relative_to))
     for spec in csv_specs:
         parts.append(csv_column(spark, spec, delimiter, len(parts), relative_to))
     for path in csv_directories:

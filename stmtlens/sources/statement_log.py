@@ -5,10 +5,10 @@ Twelve templates, one per event in turn, cover the classification and lineage ru
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlens.functions.text import type_label
+from stmtlens.functions.text import file_stem, type_label
 from stmtlens.functions.urns import dataset_urn
 from stmtlens.operators.statements import split_statements, with_outcome_columns
 from stmtlens.session import spread
@@ -153,9 +153,13 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return with_outcome_columns(answered)
 
 
-def payload_table(spark: SparkSession, folder: str) -> DataFrame:
+def payload_table(
+    spark: SparkSession, folder: str, identifier: Column | None = None
+) -> DataFrame:
     """The same answers as a separate table in the payload schema."""
     answered = with_answers(statements(spark, folder))
+    if identifier is not None:
+        answered = answered.withColumn("identifier", identifier)
     text = F.lit(None).cast("string")
     return answered.select(
         "identifier",
@@ -176,21 +180,28 @@ def payload_table(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def expected(outcome_rows: DataFrame) -> DataFrame:
-    """Expectations that differ from the answers: some empty, some with one table more.
+def expected_documents(outcome_rows: DataFrame) -> DataFrame:
+    """``query_id, document``: the JSON text of each script's expected results.
 
-    Statements of template 10 have none.
+    They differ from the answers: some are empty, some name one table more. Scripts of template 10
+    have none; those of template 11 are an array of two, as they have two statements.
     """
     nothing = F.array().cast("array<string>")
     kept = F.col("script_id") % 5 != 0
     extra = F.when(
         F.col("script_id") % 7 == 0, F.array(dataset_urn(F.lit("db.s.extra")))
     ).otherwise(nothing)
-    tables = F.when(kept, F.concat("upstreams", "downstreams")).otherwise(nothing)
-    return outcome_rows.where(F.col("template") != 10).select(
-        "identifier",
-        F.concat(tables, extra).alias("expected_tables"),
-        F.when(kept, F.col("column_edges")).otherwise(nothing).alias("expected_edges"),
+    one = F.to_json(
+        F.struct(
+            F.concat(F.when(kept, F.col("upstreams")).otherwise(nothing), extra).alias("in_tables"),
+            F.when(kept, F.col("downstreams")).alias("out_tables"),
+            F.when(kept, F.col("column_lineage")).alias("column_lineage"),
+        )
+    )
+    both = F.concat(F.lit("["), one, F.lit(","), one, F.lit("]"))
+    return outcome_rows.where((F.col("template") != 10) & (F.col("stmt_index") == 1)).select(
+        file_stem(F.col("test_path")).alias("query_id"),
+        F.when(F.col("template") == 11, both).otherwise(one).alias("document"),
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from stmtlens.operators import metadata, statements
+from stmtlens.operators import analysis, metadata, statements
 from stmtlens.plans import procedures
 from stmtlens.plans.statements import SETTINGS
 from stmtlens.sources import files
@@ -177,3 +178,23 @@ def test_expected_results(spark, tmp_path):
     (tmp_path / "02_y.json").write_text(json.dumps([one, {"in_tables": ["b"]}], indent=1))
     got = rows(files.expected_results(spark, str(tmp_path)), "query_id", "stmt_index", "in_tables")
     assert got == [("01_x", 1, ["a"]), ("02_y", 1, ["a"]), ("02_y", 2, ["b"])]
+
+
+def test_expected_results_meet_statements_by_stem_and_number(spark, tmp_path):
+    (tmp_path / "two.json").write_text('[{"in_tables": ["a"]}, {"out_tables": ["b"]}]')
+    (tmp_path / "one.json").write_text('{"in_tables": ["c"], "out_tables": ["d"]}')
+    said = spark.createDataFrame(
+        [
+            ("x", "sql/two.sql", 1, ["a"], []), ("y", "sql/two.sql", 2, [], ["z"]),
+            ("w", "sql/one.sql", 1, ["c"], ["d"]), ("v", "other", 1, ["c"], []),
+        ],
+        "identifier string, source_path string, stmt_index long, upstreams array<string>, "
+        "downstreams array<string>",
+    ).withColumn("column_edges", F.array().cast("array<string>"))
+    wanted = analysis.expectations(said, files.expected_results(spark, str(tmp_path)))
+    checked = analysis.validated(said, wanted)
+    got = {r["identifier"]: (r["validation_status"], r["tables_missing"]) for r in checked.collect()}
+    assert got == {
+        "x": ("match", []), "y": ("mismatch", ["b"]), "w": ("match", []),
+        "v": ("no_expectation", None),
+    }
