@@ -38,6 +38,7 @@ def flattened_payload(payload: DataFrame) -> DataFrame:
     no_lineage = F.array().cast(schemas.COLUMN_LINEAGE)
     spellings = [F.col(name) for name in schemas.TYPE_KEYS if name in payload.columns]
     usable = [F.when(tx.type_label(label).isNotNull(), label) for label in spellings]
+    raw = F.col("raw_payload") if "raw_payload" in payload.columns else F.lit(None).cast("string")
     return payload.select(
         "identifier",
         lin.as_list(F.col("in_tables")).alias("upstreams"),
@@ -51,6 +52,7 @@ def flattened_payload(payload: DataFrame) -> DataFrame:
         "query_fingerprint",
         "timing_ms",
         F.col("error").alias("rpc_error"),
+        raw.alias("raw_payload"),
     )
 
 

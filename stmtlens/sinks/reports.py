@@ -23,7 +23,11 @@ def _bucket(path: Column) -> Column:
 
 
 def statement_records(outcomes: DataFrame) -> DataFrame:
-    """One JSON record per statement: flags, parser answer, text and preview."""
+    """One JSON record per statement: flags, parser answer, text and preview.
+
+    The answer is the one that was loaded, with all its keys; outcomes that were not loaded from
+    texts have one made from their columns.
+    """
     payload = F.struct(
         F.col("parser_statement_type").alias("query_type"),
         F.col("upstreams").alias("in_tables"),
@@ -32,9 +36,10 @@ def statement_records(outcomes: DataFrame) -> DataFrame:
         F.struct("confidence", F.col("parser_error").alias("error")).alias("debug_info"),
         F.col("rpc_error").alias("error"),
     )
+    raw = F.try_parse_json("raw_payload") if "raw_payload" in outcomes.columns else payload
     record = F.struct(
         "flags",
-        payload.alias("raw_payload"),
+        raw.alias("raw_payload"),
         F.col("query_text").alias("source_query"),
         tx.query_preview(F.col("query_text")).alias("preview"),
     )

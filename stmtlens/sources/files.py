@@ -249,13 +249,16 @@ def all_inputs(
 
 
 def payload_from_text(documents: DataFrame, text: str = "value") -> DataFrame:
-    """Parser answers from JSON texts, with a fixed schema.
+    """Parser answers from JSON texts, with a fixed schema; ``raw_payload`` is the text as it came.
 
     Texts that are no JSON object, or name no statement, are left to ``malformed_from_text``.
     """
     answer = F.from_json(F.col(text), schemas.PAYLOAD)
     third = F.get_json_object(text, "$.querytype").alias("querytype_lower")
-    parsed = documents.select(answer.alias("_answer"), third).select("_answer.*", "querytype_lower")
+    raw = F.col(text).alias("raw_payload")
+    parsed = documents.select(answer.alias("_answer"), third, raw).select(
+        "_answer.*", "querytype_lower", "raw_payload"
+    )
     return parsed.where(F.col("identifier").isNotNull())
 
 

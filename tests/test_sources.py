@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stmtlens.operators import analysis, metadata, statements
 from stmtlens.plans import procedures
 from stmtlens.plans.statements import SETTINGS
+from stmtlens.sinks import reports
 from stmtlens.sources import files
 from stmtlens.sources.workload import Workload
 
@@ -198,3 +199,16 @@ def test_expected_results_meet_statements_by_stem_and_number(spark, tmp_path):
         "x": ("match", []), "y": ("mismatch", ["b"]), "w": ("match", []),
         "v": ("no_expectation", None),
     }
+
+
+def test_statement_records_hold_the_answer_as_it_came(spark):
+    said = {"identifier": "a", "query_type": "SELECT", "joins": [{"on": ["x"]}], "in_tables": ["t"]}
+    texts = spark.createDataFrame([(json.dumps(said),)], "value string")
+    asked = spark.createDataFrame(
+        [("a", "SELECT 1", "f.sql"), ("b", "SELECT 2", "f.sql")],
+        "identifier string, query_text string, source_path string",
+    )
+    found = statements.outcomes(asked, files.payload_from_text(texts))
+    records = {r["identifier"]: json.loads(r["record"]) for r in reports.statement_records(found).collect()}
+    assert records["a"]["raw_payload"] == said
+    assert "raw_payload" not in records["b"] and records["b"]["source_query"] == "SELECT 2"
