@@ -18,11 +18,11 @@ from stmtlens.operators.statements import succeeded
 SOURCE_BUCKETS = 64
 
 
-def _bucket(path: Column) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(SOURCE_BUCKETS)).cast("int")
+def _bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
-def statement_records(outcomes: DataFrame) -> DataFrame:
+def statement_records(outcomes: DataFrame, buckets: int = SOURCE_BUCKETS) -> DataFrame:
     """One JSON record per statement: flags, parser answer, text and preview.
 
     The answer is the one that was loaded, with all its keys; outcomes that were not loaded from
@@ -44,17 +44,19 @@ def statement_records(outcomes: DataFrame) -> DataFrame:
         tx.query_preview(F.col("query_text")).alias("preview"),
     )
     return outcomes.select(
-        _bucket(F.col("source_path")).alias("source_bucket"),
+        _bucket(F.col("source_path"), buckets).alias("source_bucket"),
         "source_path",
         "identifier",
         F.to_json(record).alias("record"),
     )
 
 
-def write_statement_records(outcomes: DataFrame, path: str) -> None:
+def write_statement_records(
+    outcomes: DataFrame, path: str, buckets: int = SOURCE_BUCKETS
+) -> None:
     """Partitioned by a hash of the source; a large bucket is split over several files at run time."""
     (
-        statement_records(outcomes)
+        statement_records(outcomes, buckets)
         .hint("rebalance", "source_bucket")
         .write.partitionBy("source_bucket")
         .json(path)
@@ -83,12 +85,14 @@ def run_report(outcomes: DataFrame, run_name: str) -> dict[str, DataFrame]:
     return source_reports(outcomes.withColumn("source_path", F.lit(run_name)))
 
 
-def write_reports(tables: dict[str, DataFrame], path: str) -> None:
+def write_reports(
+    tables: dict[str, DataFrame], path: str, buckets: int = SOURCE_BUCKETS
+) -> None:
     """One folder per table; statements by a hash of the source, large buckets split over files."""
     for name, table in tables.items():
         if name == "queries":
             (
-                table.withColumn("source_bucket", _bucket(F.col("source_path")))
+                table.withColumn("source_bucket", _bucket(F.col("source_path"), buckets))
                 .hint("rebalance", "source_bucket")
                 .write.partitionBy("source_bucket")
                 .json(f"{path}/{name}")
