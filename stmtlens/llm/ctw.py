@@ -9,10 +9,10 @@ mixture of the estimates along its context path under these weights; where the p
 a context that training never met, the last node takes the rest of the weight. A text's log
 probability is a sum over its bytes.
 
-Counts and weights use all training text and every context in it. For scoring, paths go as deep as
-nodes with at least one part in ``2**share_bits`` of all training bytes; there are at most
-``8 * (depth + 1) * 2**share_bits`` such nodes whatever the corpus, 16 bytes each, which bounds what
-is broadcast (400 MB by default; trees of real text fill a small part of it).
+Counts and weights use all training text and every context in it, and so do scores: each distinct
+code of a block (a byte with the bytes before it) goes once to the nodes of its contexts, and its log
+probability comes back to the block. Only codes that are one part in ``2**20`` of all training bytes,
+at most that many, are looked up beforehand and broadcast, which spares their way and changes nothing.
 
 A text is its words in lower case, joined by one blank, and an end byte: the events of the base line.
 """
@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtlens.llm import contexts
-from stmtlens.llm.common import batch, chunks, ids_and_texts, in_blocks, table
+from stmtlens.llm.common import batch, block_count, chunks, in_blocks, table
 from stmtlens.llm.language import fold
 from stmtlens.session import written
 
@@ -121,21 +122,33 @@ def _above(nodes: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, depth: int = 5, share_bits: int = 19, text_col: str = "text") -> Model:
-    """Learn from all rows; a null text is empty."""
+def _grown(docs: DataFrame, depth: int, text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """Counted codes of all rows (a null text is empty), and the nodes of each depth from 0 up."""
     rows = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
-    nodes = written(_leaves(_gram_counts(rows, depth)), f"ctw-{depth}")
+    grams = written(_gram_counts(rows, depth), "codes")
+    levels = [written(_leaves(grams), f"ctw-{depth}")]
+    for at in range(depth - 1, -1, -1):
+        levels.append(written(_above(levels[-1], at), f"ctw-{at}"))
+    return grams, levels[::-1]
+
+
+def _estimate() -> Column:
+    return (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+
+
+def train(docs: DataFrame, depth: int = 5, share_bits: int = 19, text_col: str = "text") -> Model:
+    """A model of one process: nodes with one part in ``2**share_bits`` of all training bytes.
+
+    ``held_out_scores`` does without it and uses all nodes.
+    """
+    _, grown = _grown(docs, depth, text_col)
+    # Every byte passes one node with an empty prefix, whose key ends in 1.
+    first = grown[depth].where(F.col("key").bitwiseAND(F.lit(255)) == 1)
+    least = (first.agg(F.sum(F.col("zeros") + F.col("ones"))).first()[0] or 0) / 2**share_bits
     levels: list[Level] = []
-    least = 0.0
-    for at in range(depth, -1, -1):
-        if at < depth:
-            nodes = written(_above(nodes, at), f"ctw-{at}")
-        if at == depth:
-            # Every byte passes one node with an empty prefix, whose key ends in 1.
-            first = nodes.where(F.col("key").bitwiseAND(F.lit(255)) == 1)
-            least = (first.agg(F.sum(F.col("zeros") + F.col("ones"))).first()[0] or 0) / 2**share_bits
+    for at, nodes in enumerate(grown):
         kept = nodes.where((F.col("zeros") + F.col("ones") >= least) | F.lit(at == 0)).select(
-            "key", ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("one"), "stop"
+            "key", _estimate().alias("one"), "stop"
         )
         got = kept.toArrow()
         keys = got["key"].to_numpy().view(np.uint64)
@@ -147,7 +160,7 @@ def train(docs: DataFrame, depth: int = 5, share_bits: int = 19, text_col: str =
                 got["stop"].to_numpy().astype(np.float32)[order],
             )
         )
-    return Model(depth, tuple(reversed(levels)))
+    return Model(depth, tuple(levels))
 
 
 def log_probabilities(model: Model, found: np.ndarray) -> np.ndarray:
@@ -184,28 +197,105 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     return contexts.per_text(log_probabilities(model, distinct)[back], sizes)
 
 
-def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, n_bytes, score``: log10 probability of each text; ``n_bytes`` counts the end.
+# --- scores from all nodes ------------------------------------------------------------------------
 
-    The code length is ``-score / log10(2) / n_bytes`` bits per byte.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("score", pa.float64())])
+BROADCAST_BITS = 20
+SHALLOW = 1  # depths up to this have at most 2**16 nodes
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            data = [normal_form(text) for text in rows["text"].to_pylist()]
-            for lo, hi in chunks(data, CHUNK_BYTES):
-                yield batch(
-                    {"doc_id": rows["doc_id"].slice(lo, hi - lo),
-                     "n_bytes": [len(text) + 1 for text in data[lo:hi]],
-                     "score": scores(shared.value, data[lo:hi])},
-                    schema,
-                )
-
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(
-        compute, "doc_id long, n_bytes long, score double"
-    )
+_FOUND = pa.schema([("code", pa.int64()), ("score", pa.float64()), ("left", pa.int32())])
+
+
+def _settled(grown: list[DataFrame]) -> list[DataFrame]:
+    """``key, chance, rest, one`` of each depth: along the path to a node, the probability of outcome
+    1 from the nodes that stop and the weight left; ``one`` is its probability if the path ends."""
+    found: list[DataFrame] = []
+    for depth, nodes in enumerate(grown):
+        own = nodes.select("key", _estimate().alias("own"), "stop")
+        if depth:
+            mask = (1 << 8 * depth) - 1
+            up = found[-1].select(F.col("key").alias("up"), "chance", "rest")
+            own = own.withColumn("up", F.col("key").bitwiseAND(F.lit(mask))).join(up, "up")
+        else:
+            own = own.withColumns({"chance": F.lit(0.0), "rest": F.lit(1.0)})
+        stops = (F.col("chance") + F.col("rest") * F.col("stop") * F.col("own")).alias("chance")
+        rest = (F.col("rest") * (1 - F.col("stop"))).alias("rest")
+        one = (F.col("chance") + F.col("rest") * F.col("own")).alias("one")
+        settled = own.select("key", stops, rest, one)
+        last = depth == len(grown) - 1
+        found.append(settled if last else written(settled, f"settled-{depth}"))
+    return [nodes.select("key", "one") for nodes in found]
+
+
+def _look_up(rows, keys: np.ndarray, ones: np.ndarray, depth: int) -> dict:
+    """Add the places of each code whose node is there; ``left`` has a bit for each other place."""
+    found = rows["code"].to_numpy().view(np.uint64)
+    score, left = rows["score"].to_numpy().copy(), rows["left"].to_numpy().copy()
+    byte = found & np.uint64(255)
+    short = (found ^ byte) & np.uint64((1 << 8 * (depth + 1)) - 1)
+    for place in range(8):
+        prefix = np.uint64(1 << place) + (byte >> np.uint64(8 - place))
+        bit = (byte >> np.uint64(7 - place)) & np.uint64(1)
+        at, known = contexts.lookup(keys, short | prefix)
+        known &= (left >> place & 1).astype(bool)
+        chance = ones[at[known]]
+        score[known] += np.log10(np.where(bit[known] == 1, chance, 1 - chance))
+        left[known] ^= 1 << place
+    return {"code": found.view(np.int64), "score": score, "left": left}
+
+
+def _sorted_nodes(nodes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = nodes["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], nodes["one"].to_numpy()[order]
+
+
+def _meet(depth: int):
+    def meet(own: pa.Table, nodes: pa.Table) -> pa.Table:
+        return table(_look_up(own, *_sorted_nodes(nodes), depth), _FOUND)
+
+    return meet
+
+
+def code_scores(codes: DataFrame, grown: list[DataFrame]) -> DataFrame:
+    """``code, score`` of distinct codes: log10 probability of the byte, each of its places taken from
+    the deepest node on its path; a place that training never met has equal chances."""
+    buckets = block_count(codes.sparkSession)
+    left = codes.select("code", F.lit(0.0).alias("score"), F.lit(255).alias("left"))
+    done: list[DataFrame] = []
+    columns = "code long, score double, left int"
+
+    def bucket(key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.shiftrightunsigned(key, 8)), F.lit(buckets)).cast("int")
+
+    for depth, nodes in reversed(list(enumerate(_settled(grown)))):
+        if depth <= SHALLOW:
+            shared = codes.sparkSession.sparkContext.broadcast(_sorted_nodes(nodes.toArrow()))
+
+            def scan(batches, shared=shared, depth=depth):
+                for rows in batches:
+                    yield batch(_look_up(rows, *shared.value, depth), _FOUND)
+
+            left = left.mapInArrow(scan, columns)
+            continue
+
+        mask = -1 if depth == 7 else (1 << 8 * (depth + 1)) - 1
+        dealt = left.withColumn("bucket", bucket(F.col("code").bitwiseAND(F.lit(mask))))
+        there = nodes.withColumn("bucket", bucket(F.col("key")))
+        met = dealt.groupBy("bucket").cogroup(there.groupBy("bucket"))
+        found = written(met.applyInArrow(_meet(depth), columns), "code-scores")
+        done.append(found.where("left = 0").select("code", "score"))
+        left = found.where("left <> 0")
+    equal = F.col("score") + F.bit_count("left") * math.log10(0.5)
+    all_found = left.select("code", equal.alias("score"))
+    for found in done:
+        all_found = all_found.unionByName(found)
+    return all_found
+
+
+def _sorted_scores(codes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = codes.view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], found[order]
 
 
 # --- the word base line ---------------------------------------------------------------------------
@@ -237,8 +327,22 @@ def _block_words(rows: pa.Table) -> pa.Table:
     )
 
 
+_CODES = pa.schema([("block", pa.int32()), ("code", pa.int64())])
+
+
+def _block_codes(rows: pa.Table, depth: int, common: np.ndarray) -> pa.Table:
+    """Each code of a block once, without the common ones."""
+    data = [normal_form(text) for text in rows["text"].to_pylist()]
+    found = np.zeros(0, dtype=np.uint64)
+    for lo, hi in chunks(data, CHUNK_BYTES):
+        own = np.unique(contexts.codes(data[lo:hi], depth, contexts.END)[0])
+        found = np.union1d(found, own[~contexts.lookup(common, own)[1]])
+    block = rows["block"][0].as_py()
+    return table({"block": [block] * len(found), "code": found.view(np.int64)}, _CODES)
+
+
 def held_out_scores(
-    docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = 5, share_bits: int = 19
+    docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = 5
 ) -> DataFrame:
     """Learn from all folds but one and score every row by the model and by the word base line.
 
@@ -246,13 +350,34 @@ def held_out_scores(
     and has its end token alone; a null id is in fold 0. Rows that repeat an id count each. If
     nothing is learned, every token has equal chances. An empty table gives no rows.
 
-    Word counts go one row per (block, word) and come back the same way.
+    Word counts go one row per (block, word) and come back the same way, as do the codes of the model.
     """
     out = fold(F.col("doc_id"), folds) == held_out
-    model = train(docs.where(~out), depth, share_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    grams, grown = _grown(docs.where(~out), depth)
+    context = docs.sparkSession.sparkContext
+    least = (grams.agg(F.sum("n")).first()[0] or 0) / 2**BROADCAST_BITS
+    frequent = grams.where(F.col("n") >= least).select("code")
+    common = np.sort(frequent.toArrow()["code"].to_numpy().view(np.uint64))
+    spared = context.broadcast(common)
+    dealt = in_blocks(docs).withColumn("held_out", out)
+    wanted = written(
+        dealt.groupBy("block").applyInArrow(
+            lambda rows: _block_codes(rows, depth, spared.value), "block int, code long"
+        ),
+        "wanted-codes",
+    )
+    asked = wanted.select("code").distinct().unionByName(frequent)
+    settled = written(code_scores(asked, grown), "code-scores")
+    # No code is asked for twice; the common ones are as few as before.
+    own = settled.join(frequent, "code", "left_semi").toArrow()
+    shared = context.broadcast(_sorted_scores(own["code"].to_numpy(), own["score"].to_numpy()))
+    answers = wanted.join(settled, "code").select("block", "code", "score")
 
     def rate(own: pa.Table, known: pa.Table) -> pa.Table:
+        is_code = pc.is_valid(known["code"])
+        codes = known.filter(is_code)
+        near = _sorted_scores(codes["code"].to_numpy(), codes["score"].to_numpy())
+        known = known.filter(pc.invert(is_code))
         counts = known["total"].to_numpy()
         logs = dict(zip(known["word"].to_pylist(), np.log10(counts + 1.0).tolist()))
         columns: dict[str, list] = {name: [] for name in _SCORED.names}
@@ -267,7 +392,12 @@ def held_out_scores(
             columns["n_known"].append(len(found) - found.count(0.0))
             columns["log_counts"].append(math.fsum(found))
         for lo, hi in chunks(data, CHUNK_BYTES):
-            columns["score"] += scores(shared.value, data[lo:hi]).tolist()
+            found, sizes = contexts.codes(data[lo:hi], depth, contexts.END)
+            logs = np.zeros(len(found))
+            for keys, values in (shared.value, near):
+                at, hit = contexts.lookup(keys, found)
+                logs[hit] = values[at[hit]]
+            columns["score"] += contexts.per_text(logs, sizes).tolist()
         if data:
             # One row more tells how many words of the whole corpus this block speaks for.
             new = int(((counts > 0) & known["speaks"].to_numpy(zero_copy_only=False)).sum())
@@ -276,7 +406,6 @@ def held_out_scores(
                 columns[name].append(None)
         return table(columns, _SCORED)
 
-    dealt = in_blocks(docs).withColumn("held_out", out)
     word = Window.partitionBy("word")
     words = (
         dealt.groupBy("block")
@@ -286,9 +415,10 @@ def held_out_scores(
             (F.col("block") == F.min("block").over(word)).alias("speaks"),
         )
     )
+    known = words.unionByName(answers, allowMissingColumns=True)
     rated = written(
         dealt.groupBy("block")
-        .cogroup(words.groupBy("block"))
+        .cogroup(known.groupBy("block"))
         .applyInArrow(
             rate,
             "doc_id long, held_out boolean, n_words long, n_known long, log_counts double, "

@@ -115,3 +115,18 @@ def test_model_beats_the_base_line(spark):
     row = ctw.held_out_scores(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)")
     score, base = row.first()
     assert score > base
+
+
+def test_scores_use_every_trained_node(spark, monkeypatch):
+    # Words of one document each are far below any share of a large common part.
+    rows = [(i, prose(i, 60) + f" rare{i}word q{i}z") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    learned = spark.createDataFrame([r for r, o in zip(rows, out) if not o], docs.schema)
+    model = ctw.train(learned, depth=5, share_bits=60)
+    texts = [ctw.normal_form(text) for _, text in rows]
+    want = dict(zip(range(40), ctw.scores(model, texts)))
+    for bits in (20, 4):
+        monkeypatch.setattr(ctw, "BROADCAST_BITS", bits)
+        got = {r["doc_id"]: r["score"] for r in ctw.held_out_scores(docs).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
