@@ -1,10 +1,11 @@
 """Secret scan: known shapes of keys, and sliding-window entropy over candidate strings.
 
-Candidate strings are long runs of key characters. Each is worked on in the class its characters
-belong to (hex digits, or letters and digits as in base 64), with the window and threshold of that
-class. The Shannon entropy of a window follows from the counts of its characters, which change by
-one in and one out as the window moves. Windows at or above the threshold, merged, are a span.
-Allow-listed candidates give none.
+Candidate strings are long runs of key characters without their allow-listed parts. In each, runs of
+hex digits and the whole (letters and digits as in base 64) are worked on with the window and
+threshold of their class; a string shorter than the window is one window. The Shannon entropy of a
+window follows from the counts of its characters, which change by one in and one out as the window
+moves. Windows at or above the threshold, merged, are a span. Strings that are allow-listed as a
+whole give none.
 """
 
 from __future__ import annotations
@@ -45,10 +46,15 @@ CLASSES = (
     CharClass("entropy_text", re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+"), 20, 3.7),
 )
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Strings that look random and are none: identifiers, test keys, paths, and one digit only at the end.
+SHORTEST = 20
+HEX_RUN = re.compile(r"[0-9a-fA-F]{20,}")
+#: Parts of candidates that look random and are none: identifiers, and test keys up to the next separator.
+ALLOWED_PARTS = re.compile(
+    r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])"
+    r"|[A-Za-z0-9]*(?:EXAMPLE|example|XXXX|xxxx|0123456789|abcdef0123)[A-Za-z0-9]*"
+)
+#: Whole strings of that sort: paths, and digits only or only at the end.
 ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r".*(EXAMPLE|example|XXXX|xxxx|0123456789|abcdef0123).*"),
     re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}"),
     re.compile(r"[0-9]+([-_/=+][0-9]+)*"),
 )
@@ -95,20 +101,36 @@ def base_spans(text: str) -> list[Span]:
 def entropy_spans(
     text: str, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[re.Pattern] = ALLOWED
 ) -> list[Span]:
+    hex_class, text_class = classes
     found = []
+
+    def slide(string: str, at: int, kind: CharClass) -> None:
+        if not any(pattern.fullmatch(string) for pattern in allowed):
+            rank, window = KINDS.index(kind.kind), min(kind.window, len(string))
+            found.extend(
+                (at + lo, rank, at + hi) for lo, hi in high_windows(string, window, kind.bits)
+            )
+
     for candidate in CANDIDATE.finditer(text):
-        string, at = candidate.group(), candidate.start()
-        if any(pattern.fullmatch(string) for pattern in allowed):
-            continue
-        kind = next((c for c in classes if c.whole.fullmatch(string)), None)
-        if kind:
-            rank = KINDS.index(kind.kind)
-            found += [
-                (at + lo, rank, at + hi) for lo, hi in high_windows(string, kind.window, kind.bits)
-            ]
+        for string, at in _without_parts(candidate.group(), candidate.start()):
+            for run in HEX_RUN.finditer(string):
+                slide(run.group(), at + run.start(), hex_class)
+            if text_class.whole.fullmatch(string) and not hex_class.whole.fullmatch(string):
+                slide(string, at, text_class)
     return found
 
 
+def _without_parts(candidate: str, at: int) -> Iterator[tuple[str, int]]:
+    """What is left of a candidate around its allow-listed parts, with its place, if long enough."""
+    start = 0
+    for part in ALLOWED_PARTS.finditer(candidate):
+        if part.start() - start >= SHORTEST:
+            yield candidate[start : part.start()], at + start
+        start = part.end()
+    if len(candidate) - start >= SHORTEST:
+        yield candidate[start:], at + start
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 

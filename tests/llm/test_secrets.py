@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -59,3 +60,25 @@ def test_allow_list_and_mask(odd_docs):
     masked = secrets.mask_secrets(odd_docs)
     assert masked.columns == odd_docs.columns and masked.where("text IS NULL").count() == 1
     assert secrets.scan(masked).where("spans <> ''").count() == 0
+
+
+def hex_key(seed, n):
+    return "".join(random.Random(seed).choices("0123456789ABCDEF", k=n))
+
+
+def test_hex_keys_behind_separators_and_short_ones():
+    for n in (20, 23, 32, 64):
+        keys = [hex_key(1000 * n + i, n) for i in range(200)]
+        for before in ("", "KEY=", "/", "a-", "x_"):
+            found = [secrets.entropy_spans(f"see {before}{key} here") for key in keys]
+            assert sum(any(kind == 3 for _, kind, _ in own) for own in found) >= 190
+
+
+def test_allow_list_takes_its_part_only():
+    key = "Zx9Kq2Lm4Np6Rs8Tv0Wy3Bd5"
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    for before in ("path/example/", "xxxx=", f"{uuid}/", "0123456789-"):
+        text = f"see {before}{key} here"
+        assert key not in secrets.masked_text(text)
+        assert before.rstrip("/=-") in secrets.masked_text(text)
+    assert not secrets.entropy_spans(f"id={uuid} some/long/path/of/example/names id=12345678901234567890")
