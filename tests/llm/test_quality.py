@@ -54,3 +54,11 @@ def test_accepted_keeps_all_columns(odd_docs, no_docs):
     want = quality.apply_policy(quality.ledger(odd_docs), quality.CURRENT).where("kept")
     assert kept.count() == want.count() > 3
     assert quality.accepted(no_docs).count() == 0
+
+
+def test_accepted_keeps_texts_of_any_script(spark):
+    letters = ("абвгдежз", "αβγδεζηθ", "אבגדהוזח", "कखगघचछजझ", "가나다라마바사아")
+    texts = [" ".join(x[i % 8] + x[i // 8] + x[i % 7] for i in range(64)) for x in letters]
+    texts += ["١٢٣ ٤٥٦ " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in quality.accepted(docs).collect()} == {0, 1, 2, 3, 4}
