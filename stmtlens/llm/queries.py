@@ -9,6 +9,7 @@ import public_tokenizers
 
 from stmtlens.llm import (
     ctw,
+    fill_middle,
     fingerprints,
     language,
     line_dedup,
@@ -77,6 +78,11 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_decode(documents(spark, sf_dir), path))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(documents(spark, sf_dir), seed=7, rate=100, spm_rate=50)
+    return fill_middle.digests(fill_middle.restore(made))
+
+
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 SQL_OP1 = f"""
@@ -163,13 +169,46 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM docs LEFT JOIN kept USING (r)
 """
 
+SQL_OP13 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM docs
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), pieces AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p,
+         coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+         coalesce(array_to_string(u[b + 1:n], ''), '') AS s
+  FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+                        ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM pieces
+"""
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_quality_rules, op2_fingerprints, op3_packing, op4_line_dedup, op5_language,
         op6_lm_scores, op7_simhash, op8_secrets, op9_substring_dedup, op10_sentence_pieces,
+        op13_fill_middle,
     )
 }
 SQL = {
     "op1_quality_rules": SQL_OP1, "op4_line_dedup": SQL_OP4, "op9_substring_dedup": SQL_OP9,
+    "op13_fill_middle": SQL_OP13,
 }
