@@ -14,6 +14,7 @@ from stmtlens.llm import (
     language,
     line_dedup,
     packing,
+    periodic_runs,
     quality,
     secrets,
     sentence_pieces,
@@ -78,6 +79,11 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_decode(documents(spark, sf_dir), path))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(documents(spark, sf_dir))
+    return periodic_runs.digests(periodic_runs.collapse_runs(docs, exponent=4, length=6))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.transform(documents(spark, sf_dir), seed=7, rate=100, spm_rate=50)
     return fill_middle.digests(fill_middle.restore(made))
@@ -169,6 +175,50 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM docs LEFT JOIN kept USING (r)
 """
 
+# CRC-32 a bit at a time: each character of the id meets the register, then eight shifts.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+           string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+         lambda acc, x: xor(xor(acc, x) >> 1, 3988292384::BIGINT * (xor(acc, x) & 1))), 4294967295)"""
+
+# Equal words a period apart, in one stretch: a run of at least four periods has three of them.
+SQL_OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w,
+         coalesce({_CRC32}, 1) AS h
+  FROM documents
+), planned AS (
+  SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS d FROM docs
+), planted AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+           w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END]) ELSE w END AS w
+  FROM planned
+), words AS (
+  SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM planted
+), same AS (
+  SELECT x.r, x.i, y.i - x.i AS q
+  FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same)
+  GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length
+), told AS (
+  SELECT r, count(*) AS n_runs, arg_max(start, (length, -start, -period)) AS start,
+         max(length) AS length, arg_max(period, (length, -start, -period)) AS period,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said
+  FROM runs GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS said FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+       1000 * length // period AS exponent_milli, sha256(coalesce(told.said, '')) AS runs_sha256,
+       sha256(coalesce(kept.said, '')) AS collapsed_sha256
+FROM planted LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
 SQL_OP13 = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -205,10 +255,10 @@ QUERIES = {
     for query in (
         op1_quality_rules, op2_fingerprints, op3_packing, op4_line_dedup, op5_language,
         op6_lm_scores, op7_simhash, op8_secrets, op9_substring_dedup, op10_sentence_pieces,
-        op13_fill_middle,
+        op12_periodic_runs, op13_fill_middle,
     )
 }
 SQL = {
     "op1_quality_rules": SQL_OP1, "op4_line_dedup": SQL_OP4, "op9_substring_dedup": SQL_OP9,
-    "op13_fill_middle": SQL_OP13,
+    "op12_periodic_runs": SQL_OP12, "op13_fill_middle": SQL_OP13,
 }
