@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: str | None = None
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def local_session(app: str = "stmtlens", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -64,7 +66,19 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing still to be computed reads."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
