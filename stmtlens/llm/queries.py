@@ -20,6 +20,7 @@ from stmtlens.llm import (
     sentence_pieces,
     simhash,
     superkmers,
+    tensor_minhash,
 )
 
 
@@ -79,6 +80,10 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_decode(documents(spark, sf_dir), path))
 
 
+def op11_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.components(documents(spark, sf_dir), width=5, percent=85)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_runs(documents(spark, sf_dir))
     return periodic_runs.digests(periodic_runs.collapse_runs(docs, exponent=4, length=6))
@@ -175,6 +180,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM docs LEFT JOIN kept USING (r)
 """
 
+SQL_OP11 = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS k
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
+), common AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.k = y.k AND x.r <> y.r GROUP BY x.r, y.r
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.r JOIN sizes y ON b = y.r
+  WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reached AS (
+  SELECT r AS a, r AS b FROM docs
+  UNION
+  SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), least AS (
+  SELECT a AS r, min(doc_id) AS component_id FROM reached JOIN docs ON docs.r = reached.b GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
+       coalesce(doc_id = component_id, component_id IS NULL) AS kept
+FROM docs LEFT JOIN sizes USING (r) JOIN least USING (r)
+"""
+
 # CRC-32 a bit at a time: each character of the id meets the register, then eight shifts.
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
            string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
@@ -255,10 +288,10 @@ QUERIES = {
     for query in (
         op1_quality_rules, op2_fingerprints, op3_packing, op4_line_dedup, op5_language,
         op6_lm_scores, op7_simhash, op8_secrets, op9_substring_dedup, op10_sentence_pieces,
-        op12_periodic_runs, op13_fill_middle,
+        op11_tensor_minhash, op12_periodic_runs, op13_fill_middle,
     )
 }
 SQL = {
     "op1_quality_rules": SQL_OP1, "op4_line_dedup": SQL_OP4, "op9_substring_dedup": SQL_OP9,
-    "op12_periodic_runs": SQL_OP12, "op13_fill_middle": SQL_OP13,
+    "op11_tensor_minhash": SQL_OP11, "op12_periodic_runs": SQL_OP12, "op13_fill_middle": SQL_OP13,
 }
