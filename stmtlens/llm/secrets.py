@@ -1,7 +1,7 @@
 """Secret scan: known shapes of keys, and sliding-window entropy over candidate strings.
 
-Candidate strings are long runs of key characters without their allow-listed parts. In each, runs of
-hex digits and the whole (letters and digits as in base 64) are worked on with the window and
+Candidate strings are long runs of key characters, cut where a name meets its value, without their
+allow-listed parts. In each, runs of hex digits and the whole (letters and digits as in base 64) are worked on with the window and
 threshold of their class; a string shorter than the window is one window. The Shannon entropy of a
 window follows from the counts of its characters, which change by one in and one out as the window
 moves. Windows at or above the threshold, merged, are a span. Strings that are allow-listed as a
@@ -48,11 +48,15 @@ CLASSES = (
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 SHORTEST = 20
 HEX_RUN = re.compile(r"[0-9a-fA-F]{20,}")
-#: Parts of candidates that look random and are none: identifiers, and test keys up to the next separator.
-ALLOWED_PARTS = re.compile(
+#: Parts of candidates that look random and are none: identifiers, and runs of letters and digits
+#: (up to the next separator) that hold a word of test keys.
+IDENTIFIER = re.compile(
     r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])"
-    r"|[A-Za-z0-9]*(?:EXAMPLE|example|XXXX|xxxx|0123456789|abcdef0123)[A-Za-z0-9]*"
 )
+TEST_WORD = re.compile("EXAMPLE|example|XXXX|xxxx|0123456789|abcdef0123")
+PLAIN_RUN = re.compile("[A-Za-z0-9]+")
+#: What stands between a name and its value; at the end of a candidate it is padding.
+NAMED = re.compile(r"=+(?=[^=])")
 #: Whole strings of that sort: paths, and digits only or only at the end.
 ALLOWED = (
     re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}"),
@@ -120,13 +124,26 @@ def entropy_spans(
     return found
 
 
+def _allowed_parts(candidate: str) -> list[tuple[int, int]]:
+    """Allow-listed parts, in order, and the seams between names and values."""
+    found = [m.span() for m in IDENTIFIER.finditer(candidate)]
+    if TEST_WORD.search(candidate):
+        known = found[:]
+        for run in PLAIN_RUN.finditer(candidate):
+            while known and known[0][1] <= run.start():
+                known.pop(0)
+            if (not known or run.end() <= known[0][0]) and TEST_WORD.search(candidate, *run.span()):
+                found.append(run.span())
+    return sorted(found + [m.span() for m in NAMED.finditer(candidate)])
+
+
 def _without_parts(candidate: str, at: int) -> Iterator[tuple[str, int]]:
     """What is left of a candidate around its allow-listed parts, with its place, if long enough."""
     start = 0
-    for part in ALLOWED_PARTS.finditer(candidate):
-        if part.start() - start >= SHORTEST:
-            yield candidate[start : part.start()], at + start
-        start = part.end()
+    for lo, hi in _allowed_parts(candidate):
+        if lo - start >= SHORTEST:
+            yield candidate[start:lo], at + start
+        start = max(start, hi)
     if len(candidate) - start >= SHORTEST:
         yield candidate[start:], at + start
 

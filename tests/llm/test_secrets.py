@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from stmtlens.llm import secrets
@@ -82,3 +83,26 @@ def test_allow_list_takes_its_part_only():
         assert key not in secrets.masked_text(text)
         assert before.rstrip("/=-") in secrets.masked_text(text)
     assert not secrets.entropy_spans(f"id={uuid} some/long/path/of/example/names id=12345678901234567890")
+
+
+def test_long_runs_take_linear_time():
+    rng = random.Random(4)
+    million = 1_000_000
+    texts = [
+        "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=million)),
+        "".join(rng.choices("0123456789abcdef", k=million)),
+        "A1b2C3d4" * (million // 8) + "EXAMPLE", " " * million, "password" + " " * million,
+        "123e4567-e89b-12d3-a456-426614174000/" * (million // 37), "k=" * (million // 2),
+        "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=million)),
+    ]
+    began = time.perf_counter()
+    for text in texts:
+        secrets.masked_text(text)
+    assert time.perf_counter() - began < 60
+
+
+def test_names_and_values_are_judged_apart():
+    key = "Zx9Kq2Lm4Np6Rs8Tv0Wy3Bd5"
+    assert secrets.masked_text(f"see some_setting_name={key} here") == "see some_setting_name=[SECRET] here"
+    assert key not in secrets.masked_text(f"see a=b={key}== here")
+    assert not secrets.entropy_spans("one_name=another_name_2=third_name_3=fourth_name_4")
