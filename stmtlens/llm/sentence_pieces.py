@@ -159,16 +159,18 @@ class PieceTable:
         return found
 
     def run_pieces(self, n: int) -> list[str]:
-        """Pieces of ``n`` blanks: equal scores, so the leftmost pair with a piece merges first."""
-        parts = [1] * n
-        while True:
-            k = next(
-                (k for k in range(len(parts) - 1) if BLANK * (parts[k] + parts[k + 1]) in self.runs),
-                None,
-            )
-            if k is None:
-                return [BLANK * size for size in parts]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        """Pieces of ``n`` blanks: equal scores, so the leftmost pair with a piece merges first.
+
+        Left of the next blank no pair is open, so only the last part can merge with it, and what
+        comes of that with the part before.
+        """
+        sizes = {len(run) for run in self.runs}
+        parts: list[int] = []
+        for _ in range(n):
+            parts.append(1)
+            while len(parts) > 1 and parts[-2] + parts[-1] in sizes:
+                parts[-2:] = [parts[-2] + parts[-1]]
+        return [BLANK * size for size in parts]
 
     def segment_ids(self, segment: str) -> list[int]:
         """Ids of blanks and a word behind them. The last blank may be part of the word's pieces;

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import public_tokenizers
 import pytest
@@ -53,3 +54,22 @@ def test_query_columns(odd_docs, odd_rows, no_docs, library):
     got = [(str(r[0]), *r[1:]) for r in sp.digests(sp.encode_decode(odd_docs, PATH)).collect()]
     assert sorted(got) == sorted(want)
     assert sp.encode_decode(no_docs, PATH).count() == 0
+
+
+def test_long_runs_take_linear_time(library):
+    own = sp.Encoder(PATH)
+    million = 1_000_000
+    began = time.perf_counter()
+    found = [own.encode(text) for text in (" " * million, "a" * million, "a b" + " " * million + "c", "0f" * (million // 2))]
+    assert time.perf_counter() - began < 60
+    for text, (ids, decoded) in zip((" " * million, "a b" + " " * million + "c"), (found[0], found[2])):
+        want = library.encode(text, add_eos=True)
+        assert list(memoryview(ids).cast("i")) == want and decoded == library.decode(want)
+
+
+def test_blank_runs_equal_the_library(library):
+    own = sp.Encoder(PATH)
+    for n in range(1, 140):
+        for text in (" " * n, "a" + " " * n + "b", " " * n + "."):
+            want = library.encode(text, add_eos=True)
+            assert list(memoryview(own.encode(text)[0]).cast("i")) == want, (n, text)
