@@ -475,14 +475,16 @@ SQL = {
     ),
     "w0805_cohort": q(
         """SELECT r.cohort_month, s.cohort_size, r.months_since_acquisition, r.revenue_month, r.active_customers, r.total_orders, r.total_revenue, r.avg_order_value,
-        round(r.active_customers * 100.0 / CAST(s.cohort_size AS DOUBLE), 2) AS customer_retention_pct,
-        round(CAST(r.total_revenue AS DOUBLE) / s.cohort_size, 2) AS revenue_per_cohort_customer,
+        CAST((20000 * r.active_customers + s.cohort_size) // (2 * s.cohort_size) AS DOUBLE) / 100 AS customer_retention_pct,
+        CAST((2 * r.cents + s.cohort_size) // (2 * s.cohort_size) AS DOUBLE) / 100 AS revenue_per_cohort_customer,
         SUM(r.total_revenue) OVER w AS cumulative_cohort_revenue, CAST(SUM(r.active_customers) OVER w AS BIGINT) AS cumulative_active_customers,
         LAG(r.total_revenue) OVER o AS prev_month_revenue,
-        CASE WHEN LAG(r.total_revenue) OVER o > 0 THEN round(CAST(r.total_revenue - LAG(r.total_revenue) OVER o AS DOUBLE) * 100.0 / CAST(LAG(r.total_revenue) OVER o AS DOUBLE), 2) END AS revenue_growth_pct
+        CASE WHEN LAG(r.cents) OVER o > 0 THEN CAST(sign(r.cents - LAG(r.cents) OVER o) AS DOUBLE)
+          * CAST((20000 * abs(r.cents - LAG(r.cents) OVER o) + LAG(r.cents) OVER o) // (2 * LAG(r.cents) OVER o) AS DOUBLE) / 100 END AS revenue_growth_pct
         FROM (SELECT m.cohort_month, date_trunc('month', o.order_date) AS revenue_month,
           date_diff('month', CAST(m.cohort_month AS DATE), CAST(date_trunc('month', o.order_date) AS DATE)) AS months_since_acquisition,
           COUNT(DISTINCT m.customer_id) AS active_customers, COUNT(DISTINCT o.order_id) AS total_orders, SUM(o.total_amount) AS total_revenue,
+          CAST(SUM(o.total_amount) * 100 AS HUGEINT) AS cents,  -- ties at the cent are exact in whole numbers
           CAST(SUM(o.total_amount) AS DOUBLE) / COUNT(*) AS avg_order_value
           FROM members m JOIN orders_v o ON m.customer_id = o.customer_id WHERE o.status = 'COMPLETED' GROUP BY ALL) r
         JOIN (SELECT cohort_month, COUNT(DISTINCT customer_id) AS cohort_size FROM members GROUP BY cohort_month) s ON r.cohort_month = s.cohort_month

@@ -314,9 +314,9 @@ def cohort(w: Workload) -> DataFrame:
             F.when(
                 F.col("prev_month_revenue") > 0,
                 F.round(
-                    (F.col("total_revenue") - F.col("prev_month_revenue")).cast("double")
-                    * 100.0
-                    / F.col("prev_month_revenue").cast("double"),
+                    (F.col("total_revenue") - F.col("prev_month_revenue")).cast("decimal(20,2)")
+                    * F.lit(100)
+                    / F.col("prev_month_revenue").cast("decimal(20,2)"),
                     2,
                 ).cast("decimal(10,2)"),
             ).alias("revenue_growth_pct"),
