@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtlens.session import written
+from stmtlens.session import discard, written
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,9 +48,10 @@ def roots(links: DataFrame) -> DataFrame:
         # Small star: neighbours not above the node, and the node itself.
         low = wide.groupBy("a").agg(F.min("b").alias("low"))
         narrow = wide.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        links = written(
+        before, links = links, written(
             narrow.unionByName(low.toDF("a", "b")).where("a <> b").distinct(), "links"
         )
+        discard(before)
         now = links.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()

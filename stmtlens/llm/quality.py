@@ -19,8 +19,7 @@ from stmtlens.llm.common import BLANKS
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
-#: What makes a word a letter word: the letters that the SQL of op1 names, or those of any script.
-LATIN_LETTER, ANY_LETTER = "[A-Za-zÀ-ɏ]", r"\p{L}"
+LETTER = r"\p{L}"  # of any script
 
 
 @dataclass(frozen=True)
@@ -57,7 +56,8 @@ BASE = Policy("base", 1, (TOO_SHORT, REPEATED_WORDS))
 POLICIES = (
     BASE,
     Policy("prose", 1, (TOO_SHORT, REPEATED_WORDS, "symbols", "repeated_lines")),
-    Policy("prose", 2, tuple(rule.name for rule in RULES)),
+    # Version 2 had the same rules, but counted Latin letters only.
+    Policy("prose", 3, tuple(rule.name for rule in RULES)),
 )
 CURRENT = POLICIES[-1]
 
@@ -111,9 +111,7 @@ def _repeat_lines(text: Column) -> Column:
     return _bound(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def measured(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", letter: str = LATIN_LETTER
-) -> DataFrame:
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and the measurements of the whole text, one row per input row.
 
     A null or blank text has no words and all counts 0. Repeated rows are measured each. Other
@@ -135,7 +133,7 @@ def measured(
             _repeat_lines(text).alias("n_dup_lines"),
             _repeat_words(F.col("words")).alias("n_repeat_words"),
             F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
-            F.size(F.filter("words", lambda w: w.rlike(letter)))
+            F.size(F.filter("words", lambda w: w.rlike(LETTER)))
             .cast("long")
             .alias("n_letter_words"),
         )
@@ -147,13 +145,12 @@ def ledger(
     rules: Sequence[Rule] = RULES,
     id_col: str = "doc_id",
     text_col: str = "text",
-    letter: str = LATIN_LETTER,
 ) -> DataFrame:
     """The measurements and ``fail_bits`` (long) of each document."""
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.failed), F.lit(rule.mask)).otherwise(0))
-    return measured(docs, id_col, text_col, letter).withColumn("fail_bits", bits)
+    return measured(docs, id_col, text_col).withColumn("fail_bits", bits)
 
 
 def apply_policy(
@@ -198,11 +195,8 @@ def ablation(entries: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES)
 def accepted(
     docs: DataFrame, policy: Policy = CURRENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that a policy accepts, with all their columns and without a join.
-
-    Letters of any script count.
-    """
+    """The rows of ``docs`` that a policy accepts, with all their columns and without a join."""
     row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
     carried = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    judged = apply_policy(ledger(carried, id_col="row", text_col="text", letter=ANY_LETTER), policy)
+    judged = apply_policy(ledger(carried, id_col="row", text_col="text"), policy)
     return judged.where("kept").select("doc_id.*")

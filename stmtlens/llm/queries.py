@@ -118,7 +118,7 @@ WITH split AS (
            - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))))
            AS n_dup_lines,
          coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
-         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-zÀ-ɏ]'))) AS n_letter_words
+         len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letter_words
   FROM numbered LEFT JOIN covered USING (r)
 ), judged AS (
   SELECT *, {' + '.join(f"CASE WHEN {r.failed} THEN {r.mask} ELSE 0 END" for r in quality.RULES)}

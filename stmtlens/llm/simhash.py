@@ -225,15 +225,3 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their component; repeats of such a row stay one.
-
-    Rows without an id stay, as nothing can be said to stand for them.
-    """
-    keep = components(docs, id_col, text_col).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_keep")
-    ).distinct()
-    chosen = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi").dropDuplicates([id_col])
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
