@@ -9,10 +9,14 @@ mixture of the estimates along its context path under these weights; where the p
 a context that training never met, the last node takes the rest of the weight. A text's log
 probability is a sum over its bytes.
 
-Counts and weights use all training text and every context in it, and so do scores: each distinct
-code of a block (a byte with the bytes before it) goes once to the nodes of its contexts, and its log
-probability comes back to the block. Only codes that are one part in ``2**20`` of all training bytes,
-at most that many, are looked up beforehand and broadcast, which spares their way and changes nothing.
+Counts and weights use all training text and every context in it, and so do scores. A code is a byte
+with the bytes before it. Codes are dealt into buckets by the ``TOP`` bytes next to the byte, so that
+a bucket holds whole subtrees: everything from that depth down is worked out in its bucket, in arrays
+sorted once. The levels above are small tables (one row per context of at most ``TOP`` bytes and
+prefix), summed and settled with one join per level. Codes that only texts to be scored have take
+part with a count of 0, which changes nothing and gives them their place in the tree.
+
+Between blocks of documents and buckets travels one row of packed arrays for each pair of them.
 
 A text is its words in lower case, joined by one blank, and an end byte: the events of the base line.
 """
@@ -21,7 +25,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,91 +33,220 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtlens.llm import contexts
-from stmtlens.llm.common import batch, block_count, chunks, in_blocks, table
+from stmtlens.llm.common import batch, block_count, chunks, in_blocks, runs, table
 from stmtlens.llm.language import fold
-from stmtlens.session import written
+from stmtlens.session import discard, written
 
 CHUNK_BYTES = 4 << 20
 LOG_HALF = math.log(0.5)
+TOP = 3
+# Rows between blocks and buckets grow with the product of both numbers: fewer and larger ones.
+PER_PARTITION = 2
 
 
-@dataclass(frozen=True)
-class Level:
-    """Kept nodes of one depth: sorted keys (context above, prefix in the low byte), the probability
-    of outcome 1, and the weight of stopping here."""
+def normal_form(text: str) -> bytes:
+    return b" ".join(text.encode().lower().split())
 
-    keys: np.ndarray
-    ones: np.ndarray
-    stops: np.ndarray
 
+def _log_gamma(x, log):
+    """Stirling's series eight steps up, where it is good to ten digits; of arrays or columns."""
+    z, steps = x + 8, x
+    for k in range(1, 8):
+        steps = steps * (x + k)
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return (z - 0.5) * log(z) - z + 0.5 * math.log(2 * math.pi) + series - log(steps)
 
-@dataclass(frozen=True)
-class Model:
-    depth: int
-    levels: tuple[Level, ...]
 
+def _log_estimate(zeros, ones, log):
+    """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return (
+        _log_gamma(zeros + 0.5, log) + _log_gamma(ones + 0.5, log)
+        - _log_gamma(zeros + ones + 1.0, log) - math.log(math.pi)
+    )
 
-def normal_form(text: str) -> bytes:
-    return b" ".join(text.encode().lower().split())
 
+# --- subtrees of one bucket -----------------------------------------------------------------------
 
-_COUNTED = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
+class _Level:
+    """Nodes of one depth, in the order of their keys: the prefix, then the bytes before, nearest first."""
+
+    def __init__(self, keys, zeros, ones, below=None):
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+        own = _log_estimate(zeros, ones, np.log)
+        self.inside = own if below is None else np.logaddexp(own, below) + LOG_HALF
+        self.stop = np.ones(len(own)) if below is None else np.exp(own + LOG_HALF - self.inside)
+
+    def settled(self, chance, rest, one):
+        """Along the path to each node: the probability of outcome 1 from the nodes that stop, the
+        weight left, and the probability if the path ends here; from the same of the nodes above."""
+        known = self.zeros + self.ones > 0
+        own = (self.ones + 0.5) / (self.zeros + self.ones + 1)
+        return (
+            np.where(known, chance + rest * self.stop * own, chance),
+            np.where(known, rest * (1 - self.stop), rest),
+            np.where(known, chance + rest * own, one),
+        )
+
+
+class Subtrees:
+    """All nodes from depth ``top`` down of some codes (sorted, distinct) and their counts."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int, top: int):
+        self.depth, self.top, self.n = depth, top, len(codes)
+        byte = codes & np.uint64(255)
+        before = np.zeros(len(codes), dtype=np.uint64)
+        for k in range(1, depth + 1):
+            before = before << np.uint64(8) | (codes >> np.uint64(8 * k)) & np.uint64(255)
+        places = np.arange(8, dtype=np.uint64)[:, None]
+        prefix = (np.uint64(1) << places) + (byte >> (np.uint64(8) - places))
+        bit = ((byte >> (np.uint64(7) - places)) & np.uint64(1)).ravel().astype(bool)
+        keys = (prefix << np.uint64(8 * depth) | before).ravel()
+        self.order = np.argsort(keys)
+        keys, self.bit = keys[self.order], bit[self.order]
+        n = np.tile(counts.astype(np.float64), 8)[self.order]
+        starts = runs(keys)
+        self.sizes = np.diff(np.append(starts, len(keys)))
+        ones = np.add.reduceat(np.where(self.bit, n, 0), starts) if len(starts) else n
+        zeros = (np.add.reduceat(n, starts) if len(starts) else n) - ones
+        level = _Level(keys[starts], zeros, ones)
+        self.levels, self.children = [level], []
+        for _ in range(top, depth):
+            keys = level.keys >> np.uint64(8)
+            starts = runs(keys)
+            self.children.append(np.diff(np.append(starts, len(keys))))
+            sums = [
+                np.add.reduceat(x, starts) if len(starts) else x
+                for x in (level.zeros, level.ones, level.inside)
+            ]
+            level = _Level(keys[starts], *sums)
+            self.levels.append(level)
+
+    def log_probabilities(self, chance: np.ndarray, rest: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """Log10 probability of the byte of each code, from what is settled above the top nodes."""
+        state = self.levels[-1].settled(chance, rest, one)
+        for level, children in zip(self.levels[-2::-1], self.children[::-1]):
+            state = level.settled(*(np.repeat(x, children) for x in state))
+        one = np.repeat(state[2], self.sizes)
+        found = np.empty(len(one))
+        found[self.order] = np.log10(np.where(self.bit, one, 1 - one))
+        return found.reshape(8, self.n).sum(axis=0)
+
+
+def tree_log_probabilities(codes: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
+    """Log10 probability of the byte of each code, with the whole tree in one place."""
+    trees = Subtrees(codes, counts, depth, 0)
+    n = len(trees.levels[-1].keys)
+    return trees.log_probabilities(np.zeros(n), np.ones(n), np.full(n, 0.5))
+
+
+def _bucket(codes: np.ndarray, top: int, buckets: int) -> np.ndarray:
+    near = (codes >> np.uint64(8)) & np.uint64((1 << 8 * top) - 1)
+    near = (near + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((near >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(codes: np.ndarray, top: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the codes of each bucket, in their order."""
+    bucket = _bucket(codes, top, buckets)
+    order = np.argsort(bucket, kind="stable")
+    for some in np.split(order, runs(bucket[order])[1:]) if len(order) else []:
+        yield int(bucket[some[0]]), some
+
+
+_COUNTED = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
+
+
+def _counted_codes(docs: DataFrame, depth: int, top: int, buckets: int) -> DataFrame:
+    """``bucket, codes, counts``: each task's codes, counted in the texts that are not held out."""
 
-def _gram_counts(rows: DataFrame, depth: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = contexts.Counter()
-        for own in batches:
-            data = [normal_form(text) for text in own["text"].to_pylist()]
+        learned, asked = contexts.Counter(), contexts.Counter()
+        for rows in batches:
+            out = rows["held_out"].to_pylist()
+            data = [normal_form(text) for text in rows["text"].to_pylist()]
             for lo, hi in chunks(data, CHUNK_BYTES):
-                counter.add(contexts.codes(data[lo:hi], depth, contexts.END)[0])
-        for values, counts in counter.batches():
-            yield batch({"code": values.view(np.int64), "n": counts}, _COUNTED)
+                for counter, wanted in ((learned, False), (asked, True)):
+                    some = [t for t, o in zip(data[lo:hi], out[lo:hi]) if o == wanted]
+                    if some:
+                        counter.add(contexts.codes(some, depth, contexts.END)[0])
+        parts = learned.parts + [(values, 0 * counts) for values, counts in asked.parts]
+        if parts:
+            codes, counts = contexts.counted(parts)
+            for bucket, some in _by_bucket(codes, top, buckets):
+                yield batch(
+                    {"bucket": [bucket], "codes": [codes[some].tobytes()],
+                     "counts": [counts[some].astype(np.int64).tobytes()]},
+                    _COUNTED,
+                )
 
-    counts = rows.mapInArrow(count, "code long, n long")
-    return counts.groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, "bucket int, codes binary, counts binary")
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series eight steps up, where it is good to ten digits."""
-    z, steps = x + 8, x
-    for k in range(1, 8):
-        steps = steps * (x + k)
-    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+def _longs(packed: pa.ChunkedArray, kind=np.uint64) -> np.ndarray:
+    parts = [np.frombuffer(x, dtype=kind) for x in packed.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
-def _log_estimate(zeros: Column, ones: Column) -> Column:
-    """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return (
-        _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5)
-        - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+_GROWN = pa.schema([*_COUNTED, ("tops", pa.binary())])
+_TOPS = np.dtype([("key", "<i8"), ("zeros", "<f8"), ("ones", "<f8"), ("inside", "<f8")])
+
+
+def _grown(counted: DataFrame, depth: int, top: int) -> DataFrame:
+    """``bucket, codes, counts, tops``, one row per bucket: all its codes, and the nodes of depth
+    ``top`` with what their subtrees say."""
+
+    def grow(rows: pa.Table) -> pa.Table:
+        codes, counts = contexts.counted(
+            [(np.frombuffer(c, dtype=np.uint64), np.frombuffer(n, dtype=np.int64))
+             for c, n in zip(rows["codes"].to_pylist(), rows["counts"].to_pylist())]
+        )
+        level = Subtrees(codes, counts, depth, top).levels[-1]
+        tops = np.empty(len(level.keys), dtype=_TOPS)
+        tops["key"] = level.keys
+        for name in ("zeros", "ones", "inside"):
+            tops[name] = getattr(level, name)
+        return table(
+            {"bucket": [rows["bucket"][0].as_py()], "codes": [codes.tobytes()],
+             "counts": [counts.tobytes()], "tops": [tops.tobytes()]},
+            _GROWN,
+        )
+
+    return counted.groupBy("bucket").applyInArrow(
+        grow, "bucket int, codes binary, counts binary, tops binary"
     )
 
 
-def _leaves(grams: DataFrame) -> DataFrame:
-    """Nodes of the greatest depth: ``key, zeros, ones, inside`` (log probability)."""
-    byte = F.col("code").bitwiseAND(F.lit(255))
-    places = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("place")
-    each = grams.select("code", "n", byte.alias("byte"), places)
-    prefix = F.expr("shiftleft(1L, place) + shiftright(byte, 8 - place)")
-    bit = F.expr("shiftright(byte, 7 - place) & 1")
-    nodes = each.select((F.col("code") - F.col("byte") + prefix).alias("key"), "n", bit.alias("bit"))
-    counts = nodes.groupBy("key").agg(
-        F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("zeros"),
-        F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("ones"),
+_NODES = pa.schema(
+    [("bucket", pa.int32()), ("key", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()),
+     ("inside", pa.float64())]
+)
+
+
+def _top_nodes(grown: DataFrame) -> DataFrame:
+    """``bucket, key, zeros, ones, inside``, one row per node of the top depth."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for bucket, packed in zip(rows["bucket"].to_pylist(), rows["tops"].to_pylist()):
+                tops = np.frombuffer(packed, dtype=_TOPS)
+                columns = {name: tops[name] for name in _TOPS.names}
+                yield batch({"bucket": np.full(len(tops), bucket), **columns}, _NODES)
+
+    return grown.select("bucket", "tops").mapInArrow(
+        spell, "bucket int, key long, zeros double, ones double, inside double"
     )
-    inside = _log_estimate(F.col("zeros"), F.col("ones"))
-    return counts.select("*", inside.alias("inside"), F.lit(1.0).alias("stop"))
 
 
-def _above(nodes: DataFrame, depth: int) -> DataFrame:
+# --- levels above the buckets ---------------------------------------------------------------------
+
+
+def _above(nodes: DataFrame) -> DataFrame:
     """Nodes one byte of context shorter: half the own estimate, half the children's product."""
-    mask = (1 << 8 * (depth + 1)) - 1
-    sums = nodes.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(
+    sums = nodes.groupBy(F.shiftright("key", 8).alias("key")).agg(
         F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("inside").alias("below")
     )
-    own = sums.withColumn("own", _log_estimate(F.col("zeros"), F.col("ones")))
+    own = sums.withColumn("own", _log_estimate(F.col("zeros"), F.col("ones"), F.log))
     high, low = F.greatest("own", "below"), F.least("own", "below")
     both = high + F.log1p(F.exp(low - high)) + LOG_HALF
     return own.withColumn("inside", both).select(
@@ -122,180 +254,59 @@ def _above(nodes: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _grown(docs: DataFrame, depth: int, text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
-    """Counted codes of all rows (a null text is empty), and the nodes of each depth from 0 up."""
-    rows = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
-    grams = written(_gram_counts(rows, depth), "codes")
-    levels = [written(_leaves(grams), f"ctw-{depth}")]
-    for at in range(depth - 1, -1, -1):
-        levels.append(written(_above(levels[-1], at), f"ctw-{at}"))
-    return grams, levels[::-1]
+def _settled(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
+    """``key, chance, rest, one`` of the nodes of a depth, as ``_Level.settled`` has them."""
+    if above is None:
+        own = nodes.withColumns({"chance": F.lit(0.0), "rest": F.lit(1.0), "one": F.lit(0.5)})
+    else:
+        up = above.withColumnRenamed("key", "up")
+        own = nodes.withColumn("up", F.shiftright("key", 8)).join(up, "up")
+    known = F.col("zeros") + F.col("ones") > 0
+    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    chance, rest, one = F.col("chance"), F.col("rest"), F.col("one")
+    return own.select(
+        "key",
+        F.when(known, chance + rest * F.col("stop") * estimate).otherwise(chance).alias("chance"),
+        F.when(known, rest * (1 - F.col("stop"))).otherwise(rest).alias("rest"),
+        F.when(known, chance + rest * estimate).otherwise(one).alias("one"),
+    )
 
 
-def _estimate() -> Column:
-    return (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+_SCORES = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("scores", pa.binary())])
 
 
-def train(docs: DataFrame, depth: int = 5, share_bits: int = 19, text_col: str = "text") -> Model:
-    """A model of one process: nodes with one part in ``2**share_bits`` of all training bytes.
+def _code_scores(docs: DataFrame, depth: int, top: int, buckets: int) -> DataFrame:
+    """``bucket, codes, scores``, one row per bucket: log10 probability of every code's byte.
 
-    ``held_out_scores`` does without it and uses all nodes.
+    ``docs`` has ``text`` and ``held_out``.
     """
-    _, grown = _grown(docs, depth, text_col)
-    # Every byte passes one node with an empty prefix, whose key ends in 1.
-    first = grown[depth].where(F.col("key").bitwiseAND(F.lit(255)) == 1)
-    least = (first.agg(F.sum(F.col("zeros") + F.col("ones"))).first()[0] or 0) / 2**share_bits
-    levels: list[Level] = []
-    for at, nodes in enumerate(grown):
-        kept = nodes.where((F.col("zeros") + F.col("ones") >= least) | F.lit(at == 0)).select(
-            "key", _estimate().alias("one"), "stop"
+    grown = written(_grown(_counted_codes(docs, depth, top, buckets), depth, top), "subtrees")
+    tops = _top_nodes(grown)
+    levels = [written(_above(tops), "levels")]
+    for _ in range(top - 1):
+        levels.append(written(_above(levels[-1]), "levels"))
+    settled = None
+    for level in reversed(levels):
+        settled = written(_settled(level, settled), "settled")
+    up = settled.withColumnRenamed("key", "up")
+    asked = tops.select("bucket", "key", F.shiftright("key", 8).alias("up"))
+    above = asked.join(up, "up").select("bucket", "key", "chance", "rest", "one")
+
+    def score(own: pa.Table, settled: pa.Table) -> pa.Table:
+        codes, counts = _longs(own["codes"]), _longs(own["counts"], np.int64)
+        order = np.argsort(settled["key"].to_numpy())
+        state = (settled[name].to_numpy()[order] for name in ("chance", "rest", "one"))
+        found = Subtrees(codes, counts, depth, top).log_probabilities(*state)
+        return table(
+            {"bucket": own["bucket"].to_pylist(), "codes": own["codes"].to_pylist(),
+             "scores": [found.tobytes()]},
+            _SCORES,
         )
-        got = kept.toArrow()
-        keys = got["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        levels.append(
-            Level(
-                keys[order],
-                got["one"].to_numpy().astype(np.float32)[order],
-                got["stop"].to_numpy().astype(np.float32)[order],
-            )
-        )
-    return Model(depth, tuple(levels))
-
-
-def log_probabilities(model: Model, found: np.ndarray) -> np.ndarray:
-    """Log10 probability of the byte of each code after its context."""
-    total = np.zeros(len(found))
-    byte = found & np.uint64(255)
-    for place in range(8):
-        prefix = np.uint64(1 << place) + (byte >> np.uint64(8 - place))
-        bit = (byte >> np.uint64(7 - place)) & np.uint64(1)
-        key = (found ^ byte) | prefix
-        # One node after the other down the path; where it ends, the last node takes the rest.
-        rest = np.ones(len(found))
-        chance = np.zeros(len(found))
-        last = np.full(len(found), 0.5)
-        path = np.arange(len(found))
-        for depth, level in enumerate(model.levels):
-            at, known = contexts.lookup(
-                level.keys, key[path] & np.uint64((1 << 8 * (depth + 1)) - 1)
-            )
-            path, at = path[known], at[known]
-            stop = level.stops[at].astype(np.float64)
-            last[path] = level.ones[at]
-            chance[path] += rest[path] * stop * last[path]
-            rest[path] *= 1 - stop
-        chance += rest * last
-        total += np.log10(np.where(bit == 1, chance, 1 - chance))
-    return total
-
-
-def scores(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Log10 probability of each text (in normal form) with its end."""
-    found, sizes = contexts.codes(texts, model.depth, contexts.END)
-    distinct, back = np.unique(found, return_inverse=True)
-    return contexts.per_text(log_probabilities(model, distinct)[back], sizes)
-
-
-# --- scores from all nodes ------------------------------------------------------------------------
-
-BROADCAST_BITS = 20
-SHALLOW = 1  # depths up to this have at most 2**16 nodes
-
-_FOUND = pa.schema([("code", pa.int64()), ("score", pa.float64()), ("left", pa.int32())])
-
-
-def _settled(grown: list[DataFrame]) -> list[DataFrame]:
-    """``key, chance, rest, one`` of each depth: along the path to a node, the probability of outcome
-    1 from the nodes that stop and the weight left; ``one`` is its probability if the path ends."""
-    found: list[DataFrame] = []
-    for depth, nodes in enumerate(grown):
-        own = nodes.select("key", _estimate().alias("own"), "stop")
-        if depth:
-            mask = (1 << 8 * depth) - 1
-            up = found[-1].select(F.col("key").alias("up"), "chance", "rest")
-            own = own.withColumn("up", F.col("key").bitwiseAND(F.lit(mask))).join(up, "up")
-        else:
-            own = own.withColumns({"chance": F.lit(0.0), "rest": F.lit(1.0)})
-        stops = (F.col("chance") + F.col("rest") * F.col("stop") * F.col("own")).alias("chance")
-        rest = (F.col("rest") * (1 - F.col("stop"))).alias("rest")
-        one = (F.col("chance") + F.col("rest") * F.col("own")).alias("one")
-        settled = own.select("key", stops, rest, one)
-        last = depth == len(grown) - 1
-        found.append(settled if last else written(settled, f"settled-{depth}"))
-    return [nodes.select("key", "one") for nodes in found]
-
-
-def _look_up(rows, keys: np.ndarray, ones: np.ndarray, depth: int) -> dict:
-    """Add the places of each code whose node is there; ``left`` has a bit for each other place."""
-    found = rows["code"].to_numpy().view(np.uint64)
-    score, left = rows["score"].to_numpy().copy(), rows["left"].to_numpy().copy()
-    byte = found & np.uint64(255)
-    short = (found ^ byte) & np.uint64((1 << 8 * (depth + 1)) - 1)
-    for place in range(8):
-        prefix = np.uint64(1 << place) + (byte >> np.uint64(8 - place))
-        bit = (byte >> np.uint64(7 - place)) & np.uint64(1)
-        at, known = contexts.lookup(keys, short | prefix)
-        known &= (left >> place & 1).astype(bool)
-        chance = ones[at[known]]
-        score[known] += np.log10(np.where(bit[known] == 1, chance, 1 - chance))
-        left[known] ^= 1 << place
-    return {"code": found.view(np.int64), "score": score, "left": left}
-
-
-def _sorted_nodes(nodes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = nodes["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], nodes["one"].to_numpy()[order]
-
-
-def _meet(depth: int):
-    def meet(own: pa.Table, nodes: pa.Table) -> pa.Table:
-        return table(_look_up(own, *_sorted_nodes(nodes), depth), _FOUND)
-
-    return meet
-
-
-def code_scores(codes: DataFrame, grown: list[DataFrame]) -> DataFrame:
-    """``code, score`` of distinct codes: log10 probability of the byte, each of its places taken from
-    the deepest node on its path; a place that training never met has equal chances."""
-    buckets = block_count(codes.sparkSession)
-    left = codes.select("code", F.lit(0.0).alias("score"), F.lit(255).alias("left"))
-    done: list[DataFrame] = []
-    columns = "code long, score double, left int"
-
-    def bucket(key: Column) -> Column:
-        return F.pmod(F.xxhash64(F.shiftrightunsigned(key, 8)), F.lit(buckets)).cast("int")
-
-    for depth, nodes in reversed(list(enumerate(_settled(grown)))):
-        if depth <= SHALLOW:
-            shared = codes.sparkSession.sparkContext.broadcast(_sorted_nodes(nodes.toArrow()))
-
-            def scan(batches, shared=shared, depth=depth):
-                for rows in batches:
-                    yield batch(_look_up(rows, *shared.value, depth), _FOUND)
-
-            left = left.mapInArrow(scan, columns)
-            continue
-
-        mask = -1 if depth == 7 else (1 << 8 * (depth + 1)) - 1
-        dealt = left.withColumn("bucket", bucket(F.col("code").bitwiseAND(F.lit(mask))))
-        there = nodes.withColumn("bucket", bucket(F.col("key")))
-        met = dealt.groupBy("bucket").cogroup(there.groupBy("bucket"))
-        found = written(met.applyInArrow(_meet(depth), columns), "code-scores")
-        done.append(found.where("left = 0").select("code", "score"))
-        left = found.where("left <> 0")
-    equal = F.col("score") + F.bit_count("left") * math.log10(0.5)
-    all_found = left.select("code", equal.alias("score"))
-    for found in done:
-        all_found = all_found.unionByName(found)
-    return all_found
-
-
-def _sorted_scores(codes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes = codes.view(np.uint64)
-    order = np.argsort(codes)
-    return codes[order], found[order]
+
+    both = grown.select("bucket", "codes", "counts").groupBy("bucket").cogroup(above.groupBy("bucket"))
+    found = written(both.applyInArrow(score, "bucket int, codes binary, scores binary"), "code-scores")
+    discard(grown, settled, *levels)
+    return found
 
 
 # --- the word base line ---------------------------------------------------------------------------
@@ -327,18 +338,31 @@ def _block_words(rows: pa.Table) -> pa.Table:
     )
 
 
-_CODES = pa.schema([("block", pa.int32()), ("code", pa.int64())])
+_SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("codes", pa.binary())])
+_ANSWERS = pa.schema([("block", pa.int32()), ("codes", pa.binary()), ("scores", pa.binary())])
 
 
-def _block_codes(rows: pa.Table, depth: int, common: np.ndarray) -> pa.Table:
-    """Each code of a block once, without the common ones."""
+def _block_codes(rows: pa.Table, depth: int, top: int, buckets: int) -> pa.Table:
+    """Each code of a block once, one row per bucket."""
     data = [normal_form(text) for text in rows["text"].to_pylist()]
-    found = np.zeros(0, dtype=np.uint64)
+    codes = np.zeros(0, dtype=np.uint64)
     for lo, hi in chunks(data, CHUNK_BYTES):
-        own = np.unique(contexts.codes(data[lo:hi], depth, contexts.END)[0])
-        found = np.union1d(found, own[~contexts.lookup(common, own)[1]])
+        codes = np.union1d(codes, contexts.codes(data[lo:hi], depth, contexts.END)[0])
+    found = [(bucket, codes[some].tobytes()) for bucket, some in _by_bucket(codes, top, buckets)]
     block = rows["block"][0].as_py()
-    return table({"block": [block] * len(found), "code": found.view(np.int64)}, _CODES)
+    return table(
+        {"block": [block] * len(found), "bucket": [k for k, _ in found], "codes": [c for _, c in found]},
+        _SENT,
+    )
+
+
+def _answers(sent: pa.Table, scored: pa.Table) -> pa.Table:
+    """The scores of the codes that each block sent to a bucket."""
+    codes, scores = _longs(scored["codes"]), _longs(scored["scores"], np.float64)
+    found = []
+    for packed in sent["codes"].to_pylist():
+        found.append(scores[np.searchsorted(codes, np.frombuffer(packed, dtype=np.uint64))].tobytes())
+    return table({"block": sent["block"], "codes": sent["codes"], "scores": found}, _ANSWERS)
 
 
 def held_out_scores(
@@ -350,33 +374,27 @@ def held_out_scores(
     and has its end token alone; a null id is in fold 0. Rows that repeat an id count each. If
     nothing is learned, every token has equal chances. An empty table gives no rows.
 
-    Word counts go one row per (block, word) and come back the same way, as do the codes of the model.
+    Word counts go one row per (block, word) and come back the same way; codes go and their scores
+    come back packed.
     """
+    top = min(TOP, depth)
+    buckets = block_count(docs.sparkSession, PER_PARTITION)
     out = fold(F.col("doc_id"), folds) == held_out
-    grams, grown = _grown(docs.where(~out), depth)
-    context = docs.sparkSession.sparkContext
-    least = (grams.agg(F.sum("n")).first()[0] or 0) / 2**BROADCAST_BITS
-    frequent = grams.where(F.col("n") >= least).select("code")
-    common = np.sort(frequent.toArrow()["code"].to_numpy().view(np.uint64))
-    spared = context.broadcast(common)
-    dealt = in_blocks(docs).withColumn("held_out", out)
-    wanted = written(
-        dealt.groupBy("block").applyInArrow(
-            lambda rows: _block_codes(rows, depth, spared.value), "block int, code long"
-        ),
-        "wanted-codes",
+    dealt = in_blocks(docs, per_partition=PER_PARTITION).withColumn("held_out", out)
+    scored = _code_scores(dealt.select("text", "held_out"), depth, top, buckets)
+    sent = dealt.groupBy("block").applyInArrow(
+        lambda rows: _block_codes(rows, depth, top, buckets), "block int, bucket int, codes binary"
+    )
+    answers = sent.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(
+        _answers, "block int, codes binary, scores binary"
     )
-    asked = wanted.select("code").distinct().unionByName(frequent)
-    settled = written(code_scores(asked, grown), "code-scores")
-    # No code is asked for twice; the common ones are as few as before.
-    own = settled.join(frequent, "code", "left_semi").toArrow()
-    shared = context.broadcast(_sorted_scores(own["code"].to_numpy(), own["score"].to_numpy()))
-    answers = wanted.join(settled, "code").select("block", "code", "score")
 
     def rate(own: pa.Table, known: pa.Table) -> pa.Table:
-        is_code = pc.is_valid(known["code"])
-        codes = known.filter(is_code)
-        near = _sorted_scores(codes["code"].to_numpy(), codes["score"].to_numpy())
+        is_code = pc.is_valid(known["codes"])
+        told = known.filter(is_code)
+        codes, scores = _longs(told["codes"]), _longs(told["scores"], np.float64)
+        order = np.argsort(codes)
+        codes, scores = codes[order], scores[order]
         known = known.filter(pc.invert(is_code))
         counts = known["total"].to_numpy()
         logs = dict(zip(known["word"].to_pylist(), np.log10(counts + 1.0).tolist()))
@@ -393,11 +411,7 @@ def held_out_scores(
             columns["log_counts"].append(math.fsum(found))
         for lo, hi in chunks(data, CHUNK_BYTES):
             found, sizes = contexts.codes(data[lo:hi], depth, contexts.END)
-            logs = np.zeros(len(found))
-            for keys, values in (shared.value, near):
-                at, hit = contexts.lookup(keys, found)
-                logs[hit] = values[at[hit]]
-            columns["score"] += contexts.per_text(logs, sizes).tolist()
+            columns["score"] += contexts.per_text(scores[np.searchsorted(codes, found)], sizes).tolist()
         if data:
             # One row more tells how many words of the whole corpus this block speaks for.
             new = int(((counts > 0) & known["speaks"].to_numpy(zero_copy_only=False)).sum())
@@ -426,6 +440,7 @@ def held_out_scores(
         ),
         "scores",
     )
+    discard(scored)
     learned = F.col("held_out") == F.lit(False)
     sums = rated.agg(
         F.coalesce(F.sum(F.when(learned, F.col("n_words") + 1)), F.lit(0)).alias("train_tokens"),

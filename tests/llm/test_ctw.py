@@ -48,12 +48,19 @@ def block_probability(counts, depth, prefix):
     return log_weighted(counts, children, (prefix, b""), depth)
 
 
-def test_next_byte_is_the_ratio_of_block_probabilities(spark):
+def log_probability_of(texts, codes, depth):
+    """Of the byte of each code, after training on texts."""
+    seen, counts = np.unique(contexts.codes(texts, depth, b"\xff")[0], return_counts=True)
+    every = np.union1d(seen, codes)
+    learned = np.zeros(len(every), dtype=np.int64)
+    learned[np.searchsorted(every, seen)] = counts
+    return ctw.tree_log_probabilities(every, learned, depth)[np.searchsorted(every, codes)]
+
+
+def test_next_byte_is_the_ratio_of_block_probabilities():
     texts = [prose(i, 40).encode() for i in range(3)]
     texts = [b" ".join(t.lower().split()) for t in texts]
     depth = 2
-    docs = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
-    model = ctw.train(docs, depth=depth, share_bits=60)
     seen = [b"\0\0" + t for t in texts]
     for context, byte in [(t[i : i + 2], t[i + 2]) for t in seen for i in (0, 5, 11, 40)]:
         want = 0.0
@@ -65,25 +72,24 @@ def test_next_byte_is_the_ratio_of_block_probabilities(spark):
                 counts[prefix, context[depth - order :]][byte >> (7 - place) & 1] += 1
             want += block_probability(counts, depth, prefix) - before
         code = np.array([int.from_bytes(context + bytes([byte]), "big")], dtype=np.uint64)
-        got = ctw.log_probabilities(model, code)[0] * math.log(10)
-        assert got == pytest.approx(want, abs=2e-3)
+        got = log_probability_of(texts, code, depth)[0] * math.log(10)
+        assert got == pytest.approx(want, abs=1e-6)
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(prose(i, 300),) for i in range(4)], "text string")
-    for bits in (60, 8):
-        model = ctw.train(docs, depth=3, share_bits=bits)
+def test_probabilities_sum_to_one():
+    texts = [ctw.normal_form(prose(i, 300)) for i in range(4)]
+    for texts in (texts, []):
         for context in (b"the", b"\0\0a", b"qqq"):
-            top = int.from_bytes(context, "big") << 8
-            codes = np.arange(256, dtype=np.uint64) + np.uint64(top)
-            assert (10 ** ctw.log_probabilities(model, codes)).sum() == pytest.approx(1, abs=1e-5)
+            codes = np.arange(256, dtype=np.uint64) + np.uint64(int.from_bytes(context, "big") << 8)
+            assert (10 ** log_probability_of(texts, codes, 3)).sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_log_gamma(spark):
     row = [0.5, 1.0, 1.5, 7.5, 1e3, 1e9, 3e12]
     df = spark.createDataFrame([(x,) for x in row], "x double")
-    got = [r[0] for r in df.select(ctw._log_gamma(ctw.F.col("x"))).collect()]
-    assert got == pytest.approx([math.lgamma(x) for x in row], rel=1e-9, abs=1e-8)
+    want = pytest.approx([math.lgamma(x) for x in row], rel=1e-9, abs=1e-8)
+    assert [r[0] for r in df.select(ctw._log_gamma(ctw.F.col("x"), ctw.F.log)).collect()] == want
+    assert list(ctw._log_gamma(np.array(row), np.log)) == want
 
 
 def test_codes():
@@ -117,16 +123,17 @@ def test_model_beats_the_base_line(spark):
     assert score > base
 
 
-def test_scores_use_every_trained_node(spark, monkeypatch):
-    # Words of one document each are far below any share of a large common part.
+@pytest.mark.parametrize("top", [1, 3, 5])
+def test_scores_use_every_trained_node(spark, monkeypatch, top):
+    """Words of one document each are a tiny share of the whole."""
+    monkeypatch.setattr(ctw, "TOP", top)
     rows = [(i, prose(i, 60) + f" rare{i}word q{i}z") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
-    learned = spark.createDataFrame([r for r, o in zip(rows, out) if not o], docs.schema)
-    model = ctw.train(learned, depth=5, share_bits=60)
     texts = [ctw.normal_form(text) for _, text in rows]
-    want = dict(zip(range(40), ctw.scores(model, texts)))
-    for bits in (20, 4):
-        monkeypatch.setattr(ctw, "BROADCAST_BITS", bits)
-        got = {r["doc_id"]: r["score"] for r in ctw.held_out_scores(docs).collect()}
-        assert got == pytest.approx(want, rel=1e-5)
+    found, sizes = contexts.codes(texts, 5, contexts.END)
+    codes, back = np.unique(found, return_inverse=True)
+    logs = log_probability_of([t for t, o in zip(texts, out) if not o], codes, 5)
+    want = dict(zip(range(40), contexts.per_text(logs[back], sizes)))
+    got = {r["doc_id"]: r["score"] for r in ctw.held_out_scores(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
