@@ -10,11 +10,12 @@ The product is taken late. A half-key that only one set has cannot be part of a
 half-keys are counted first, one row each, and only shared ones are combined. Tables that hold the
 same sets are one table.
 
-Candidates are verified on their whole sets. A component needs no link inside it, so in every round
-each table compares its members with one of them, chosen anew, if they are not yet connected. When a
-round links nothing more, the tables that still hold several components are settled exactly: all
-members get their distance to one pivot, and by the triangle inequality only those can be alike
-whose distances differ by no more than the limit.
+Candidates are verified on their whole sets. A component needs no link inside it, so each table first
+compares its members with one of them. Tables that still hold several components are compared with
+their centre, the member that has most shingles in common with other components, and what is left
+then is settled exactly: by the triangle inequality only members can be alike whose distances to the
+centre differ by no more than the limit, and two members have no more in common than either of them
+has with other components at all.
 
 Equal sets are one node. Shingles are 64-bit hashes.
 """
@@ -37,7 +38,6 @@ WIDTH = 5
 PERCENT = 85
 HALF_KEYS = 10  # in each of the two collections
 MINHASHES = 2  # in a half-key
-PIVOT = -1  # a star of its own
 COLUMNS = 1 << 12  # shingles hashed at a time
 _TURNS = np.random.default_rng(11).integers(
     1, 1 << 63, size=(2 * HALF_KEYS * MINHASHES, 1), dtype=np.uint64
@@ -136,21 +136,15 @@ def meetings(nodes: DataFrame) -> DataFrame:
     return members.join(one, "key", "left_semi")
 
 
-def _fits(n: Column, other: Column, percent: int) -> Column:
-    return 100 * F.least(n, other) >= percent * F.greatest(n, other)
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     a, b = F.least("node", "x.node"), F.greatest("node", "x.node")
     return pairs.select(a.alias("a"), b.alias("b")).distinct()
 
 
-def _stars(met: DataFrame, star: int) -> DataFrame:
-    """``key, x``: one member of each table, another for each ``star``."""
-    one = F.struct("node", "n", "root")
-    return met.groupBy("key").agg(
-        F.min_by(one, F.struct(F.xxhash64("node", F.lit(star)), "node")).alias("x")
-    )
+def _stars(met: DataFrame, turn: Column) -> DataFrame:
+    """``key, x``: of each table the member that comes first by ``turn``."""
+    one = F.struct("node", "n", "root", "shared")
+    return met.groupBy("key").agg(F.min_by(one, F.struct(turn, "node")).alias("x"))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,29 +169,47 @@ def _open(met: DataFrame) -> DataFrame:
     return met.join(ends.where("lo <> hi").select("key"), "key", "left_semi")
 
 
-def _pivoted(met: DataFrame) -> DataFrame:
-    """Members of open tables, each but the pivot with the pair ``a, b`` of it and the pivot."""
-    return met.join(_stars(met, PIVOT), "key").where("node <> x.node").select(
-        "key", "node", "n", "root", F.least("node", "x.node").alias("a"),
-        F.greatest("node", "x.node").alias("b"),
+def _with_shared(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``met`` with ``shared``, how many shingles a node has that other components have too, and
+    without the nodes for which that is too few to be like any of them."""
+    nodes = met.select("node", "root").distinct()
+    each = nodes.join(sets, "node").select("node", "root", F.explode("shingles").alias("shingle"))
+    ends = each.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    told = each.join(ends.where("lo <> hi").select("shingle"), "shingle", "left_semi")
+    shared = told.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    found = met.drop("shared").join(shared, "node")
+    return _open(found.where(100 * F.col("shared") >= percent * F.col("n")))
+
+
+def _may_be_alike(percent: int) -> Column:
+    """Of a row and its ``x``: another component, and enough that can be common."""
+    most = F.least("shared", "x.shared")
+    return (F.col("root") != F.col("x.root")) & (
+        100 * most >= percent * (F.col("n") + F.col("x.n") - most)
     )
 
 
-def _near_pivot(met: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: members of different components whose distances to the pivot of a table, all of
-    them tested, are within the limit. Tables are cut into cells of that width."""
+def _near_pivot(met: DataFrame, centres: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: members that may be alike by their distances to the centre of a table. All pairs
+    of a member and its centre are in ``tested``. Tables are cut into cells as wide as the limit."""
     limit = 1 - percent / 100
     far = 1 - F.col("common") / F.col("united")
-    placed = _pivoted(met).join(tested, ["a", "b"]).select(
-        "key", F.struct("node", "n", "root", far.alias("far")).alias("x"),
+    placed = _pivoted(met, centres).join(tested, ["a", "b"]).select(
+        "key", F.struct("node", "n", "root", "shared", far.alias("far")).alias("x"),
         F.floor(far / limit).alias("cell"),
     )
     around = F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell")
     near = placed.select("key", "cell", "x.*").join(placed.select("key", "x", around), ["key", "cell"])
     return near.where(
-        (F.col("root") != F.col("x.root"))
-        & (F.abs(F.col("far") - F.col("x.far")) <= limit + 1e-9)
-        & _fits(F.col("n"), F.col("x.n"), percent)
+        _may_be_alike(percent) & (F.abs(F.col("far") - F.col("x.far")) <= limit + 1e-9)
+    )
+
+
+def _pivoted(met: DataFrame, centres: DataFrame) -> DataFrame:
+    """Members of tables, each but the centre with the pair ``a, b`` of it and the centre."""
+    return met.join(centres, "key").where("node <> x.node").select(
+        "key", "node", "n", "root", "shared", F.least("node", "x.node").alias("a"),
+        F.greatest("node", "x.node").alias("b"),
     )
 
 
@@ -205,35 +217,33 @@ def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """``a, b``: links that connect all nodes that meet and are alike."""
     tested = links = None
 
-    def settle(pairs: DataFrame) -> bool:
-        """Compare new pairs and add those alike to the links; whether there were any."""
+    def settle(pairs: DataFrame) -> None:
+        """Compare new pairs and add those alike to the links."""
         nonlocal tested, links
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         new = written(_compared(pairs, sets), "compared")
         alike = new.where(100 * F.col("common") >= percent * F.col("united")).select("a", "b")
         tested = new if tested is None else tested.unionByName(new)
-        if alike.isEmpty():
-            return False
         links = alike if links is None else links.unionByName(alike)
-        return True
 
     def still_open(met: DataFrame) -> DataFrame:
-        found = written(_open(_rooted(met.select("key", "node", "n"), links)), "meetings")
+        rooted = _open(_rooted(met.select("key", "node", "n"), links))
+        found = written(_with_shared(rooted, sets, percent), "meetings")
         discard(met)
         return found
 
-    star, more = 0, True
-    while more:
-        met = still_open(met)
-        if met.isEmpty():
-            return links
-        stars = met.join(_stars(met, star), "key").where(F.col("root") != F.col("x.root"))
-        more = settle(_ordered(stars.where(_fits(F.col("n"), F.col("x.n"), percent))))
-        star += 1
-    if settle(_pivoted(met).select("a", "b").distinct()):
-        met = still_open(met)
-    settle(_ordered(_near_pivot(met, tested, percent)))
+    # At first nothing is known but sizes.
+    first = _rooted(met, None).withColumn("shared", F.col("n"))
+    star = first.join(_stars(first, F.xxhash64("node")), "key")
+    settle(_ordered(star.where(_may_be_alike(percent))))
+    met = still_open(met)
+    if met.isEmpty():
+        return links
+    centres = written(_stars(met, -F.col("shared")), "centres")
+    settle(_pivoted(met, centres).select("a", "b").distinct())
+    met = still_open(met)
+    settle(_ordered(_near_pivot(met, centres, tested, percent)))
     return links
 
 

@@ -42,14 +42,36 @@ def test_components_equal_plain(spark, percent=85):
     assert 20 < len(set(want)) < len(texts) - 30
 
 
-def test_pivot_stage_alone_finds_all(spark, monkeypatch):
-    """Stars that never link leave every pair to the pivots."""
+def graded(f, n):
+    """Copies of one text with more and more changes: the first are linked through it alone."""
+    base = prose(f, 150)
+    return [base] + [edited(base, 1 + k % 8, 1000 * f + k) for k in range(n)]
+
+
+def test_one_large_family(spark):
+    texts = graded(40, 160) + chain(41)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in tm.components(docs).collect()}
+    want = plain_roots([plain_set(t) for t in texts])
+    assert [got[i] for i in range(len(texts))] == want
+    assert 20 < len(set(want)) < 160
+
+
+def test_near_pivot_finds_all(spark, monkeypatch):
+    """Without links by stars all are left to the last stage."""
     texts = [t for f in range(4) for t in chain(f)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    real = tm._stars
-    monkeypatch.setattr(tm, "_stars", lambda met, star: real(met if star == tm.PIVOT else met.limit(0), star))
+    real = tm._may_be_alike
+    calls = []
+
+    def none_at_first(percent):
+        calls.append(percent)
+        return real(percent) & tm.F.lit(len(calls) > 1)
+
+    monkeypatch.setattr(tm, "_may_be_alike", none_at_first)
     got = {r["doc_id"]: r["component_id"] for r in tm.components(docs).collect()}
     assert [got[i] for i in range(len(texts))] == plain_roots([plain_set(t) for t in texts])
+    assert len(calls) == 2
 
 
 def test_half_keys_follow_similarity():
