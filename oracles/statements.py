@@ -253,6 +253,7 @@ SQL = {
     "src_sql_dir": q(FROM_FILES.format(ordinal=0)),
     "src_csv_column": q(FROM_CSV.format(ordinal=0)),
     "src_csv_dir": q(FROM_CSV.format(ordinal=0)),
+    "src_csv_headers": q(FROM_CSV.format(ordinal=0)),
     "src_union_inputs": q(
         " UNION ALL ".join(
             [

@@ -112,6 +112,19 @@ def src_csv_dir(spark: SparkSession, folder: str) -> DataFrame:
     return _loaded(files.csv_dirs(spark, [path], "sql_text", relative_to=path))
 
 
+def src_csv_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one folder in which the column stands at different places."""
+    path = fresh_path(spark, "script_csv")
+    table = _in_files(spark, folder).select("script_id", F.col("script_text").alias("sql_text"), "batch")
+    note = F.format_string('he said "%s",\nfrom %s', "script_id", "batch").alias("a note")
+    kinds = [["script_id", "sql_text"], [note, "sql_text", "script_id"], ["sql_text", note]]
+    for k, columns in enumerate(kinds):
+        part = table.where(F.col("batch") % len(kinds) == k).select(*columns, "batch")
+        writer = part.write.mode("append").partitionBy("batch").option("header", True)
+        writer.option("escape", '"').option("quoteAll", True).csv(path)
+    return _loaded(files.csv_dirs(spark, [path], "sql_text", relative_to=path))
+
+
 def src_union_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """All four kinds of input: the file of the first scripts, a folder, and a column twice."""
     scripts, table = _script_files(spark, folder), _script_csv(spark, folder)
@@ -812,7 +825,7 @@ def sink_view(spark, folder):
 QUERIES = {
     function.__name__: function
     for function in [
-        src_sql_file, src_sql_dir, src_csv_column, src_csv_dir, src_union_inputs,
+        src_sql_file, src_sql_dir, src_csv_column, src_csv_dir, src_csv_headers, src_union_inputs,
         e2e_outcomes, e2e_records,
         split_statements, src_lineage_payload, src_expected_results,
         sink_statement_json, sink_source_report, sink_run_report, sink_results_table,

@@ -11,9 +11,7 @@ from pyspark.sql import types as T
 from stmtlens import schemas
 from stmtlens.functions import text as tx
 from stmtlens.operators.statements import split_statements
-
-# One row per file may be broadcast up to this many files.
-BROADCAST_FILES = 100_000
+from stmtlens.sources.csv_cells import column_cells
 
 
 def local_path(path: Column, relative_to: str = "") -> Column:
@@ -94,7 +92,8 @@ def _cut_scripts(reader, paths: list[str], relative_to: str) -> DataFrame:
         )
     )
     same = (F.col("source_path") == F.col("_path")) & (F.col("_block") == F.col("_at"))
-    return cut.join(shifts, same).select(
+    # One row per file block, so the texts stay where they are.
+    return cut.join(F.broadcast(shifts), same).select(
         "source_path", (F.col("_id") + F.col("_shift")).cast("bigint").alias("stmt_index"),
         "query_text",
     )
@@ -126,52 +125,14 @@ def sql_files(
     return _scripts(spark, paths, None, input_ordinal, relative_to)
 
 
-def position_in_file(df: DataFrame, relative_to: str = "") -> DataFrame:
-    """Add ``source_path`` and ``_position``, the 0-based record number within the file.
-
-    For formats that keep a file in one task: there the running ids of a file are consecutive, so
-    the smallest id per file is all that has to be known.
-    """
-    numbered = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("source_path"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    starts = numbered.groupBy(F.col("source_path").alias("_file")).agg(F.min("_id").alias("_start"))
-    if len(df.inputFiles()) <= BROADCAST_FILES:
-        # Keeps the rows where they are: one file may hold a third of them.
-        starts = F.broadcast(starts)
-    return (
-        numbered.join(starts, F.col("source_path") == F.col("_file"))
-        .withColumn("_position", F.col("_id") - F.col("_start"))
-        .withColumn("source_path", local_path(F.col("source_path"), relative_to))
-        .drop("_id", "_start", "_file")
-    )
-
-
 def _csv(
     spark: SparkSession, paths: Sequence[str], column: str, delimiter: str, recursive: bool,
     input_ordinal: int, relative_to: str,
 ) -> DataFrame:
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        # A file whose header differs from the others' is an error, not a silent shift of columns.
-        .option("enforceSchema", False)
-    )
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    table = reader.csv(list(paths))
-    if column not in table.columns:
-        raise ValueError(f"column {column!r} not found; available: {', '.join(table.columns)}")
-    cells = position_in_file(
-        table.select(F.col(f"`{column}`").alias("script_text"), "_metadata"), relative_to
-    )
-    located = cells.select(
-        "source_path", (F.col("_position") + 2).alias("row_number"), "script_text"
+    found = column_cells(spark, paths, column, delimiter, recursive)
+    located = found.select(
+        local_path(F.col("path"), relative_to).alias("source_path"),
+        (F.col("number") + 1).alias("row_number"), F.col("cell").alias("script_text"),
     ).where(tx.strip(F.coalesce("script_text", F.lit(""))) != "")
     row, position = F.col("row_number").cast("string"), F.col("stmt_index").cast("string")
     return split_statements(located).select(
@@ -204,7 +165,8 @@ def csv_dirs(
     spark: SparkSession, paths: Sequence[str], column: str, delimiter: str = ",",
     input_ordinal: int = 0, relative_to: str = "",
 ) -> DataFrame:
-    """Statements of the same column in every ``*.csv`` below the directories."""
+    """Statements of the column of that name in every ``*.csv`` below the directories; the files may
+    have different headers."""
     return _csv(spark, paths, column, delimiter, True, input_ordinal, relative_to)
 
 

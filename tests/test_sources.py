@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from stmtlens.plans import procedures
 from stmtlens.plans.statements import SETTINGS
 from stmtlens.sinks import reports
 from stmtlens.sources import files
+from stmtlens.sources.csv_cells import column_cells
 from stmtlens.sources.workload import Workload
 
 
@@ -212,3 +216,65 @@ def test_statement_records_hold_the_answer_as_it_came(spark):
     records = {r["identifier"]: json.loads(r["record"]) for r in reports.statement_records(found).collect()}
     assert records["a"]["raw_payload"] == said
     assert "raw_payload" not in records["b"] and records["b"]["source_query"] == "SELECT 2"
+
+
+def _random_csv(rng, order):
+    """Records with quotes, delimiters and line breaks in cells, stray quotes, and empty lines."""
+    parts = ["a", "b c", ",", '"', "\n", "\r\n", ";", "é", "SELECT 1", "", " "]
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
+    writer.writerow(order)
+    for i in range(rng.randint(50, 400)):
+        cell = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        values = {"id": i, "sql_text": cell, 'no,te "x"': rng.choice(["n", 'q"q', "x\ny"])}
+        writer.writerow([values[c] for c in order])
+        if rng.random() < 0.1:
+            out.write(rng.choice(["\n", "9\n", '7,5" pipe,b"c\n']))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("block", [None, 700])
+def test_csv_blocks_equal_a_plain_reader(spark, tmp_path, block):
+    """Cut anywhere, with other columns in every file, as the csv module reads them whole."""
+    rng, want = random.Random(block), []
+    orders = [["id", "sql_text", 'no,te "x"'], ["sql_text", 'no,te "x"', "id"], ['no,te "x"', "sql_text"]]
+    for f in range(6):
+        text = _random_csv(rng, orders[f % 3])
+        (tmp_path / f"{f}.csv").write_bytes((b"\xef\xbb\xbf" if f == 4 else b"") + text.encode())
+        records = csv.reader(io.StringIO(text.replace("\r\n", "\n"), newline=""))
+        at = next(records).index("sql_text")
+        filled = [r for r in records if r]
+        want += [(f"{f}.csv", k, r[at] if at < len(r) else None) for k, r in enumerate(filled, 1)]
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = column_cells(spark, [str(tmp_path)], "sql_text", recursive=True)
+        got = [(r["path"].split("/")[-1], r["number"], r["cell"]) for r in found.collect()]
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert tasks > 20 or not block
+
+
+def test_csv_one_record_over_many_blocks(spark, tmp_path):
+    long = "\n".join(f"line {i}, with more" for i in range(3000))
+    (tmp_path / "q.csv").write_text(f'k,t\n1,"{long}"\n2,x\n3,"open till the\nend')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = {r["number"]: r["cell"] for r in column_cells(spark, [str(tmp_path / "q.csv")], "t").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {1: long, 2: "x", 3: "open till the\nend"}
+
+
+def test_csv_file_without_the_column_is_named(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("q,k\nS1,1\n")
+    (tmp_path / "bad.csv").write_text("k,other\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(ValueError, match=r"'q' not found in .*bad\.csv; available: k, other"):
+        files.csv_dirs(spark, [str(tmp_path)], "q")
