@@ -1,27 +1,33 @@
-"""Ordered computations over groups of any size.
-
-A window over a hot group (or over the whole table) runs in one task. So groups are counted first,
-on their keys alone. Groups of ordinary size take a plain window: one shuffle. Rows of the few
-groups above ``HOT_ROWS``, and windows without a group, are range-partitioned by (group, order)
-instead, which spreads a group over many slices. Each slice is computed on its own, the layout is
-written once, and only groups cut by a slice boundary need a correction. At most one group crosses
-each boundary, so the correction table holds at most two rows per slice and is safe to broadcast
-whatever the size of the data.
+"""Ordered computations over groups of any size, in one exchange.
+
+A window over a hot group (or over the whole table) runs in one task. So rows are cut into slices of
+about equal size along (group, order), whatever the sizes of the groups. The cuts are weighted
+quantiles of a sample: each task keeps a few rows and says how many each of them stands for, and such
+samples merge by putting them together. A row's slice is its place among the cuts, found by a binary
+search in built-in expressions; only the window over (slice, group) moves rows. Where the cuts fall
+changes the work and never a result.
+
+Each slice is computed on its own and written once, and only groups cut by a slice boundary need a
+correction. At most one group crosses each boundary, so the correction table holds at most two rows
+per slice and is safe to broadcast whatever the size of the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stmtlens.session import written
 
 SLICE = "_slice"
-# A group with more rows than this is not sorted in one task.
-HOT_ROWS = 2_000_000
+# Rows that the sample holds for each slice: slices are uneven by some 15 percent.
+SAMPLED = 50
 Order = Sequence[tuple[str, str]]  # (column, "asc" | "desc")
 
 
@@ -32,9 +38,91 @@ def _sort(order: Order) -> list[Column]:
     ]
 
 
+def _falling(name: str, kind: T.DataType) -> list[Column]:
+    """Values whose rising order is the falling order of a column, nulls last."""
+    value = F.col(name)
+    if isinstance(kind, T.DateType):
+        value = F.unix_date(value)
+    elif isinstance(kind, T.TimestampType):
+        value = F.unix_micros(value)
+    if isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType)):
+        return [value.isNull(), F.bitwise_not(value)]
+    if isinstance(kind, T.BooleanType):
+        return [value.isNull(), ~value]
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return [value.isNull(), ~F.isnan(value), -value]
+    if isinstance(kind, T.StringType):
+        # Bytes from the other end, and behind a text what no byte follows.
+        digits = "0123456789ABCDEF"
+        return [value.isNull(), F.concat(F.translate(F.hex(value), digits, digits[::-1]), F.lit("G"))]
+    if isinstance(kind, T.DecimalType):
+        return [value.isNull(), -value]
+    raise TypeError(f"no falling order for {name!r} of type {kind.simpleString()}")
+
+
+def _coordinates(df: DataFrame, keys: Sequence[str], order: Order) -> list[Column]:
+    """Values along which rows are cut: nulls first, rising."""
+    found = [F.col(k) for k in keys]
+    for name, way in order:
+        found += [F.col(name)] if way == "asc" else _falling(name, df.schema[name].dataType)
+    return [c.alias(f"c{i}") for i, c in enumerate(found)]
+
+
+def _cuts(places: DataFrame, slices: int) -> list[Row]:
+    """At most ``slices - 1`` rows of ``places`` that cut it into about equal parts."""
+    tasks = max(places.rdd.getNumPartitions(), 1)
+    size = max(SAMPLED * slices // tasks, 20)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, kept, drawn, n = np.random.default_rng(7), None, np.zeros(0), 0
+        for rows in batches:
+            n += rows.num_rows
+            drawn = np.concatenate((drawn, turn.random(rows.num_rows)))
+            own = pa.Table.from_batches([rows])
+            kept = own if kept is None else pa.concat_tables([kept, own])
+            if len(drawn) > size:
+                least = np.argpartition(drawn, size)[:size]
+                drawn, kept = drawn[least], kept.take(pa.array(least)).combine_chunks()
+        if n:
+            weight = pa.array(np.full(kept.num_rows, n / kept.num_rows))
+            yield from kept.append_column("weight", weight).to_batches()
+
+    schema = T.StructType([*places.schema.fields, T.StructField("weight", T.DoubleType())])
+    sampled = places.mapInArrow(sample, schema)
+    # A row per task and slice at most: few enough for one task.
+    by = Window.orderBy(*places.columns)
+    upto = F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    part = F.floor(F.col("upto") * slices / F.sum("weight").over(Window.partitionBy()))
+    placed = sampled.withColumn("upto", upto).withColumn("part", part)
+    first = F.row_number().over(Window.partitionBy("part").orderBy(*places.columns))
+    inner = (F.col("first") == 1) & F.col("part").between(1, slices - 1)
+    cuts = placed.withColumn("first", first).where(inner)
+    return cuts.select(places.columns).distinct().orderBy(*places.columns).collect()
+
+
 def _sliced(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
-    by = [F.col(k).asc_nulls_first() for k in keys] + _sort(order)
-    return df.repartitionByRange(*by).withColumn(SLICE, F.spark_partition_id())
+    """Add the number of each row's slice; numbers rise along (keys, order)."""
+    coordinates = _coordinates(df, keys, order)
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = df.select(*coordinates)
+    cuts = _cuts(places, slices)
+    row = F.struct(*coordinates)
+
+    def bound(cut: Row) -> Column:
+        fields = zip(cut, places.schema)
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in fields])
+
+    bounds = F.array(*map(bound, cuts))
+    at = F.lit(0)
+    if cuts:
+        widths = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+        at = F.aggregate(
+            F.array(*map(F.lit, widths)), at,
+            lambda at, width: F.when(
+                (at + width <= len(cuts)) & (F.get(bounds, at + width - 1) <= row), at + width
+            ).otherwise(at),
+        )
+    return df.withColumn(SLICE, at)
 
 
 def _window(keys: Sequence[str], order: Order = ()):
@@ -42,32 +130,6 @@ def _window(keys: Sequence[str], order: Order = ()):
     return window.orderBy(*_sort(order)) if order else window
 
 
-def _split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of ordinary groups, rows of hot groups); None stands for no rows.
-
-    There are at most ``rows / hot_rows`` hot groups, so their keys are broadcast.
-    """
-    if not keys:
-        return None, df
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    hot = written(
-        sizes.where(F.col("_size") > hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]),
-        "hot",
-    )
-    if hot.isEmpty():
-        return df, None
-    same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
-    hot = F.broadcast(hot)
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
-
-
-def _both(ordinary: DataFrame | None, hot: DataFrame | None) -> DataFrame:
-    parts = [part for part in (ordinary, hot) if part is not None]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
 def _cut_groups(laid: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``laid`` whose group continues in another slice.
 
@@ -100,35 +162,12 @@ def _corrected(laid: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def with_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Order,
-    tie_break: Order = (),
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Order, tie_break: Order = ()
 ) -> DataFrame:
     """Add ``row_number``, ``rank``, ``dense_rank`` and ``group_rows`` within ``keys``.
 
     ``order`` decides rank and dense rank; ``tie_break`` completes the order for the row number.
     """
-    ordinary, hot = _split_hot(df, keys, hot_rows)
-    if ordinary is not None:
-        group = Window.partitionBy(*keys)
-        by_value, by_row = group.orderBy(*_sort(order)), group.orderBy(*_sort([*order, *tie_break]))
-        ordinary = ordinary.select(
-            "*",
-            F.row_number().over(by_row).cast("bigint").alias("row_number"),
-            F.rank().over(by_value).cast("bigint").alias("rank"),
-            F.dense_rank().over(by_value).cast("bigint").alias("dense_rank"),
-            F.count(F.lit(1)).over(group).alias("group_rows"),
-        )
-    if hot is not None:
-        hot = _sliced_ranks(hot, keys, order, tie_break)
-    return _both(ordinary, hot)
-
-
-def _sliced_ranks(
-    df: DataFrame, keys: Sequence[str], order: Order, tie_break: Order
-) -> DataFrame:
     columns = df.columns
     full = [*order, *tie_break]
     laid = written(
@@ -214,33 +253,12 @@ def percent_rank(rank: Column, group_rows: Column) -> Column:
     return F.when(group_rows > 1, (rank - 1) / (group_rows - 1)).otherwise(F.lit(0.0))
 
 
-def with_neighbours(
-    df: DataFrame, keys: Sequence[str], order: Order, column: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def with_neighbours(df: DataFrame, keys: Sequence[str], order: Order, column: str) -> DataFrame:
     """Add the value of ``column`` in the row before and after within ``keys``.
 
     Adds ``previous``, ``following``, ``has_previous`` and ``has_following``. ``order`` must be
     total, so that slices and neighbours are well defined.
     """
-    ordinary, hot = _split_hot(df, keys, hot_rows)
-    if ordinary is not None:
-        along = Window.partitionBy(*keys).orderBy(*_sort(order))
-        exists = F.lit(True)
-        ordinary = ordinary.select(
-            "*",
-            F.lag(column).over(along).alias("previous"),
-            F.lead(column).over(along).alias("following"),
-            F.lag(exists, 1, False).over(along).alias("has_previous"),
-            F.lead(exists, 1, False).over(along).alias("has_following"),
-        )
-    if hot is not None:
-        hot = _sliced_neighbours(hot, keys, order, column)
-    return _both(ordinary, hot)
-
-
-def _sliced_neighbours(
-    df: DataFrame, keys: Sequence[str], order: Order, column: str
-) -> DataFrame:
     columns = df.columns
     here = _window(keys, order)
     laid = written(
@@ -289,7 +307,6 @@ class CountedValues:
 
     table: DataFrame
     keys: list[str]
-    is_cut: bool
 
 
 def counted_values(
@@ -297,7 +314,6 @@ def counted_values(
     keys: Sequence[str],
     value: str,
     extra: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> CountedValues:
     """Count equal values per group, before any shuffle, and order them within the group.
 
@@ -314,49 +330,38 @@ def counted_values(
     )
     order = [("_value", "asc")]
 
-    def running(part: DataFrame) -> DataFrame:
-        upto = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return part.select(
-            "*",
-            F.row_number().over(_window(keys, order)).alias("_rn"),
-            F.sum("_n").over(upto).alias("_upto"),
-            F.sum("_n").over(_window(keys)).alias("_rows"),
-            F.count(F.lit(1)).over(_window(keys)).alias("_values"),
-        )
-
-    ordinary, hot = _split_hot(counted, keys, hot_rows)
-    if ordinary is not None:
-        ordinary = running(ordinary.withColumn(SLICE, F.lit(-1)))
-    if hot is not None:
-        hot = written(running(_sliced(hot, keys, order)), "values")
-    return CountedValues(_both(ordinary, hot), keys, hot is not None)
+    here = _window(keys, order)
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = _sliced(counted, keys, order).select(
+        "*",
+        F.row_number().over(here).alias("_rn"),
+        F.sum("_n").over(upto).alias("_upto"),
+        F.sum("_n").over(_window(keys)).alias("_rows"),
+        F.count(F.lit(1)).over(_window(keys)).alias("_values"),
+    )
+    return CountedValues(written(laid, "values"), keys)
 
 
 def _with_positions(values: CountedValues) -> DataFrame:
     """Add the first and last 0-based position of each value in its group, the rank of the value
     among the distinct ones, and the size of the group."""
     laid, keys = values.table, values.keys
-    none = F.lit(None).cast("bigint")
-    if values.is_cut:
-        slices = (
-            _cut_groups(laid, laid.where(F.col("_rn") == 1), keys)
-            .groupBy(SLICE, *keys)
-            .agg(F.sum("_n").alias("_slice_rows"), F.count(F.lit(1)).alias("_slice_values"))
-        )
-        along = Window.partitionBy(*keys)
-        earlier = along.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        edges = slices.select(
-            SLICE,
-            *keys,
-            F.sum("_slice_rows").over(earlier).alias("_rows_before"),
-            F.sum("_slice_values").over(earlier).alias("_values_before"),
-            F.sum("_slice_rows").over(along).alias("_group_rows"),
-            F.sum("_slice_values").over(along).alias("_group_values"),
-        )
-        laid = _corrected(laid, edges, keys)
-    else:
-        corrections = ["_rows_before", "_values_before", "_group_rows", "_group_values"]
-        laid = laid.withColumns({name: none for name in corrections})
+    slices = (
+        _cut_groups(laid, laid.where(F.col("_rn") == 1), keys)
+        .groupBy(SLICE, *keys)
+        .agg(F.sum("_n").alias("_slice_rows"), F.count(F.lit(1)).alias("_slice_values"))
+    )
+    along = Window.partitionBy(*keys)
+    earlier = along.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    edges = slices.select(
+        SLICE,
+        *keys,
+        F.sum("_slice_rows").over(earlier).alias("_rows_before"),
+        F.sum("_slice_values").over(earlier).alias("_values_before"),
+        F.sum("_slice_rows").over(along).alias("_group_rows"),
+        F.sum("_slice_values").over(along).alias("_group_values"),
+    )
+    laid = _corrected(laid, edges, keys)
     zero = F.lit(0).cast("bigint")
     return (
         laid.withColumn("_last", F.coalesce(F.col("_rows_before"), zero) + F.col("_upto") - 1)
@@ -367,15 +372,13 @@ def _with_positions(values: CountedValues) -> DataFrame:
     )
 
 
-def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, way: str = "asc", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, way: str = "asc") -> DataFrame:
     """Rank and dense rank of each distinct value per group: (keys, value, rank, dense_rank).
 
     For ranks without a row number this moves only keys and values, not the rows. NULL comes first
     in rising and last in falling order; join back with a null-safe comparison.
     """
-    placed = _with_positions(counted_values(df, keys, value, hot_rows=hot_rows))
+    placed = _with_positions(counted_values(df, keys, value))
     if way == "asc":
         rank, dense = F.col("_first") + 1, F.col("_dense")
     else:
@@ -416,16 +419,12 @@ def percentiles_of(values: CountedValues, quantiles: dict[str, float]) -> DataFr
 
 
 def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """Exact percentiles, one row per group.
 
     ``percentile`` keeps the value counts of a whole group in one task's memory; here the counted
-    values are ordered, slice by slice where a group has too many of them.
+    values are ordered slice by slice.
     """
     present = df.where(F.col(value).isNotNull())
-    return percentiles_of(counted_values(present, keys, value, hot_rows=hot_rows), quantiles)
+    return percentiles_of(counted_values(present, keys, value), quantiles)
