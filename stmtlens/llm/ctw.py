@@ -16,7 +16,8 @@ sorted once. The levels above are small tables (one row per context of at most `
 prefix), summed and settled with one join per level. Codes that only texts to be scored have take
 part with a count of 0, which changes nothing and gives them their place in the tree.
 
-Between blocks of documents and buckets travels one row of packed arrays for each pair of them.
+Between blocks of documents and buckets travels one row of packed arrays for each pair of them, and
+back come numbers alone, in the order of what was sent. Words of the base line go the same way.
 
 A text is its words in lower case, joined by one blank, and an end byte: the events of the base line.
 """
@@ -24,12 +25,13 @@ A text is its words in lower case, joined by one blank, and an end byte: the eve
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtlens.llm import contexts
@@ -40,8 +42,10 @@ from stmtlens.session import discard, written
 CHUNK_BYTES = 4 << 20
 LOG_HALF = math.log(0.5)
 TOP = 3
-# Rows between blocks and buckets grow with the product of both numbers: fewer and larger ones.
-PER_PARTITION = 2
+# Rows between blocks and buckets grow with the product of both numbers, and the larger a block the
+# more often a code or word occurs in it that is sent once: as few as there are partitions.
+PER_PARTITION = 1
+CODES, WORDS = 0, 1
 
 
 def normal_form(text: str) -> bytes:
@@ -309,9 +313,17 @@ def _code_scores(docs: DataFrame, depth: int, top: int, buckets: int) -> DataFra
     return found
 
 
-# --- the word base line ---------------------------------------------------------------------------
+# --- blocks of documents --------------------------------------------------------------------------
 
-_WORDS = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+
+_SENT = pa.schema(
+    [("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()),
+     ("counts", pa.binary())]
+)
+_ANSWERS = pa.schema(
+    [("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary()),
+     ("new_words", pa.int64())]
+)
 _SCORED = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -325,44 +337,122 @@ _SCORED = pa.schema(
 )
 
 
-def _block_words(rows: pa.Table) -> pa.Table:
-    """Each word of a block once, with its count in training texts (0 for held-out ones alone)."""
+def _squeezed(codes: np.ndarray) -> bytes:
+    """Rising codes as differences."""
+    return zstandard.compress(np.diff(codes, prepend=np.uint64(0)).tobytes(), 1)
+
+
+def _unsqueezed(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(packed), dtype=np.uint64), dtype=np.uint64)
+
+
+def _block_code_set(texts: list[bytes], depth: int) -> np.ndarray:
+    codes = np.zeros(0, dtype=np.uint64)
+    for lo, hi in chunks(texts, CHUNK_BYTES):
+        codes = np.union1d(codes, contexts.codes(texts[lo:hi], depth, contexts.END)[0])
+    return codes
+
+
+def _words_by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the sorted words of each bucket, in their order."""
+    bucket = np.array([zlib.crc32(word) % buckets for word in words], dtype=np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for some in np.split(order, runs(bucket[order])[1:]) if len(order) else []:
+        yield int(bucket[some[0]]), some
+
+
+def _send(rows: pa.Table, depth: int, top: int, buckets: int) -> pa.Table:
+    """Each code and each word of a block once, a row per bucket; words with their count in training
+    texts (0 for held-out ones alone)."""
+    texts, out = rows["text"].to_pylist(), rows["held_out"].to_pylist()
+    codes = _block_code_set([normal_form(text) for text in texts], depth)
     counts: dict[bytes, int] = {}
-    for text, out in zip(rows["text"].to_pylist(), rows["held_out"].to_pylist()):
-        step = 0 if out else 1
+    for text, held in zip(texts, out):
+        step = 0 if held else 1
         for word in text.encode().lower().split():
             counts[word] = counts.get(word, 0) + step
+    words = sorted(counts)
+    n = np.array([counts[word] for word in words], dtype=np.int64)
+    found = [
+        (CODES, bucket, _squeezed(codes[some]), b"")
+        for bucket, some in _by_bucket(codes, top, buckets)
+    ]
+    for bucket, some in _words_by_bucket(words, buckets):
+        own = b"\n".join([words[k] for k in some.tolist()])
+        found.append((WORDS, bucket, zstandard.compress(own, 3), n[some].tobytes()))
     block = rows["block"][0].as_py()
+    columns = dict(zip(("kind", "bucket", "keys", "counts"), zip(*found))) if found else {}
     return table(
-        {"block": [block] * len(counts), "word": list(counts), "n": list(counts.values())}, _WORDS
+        {"block": [block] * len(found), **{name: columns.get(name, []) for name in _SENT.names[1:]}},
+        _SENT,
     )
 
 
-_SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("codes", pa.binary())])
-_ANSWERS = pa.schema([("block", pa.int32()), ("codes", pa.binary()), ("scores", pa.binary())])
-
+def _answer(sent: pa.Table, scored: pa.Table) -> pa.Table:
+    """For each row sent to a bucket, the scores of its codes or the training counts of its words.
 
-def _block_codes(rows: pa.Table, depth: int, top: int, buckets: int) -> pa.Table:
-    """Each code of a block once, one row per bucket."""
-    data = [normal_form(text) for text in rows["text"].to_pylist()]
-    codes = np.zeros(0, dtype=np.uint64)
-    for lo, hi in chunks(data, CHUNK_BYTES):
-        codes = np.union1d(codes, contexts.codes(data[lo:hi], depth, contexts.END)[0])
-    found = [(bucket, codes[some].tobytes()) for bucket, some in _by_bucket(codes, top, buckets)]
-    block = rows["block"][0].as_py()
+    The first row of a bucket of words also says how many words of training it holds.
+    """
+    keys, new = sent["keys"].to_pylist(), [0] * sent.num_rows
+    if not keys:
+        return _ANSWERS.empty_table()
+    if sent["kind"][0].as_py() == CODES:
+        codes, scores = _longs(scored["codes"]), _longs(scored["scores"], np.float64)
+        found = [
+            scores[np.searchsorted(codes, _unsqueezed(packed))].astype(np.float32).tobytes()
+            for packed in keys
+        ]
+    else:
+        totals: dict[bytes, int] = {}
+        for packed, n in zip(keys, sent["counts"].to_pylist()):
+            for word, k in zip(zstandard.decompress(packed).split(b"\n"), np.frombuffer(n, np.int64).tolist()):
+                totals[word] = totals.get(word, 0) + k
+        found = [
+            np.array([totals[word] for word in zstandard.decompress(packed).split(b"\n")], dtype=np.int64)
+            .tobytes() for packed in keys
+        ]
+        new[0] = sum(k > 0 for k in totals.values())
     return table(
-        {"block": [block] * len(found), "bucket": [k for k, _ in found], "codes": [c for _, c in found]},
-        _SENT,
+        {"block": sent["block"], "kind": sent["kind"], "bucket": sent["bucket"], "found": found,
+         "new_words": new},
+        _ANSWERS,
     )
 
 
-def _answers(sent: pa.Table, scored: pa.Table) -> pa.Table:
-    """The scores of the codes that each block sent to a bucket."""
-    codes, scores = _longs(scored["codes"]), _longs(scored["scores"], np.float64)
-    found = []
-    for packed in sent["codes"].to_pylist():
-        found.append(scores[np.searchsorted(codes, np.frombuffer(packed, dtype=np.uint64))].tobytes())
-    return table({"block": sent["block"], "codes": sent["codes"], "scores": found}, _ANSWERS)
+def _rate(own: pa.Table, answers: pa.Table, depth: int, top: int, buckets: int) -> pa.Table:
+    """Every row of a block with its sums; one row more tells the new words of its answers."""
+    if not own.num_rows:
+        return _SCORED.empty_table()
+    told = {
+        (kind, bucket): found
+        for kind, bucket, found in zip(*(answers[c].to_pylist() for c in ("kind", "bucket", "found")))
+    }
+    texts = own["text"].to_pylist()
+    split = [text.encode().lower().split() for text in texts]
+    data = [b" ".join(words) for words in split]
+    codes = _block_code_set(data, depth)
+    scores = np.zeros(len(codes))
+    for bucket, some in _by_bucket(codes, top, buckets):
+        scores[some] = np.frombuffer(told[CODES, bucket], dtype=np.float32)
+    words = sorted({word for own_words in split for word in own_words})
+    logs: dict[bytes, float] = {}
+    for bucket, some in _words_by_bucket(words, buckets):
+        counts = np.frombuffer(told[WORDS, bucket], dtype=np.int64)
+        logs.update(zip([words[k] for k in some.tolist()], np.log10(counts + 1.0).tolist()))
+    columns: dict[str, list] = {name: [] for name in _SCORED.names}
+    columns["doc_id"], columns["held_out"] = own["doc_id"].to_pylist(), own["held_out"].to_pylist()
+    for own_words in split:
+        found = [logs[word] for word in own_words]
+        columns["n_words"].append(len(own_words))
+        columns["n_known"].append(len(found) - found.count(0.0))
+        columns["log_counts"].append(math.fsum(found))
+    for lo, hi in chunks(data, CHUNK_BYTES):
+        found, sizes = contexts.codes(data[lo:hi], depth, contexts.END)
+        columns["score"] += contexts.per_text(scores[np.searchsorted(codes, found)], sizes).tolist()
+    columns["new_words"] = [None] * len(data) + [sum(answers["new_words"].to_pylist())]
+    for name in _SCORED.names[:-1]:
+        columns[name].append(None)
+    return table(columns, _SCORED)
 
 
 def held_out_scores(
@@ -374,8 +464,8 @@ def held_out_scores(
     and has its end token alone; a null id is in fold 0. Rows that repeat an id count each. If
     nothing is learned, every token has equal chances. An empty table gives no rows.
 
-    Word counts go one row per (block, word) and come back the same way; codes go and their scores
-    come back packed.
+    Codes and words go to their buckets packed, once per block, and their scores and counts come back.
+    Scores of codes travel as 32-bit numbers.
     """
     top = min(TOP, depth)
     buckets = block_count(docs.sparkSession, PER_PARTITION)
@@ -383,58 +473,16 @@ def held_out_scores(
     dealt = in_blocks(docs, per_partition=PER_PARTITION).withColumn("held_out", out)
     scored = _code_scores(dealt.select("text", "held_out"), depth, top, buckets)
     sent = dealt.groupBy("block").applyInArrow(
-        lambda rows: _block_codes(rows, depth, top, buckets), "block int, bucket int, codes binary"
+        lambda rows: _send(rows, depth, top, buckets),
+        "block int, kind int, bucket int, keys binary, counts binary",
     )
-    answers = sent.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(
-        _answers, "block int, codes binary, scores binary"
-    )
-
-    def rate(own: pa.Table, known: pa.Table) -> pa.Table:
-        is_code = pc.is_valid(known["codes"])
-        told = known.filter(is_code)
-        codes, scores = _longs(told["codes"]), _longs(told["scores"], np.float64)
-        order = np.argsort(codes)
-        codes, scores = codes[order], scores[order]
-        known = known.filter(pc.invert(is_code))
-        counts = known["total"].to_numpy()
-        logs = dict(zip(known["word"].to_pylist(), np.log10(counts + 1.0).tolist()))
-        columns: dict[str, list] = {name: [] for name in _SCORED.names}
-        data = []
-        for doc_id, text, out in zip(*(own[c].to_pylist() for c in ("doc_id", "text", "held_out"))):
-            words = text.encode().lower().split()
-            found = [logs[word] for word in words]
-            data.append(b" ".join(words))
-            columns["doc_id"].append(doc_id)
-            columns["held_out"].append(out)
-            columns["n_words"].append(len(words))
-            columns["n_known"].append(len(found) - found.count(0.0))
-            columns["log_counts"].append(math.fsum(found))
-        for lo, hi in chunks(data, CHUNK_BYTES):
-            found, sizes = contexts.codes(data[lo:hi], depth, contexts.END)
-            columns["score"] += contexts.per_text(scores[np.searchsorted(codes, found)], sizes).tolist()
-        if data:
-            # One row more tells how many words of the whole corpus this block speaks for.
-            new = int(((counts > 0) & known["speaks"].to_numpy(zero_copy_only=False)).sum())
-            columns["new_words"] = [None] * len(data) + [new]
-            for name in _SCORED.names[:-1]:
-                columns[name].append(None)
-        return table(columns, _SCORED)
-
-    word = Window.partitionBy("word")
-    words = (
-        dealt.groupBy("block")
-        .applyInArrow(_block_words, "block int, word binary, n long")
-        .select(
-            "block", "word", F.sum("n").over(word).alias("total"),
-            (F.col("block") == F.min("block").over(word)).alias("speaks"),
-        )
+    by_kind = scored.withColumn("kind", F.lit(CODES)).groupBy("kind", "bucket")
+    answers = sent.groupBy("kind", "bucket").cogroup(by_kind).applyInArrow(
+        _answer, "block int, kind int, bucket int, found binary, new_words long"
     )
-    known = words.unionByName(answers, allowMissingColumns=True)
     rated = written(
-        dealt.groupBy("block")
-        .cogroup(known.groupBy("block"))
-        .applyInArrow(
-            rate,
+        dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+            lambda own, answers: _rate(own, answers, depth, top, buckets),
             "doc_id long, held_out boolean, n_words long, n_known long, log_counts double, "
             "score double, new_words long",
         ),
