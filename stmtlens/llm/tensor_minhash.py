@@ -178,7 +178,11 @@ def _with_shared(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     told = each.join(ends.where("lo <> hi").select("shingle"), "shingle", "left_semi")
     shared = told.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
     found = met.drop("shared").join(shared, "node")
-    return _open(found.where(100 * F.col("shared") >= percent * F.col("n")))
+    # With the smallest partner of a table no more than ``shared`` is common.
+    sizes = found.groupBy("key").agg(F.min("n").alias("least"))
+    united = F.col("n") + F.greatest(F.col("least") - F.col("shared"), F.lit(0))
+    able = found.join(sizes, "key").where(100 * F.col("shared") >= percent * united)
+    return _open(able.drop("least"))
 
 
 def _may_be_alike(percent: int) -> Column:
