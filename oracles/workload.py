@@ -104,8 +104,9 @@ SQL = {
         "employee_id employee_name sale_id sales_amount$ sale_date",
     ),
     "w0106_insert_select": q(
-        "SELECT * FROM customers WHERE status = 'ACTIVE'",
-        "customer_id customer_name total_spent$ order_count last_order_date",
+        """SELECT * FROM customers WHERE status = 'INACTIVE'
+        UNION ALL SELECT * REPLACE (NULL AS email) FROM customers WHERE status = 'ACTIVE'""",
+        "customer_id customer_name email total_spent$ order_count last_order_date",
     ),
     "w0107_ctas": q(
         """SELECT o.order_id, o.customer_id, o.order_date, oi.order_item_id, oi.product_id, p.product_name,
@@ -168,10 +169,11 @@ SQL = {
         FROM employees e JOIN hierarchy h ON e.manager_id = h.employee_id)""",
     ),
     "w0205_cte_insert": q(
-        """SELECT c.customer_id, c.customer_name, COUNT(o.order_id) AS order_count, SUM(o.total_amount) AS total_spent,
-        MAX(o.order_date) AS last_order_date FROM customers c LEFT JOIN orders_v o ON c.customer_id = o.customer_id
+        """SELECT customer_id, customer_name, order_count, total_spent, last_order_date, email FROM customers WHERE status = 'INACTIVE'
+        UNION ALL SELECT c.customer_id, c.customer_name, COUNT(o.order_id) AS order_count, SUM(o.total_amount) AS total_spent,
+        MAX(o.order_date) AS last_order_date, NULL FROM customers c LEFT JOIN orders_v o ON c.customer_id = o.customer_id
         GROUP BY c.customer_id, c.customer_name HAVING COUNT(o.order_id) > 0""",
-        "customer_id customer_name order_count total_spent$ last_order_date",
+        "customer_id customer_name order_count total_spent$ last_order_date email",
     ),
     "w0206_independent_ctes": q(
         """SELECT c.customer_id, c.customer_name, c.customer_tier, s.lifetime_orders, s.lifetime_value FROM customers c
@@ -271,7 +273,8 @@ SQL = {
     ),
     "w0407_insert_positional": q(
         """SELECT customer_id, email AS customer_name, customer_tier AS status, customer_name AS email, status AS customer_tier
-        FROM customers WHERE status = 'INACTIVE'""",
+        FROM customers WHERE status = 'INACTIVE'
+        UNION ALL SELECT customer_id, customer_name, status, email, customer_tier FROM customers WHERE customer_tier = 'PLATINUM'""",
         "customer_id customer_name status email customer_tier",
     ),
     "w0408_pivot": q(
@@ -281,8 +284,9 @@ SQL = {
         "customer_id spend_1998$ spend_1999$ spend_2000$",
     ),
     "w0501_proc_insert": q(
-        "SELECT * FROM customers WHERE status = 'ACTIVE'",
-        "customer_id customer_name total_spent$ order_count last_order_date",
+        """SELECT customer_id, customer_name, total_spent, order_count, last_order_date,
+        CASE WHEN status = 'INACTIVE' THEN email END AS email FROM customers""",
+        "customer_id customer_name email total_spent$ order_count last_order_date",
     ),
     "w0502_proc_pipeline": q(
         """SELECT c.customer_id, c.order_count + coalesce(d.n, 0) AS order_count,
@@ -429,7 +433,7 @@ SQL = {
         SUM(oi.quantity * oi.unit_price) AS total_revenue, CAST(SUM(oi.quantity) AS BIGINT) AS total_units_sold,
         CAST(SUM(o.total_amount) AS DOUBLE) / COUNT(*) AS avg_order_value, COUNT(DISTINCT o.customer_id) AS unique_customers
         FROM orders_v o JOIN order_items oi ON o.order_id = oi.order_id JOIN products p ON oi.product_id = p.product_id
-        WHERE o.status = 'COMPLETED' AND o.order_date >= DATE '2001-08-01' - INTERVAL 7 DAY GROUP BY o.order_date, p.category)""",
+        WHERE o.status = 'COMPLETED' AND o.order_date >= DATE '2001-08-01' - INTERVAL 14 DAY GROUP BY o.order_date, p.category)""",
     ),
     "w0803_churn": q(
         """SELECT cm.*, o.* EXCLUDE (customer_id),
@@ -451,7 +455,7 @@ SQL = {
           SUM(CASE WHEN order_date >= DATE '2001-08-01' - INTERVAL 90 DAY THEN total_amount ELSE 0 END) AS s1,
           SUM(CASE WHEN order_date >= DATE '2001-08-01' - INTERVAL 180 DAY AND order_date < DATE '2001-08-01' - INTERVAL 90 DAY THEN total_amount ELSE 0 END) AS s2
           FROM orders_v WHERE status = 'COMPLETED' GROUP BY customer_id) o ON cm.customer_id = o.customer_id
-        WHERE cm.lifetime_value > 30000""",
+        WHERE cm.lifetime_value > 20000""",
         "customer_id customer_name email customer_tier lifetime_value$ last_order_date order_count days_since_last_order avg_days_between_orders "
         "orders_last_90_days orders_90_to_180_days spend_last_90_days$ spend_90_to_180_days$ recency_risk frequency_risk monetary_risk churn_risk_score analysis_date",
     ),

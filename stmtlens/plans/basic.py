@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 from stmtlens.operators import tables
 from stmtlens.session import fresh_path
 from stmtlens.sinks import tables as sinks
+from stmtlens.sinks.targets import Target
 from stmtlens.sources.workload import Workload
 
 ORDERS_SINCE = dt.date(2000, 1, 1)
 REGISTERED_SINCE = dt.date(1996, 1, 1)
 OLD_ORDERS_BEFORE = dt.date(1996, 1, 1)
-ARCHIVE_COLUMNS = ["customer_id", "customer_name", "status", "email", "customer_tier"]
+CUSTOMER_ARCHIVE = (
+    "customer_id BIGINT, customer_name STRING, status STRING, email STRING, customer_tier STRING"
+)
 SUMMARY_COLUMNS = ["customer_id", "customer_name", "total_spent", "order_count", "last_order_date"]
 
 
@@ -87,15 +91,29 @@ def active_summary(w: Workload) -> DataFrame:
     return w.customers_with_spend().where(F.col("status") == "ACTIVE").select(*SUMMARY_COLUMNS)
 
 
-def _appended(rows: DataFrame, label: str) -> DataFrame:
-    """The target after the insert: a fresh folder in the layout of ``rows``, read back."""
-    path = fresh_path(rows.sparkSession, label)
-    rows.write.mode("append").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def target(w: Workload, name: str, schema: str) -> Target:
+    """An empty table of its own for each run of a query."""
+    return Target.create(w.spark, f"{name}_{uuid.uuid4().hex}", schema, fresh_path(w.spark, name))
+
+
+CUSTOMER_SUMMARY = (
+    "customer_id BIGINT, customer_name STRING, email STRING, total_spent DECIMAL(25,2), "
+    "order_count BIGINT, last_order_date DATE"
+)
+
+
+def filled_summary(w: Workload) -> Target:
+    """The summary as it stands before an insert: the inactive customers, with all columns."""
+    summary = target(w, "customer_summary", CUSTOMER_SUMMARY)
+    known = w.customers_with_spend().where(F.col("status") == "INACTIVE")
+    summary.insert(known.select(*summary.columns), batch="before")
+    return summary
 
 
 def insert_select(w: Workload) -> DataFrame:
-    return _appended(active_summary(w), "customer_summary")
+    summary = filled_summary(w)
+    summary.insert(active_summary(w), SUMMARY_COLUMNS)
+    return summary.rows()
 
 
 def order_details(w: Workload) -> DataFrame:
@@ -114,7 +132,9 @@ def order_details(w: Workload) -> DataFrame:
 
 
 def ctas(w: Workload) -> DataFrame:
-    return _appended(order_details(w), "order_details")
+    return sinks.create_table_as(
+        order_details(w), f"order_details_{uuid.uuid4().hex}", fresh_path(w.spark, "order_details")
+    )
 
 
 def customer_order_view(w: Workload) -> DataFrame:

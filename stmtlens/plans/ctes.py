@@ -75,8 +75,10 @@ def cte_insert(w: Workload) -> DataFrame:
     metrics = w.customers().select("customer_id", "customer_name").join(
         basic.order_totals(w).where(F.col("order_count") > 0), "customer_id"
     )
-    target = ["customer_id", "customer_name", "order_count", "total_spent", "last_order_date"]
-    return basic._appended(metrics.select(*target), "customer_summary")
+    columns = ["customer_id", "customer_name", "order_count", "total_spent", "last_order_date"]
+    summary = basic.filled_summary(w)
+    summary.insert(metrics.select(*columns), columns)
+    return summary.rows()
 
 
 def independent_ctes(w: Workload) -> DataFrame:

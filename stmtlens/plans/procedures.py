@@ -18,8 +18,11 @@ DYNAMIC_TABLES = {
 
 
 def proc_insert(w: Workload) -> DataFrame:
-    """A procedure with one insert is a function that returns the inserted rows."""
-    return basic.active_summary(w)
+    """A procedure with one insert, run twice for one day: the second run finds its batch there."""
+    summary = basic.filled_summary(w)
+    for _ in range(2):
+        summary.insert(basic.active_summary(w), basic.SUMMARY_COLUMNS, batch=f"load-{AS_OF}")
+    return summary.rows()
 
 
 def proc_pipeline(w: Workload) -> DataFrame:

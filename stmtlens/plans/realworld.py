@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stmtlens.plans import basic
 from stmtlens.plans.windows import AS_OF, day_before, days_ago
+from stmtlens.sinks.targets import Target
 from stmtlens.sources.workload import Workload
 
 COHORTS_SINCE = dt.date(1995, 1, 1)
@@ -80,14 +81,28 @@ def customer_360(w: Workload) -> DataFrame:
     )
 
 
+def _of_schema(w: Workload, name: str, rows: DataFrame) -> Target:
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
+    return basic.target(w, name, ", ".join(fields))
+
+
 def sales_dashboard(w: Workload) -> DataFrame:
+    """The metrics of the last week, added to those of the week before."""
+    rows = daily_metrics(w, day_before(7))
+    metrics = _of_schema(w, "sales_daily_metrics", rows)
+    metrics.insert(daily_metrics(w, day_before(14), day_before(7)), batch="before")
+    metrics.insert(rows)
+    return metrics.rows()
+
+
+def daily_metrics(w: Workload, since: dt.date, before: dt.date | None = None) -> DataFrame:
     """Daily sales by category with rank and share of the day.
 
     Lines are first combined per order and category; then each order is one row and the two
     distinct counts work on the smaller set. The order average weighs each order by its lines.
     """
     orders = (
-        w.orders(since=day_before(7))
+        w.orders(since=since, before=before)
         .where(F.col("status") == "COMPLETED")
         .select("order_id", "customer_id", F.col("order_date").alias("report_date"), "total_amount")
     )
@@ -114,20 +129,29 @@ def sales_dashboard(w: Workload) -> DataFrame:
     # At most one row per category and day from here on.
     day = Window.partitionBy("report_date")
     day_total = F.sum("total_revenue").over(day).cast("double")
-    report = daily.select(
+    return daily.select(
         "*",
         F.rank().over(day.orderBy(F.col("total_revenue").desc())).cast("bigint").alias("revenue_rank"),
         F.when(day_total > 0, F.col("total_revenue").cast("double") / day_total * 100)
         .otherwise(F.lit(0.0))
         .alias("revenue_pct_of_total"),
     )
-    return basic._appended(report, "sales_daily_metrics")
 
 
 def churn(w: Workload) -> DataFrame:
+    """The risks of customers of high value, added to those of the customers below them."""
+    rows = churn_risks(w, F.col("total_spent") > 30000)
+    risks = _of_schema(w, "customer_churn_risk", rows)
+    spent = F.col("total_spent")
+    risks.insert(churn_risks(w, (spent > 20000) & (spent <= 30000)), batch="before")
+    risks.insert(rows)
+    return risks.rows()
+
+
+def churn_risks(w: Workload, wanted: Column) -> DataFrame:
     customers = (
         w.customers_with_spend()
-        .where((F.col("status") == "ACTIVE") & (F.col("total_spent") > 30000))
+        .where((F.col("status") == "ACTIVE") & wanted)
         .select(
             "customer_id", "customer_name", "email", "customer_tier",
             F.col("total_spent").alias("lifetime_value"), "last_order_date", "order_count",
@@ -176,7 +200,7 @@ def churn(w: Workload) -> DataFrame:
     ]
     levels = ["HIGH", "MEDIUM", "LOW", "MINIMAL"]
     score = graded([40, 25, 10, 0], recency) + graded([30, 20, 10, 0], frequency) + graded([30, 20, 10, 0], monetary)
-    report = customers.join(trend, "customer_id", "left").select(
+    return customers.join(trend, "customer_id", "left").select(
         *customers.columns,
         "orders_last_90_days", "orders_90_to_180_days", "spend_last_90_days",
         "spend_90_to_180_days",
@@ -186,7 +210,6 @@ def churn(w: Workload) -> DataFrame:
         score.cast("int").alias("churn_risk_score"),
         F.lit(AS_OF).alias("analysis_date"),
     )
-    return basic._appended(report, "customer_churn_risk")
 
 
 def inventory(w: Workload) -> DataFrame:

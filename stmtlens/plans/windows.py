@@ -129,7 +129,11 @@ def insert_positional(w: Workload) -> DataFrame:
         .where(F.col("status") == "INACTIVE")
         .select("customer_id", "email", "customer_tier", "customer_name", "status")
     )
-    return basic._appended(tables.by_position(rows, basic.ARCHIVE_COLUMNS), "customer_archive")
+    archive = basic.target(w, "customer_archive", basic.CUSTOMER_ARCHIVE)
+    known = w.customers().where(F.col("customer_tier") == "PLATINUM")
+    archive.insert(known.select(*archive.columns), batch="before")
+    archive.insert(rows)
+    return archive.rows()
 
 
 def pivot(w: Workload) -> DataFrame:
