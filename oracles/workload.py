@@ -312,11 +312,20 @@ SQL = {
         """SELECT customer_id, customer_name, CASE WHEN status = 'ACTIVE' THEN DATE '2001-08-01' END AS last_processed_date FROM customers""",
         "customer_id customer_name last_processed_date",
     ),
+    "w0601_three_part": q(
+        """SELECT c.customer_id, c.customer_name, o.order_id, o.order_date, o.total_amount, 'Archive' AS schema_name
+        FROM customers c JOIN orders_v o ON c.customer_id = o.customer_id WHERE o.order_date >= DATE '2000-01-01'
+        UNION ALL SELECT c.customer_id, c.customer_name, o.order_id, o.order_date, o.total_amount, 'Analytics'
+        FROM customers c JOIN orders_v o ON c.customer_id = o.customer_id
+        WHERE o.order_date >= DATE '1996-01-01' AND o.order_date < DATE '1998-01-01'""",
+        "customer_id customer_name order_id order_date total_amount$ schema_name",
+    ),
     "w0602_mixed_names": q(
-        """SELECT c.customer_id, c.customer_name, o.order_id, o.total_amount, p.product_name FROM customers c
+        """SELECT c.customer_id, c.customer_name, o.order_id, o.total_amount, p.product_name, s.schema_name FROM customers c
         JOIN orders_v o ON c.customer_id = o.customer_id JOIN order_items oi ON o.order_id = oi.order_id
-        JOIN products p ON oi.product_id = p.product_id""",
-        "customer_id customer_name order_id total_amount$ product_name",
+        JOIN products p ON oi.product_id = p.product_id
+        JOIN (VALUES ('Analytics'), ('Archive')) AS s(schema_name) ON s.schema_name = 'Analytics' OR p.category = 'Electronics'""",
+        "customer_id customer_name order_id total_amount$ product_name schema_name",
     ),
     "w0603_cross_schema": q(
         """SELECT c.customer_id, c.customer_name, c.email, s.sale_id, s.sales_amount, s.sale_date FROM customers c
@@ -329,8 +338,11 @@ SQL = {
         "customer_id customer_name email region_name region_code store_name",
     ),
     "w0605_default_schema": q(
-        "SELECT * FROM customers WHERE status = 'ACTIVE' AND total_spent > 300000",
-        "customer_id customer_name email total_spent$ order_count",
+        """SELECT *, 'Analytics' AS schema_name FROM customers WHERE status = 'ACTIVE' AND total_spent > 300000
+        UNION ALL SELECT c.* REPLACE (o.spent AS total_spent, o.n AS order_count), 'Archive' FROM customers c
+        JOIN (SELECT customer_id, SUM(total_amount) AS spent, COUNT(*) AS n FROM orders_v WHERE order_date < DATE '1998-01-01'
+        GROUP BY customer_id) o ON c.customer_id = o.customer_id WHERE c.status = 'ACTIVE' AND o.spent > 300000""",
+        "customer_id customer_name email total_spent$ order_count schema_name",
     ),
     "w0606_cross_db_cte": q(
         """SELECT rc.customer_id, rc.customer_name, rc.region_name, co.order_count, co.total_revenue FROM
@@ -499,7 +511,6 @@ SQL = {
         """members AS (SELECT customer_id, date_trunc('month', registration_date) AS cohort_month FROM customers WHERE registration_date >= DATE '1995-01-01')""",
     ),
 }
-SQL["w0601_three_part"] = SQL["w0103_inner_join"]
 # date_trunc may give a timestamp; the month is a date.
 SQL["w0805_cohort"] = SQL["w0805_cohort"].replace(
     "CAST(cohort_month AS VARCHAR)", "CAST(CAST(cohort_month AS DATE) AS VARCHAR)"
