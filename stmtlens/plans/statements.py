@@ -11,7 +11,7 @@ from stmtlens.functions import lineage as lin
 from stmtlens.functions import rewrite as rw
 from stmtlens.functions import text as tx
 from stmtlens.functions import urns
-from stmtlens.operators import analysis, lineage, metadata, reports, statements
+from stmtlens.operators import analysis, ledger, lineage, metadata, reports, statements
 from stmtlens.sinks import reports as report_sinks
 from stmtlens.sinks import tables as table_sinks
 from stmtlens.sources import files
@@ -707,6 +707,41 @@ def trend_over_runs(spark, folder):
     return rows.withColumns({c: F.round(c, 6) for c in rounded})
 
 
+# --- run ledger ---------------------------------------------------------------------------------
+
+
+def _recorded(spark, folder) -> DataFrame:
+    """A ledger of all runs, written in three parts, the second of them twice."""
+    path = fresh_path(spark, "ledger")
+    outcomes = log.outcomes(spark, folder)
+    part = F.pmod(F.crc32(F.col("run_id").cast("binary")), F.lit(3))
+    for k in (0, 1, 2, 1):
+        ledger.record(outcomes.where(part == k), path)
+    return ledger.read(spark, path)
+
+
+def ledger_overview(spark, folder):
+    """Totals by type over the runs of a ledger, from its rows alone."""
+    rows = ledger.overview(_recorded(spark, folder), ["statement_type"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("success_rate", "avg_ms", "timing_ms_total")})
+
+
+def ledger_trend(spark, folder):
+    """The trend over runs, from ledger rows."""
+    rounded = ["success_rate", "avg_confidence", "success_change", "confidence_change"]
+    return ledger.trend(_recorded(spark, folder)).withColumns({c: F.round(c, 6) for c in rounded})
+
+
+def percentile_sketch(spark, folder):
+    """Percentiles by type from merged sketches, held against the ranks of all timings."""
+    keys = ["statement_type"]
+    found = ledger.percentile_estimates(_recorded(spark, folder), keys, [0.1, 0.5, 0.9, 0.95, 0.99])
+    # A rank of a few values is as near as one value.
+    near = F.col("rank_error") <= ledger.RANK_ERROR + 1 / F.col("timed")
+    checked = ledger.rank_errors(found, log.outcomes(spark, folder), keys)
+    return checked.select("statement_type", "quantile", "timed", near.alias("within_error"))
+
+
 # --- sinks -------------------------------------------------------------------------------------
 
 
@@ -848,6 +883,6 @@ QUERIES = {
         complexity_impact, error_analysis, threshold_gate, low_confidence_filter,
         error_category, error_layer, rewrite_using, rewrite_ct, rewrite_locking, rewrite_named,
         qualify_names, generalize_fingerprint, extract_proc_statements, statement_filter,
-        template_placeholders, trend_over_runs,
+        template_placeholders, trend_over_runs, ledger_overview, ledger_trend, percentile_sketch,
     ]
 }
