@@ -526,7 +526,10 @@ SQL = {
     ),
     # sinks
     "sink_statement_json": q(
-        f"SELECT identifier, {joined('flags')} AS flags, query_text AS source_query, {cut(one_line('query_text'), 240)} AS preview FROM outcomes"
+        f"""SELECT o.identifier, s.source_flags, {joined('o.flags')} AS flags, o.query_text AS source_query, {cut(one_line('query_text'), 240)} AS preview,
+        o.label AS query_type, o.confidence, o.parser_error, o.rpc_error, {listed('o.ups')} AS in_tables, {listed('o.downs')} AS out_tables
+        FROM outcomes o JOIN (SELECT source_path, replace(trim({SOURCE_PREFIX}, '[]'), '][', '-') AS source_flags FROM outcomes GROUP BY source_path) s
+        ON o.source_path = s.source_path"""
     ),
     "sink_source_report": report("source_path"),
     "sink_run_report": report("'run'"),
@@ -538,8 +541,15 @@ SQL = {
         round(cp, 6) AS columns_precision, round(cr, 6) AS columns_recall, COUNT(*) AS n FROM shape GROUP BY ALL"""
     ),
     "sink_metadata_records": q(
-        """SELECT 2 AS phase, 'dataFlowInfo' AS aspect_name, COUNT(DISTINCT flow_urn) AS n, COUNT(DISTINCT flow_urn) AS entities FROM records
-        UNION ALL SELECT 3, a, COUNT(*), COUNT(DISTINCT job_urn) FROM records, (VALUES ('dataJobInfo'), ('dataJobInputOutput')) v(a) GROUP BY a"""
+        f"""SELECT sequence, phase, entity_urn, aspect_name, name, description, env, properties, inputs, outputs FROM (
+        SELECT *, row_number() OVER (ORDER BY phase, source_path NULLS FIRST, script_id NULLS FIRST, stmt_index NULLS FIRST, entity_urn, aspect_name) - 1 AS sequence FROM (
+        SELECT DISTINCT 2 AS phase, flow_urn AS entity_urn, 'dataFlowInfo' AS aspect_name, concat('u', user_id, '.sql') AS name,
+          concat('SQL lineage extracted from ', event_type, '/u', user_id, '.sql') AS description, 'PROD' AS env,
+          concat('sqlParserFlowId=nightly_', event_type, '/u', user_id, '.sql|sqlParserFlowPrefix=nightly|sqlParserSourcePath=', source_path) AS properties,
+          NULL AS inputs, NULL AS outputs, NULL AS source_path, NULL AS script_id, NULL AS stmt_index FROM records
+        UNION ALL SELECT 3, job_urn, 'dataJobInfo', identifier, context, 'PROD', {JOB_PROPERTIES}, NULL, NULL, source_path, script_id, stmt_index FROM records
+        UNION ALL SELECT 3, job_urn, 'dataJobInputOutput', NULL, NULL, NULL, NULL, {listed('ups')}, {listed('downs')}, source_path, script_id, stmt_index FROM records))
+        WHERE (sequence // 500) % 2 = 1"""
     ),
     "sink_ctas": """SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total_amount FROM orders""",
     "sink_insert": """SELECT c_custkey AS customer_id, c_name AS customer_name, concat('c', CAST(c_custkey AS VARCHAR), '@example.com') AS email, 'ACTIVE' AS status

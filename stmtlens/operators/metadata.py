@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -106,8 +107,10 @@ def flows(outcomes: DataFrame, settings: RecordSettings = RecordSettings()) -> D
     )
 
 
-def _job_rows(outcomes: DataFrame, settings: RecordSettings) -> DataFrame:
-    """Everything the two records of a job hold, computed in one pass."""
+def _job_rows(
+    outcomes: DataFrame, settings: RecordSettings, place: Sequence[str] = ()
+) -> DataFrame:
+    """Everything the two records of a job hold, computed in one pass; ``place`` is carried along."""
     fine = lin.fine_grained(F.col("downstreams"), F.col("column_lineage"), F.col("confidence"))
     confidence = F.when(F.col("confidence").isNotNull(), F.format_string("%.6f", "confidence"))
     return (
@@ -116,6 +119,7 @@ def _job_rows(outcomes: DataFrame, settings: RecordSettings) -> DataFrame:
         .withColumn("_description", tx.truncated_property(F.col("context"), K.JOB_DESCRIPTION_LIMIT))
         .withColumn("_fine", fine)
         .select(
+            *[F.col(name).alias(f"place_{name}") for name in place],
             "job_urn",
             "flow_urn",
             F.col("identifier").alias("name"),
@@ -155,8 +159,11 @@ def job_io(outcomes: DataFrame, settings: RecordSettings = RecordSettings()) ->
     return _job_rows(outcomes, settings).select("job_urn", *JOB_IO)
 
 
-def _records(rows: DataFrame, phase: int, urn: str, aspects: dict[str, list[str]]) -> DataFrame:
+def _records(
+    rows: DataFrame, phase: int, urn: str, aspects: dict[str, list[str]], place: Sequence[str] = ()
+) -> DataFrame:
     """One record per row and aspect; all aspects come from the same pass over the rows."""
+    carried = [f"place_{name}" for name in place]
     built = [
         F.struct(
             F.lit(name).alias("aspect_name"), F.to_json(F.struct(*columns)).alias("aspect_json")
@@ -167,22 +174,33 @@ def _records(rows: DataFrame, phase: int, urn: str, aspects: dict[str, list[str]
         F.lit(phase).alias("phase"),
         F.col(urn).alias("entity_urn"),
         F.explode(F.array(*built)).alias("_record"),
-    ).select("phase", "entity_urn", "_record.*")
+        *carried,
+    ).select("phase", "entity_urn", "_record.*", *carried)
 
 
 def metadata_records(
-    outcomes: DataFrame, settings: RecordSettings = RecordSettings()
+    outcomes: DataFrame, settings: RecordSettings = RecordSettings(), place: Sequence[str] = ()
 ) -> DataFrame:
-    """Flow records, then job records: what is sent after the scaffolds."""
+    """Flow records, then job records: what is sent after the scaffolds.
+
+    ``place`` names columns of the outcomes that say where a statement stands; job records have them
+    as ``place_…``, flow records NULL.
+    """
     flow_info = ["name", "description", "project", "env", "custom_properties"]
     of_flows = _records(flows(outcomes, settings), 2, "flow_urn", {"dataFlowInfo": flow_info})
     of_jobs = _records(
-        _job_rows(outcomes, settings),
+        _job_rows(outcomes, settings, place),
         3,
         "job_urn",
         {"dataJobInfo": JOB_INFO, "dataJobInputOutput": JOB_IO},
+        place,
     )
-    return of_flows.unionByName(of_jobs)
+    return of_flows.unionByName(of_jobs, allowMissingColumns=bool(place))
+
+
+def sending_order(place: Sequence[str]) -> list[str]:
+    """Flows before jobs, jobs by the places of their statements."""
+    return ["phase", *[f"place_{name}" for name in place], "entity_urn", "aspect_name"]
 
 
 RECORD_INPUTS = [

@@ -13,6 +13,7 @@ from stmtlens.functions import text as tx
 from stmtlens.functions import urns
 from stmtlens.operators import analysis, ledger, lineage, metadata, reports, statements
 from stmtlens.sinks import reports as report_sinks
+from stmtlens.sinks import sending
 from stmtlens.sinks import tables as table_sinks
 from stmtlens.sources import files
 from stmtlens.sources import statement_log as log
@@ -749,11 +750,19 @@ def sink_statement_json(spark, folder):
     path = fresh_path(spark, "records")
     report_sinks.write_statement_records(log.outcomes(spark, folder), path)
     back = spark.read.schema(
-        "source_path string, identifier string, record string, source_bucket int"
+        "source_path string, identifier string, record string, source_flags string, source_bucket int"
     ).json(path)
-    record = F.from_json("record", "flags array<string>, source_query string, preview string")
-    return back.select("identifier", record.alias("_r")).select(
-        "identifier", _joined("_r.flags").alias("flags"), "_r.source_query", "_r.preview"
+    payload = (
+        "raw_payload struct<query_type: string, in_tables: array<string>, out_tables: array<string>, "
+        "debug_info: struct<confidence: double, error: string>, error: string>"
+    )
+    record = F.from_json("record", f"flags array<string>, source_query string, preview string, {payload}")
+    raw = lambda name: F.col(f"_r.raw_payload.{name}")
+    return back.select("identifier", "source_flags", record.alias("_r")).select(
+        "identifier", "source_flags", _joined("_r.flags").alias("flags"), "_r.source_query", "_r.preview",
+        raw("query_type").alias("query_type"), raw("debug_info.confidence").alias("confidence"),
+        raw("debug_info.error").alias("parser_error"), raw("error").alias("rpc_error"),
+        _sorted(raw("in_tables")).alias("in_tables"), _sorted(raw("out_tables")).alias("out_tables"),
     )
 
 
@@ -813,15 +822,25 @@ def sink_results_table(spark, folder):
     )
 
 
+SENT_PART = 500
+
+
 def sink_metadata_records(spark, folder):
+    """Records laid out in sending order; every other part has been sent, the rest is read again."""
     path = fresh_path(spark, "metadata")
-    records = metadata.metadata_records(log.outcomes(spark, folder), SETTINGS)
-    report_sinks.write_metadata_records(records, path)
-    back = spark.read.schema(
-        "entity_urn string, aspect_name string, aspect_json string, phase int"
-    ).json(path)
-    return back.groupBy("phase", "aspect_name").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("entity_urn").alias("entities")
+    place = ["source_path", "script_id", "stmt_index"]
+    records = metadata.metadata_records(log.outcomes(spark, folder), SETTINGS, place)
+    sending.lay_out(records, metadata.sending_order(place), path, SENT_PART)
+    parts = [r["part"] for r in sending.manifest(spark, path).select("part").collect()]
+    sending.mark_sent(spark, path, [p for p in parts if p % 2 == 0])
+    schema = "phase INT, entity_urn STRING, aspect_name STRING, aspect_json STRING, sequence BIGINT"
+    said = lambda name: F.get_json_object("aspect_json", f"$.{name}")
+    datasets = lambda name: _sorted(F.from_json(said(name), "array<string>"))
+    return sending.unsent(spark, path, schema).select(
+        "sequence", "phase", "entity_urn", "aspect_name", said("name").alias("name"),
+        said("description").alias("description"), said("env").alias("env"),
+        _pairs(F.from_json(said("custom_properties"), "map<string,string>")).alias("properties"),
+        datasets("input_datasets").alias("inputs"), datasets("output_datasets").alias("outputs"),
     )
 
 

@@ -54,11 +54,19 @@ def statement_records(outcomes: DataFrame, buckets: int = SOURCE_BUCKETS) -> Dat
 def write_statement_records(
     outcomes: DataFrame, path: str, buckets: int = SOURCE_BUCKETS
 ) -> None:
-    """Partitioned by a hash of the source; a large bucket is split over several files at run time."""
+    """A folder for each set of flags that a whole source has, in it one for each hash of sources.
+
+    The flags of a source follow from all its statements, so they are found first and joined. A large
+    bucket (one source may hold a third of the log) is split over several files by its size.
+    """
+    flags = reports.source_flags(outcomes).select(
+        "source_path", F.array_join("flags", "-").alias("source_flags")
+    )
     (
         statement_records(outcomes, buckets)
-        .hint("rebalance", "source_bucket")
-        .write.partitionBy("source_bucket")
+        .join(flags, "source_path")
+        .hint("rebalance", "source_flags", "source_bucket")
+        .write.partitionBy("source_flags", "source_bucket")
         .json(path)
     )
 
@@ -142,9 +150,3 @@ def write_results(table: DataFrame, path: str, file_format: str = "csv") -> None
         writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.json(path)
-
-
-def write_metadata_records(records: DataFrame, path: str) -> None:
-    """One folder per phase, in sending order; inside a file records are sorted by entity and aspect."""
-    ordered = records.sortWithinPartitions("phase", "entity_urn", "aspect_name")
-    ordered.write.partitionBy("phase").json(path)
