@@ -73,4 +73,5 @@ def mark_sent(spark: SparkSession, path: str, parts: Sequence[int]) -> None:
 def unsent(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of the parts without a mark. ``schema`` is that of the records with ``sequence``."""
     left = manifest(spark, path).where(~F.col("sent")).select("part")
-    return _parts(spark, path, schema).join(F.broadcast(left), "part", "left_semi")
+    laid = _parts(spark, path, schema)
+    return laid.join(F.broadcast(left), "part", "left_semi").select(laid.columns)
