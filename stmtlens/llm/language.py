@@ -7,9 +7,11 @@ bytes. A context's escape probability is q / (T + q) for T bytes seen after it,
 Statistics are frozen after training, so the code length of a text is a sum over its bytes, and
 the language that codes a text shortest is predicted.
 
-All training rows are counted. A context or byte stays in the trees if it makes up at least one part
-in ``2**share_bits`` of all training bytes, so each order holds at most that many entries, whatever
-the size of the corpus and the number of languages: that bounds what is broadcast.
+All training rows are counted. Orders 0 and 1 of every language are whole. Of higher orders a context
+or byte stays in a language's tree if it makes up at least one part in ``2**share_bits`` of that
+language's own training bytes, so an order holds at most that many entries a language, whatever the
+size of the corpus: that bounds what is broadcast. A language of fewer bytes keeps everything, and how
+much of a language is kept does not depend on the others.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlens.llm import contexts
 from stmtlens.llm.common import batch, chunks, ids_and_texts
-from stmtlens.session import written
+from stmtlens.session import discard, written
 
 CHUNK_BYTES = 4 << 20
 UNDETERMINED = "und"
@@ -86,8 +89,8 @@ def train(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
     counts = written(_gram_counts(rows, depth), "grams")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = total / 2**share_bits
+    shares = counts.groupBy("lang").agg((F.sum("n") / 2**share_bits).alias("least"))
+    shares = F.broadcast(shares)  # one row per language
     orders: dict[str, list[Order]] = {}
     for order in range(depth + 1):
         mask = (1 << 8 * (order + 1)) - 1
@@ -98,38 +101,40 @@ def train(
         sums = seen.groupBy("lang", context.alias("context")).agg(
             F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
         )
-        tree = (
-            seen.withColumn("context", context)
+        least = F.col("least") if order > 1 else F.lit(0.0)
+        whole = F.col("total") + F.col("kinds")
+        contexts_kept = sums.join(shares, "lang").where(F.col("total") >= least).select(
+            "lang", F.lit(None).cast("long").alias("code"), "context",
+            F.log2(F.col("kinds") / whole).alias("bits"),
+        )
+        codes_kept = (
+            seen.join(shares, "lang").where(F.col("n") >= least).withColumn("context", context)
             .join(sums, ["lang", "context"])
-            .where((F.col("n") >= least) | (F.col("total") >= least))
-            .groupBy("lang", "context", "total", "kinds")
-            .agg(F.collect_list(F.when(F.col("n") >= least, F.struct("code", "n"))).alias("kept"))
-            .where(F.col("total") >= least)
+            .select("lang", "code", "context", F.log2(F.col("n") / whole).alias("bits"))
         )
-        for lang, own in _by_language(tree).items():
+        for lang, own in _by_language(contexts_kept.unionByName(codes_kept)).items():
             orders.setdefault(lang, []).append(own)
+    discard(counts)
+    # Higher orders of a language may be empty, never the lower ones.
     known = {lang: tuple(own) for lang, own in orders.items()}
     return Model(depth, tuple(sorted(known)), known)
 
 
 def _by_language(tree: DataFrame) -> dict[str, Order]:
-    """Bring one order's kept entries to the driver; their number is bounded by the share."""
-    found: dict[str, tuple[list, list, list, list]] = {}
-    for row in tree.collect():
-        codes, bits, at, escapes = found.setdefault(row["lang"], ([], [], [], []))
-        whole = row["total"] + row["kinds"]
-        at.append(row["context"])
-        escapes.append(np.log2(row["kinds"] / whole))
-        for code, n in row["kept"]:
-            codes.append(code)
-            bits.append(np.log2(n / whole))
+    """Bring one order's kept entries to the driver; the shares bound their number."""
+    got = tree.toArrow()
     made = {}
-    for lang, (codes, bits, at, escapes) in found.items():
-        codes, at = np.array(codes, dtype=np.uint64), np.array(at, dtype=np.uint64)
-        by_code, by_context = np.argsort(codes), np.argsort(at)
-        made[lang] = Order(
-            codes[by_code], np.array(bits)[by_code], at[by_context], np.array(escapes)[by_context]
-        )
+    for lang in pc.unique(got["lang"]).to_pylist():
+        own = got.filter(pc.equal(got["lang"], lang))
+        parts = []
+        for rows, name in (
+            (own.filter(pc.is_valid(own["code"])), "code"),
+            (own.filter(pc.is_null(own["code"])), "context"),
+        ):
+            keys = rows[name].to_numpy().astype(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            parts += [keys[order], rows["bits"].to_numpy()[order]]
+        made[lang] = Order(*parts)
     return made
 
 

@@ -70,3 +70,21 @@ def test_held_out_accuracy(spark):
     found = language.held_out_predictions(docs).join(docs.select("doc_id", "lang"), "doc_id")
     out = found.where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.98
+
+
+def test_a_language_of_a_few_bytes_is_learned_whole(spark):
+    """Among a large language whose rare contexts are pruned."""
+    common = " ".join(f"word{i % 50} the of and" for i in range(30_000))
+    rows = [(common, "en"), ("qz", "xx"), ("zq qz", "xx"), ("qzzq", "xx")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = language.train(docs, share_bits=10)
+    assert model.languages == ("en", "xx")
+    trees = plain_trees([(lang, text) for text, lang in rows], 3)
+    for text in ("qz zq", "zqqz", "the word"):
+        got = language.code_lengths(model, [text.encode()])[0][1]
+        assert got == pytest.approx(plain_length(trees["xx"], text, 3), abs=1e-6)
+    asked = spark.createDataFrame([(1, "qz qz"), (2, "the word")], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(asked, model).collect()}
+    assert found == {1: "xx", 2: "en"}
+    kept = [len(order.codes) for order in model.orders["en"]]
+    assert kept[3] < len(plain_trees([("en", common)], 3)["en"])
