@@ -476,6 +476,18 @@ SQL = {
         CASE k WHEN 4 THEN 'Expected Limitations' ELSE 'Teradata Dialect' END AS category_group, COUNT(*) AS count
         FROM outcomes WHERE parser_error IS NOT NULL GROUP BY ALL)"""
     ),
+    "error_patterns": q(
+        """SELECT c.id AS category_id, c.name AS category, c.grp AS category_group, COUNT(*) AS count,
+        round(COUNT(*) * CAST(100 AS DOUBLE) / SUM(COUNT(*)) OVER (), 6) AS share_pct
+        FROM scripts s JOIN (VALUES (0, 'Unclassified', 'Unclassified'), (1, 'Column Lineage Limitation', 'Expected Limitations'),
+        (2, 'Teradata USING Clause', 'Teradata Dialect'), (3, 'Teradata LOCKING Clause', 'Teradata Dialect'), (4, 'Abbreviated CREATE TABLE', 'Teradata Dialect'),
+        (5, 'INSERT VALUES Scope Error', 'System Limits'), (6, 'Teradata NAMED Keyword', 'Teradata Dialect'), (7, 'Teradata REPLACE PROCEDURE', 'Teradata Dialect'),
+        (8, 'Unsupported DDL Syntax', 'Unsupported DDL'), (9, 'Duplicate Alias', 'Configuration'), (10, 'Schema Nesting Level', 'Configuration'),
+        (11, 'Expression Type Mismatch', 'System Limits'), (12, 'Syntax Error (Parentheses)', 'Syntax/Invalid SQL'), (13, 'Invalid Teradata Syntax', 'Syntax/Invalid SQL'),
+        (14, 'Invalid MODIFY USER', 'Syntax/Invalid SQL'), (15, 'Script Limit', 'System Limits')) AS c(id, name, grp)
+        ON c.id = CASE s.script_id % 18 WHEN 16 THEN 0 WHEN 17 THEN 9 ELSE s.script_id % 18 END
+        WHERE s.script_id % 18 <> 0 GROUP BY ALL"""
+    ),
     "error_layer": q(
         "SELECT CASE WHEN k = 10 THEN 'rpc' WHEN k = 4 THEN 'lineage' WHEN k IN (7, 8) THEN 'parser' ELSE 'none' END AS layer, COUNT(*) AS count FROM outcomes GROUP BY ALL"
     ),

@@ -99,6 +99,13 @@ ERROR_CLASSES = [
     (14, "Invalid MODIFY USER", r"(?is)^Invalid expression.*MODIFY\s+USER\b", "Syntax/Invalid SQL"),
 ]
 UNCLASSIFIED = (0, "Unclassified", "Unclassified")
+#: Literal texts, by class, one of which every message of the class holds.
+ERROR_ANCHORS = {
+    1: ["column-level lineage"], 2: ["USING"], 3: ["LOCKING clause"], 4: ["Invalid expression"],
+    5: ["Failed to build scope"], 6: ["NAMED"], 7: ["definer"], 8: ["unsupported syntax"],
+    9: ["Alias already used", "failed to map columns to their source tables"], 10: ["nesting level"],
+    11: ["is not <class"], 12: ["Expecting )"], 13: ["SESSION"], 14: ["MODIFY"],
+}
 
 # --- message prefixes by the layer that raises them --------------------------------------
 LINEAGE_LAYER_PATTERN = (

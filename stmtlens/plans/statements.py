@@ -11,7 +11,7 @@ from stmtlens.functions import lineage as lin
 from stmtlens.functions import rewrite as rw
 from stmtlens.functions import text as tx
 from stmtlens.functions import urns
-from stmtlens.operators import analysis, ledger, lineage, metadata, reports, statements
+from stmtlens.operators import analysis, ledger, lineage, metadata, patterns, reports, statements
 from stmtlens.sinks import reports as report_sinks
 from stmtlens.sinks import sending
 from stmtlens.sinks import tables as table_sinks
@@ -632,6 +632,14 @@ def error_category(spark, folder):
     return rows.withColumn("share_pct", F.round("share_pct", 6))
 
 
+def error_patterns(spark, folder):
+    """Every class of errors, by the pattern table with a class of its own added."""
+    said = log.scripts(spark, folder).select(F.expr(log.ERROR_TEXT).alias("message"))
+    own = (-1, 15, "Script Limit", "System Limits", "too many statements", r"^Script has too many statements: \d+")
+    rows = patterns.class_counts(said, patterns.pattern_table(spark, [own]))
+    return rows.withColumn("share_pct", F.round("share_pct", 6))
+
+
 def error_layer(spark, folder):
     return analysis.error_layers(log.outcomes(spark, folder))
 
@@ -900,7 +908,7 @@ QUERIES = {
         validation_summary, overall_stats, confidence_buckets, stats_by_category,
         stats_by_type,
         complexity_impact, error_analysis, threshold_gate, low_confidence_filter,
-        error_category, error_layer, rewrite_using, rewrite_ct, rewrite_locking, rewrite_named,
+        error_category, error_patterns, error_layer, rewrite_using, rewrite_ct, rewrite_locking, rewrite_named,
         qualify_names, generalize_fingerprint, extract_proc_statements, statement_filter,
         template_placeholders, trend_over_runs, ledger_overview, ledger_trend, percentile_sketch,
     ]

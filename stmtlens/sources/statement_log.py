@@ -41,6 +41,28 @@ CASE event_id % 12
  WHEN 8 THEN 'Invalid expression / Unexpected token. Line 1, Col: 5.' END"""
 RPC_ERROR = "CASE WHEN event_id % 12 = 10 THEN 'HTTPError: 401 Unauthorized' END"
 
+# A message of every class of errors in turn, one of a class of its own, one of none, and no message.
+ERROR_TEXT = r"""
+CASE script_id % 18
+ WHEN 1 THEN concat('Can only generate column-level lineage for select-like inner statements, not <class ', event_type, '>')
+ WHEN 2 THEN concat('Invalid expression / Unexpected token. Line 1, Col: ', user_id, '. using p (INTEGER)')
+ WHEN 3 THEN 'Expected SELECT statement after LOCKING clause. Line 1, Col: 5.'
+ WHEN 4 THEN concat('Invalid expression / Unexpected token. Line 2, Col: ', user_id, '.
+ ct ', event_type)
+ WHEN 5 THEN concat('Failed to build scope for statement ', user_id)
+ WHEN 6 THEN concat('Expecting ). Line 1, Col: 9. SELECT a (NAMED ', event_type, ')')
+ WHEN 7 THEN 'Required keyword: ''definer'' missing for <class Procedure>'
+ WHEN 8 THEN concat('Got unsupported syntax for statement: ', event_type)
+ WHEN 9 THEN 'Alias already used: a'
+ WHEN 10 THEN concat('Table ', event_type, ' must match the schema''s nesting level: 3')
+ WHEN 11 THEN '* is not <class Column>'
+ WHEN 12 THEN concat('Expecting ). Line ', user_id)
+ WHEN 13 THEN concat('Invalid expression / Unexpected token. Line 1, Col: ', user_id, '. select session')
+ WHEN 14 THEN 'Invalid expression / Unexpected token. Line 1, Col: 1. MODIFY USER u'
+ WHEN 15 THEN concat('Script has too many statements: ', user_id)
+ WHEN 16 THEN concat('disk of ', event_type, ' is full')
+ WHEN 17 THEN concat('failed to map columns to their source tables in ', event_type) END"""
+
 # Test category by template, so that every category of the target table occurs.
 CATEGORY = """
 CASE event_id % 12 WHEN 0 THEN '01-basic' WHEN 1 THEN '01-basic' WHEN 2 THEN '04-advanced-dml'
