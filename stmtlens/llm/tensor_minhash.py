@@ -194,16 +194,19 @@ def _may_be_alike(percent: int) -> Column:
 
 
 def _near_pivot(met: DataFrame, centres: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: members that may be alike by their distances to the centre of a table. All pairs
-    of a member and its centre are in ``tested``. Tables are cut into cells as wide as the limit."""
+    """Pairs that may be alike by their distances to the centre of a table they share, all of which
+    are in ``tested``. Tables of one centre are one, cut into cells as wide as the limit."""
     limit = 1 - percent / 100
     far = 1 - F.col("common") / F.col("united")
-    placed = _pivoted(met, centres).join(tested, ["a", "b"]).select(
-        "key", F.struct("node", "n", "root", "shared", far.alias("far")).alias("x"),
+    members = _pivoted(met, centres).drop("key").distinct()
+    placed = members.join(tested, ["a", "b"]).select(
+        "centre", F.struct("node", "n", "root", "shared", far.alias("far")).alias("x"),
         F.floor(far / limit).alias("cell"),
     )
     around = F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell")
-    near = placed.select("key", "cell", "x.*").join(placed.select("key", "x", around), ["key", "cell"])
+    near = placed.select("centre", "cell", "x.*").join(
+        placed.select("centre", "x", around), ["centre", "cell"]
+    )
     return near.where(
         _may_be_alike(percent) & (F.abs(F.col("far") - F.col("x.far")) <= limit + 1e-9)
     )
@@ -212,8 +215,8 @@ def _near_pivot(met: DataFrame, centres: DataFrame, tested: DataFrame, percent:
 def _pivoted(met: DataFrame, centres: DataFrame) -> DataFrame:
     """Members of tables, each but the centre with the pair ``a, b`` of it and the centre."""
     return met.join(centres, "key").where("node <> x.node").select(
-        "key", "node", "n", "root", "shared", F.least("node", "x.node").alias("a"),
-        F.greatest("node", "x.node").alias("b"),
+        "key", F.col("x.node").alias("centre"), "node", "n", "root", "shared",
+        F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"),
     )
 
 
@@ -231,23 +234,19 @@ def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
         tested = new if tested is None else tested.unionByName(new)
         links = alike if links is None else links.unionByName(alike)
 
-    def still_open(met: DataFrame) -> DataFrame:
-        rooted = _open(_rooted(met.select("key", "node", "n"), links))
-        found = written(_with_shared(rooted, sets, percent), "meetings")
-        discard(met)
-        return found
-
     # At first nothing is known but sizes.
     first = _rooted(met, None).withColumn("shared", F.col("n"))
     star = first.join(_stars(first, F.xxhash64("node")), "key")
     settle(_ordered(star.where(_may_be_alike(percent))))
-    met = still_open(met)
+    rooted = _open(_rooted(met.select("key", "node", "n"), links))
+    met = written(_with_shared(rooted, sets, percent), "meetings")
     if met.isEmpty():
         return links
     centres = written(_stars(met, -F.col("shared")), "centres")
     settle(_pivoted(met, centres).select("a", "b").distinct())
-    met = still_open(met)
-    settle(_ordered(_near_pivot(met, centres, tested, percent)))
+    # What was shared before the new links bounds what is shared now.
+    left = _open(_rooted(met.select("key", "node", "n", "shared"), links))
+    settle(_ordered(_near_pivot(left, centres, tested, percent)))
     return links
 
 
