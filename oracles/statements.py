@@ -278,6 +278,9 @@ SQL = {
         f"""SELECT identifier, statement_type, statement_type_source, parser_error, rpc_error, {listed('ups')} AS upstreams, {listed('downs')} AS downstreams,
         {joined('flags')} AS flags, confidence, timing_ms FROM outcomes"""
     ),
+    "src_malformed_payload": """SELECT CASE event_id % 4 WHEN 0 THEN concat('{ no json ', event_id) WHEN 1 THEN concat('[', event_id, ']')
+        WHEN 2 THEN concat('{"query_type": "SELECT", "n": ', event_id, '}') ELSE concat('{"identifier": null, "n": ', event_id, '}') END AS value, CAST(1 AS BIGINT) AS n
+        FROM events WHERE event_id % 7 = 0 UNION ALL SELECT 'answered', COUNT(*) FROM events WHERE event_id % 7 <> 0""",
     "src_expected_results": q(
         f"""SELECT script_id, CAST(i AS BIGINT) AS stmt_index, {listed('ups')} AS in_tables, {listed('downs')} AS out_tables, {listed('edges')} AS edges
         FROM outcomes, (VALUES (1), (2)) v(i) WHERE stmt_index = 1 AND (i = 1 OR template = 11)"""

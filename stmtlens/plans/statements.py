@@ -193,6 +193,27 @@ def src_lineage_payload(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def src_malformed_payload(spark: SparkSession, folder: str) -> DataFrame:
+    """What among the answer files answers no statement: every seventh text is broken."""
+    path = fresh_path(spark, "payload")
+    rows = log.scripts(spark, folder).select("script_id")
+    number = F.col("script_id").cast("string")
+    broken = (
+        F.when(F.col("script_id") % 4 == 0, F.concat(F.lit("{ no json "), number))
+        .when(F.col("script_id") % 4 == 1, F.concat(F.lit("["), number, F.lit("]")))
+        .when(F.col("script_id") % 4 == 2, F.concat(F.lit('{"query_type": "SELECT", "n": '), number, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"identifier": null, "n": '), number, F.lit("}")))
+    )
+    whole = F.concat(F.lit('{"identifier": "'), number, F.lit('", "timing_ms": "much", "in_tables": 3}'))
+    rows.select(F.when(F.col("script_id") % 7 == 0, broken).otherwise(whole).alias("value")).write.text(path)
+    answered = files.payloads(spark, path, multi_line=False).agg(
+        F.lit("answered").alias("value"), F.count(F.lit(1)).alias("n")
+    )
+    return files.malformed_payloads(spark, path, multi_line=False).select(
+        "value", F.lit(1).cast("bigint").alias("n")
+    ).unionByName(answered)
+
+
 def src_expected_results(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON document per script: an object, or an array where a script has two statements."""
     rows = log.outcomes(spark, folder).where(F.col("stmt_index") == 1)
@@ -889,7 +910,7 @@ QUERIES = {
     for function in [
         src_sql_file, src_sql_dir, src_csv_column, src_csv_dir, src_csv_headers, src_union_inputs,
         e2e_outcomes, e2e_records,
-        split_statements, src_lineage_payload, src_expected_results,
+        split_statements, src_lineage_payload, src_malformed_payload, src_expected_results,
         sink_statement_json, sink_source_report, sink_run_report, sink_results_table,
         sink_metadata_records, sink_ctas, sink_insert, sink_view,
         clean_sql, leading_tokens, infer_statement_type, normalize_type_label,

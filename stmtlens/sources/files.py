@@ -210,24 +210,40 @@ def all_inputs(
     return combined
 
 
+def _said(value: str, path: str, kind: T.DataType) -> Column:
+    """A field of a parsed text; null where it is absent or of another type."""
+    return F.try_variant_get(value, path, kind.simpleString())
+
+
+def _fields(value: str, schema: T.StructType) -> list[Column]:
+    """The fields of an object, each by itself, so that one of a wrong type is lost alone."""
+    return [_said(value, f"$.{f.name}", f.dataType).alias(f.name) for f in schema]
+
+
 def payload_from_text(documents: DataFrame, text: str = "value") -> DataFrame:
     """Parser answers from JSON texts, with a fixed schema; ``raw_payload`` is the text as it came.
 
+    Each text is parsed once, to a variant from which all fields and spellings of keys are taken.
     Texts that are no JSON object, or name no statement, are left to ``malformed_from_text``.
     """
-    answer = F.from_json(F.col(text), schemas.PAYLOAD)
-    third = F.get_json_object(text, "$.querytype").alias("querytype_lower")
-    raw = F.col(text).alias("raw_payload")
-    parsed = documents.select(answer.alias("_answer"), third, raw).select(
-        "_answer.*", "querytype_lower", "raw_payload"
-    )
-    return parsed.where(F.col("identifier").isNotNull())
+    parsed = documents.select(F.try_parse_json(text).alias("_said"), F.col(text).alias("raw_payload"))
+    flat = T.StructType([f for f in schemas.PAYLOAD if f.name != "debug_info"])
+    debug = [
+        _said("_said", f"$.debug_info.{f.name}", f.dataType).alias(f.name) for f in schemas.DEBUG_INFO
+    ]
+    there = F.try_variant_get("_said", "$.debug_info", "variant").isNotNull()
+    return parsed.select(
+        *_fields("_said", flat),
+        F.when(there, F.struct(*debug)).alias("debug_info"),
+        _said("_said", "$.querytype", T.StringType()).alias("querytype_lower"),
+        "raw_payload",
+    ).where(F.col("identifier").isNotNull())
 
 
 def malformed_from_text(documents: DataFrame, text: str = "value") -> DataFrame:
     """The texts among parser answers that give no answer to any statement."""
-    answer = F.from_json(F.col(text), schemas.PAYLOAD)
-    return documents.where(answer["identifier"].isNull())
+    named = F.try_variant_get(F.try_parse_json(text), "$.identifier", "string")
+    return documents.where(named.isNull())
 
 
 def _answer_texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
@@ -248,11 +264,15 @@ def malformed_payloads(spark: SparkSession, path: str, multi_line: bool = True)
 
 
 def expected_from_text(documents: DataFrame, text: str = "document") -> DataFrame:
-    """Expected lineage from JSON texts: an object, or an array with one object per statement."""
+    """Expected lineage from JSON texts: an object, or an array with one object per statement.
+
+    Texts that are no JSON have none.
+    """
     others = [c for c in documents.columns if c != text]
-    parsed = F.from_json(F.col(text), T.ArrayType(schemas.EXPECTED))
-    return documents.select(*others, F.posexplode(parsed).alias("_pos", "_expected")).select(
-        *others, (F.col("_pos") + 1).cast("bigint").alias("stmt_index"), "_expected.*"
+    parsed = documents.select(*others, F.try_parse_json(text).alias("_said")).where("_said IS NOT NULL")
+    several = F.coalesce(F.try_variant_get("_said", "$", "array<variant>"), F.array("_said"))
+    return parsed.select(*others, F.posexplode(several).alias("_pos", "_one")).select(
+        *others, (F.col("_pos") + 1).cast("bigint").alias("stmt_index"), *_fields("_one", schemas.EXPECTED)
     )
 
 
