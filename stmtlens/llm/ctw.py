@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -346,11 +348,32 @@ def _unsqueezed(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(packed), dtype=np.uint64), dtype=np.uint64)
 
 
-def _block_code_set(texts: list[bytes], depth: int) -> np.ndarray:
-    codes = np.zeros(0, dtype=np.uint64)
-    for lo, hi in chunks(texts, CHUNK_BYTES):
-        codes = np.union1d(codes, contexts.codes(texts[lo:hi], depth, contexts.END)[0])
-    return codes
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """Rising distinct codes; sorting beats hashing for as many."""
+    codes = np.sort(codes)
+    return codes[runs(codes)]
+
+
+def _block_codes(data: list[bytes], depth: int) -> np.ndarray:
+    parts = [
+        _distinct(contexts.codes(data[lo:hi], depth, contexts.END)[0])
+        for lo, hi in chunks(data, CHUNK_BYTES)
+    ]
+    return _distinct(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def _scores_of(found: np.ndarray, codes: np.ndarray, scores: np.ndarray, depth: int) -> np.ndarray:
+    """The score of each code, looked up in rising order: a code and its place are one number."""
+    bits = min(64 - 8 * (depth + 1), 16)
+    if bits < 8:
+        return scores[np.searchsorted(codes, found)]
+    out = np.empty(len(found))
+    for lo in range(0, len(found), 1 << bits):
+        part = found[lo : lo + (1 << bits)] << np.uint64(bits)
+        part = np.sort(part | np.arange(len(part), dtype=np.uint64))
+        place = (part & np.uint64((1 << bits) - 1)).astype(np.int64)
+        out[lo + place] = scores[np.searchsorted(codes, part >> np.uint64(bits))]
+    return out
 
 
 def _words_by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -364,15 +387,18 @@ def _words_by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np
 def _send(rows: pa.Table, depth: int, top: int, buckets: int) -> pa.Table:
     """Each code and each word of a block once, a row per bucket; words with their count in training
     texts (0 for held-out ones alone)."""
-    texts, out = rows["text"].to_pylist(), rows["held_out"].to_pylist()
-    codes = _block_code_set([normal_form(text) for text in texts], depth)
-    counts: dict[bytes, int] = {}
-    for text, held in zip(texts, out):
-        step = 0 if held else 1
-        for word in text.encode().lower().split():
-            counts[word] = counts.get(word, 0) + step
-    words = sorted(counts)
-    n = np.array([counts[word] for word in words], dtype=np.int64)
+    split = [text.encode().lower().split() for text in rows["text"].to_pylist()]
+    data = [b" ".join(words) for words in split]
+    codes = _block_codes(data, depth)
+    learned: Counter[bytes] = Counter()
+    asked: set[bytes] = set()
+    for words, held in zip(split, rows["held_out"].to_pylist()):
+        if held:
+            asked.update(words)
+        else:
+            learned.update(words)
+    words = sorted(asked.union(learned))
+    n = np.array([learned[word] for word in words], dtype=np.int64)
     found = [
         (CODES, bucket, _squeezed(codes[some]), b"")
         for bucket, some in _by_bucket(codes, top, buckets)
@@ -427,28 +453,27 @@ def _rate(own: pa.Table, answers: pa.Table, depth: int, top: int, buckets: int)
         (kind, bucket): found
         for kind, bucket, found in zip(*(answers[c].to_pylist() for c in ("kind", "bucket", "found")))
     }
-    texts = own["text"].to_pylist()
-    split = [text.encode().lower().split() for text in texts]
+    split = [text.encode().lower().split() for text in own["text"].to_pylist()]
     data = [b" ".join(words) for words in split]
-    codes = _block_code_set(data, depth)
+    codes = _block_codes(data, depth)
     scores = np.zeros(len(codes))
     for bucket, some in _by_bucket(codes, top, buckets):
         scores[some] = np.frombuffer(told[CODES, bucket], dtype=np.float32)
-    words = sorted({word for own_words in split for word in own_words})
+    words = sorted(set().union(*split))
     logs: dict[bytes, float] = {}
     for bucket, some in _words_by_bucket(words, buckets):
         counts = np.frombuffer(told[WORDS, bucket], dtype=np.int64)
         logs.update(zip([words[k] for k in some.tolist()], np.log10(counts + 1.0).tolist()))
     columns: dict[str, list] = {name: [] for name in _SCORED.names}
     columns["doc_id"], columns["held_out"] = own["doc_id"].to_pylist(), own["held_out"].to_pylist()
-    for own_words in split:
-        found = [logs[word] for word in own_words]
-        columns["n_words"].append(len(own_words))
-        columns["n_known"].append(len(found) - found.count(0.0))
-        columns["log_counts"].append(math.fsum(found))
+    n_words = np.array([len(own_words) for own_words in split], dtype=np.int64)
+    each = np.fromiter(map(logs.__getitem__, chain.from_iterable(split)), np.float64, n_words.sum())
+    columns["n_words"] = n_words.tolist()
+    columns["n_known"] = contexts.per_text((each > 0).astype(np.float64), n_words).astype(np.int64).tolist()
+    columns["log_counts"] = contexts.per_text(each, n_words).tolist()
     for lo, hi in chunks(data, CHUNK_BYTES):
         found, sizes = contexts.codes(data[lo:hi], depth, contexts.END)
-        columns["score"] += contexts.per_text(scores[np.searchsorted(codes, found)], sizes).tolist()
+        columns["score"] += contexts.per_text(_scores_of(found, codes, scores, depth), sizes).tolist()
     columns["new_words"] = [None] * len(data) + [sum(answers["new_words"].to_pylist())]
     for name in _SCORED.names[:-1]:
         columns[name].append(None)
