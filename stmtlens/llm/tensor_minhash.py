@@ -198,7 +198,7 @@ def _near_pivot(met: DataFrame, centres: DataFrame, tested: DataFrame, percent:
     are in ``tested``. Tables of one centre are one, cut into cells as wide as the limit."""
     limit = 1 - percent / 100
     far = 1 - F.col("common") / F.col("united")
-    members = _pivoted(met, centres).drop("key").distinct()
+    members = _pivoted(met, centres).drop("key", "apart").distinct()
     placed = members.join(tested, ["a", "b"]).select(
         "centre", F.struct("node", "n", "root", "shared", far.alias("far")).alias("x"),
         F.floor(far / limit).alias("cell"),
@@ -213,10 +213,12 @@ def _near_pivot(met: DataFrame, centres: DataFrame, tested: DataFrame, percent:
 
 
 def _pivoted(met: DataFrame, centres: DataFrame) -> DataFrame:
-    """Members of tables, each but the centre with the pair ``a, b`` of it and the centre."""
+    """Members of tables, each but the centre with the pair ``a, b`` of it and the centre; ``apart``
+    if they were of different components when the centre was chosen."""
     return met.join(centres, "key").where("node <> x.node").select(
         "key", F.col("x.node").alias("centre"), "node", "n", "root", "shared",
         F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"),
+        (F.col("root") != F.col("x.root")).alias("apart"),
     )
 
 
@@ -243,9 +245,13 @@ def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     if met.isEmpty():
         return links
     centres = written(_stars(met, -F.col("shared")), "centres")
-    settle(_pivoted(met, centres).select("a", "b").distinct())
+    settle(_pivoted(met, centres).where("apart").select("a", "b").distinct())
     # What was shared before the new links bounds what is shared now.
-    left = _open(_rooted(met.select("key", "node", "n", "shared"), links))
+    left = written(_open(_rooted(met.select("key", "node", "n", "shared"), links)), "meetings")
+    if left.isEmpty():
+        return links
+    # Only where that did not connect all, the others' distances to the centre matter.
+    settle(_pivoted(left, centres).select("a", "b").distinct())
     settle(_ordered(_near_pivot(left, centres, tested, percent)))
     return links
 
