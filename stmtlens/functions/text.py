@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(K.WHITESPACE))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``value`` is computed once, however often ``use`` names it.
+
+    A column of its own is not enough: a filter on the result is pushed below it, with one copy of
+    the value for each mention.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def is_blank(text: Column) -> Column:
     """True for NULL and for the empty string, which count as "absent" alike."""
     return F.coalesce(text, F.lit("")) == ""
@@ -130,22 +141,27 @@ def _or_if_empty(text: Column, default: str) -> Column:
 
 
 def identifier_text(value: Column, fallback: str) -> Column:
-    """``value`` in identifier characters, of any length."""
-    kept = F.regexp_replace(strip(value), r"[^A-Za-z0-9_.:/\\-]+", "_")
-    return _or_if_empty(F.btrim(F.regexp_replace(kept, "_+", "_"), F.lit("_")), fallback)
+    """``value`` in identifier characters, of any length.
+
+    What lies between runs of other characters, joined by one ``_``; none stays at the ends.
+    """
+    parts = F.regexp_extract_all(value, F.lit(r"[A-Za-z0-9.:/\\-]+"), F.lit(0))
+    return _or_if_empty(F.array_join(parts, "_"), fallback)
 
 
 def bounded_identifier(cleaned: Column) -> Column:
     """Lower case; a text that is too long is cut and ends in a digest of the whole."""
     prefix_length = K.IDENTIFIER_LIMIT - K.IDENTIFIER_DIGEST - 1
-    shortened = F.concat(
-        F.substring(cleaned, 1, prefix_length),
-        F.lit("_"),
-        F.substring(F.sha1(F.encode(cleaned, "UTF-8")), 1, K.IDENTIFIER_DIGEST),
-    )
-    return F.lower(
-        F.when(F.length(cleaned) <= K.IDENTIFIER_LIMIT, cleaned).otherwise(shortened)
-    )
+
+    def bounded(text: Column) -> Column:
+        shortened = F.concat(
+            F.substring(text, 1, prefix_length),
+            F.lit("_"),
+            F.substring(F.sha1(F.encode(text, "UTF-8")), 1, K.IDENTIFIER_DIGEST),
+        )
+        return F.lower(F.when(F.length(text) <= K.IDENTIFIER_LIMIT, text).otherwise(shortened))
+
+    return once(cleaned, bounded)
 
 
 def sanitized_identifier(value: Column, fallback: str) -> Column:

@@ -11,7 +11,6 @@ from stmtlens.functions import lineage as lin
 from stmtlens.functions import rewrite as rw
 from stmtlens.functions import text as tx
 from stmtlens.functions import urns
-from stmtlens.operators.statements import with_inferred_type
 
 
 # --- complexity -------------------------------------------------------------------------
@@ -392,18 +391,30 @@ def query_patterns(statements: DataFrame, text: str = "query_text") -> DataFrame
 
 
 def procedure_statements(procedures: DataFrame, text: str = "body") -> DataFrame:
-    """The data statements inside procedure bodies, numbered by their place in the body."""
+    """The data statements inside procedure bodies, numbered by their place in the body.
+
+    Steps are cleaned and classified before they become rows: the filter on the type then reads a
+    value, while a type computed after it would be computed again for the filter.
+    """
     others = [c for c in procedures.columns if c != text]
-    steps = procedures.select(
-        *others, F.posexplode(tx.statement_texts(F.col(text))).alias("_pos", "_part")
-    ).select(
-        *others,
-        (F.col("_pos") + 1).cast("bigint").alias("step"),
-        rw.procedure_step(tx.clean_sql(F.col("_part"))).alias("query_text"),
+    steps = F.transform(
+        tx.statement_texts(F.col(text)), lambda part: rw.procedure_step(tx.clean_sql(part))
     )
     # statement_texts leaves trailing whitespace, which clean_sql strips.
-    typed = with_inferred_type(steps).withColumnRenamed("inferred_type", "statement_type")
-    return typed.where(F.col("statement_type").isin("SELECT", "INSERT", "UPDATE", "DELETE"))
+    kind = lambda step: tx.once(tx.leading_words(tx.clean_sql(step)), tx.statement_type_of)
+    typed = F.transform(
+        steps, lambda step: F.struct(step.alias("query_text"), kind(step).alias("statement_type"))
+    )
+    return (
+        procedures.select(*others, F.posexplode(typed).alias("_pos", "_step"))
+        .where(F.col("_step.statement_type").isin("SELECT", "INSERT", "UPDATE", "DELETE"))
+        .select(
+            *others,
+            (F.col("_pos") + 1).cast("bigint").alias("step"),
+            F.col("_step.query_text").alias("query_text"),
+            F.col("_step.statement_type").alias("statement_type"),
+        )
+    )
 
 
 def trend_over_runs(outcomes: DataFrame) -> DataFrame:

@@ -23,11 +23,8 @@ def split_statements(scripts: DataFrame, text: str = "script_text") -> DataFrame
 
 def with_inferred_type(statements: DataFrame, text: str = "query_text") -> DataFrame:
     """Add ``inferred_type``."""
-    return (
-        statements.withColumn("_words", tx.leading_words(tx.clean_sql(F.col(text))))
-        .withColumn("inferred_type", tx.statement_type_of(F.col("_words")))
-        .drop("_words")
-    )
+    words = tx.leading_words(tx.clean_sql(F.col(text)))
+    return statements.withColumn("inferred_type", tx.once(words, tx.statement_type_of))
 
 
 def flattened_payload(payload: DataFrame) -> DataFrame:
