@@ -58,13 +58,29 @@ def _in_both(names: Namespaces, query) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+# Rows of the large side of a join that one task sorts.
+TASK_ROWS = 1_000_000
+
+
+def _dealt(small: DataFrame, key: str, rows: int) -> DataFrame:
+    """The small side of a join with ``rows`` others, cut so finely that a task sorts few of them.
+
+    If the join shuffles, the other side takes over this number of partitions; if ``small`` is
+    broadcast, the other side does not move. Few rows keep the number of the session.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    default = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.repartition(tasks, key) if tasks > default else small
+
+
 def three_part(w: Workload) -> DataFrame:
     """Whole names: the default schema, which is the other one each time, plays no part."""
     names = namespaces(w)
 
     def joined(default: str) -> DataFrame:
         told = ARCHIVE if default == CURRENT else CURRENT
-        customers = names.table(f"{DATABASE}.{told}.customers")
+        every = names.table(f"{DATABASE}.{told}.orders").count()
+        customers = _dealt(names.table(f"{DATABASE}.{told}.customers"), "customer_id", every)
         orders = names.table(f'"{DATABASE}".{told}.ORDERS').where(
             F.col("ordered_at") >= F.lit(basic.ORDERS_SINCE if told == CURRENT else basic.OLD_ORDERS_BEFORE)
             .cast("timestamp_ntz")
@@ -77,16 +93,20 @@ def three_part(w: Workload) -> DataFrame:
 
 
 def mixed_names(w: Workload) -> DataFrame:
-    """Bare names are looked up in the default schema, whole ones where they say."""
+    """Bare names are looked up in the default schema, whole ones where they say.
+
+    All joins carry the rows of the order items, and both schemas are joined in the same tasks.
+    """
     names = namespaces(w)
+    items = names.table("SampleDB.Analytics.order_items")
+    rows = items.count()
 
     def joined(default: str) -> DataFrame:
         orders = names.table("SampleDB.Analytics.orders")
         return (
-            names.table("SampleDB.Analytics.order_items")
-            .join(orders, "order_id")
-            .join(names.table("customers"), "customer_id")
-            .join(names.table("products"), "product_id")
+            items.join(_dealt(orders, "order_id", rows), "order_id")
+            .join(_dealt(names.table("customers"), "customer_id", rows), "customer_id")
+            .join(_dealt(names.table("products"), "product_id", rows), "product_id")
             .select("customer_id", "customer_name", "order_id", "total_amount", "product_name")
         )
 
