@@ -178,6 +178,19 @@ def _records(
     ).select("phase", "entity_urn", "_record.*", *carried)
 
 
+RECORD_INPUTS = [
+    "identifier", "source_path", "context", "query_text", "upstreams", "downstreams",
+    "column_lineage", "confidence", "query_fingerprint", "raw_query_type",
+]
+
+
+def record_inputs(outcomes: DataFrame, place: Sequence[str] = ()) -> DataFrame:
+    """What records are made of, written once, so that the texts are classified once and not by each
+    kind of record."""
+    columns = [*RECORD_INPUTS, *(name for name in place if name not in RECORD_INPUTS)]
+    return written(outcomes.select(*columns), "record_inputs")
+
+
 def metadata_records(
     outcomes: DataFrame, settings: RecordSettings = RecordSettings(), place: Sequence[str] = ()
 ) -> DataFrame:
@@ -203,21 +216,14 @@ def sending_order(place: Sequence[str]) -> list[str]:
     return ["phase", *[f"place_{name}" for name in place], "entity_urn", "aspect_name"]
 
 
-RECORD_INPUTS = [
-    "identifier", "source_path", "context", "query_text", "upstreams", "downstreams",
-    "column_lineage", "confidence", "query_fingerprint", "raw_query_type",
-]
-
-
 def emission_plan(
     outcomes: DataFrame, known: DataFrame, settings: RecordSettings = RecordSettings()
 ) -> DataFrame:
     """All records in sending order: scaffolds of missing datasets, then flows, then jobs.
 
-    Without any job nothing is sent, not even scaffolds. What the records are made of is written
-    once, so that the texts are classified once and not by each kind of record.
+    Without any job nothing is sent, not even scaffolds.
     """
-    outcomes = written(outcomes.select(*RECORD_INPUTS), "record_inputs")
+    outcomes = record_inputs(outcomes)
     scaffolds = rows.dataset_scaffolds(
         rows.missing_datasets(rows.dataset_columns(outcomes), known)
     ).where(with_jobs(outcomes).exists())

@@ -858,7 +858,8 @@ def sink_metadata_records(spark, folder):
     """Records laid out in sending order; every other part has been sent, the rest is read again."""
     path = fresh_path(spark, "metadata")
     place = ["source_path", "script_id", "stmt_index"]
-    records = metadata.metadata_records(log.outcomes(spark, folder), SETTINGS, place)
+    inputs = metadata.record_inputs(metadata.with_jobs(log.outcomes(spark, folder)), place)
+    records = metadata.metadata_records(inputs, SETTINGS, place)
     sending.lay_out(records, metadata.sending_order(place), path, SENT_PART)
     parts = [r["part"] for r in sending.manifest(spark, path).select("part").collect()]
     sending.mark_sent(spark, path, [p for p in parts if p % 2 == 0])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtlens.operators.slices import with_ranks
+from stmtlens.session import discard, written
 
 PART_ROWS = 10_000
 
@@ -26,12 +27,17 @@ def with_sequence(records: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def lay_out(records: DataFrame, order: Sequence[str], path: str, part_rows: int = PART_ROWS) -> None:
-    """Write ``records`` below ``path``: one file of JSON lines per part, and the manifest."""
+    """Write ``records`` below ``path``: one file of JSON lines per part, and the manifest.
+
+    The records are written before they get their places: the cuts of the slices read them too.
+    """
     spark = records.sparkSession
+    records = written(records, "records")
     placed = with_sequence(records, order)
     part = F.floor(F.col("sequence") / part_rows).cast("bigint").alias("part")
     in_parts = placed.select("*", part).repartition("part").sortWithinPartitions("part", "sequence")
     in_parts.write.partitionBy("part").json(f"{path}/parts")
+    discard(records)
     laid = _parts(spark, path, placed.schema.toDDL())
     manifest = laid.groupBy("part").agg(
         F.min("sequence").alias("first"), F.count(F.lit(1)).alias("records"),
