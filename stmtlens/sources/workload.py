@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtlens.session import spread
 from stmtlens.sources.tables import parquet_table
 
 MONEY = "decimal(15,2)"
@@ -61,11 +62,15 @@ class Workload:
         )
         return customers.unionByName(prospects)
 
-    def customers(self) -> DataFrame:
-        """Customer attributes that do not depend on orders."""
+    def customers(self, dealt: bool = False) -> DataFrame:
+        """Customer attributes that do not depend on orders.
+
+        With ``dealt`` the rows are spread over all cores first, for work that is dear per row.
+        """
         key, segment, nation = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_nationkey")
         yes_no = lambda condition: F.when(condition, "true").otherwise("false")
-        return self.people().select(
+        people = spread(self.people()) if dealt else self.people()
+        return people.select(
             key.alias("customer_id"),
             F.col("c_name").alias("customer_name"),
             F.concat(F.lit("c"), key.cast("string"), F.lit("@example.com")).alias("email"),
