@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stmtlens.functions import text as tx
 from stmtlens.operators import analysis, reports
 from stmtlens.operators.statements import succeeded
+from stmtlens.session import written
 
 SOURCE_BUCKETS = 64
 
@@ -71,14 +72,23 @@ def write_statement_records(
     )
 
 
+REPORT_INPUTS = [
+    "source_path", "identifier", "query_text", "flags", "succeeded", "timing_ms", "parser_error",
+    "rpc_error", "statement_type", "statement_type_source", "parser_statement_type",
+]
+
+
 def source_reports(outcomes: DataFrame, keys: Sequence[str] = ("source_path",)) -> dict[str, DataFrame]:
     """The report of each source, as tables keyed by the source.
 
     ``summary``: one row per source with flags and overview; ``errors``: one row per error class;
     ``types``: one row per statement type; ``queries``: one row per statement. Error classes, types
     and statements of one source are unbounded, so they are rows and not lists in the summary.
+    What the tables show is written once, so that the texts are classified once and not for each.
     """
     keys = list(keys)
+    columns = [*keys, *(name for name in REPORT_INPUTS if name not in keys)]
+    outcomes = written(outcomes.select(*columns), "report_inputs")
     error_class = tx.error_label(F.col("parser_error")).alias("message")
     return {
         "summary": reports.source_summary(outcomes, keys),
