@@ -6,7 +6,7 @@ for each bit, so they say in which of four groups of sixteen pivots two fingerpr
 difference at all; at most two differing bits leave two groups without one, and each of the six
 pairs of groups is a bucket key. Within a bucket, the distances to random references follow: by the
 triangle inequality a pair is discarded if any coordinate differs by more than the limit. Survivors
-are verified by their own distance.
+are verified by their own distance. A wider limit takes more groups, two more than bits may differ.
 
 Copies are one fingerprint before any of this. Buckets give star links, not pairs.
 """
@@ -28,10 +28,11 @@ from stmtlens.session import written
 
 SEED = 42
 LIMIT = 2
-GROUPS = 4  # of 16 bits; LIMIT differing bits leave at least GROUPS - LIMIT groups equal
+KEPT = 2  # groups of bits in a bucket key; of KEPT more than may differ, so many are equal
 CHUNK_BYTES = 4 << 20
 # Buckets with more fingerprints take the exact way whose work is linear in their size.
 PAIRWISE = 1 << 13
+NEIGHBOURS = 1 << 22  # neighbours of fingerprints that are sorted at a time
 REFERENCES = np.array(
     [xxhash.xxh64_intdigest(b"pivot", seed=k) for k in range(12)], dtype=np.uint64
 )
@@ -90,13 +91,16 @@ def distances(fps: np.ndarray, references: np.ndarray = REFERENCES) -> np.ndarra
     return np.bitwise_count(fps[None, :] ^ references[:, None]).astype(np.int8)
 
 
-def bucket_masks() -> list[int]:
-    width = 64 // GROUPS
-    group = [((1 << width) - 1) << (width * k) for k in range(GROUPS)]
-    return [sum(group[k] for k in kept) for kept in combinations(range(GROUPS), GROUPS - LIMIT)]
+def bucket_masks(limit: int = LIMIT) -> list[int]:
+    groups = limit + KEPT
+    edges = [64 * k // groups for k in range(groups + 1)]
+    group = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    return [sum(group[k] for k in kept) for kept in combinations(range(groups), KEPT)]
 
 
-def _near_pairs(fps: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_pairs(
+    fps: np.ndarray, run: np.ndarray, limit: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked positions among neighbours of the same run, one distance in the array at a time."""
     table = distances(fps)
     at = np.arange(len(fps))
@@ -106,33 +110,48 @@ def _near_pairs(fps: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray,
         at = at[run[at] == run[at + step]]
         left, right = at, at + step
         for row in table:
-            close = np.abs(row[left] - row[right]) <= LIMIT
+            close = np.abs(row[left] - row[right]) <= limit
             left, right = left[close], right[close]
-        near = np.bitwise_count(fps[left] ^ fps[right]) <= LIMIT
+        near = np.bitwise_count(fps[left] ^ fps[right]) <= limit
         yield left[near], right[near]
         step += 1
 
 
-def _ball_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one large bucket in linear work.
+def _ball_links(fps: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of one large bucket in linear work, for an even limit.
 
-    Two fingerprints at most two bits apart have a common neighbour at most one bit from both; the
-    members of each such neighbourhood (65 at most) are chained.
+    Two fingerprints within the limit have a common neighbour at most half of it from both; the
+    members of each such neighbourhood are chained. Neighbours are made in parts, told apart by the
+    bits that divide the bucket best.
     """
-    flips = np.concatenate(([0], np.uint64(1) << np.arange(64, dtype=np.uint64))).astype(np.uint64)
-    around, owner = [], []
-    moving = np.bitwise_or.reduce(fps ^ fps[0])  # bits in which the bucket differs at all
-    for flip in flips:
-        if flip & moving or not flip:
-            around.append(fps ^ flip)
-            owner.append(np.arange(len(fps)))
-    around, owner = np.concatenate(around), np.concatenate(owner)
-    order = np.argsort(around, kind="stable")
-    same = np.flatnonzero(around[order][1:] == around[order][:-1])
-    return owner[order][same], owner[order][same + 1]
-
-
-def bucket_links(fps: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    differing = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    moving = [bit for bit in range(64) if differing >> bit & 1]
+    near = [sum(1 << bit for bit in chosen) for size in range(limit // 2 + 1)
+            for chosen in combinations(moving, size)]
+    flips = np.array(near, dtype=np.uint64)
+    ones = {bit: np.count_nonzero(fps & np.uint64(1 << bit)) for bit in moving}
+    parts = (len(flips) * len(fps) // NEIGHBOURS).bit_length()
+    dividing = sorted(moving, key=lambda bit: abs(2 * ones[bit] - len(fps)))[:parts]
+    mask = np.uint64(sum(1 << bit for bit in dividing))
+    order = np.argsort(fps & mask, kind="stable")
+    values, starts = np.unique((fps & mask)[order], return_index=True)
+    members = dict(zip(values.tolist(), np.split(order, starts[1:])))
+    moved = flips & mask
+    for part in np.unique(values[:, None] ^ np.unique(moved)).tolist():
+        around, owner = [], []
+        for flip, other in zip(flips, moved.tolist()):
+            if (at := members.get(part ^ other)) is not None:
+                around.append(fps[at] ^ flip)
+                owner.append(at)
+        around, owner = np.concatenate(around), np.concatenate(owner)
+        order = np.argsort(around, kind="stable")
+        same = np.flatnonzero(around[order][1:] == around[order][:-1])
+        yield owner[order][same], owner[order][same + 1]
+
+
+def bucket_links(
+    fps: np.ndarray, run: np.ndarray, limit: int = LIMIT
+) -> tuple[np.ndarray, np.ndarray]:
     """Star links (member, smallest position) of the linked fingerprints of each run."""
     n = len(fps)
     root = np.arange(n)
@@ -145,11 +164,11 @@ def bucket_links(fps: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarr
     sizes = np.diff(np.append(starts, n))
     large = sizes > PAIRWISE
     for start, size in zip(starts[large], sizes[large]):
-        a, b = _ball_links(fps[start : start + size])
-        join(a + start, b + start)
+        for a, b in _ball_links(fps[start : start + size], limit):
+            join(a + start, b + start)
     small = np.flatnonzero(np.repeat(~large, sizes))
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in _near_pairs(fps[small], run[small]):
+    for a, b in _near_pairs(fps[small], run[small], limit):
         held.append((small[a], small[b]))
         if sum(len(x) for x, _ in held) > 4 * n + (1 << 16):
             join(*map(np.concatenate, zip(*held)))
@@ -163,9 +182,11 @@ def bucket_links(fps: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarr
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``a, b``: links between the distinct fingerprints ``fp`` that connect all within the limit.
 
+    The limit is an even number of bits.
+
     Rows reach Python sorted by bucket; a bucket that goes on in the next batch is carried over.
     """
 
@@ -174,7 +195,7 @@ def links(prints: DataFrame) -> DataFrame:
         before, number = None, 0
 
         def found(fps: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
-            member, root = bucket_links(fps, run)
+            member, root = bucket_links(fps, run, limit)
             return batch(
                 {"a": fps[member].view(np.int64), "b": fps[root].view(np.int64)}, _LINKS
             )
@@ -197,7 +218,7 @@ def links(prints: DataFrame) -> DataFrame:
         if len(fps):
             yield found(fps, run)
 
-    masks = [m - (1 << 64) if m >> 63 else m for m in bucket_masks()]
+    masks = [m - (1 << 64) if m >> 63 else m for m in bucket_masks(limit)]
     each = prints.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
     keyed = each.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     bucket = Window.partitionBy("mask", "key")

@@ -83,6 +83,30 @@ def test_links_connect_all_near_prints(spark, monkeypatch, pairwise):
         assert int(prints[got[i]]) == want[int(p)]
 
 
+@pytest.mark.parametrize("pairwise, neighbours", [(1 << 13, 1 << 22), (3, 1 << 22), (3, 100)])
+def test_links_of_a_wider_limit(monkeypatch, pairwise, neighbours):
+    monkeypatch.setattr(sh, "PAIRWISE", pairwise)
+    monkeypatch.setattr(sh, "NEIGHBOURS", neighbours)
+    rng = np.random.default_rng(neighbours)
+    prints = clustered(pairwise, 300)
+    flips = [sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in prints]
+    prints = np.unique(np.concatenate((prints, prints ^ np.array(flips, dtype=np.uint64))))
+    masks = sh.bucket_masks(4)
+    assert len(masks) == 15 and np.bitwise_or.reduce(np.array(masks, dtype=np.uint64)) == 2**64 - 1
+    a, b = [], []
+    for mask in masks:
+        key = prints & np.uint64(mask)
+        order = np.argsort(key, kind="stable")
+        run = np.cumsum(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        member, root = sh.bucket_links(prints[order], run, 4)
+        a.append(order[member])
+        b.append(order[root])
+    got = graph.local_roots(len(prints), np.concatenate(a), np.concatenate(b))
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    want = graph.local_roots(len(prints), *np.nonzero(near))
+    assert (got == want).all() and 1 < len(np.unique(want)) < len(prints)
+
+
 def test_roots_of_long_paths(spark):
     rng = np.random.default_rng(3)
     path = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(40)] + [(-5, 200)]
